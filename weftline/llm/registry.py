@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from weftline.llm import exact_dedup, language_id, line_dedup, packing
+from weftline.llm import exact_dedup, fingerprints, language_id, line_dedup, near_dedup, packing, pii
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_line_dedup": line_dedup.op2_line_dedup,
+        "op3_minhash_near_dedup": near_dedup.op3_minhash_near_dedup,
         "op4_language_id": language_id.op4_language_id,
+        "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
+        "op8_pii": pii.op8_pii,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
     }
 
