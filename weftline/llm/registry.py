@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import exact_dedup, fingerprints, language_id, line_dedup, near_dedup, packing, pii
+from weftline.llm import exact_dedup, fingerprints, html_extract, language_id, line_dedup, near_dedup, packing, piece_sampling, pii, substring_dedup
 
 
 def queries() -> dict:
@@ -11,9 +11,12 @@ def queries() -> dict:
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_minhash_near_dedup": near_dedup.op3_minhash_near_dedup,
         "op4_language_id": language_id.op4_language_id,
+        "op5_sentencepiece_sampling": piece_sampling.op5_sentencepiece_sampling,
+        "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
         "op8_pii": pii.op8_pii,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
+        "op10_html_extraction": html_extract.op10_html_extraction,
     }
 
 
