@@ -1,6 +1,7 @@
 """Substring dedup: content-defined chunks by a gear rolling hash, deduplicated by digest.
 
-A chunk ends where the hash of the last 16 bytes has its top five bits clear, so cuts depend on the
+A chunk ends where the hash of the last 16 bytes has its top five bits clear (fewer where such places
+are rare), so cuts depend on the
 bytes around them alone: an insertion moves the cuts beside it and no others, and a passage that
 documents share is cut alike in each, but for its edges. Chunks are 32 bytes on average and keyed by
 digest; per digest the smallest and largest document are summed on the map side. Neighbouring chunks
@@ -23,33 +24,45 @@ _GEAR = np.random.default_rng(1_729).integers(0, 2**16, 256, dtype=np.uint16)
 _BLOCK = 1 << 20
 
 
-def cuts(data: bytes, bits: int = 5, longest: int = 4096) -> np.ndarray:
+def cuts(data: bytes, bits: tuple[int, ...] = (5, 3, 1), sparse: int = 128, longest: int = 4096) -> np.ndarray:
     """The ends of the chunks of `data`, the last one its length; none within a UTF-8 character.
 
     The gear hash h = (h << 1) + gear[byte] of 16 bits forgets a byte after 16 steps; it is summed
-    for all places at once by doubling. A stretch of `longest` bytes without a cut is cut there.
+    for all places at once by doubling. Between two cuts more than `sparse` bytes apart, as in text
+    that repeats a phrase without any, the next weaker condition cuts too: a passage longer than
+    that is again cut alike wherever it stands. A stretch of `longest` bytes without a cut is cut.
     """
-    found, n = [], len(data)
+    found, n = [[] for _ in bits], len(data)
+    whole_ = np.frombuffer(data, np.uint8)
     for at in range(0, n, _BLOCK):
         lo = max(0, at - 16)
-        b = np.frombuffer(data, np.uint8, count=min(n, at + _BLOCK) - lo, offset=lo)
-        h = _GEAR[b]
+        h = _GEAR[whole_[lo : at + _BLOCK]]
         for k in (1, 2, 4, 8):
             h[k:] = h[k:] + (h[:-k] << np.uint16(k))
-        ends = np.flatnonzero(h[at - lo :] >> np.uint16(16 - bits) == 0) + at + 1
-        found.append(ends)
-    ends = np.concatenate(found) if found else np.zeros(0, np.int64)
-    ends = ends[(ends >= 16) & (ends < n)]
-    b = np.frombuffer(data, np.uint8)
-    ends = ends[b[ends] & 0xC0 != 0x80]
-    ends = np.append(ends, n)
+        ends = np.flatnonzero(h[at - lo :] >> np.uint16(16 - bits[-1]) == 0)
+        top = h[at - lo :][ends]
+        ends = ends + at + 1
+        good = (ends >= 16) & (ends < n)
+        ends, top = ends[good], top[good]
+        good = whole_[ends] & 0xC0 != 0x80
+        for level, b in zip(found, bits, strict=True):
+            level.append(ends[good & (top >> np.uint16(16 - b) == 0)])
+    levels = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in found]
+    ends = np.append(levels[0], n)
+    for weaker in levels[1:]:
+        gaps = np.diff(ends, prepend=0)
+        if gaps.max(initial=0) <= sparse:
+            break
+        wide = gaps > sparse
+        at = np.searchsorted(ends, weaker, "left")
+        ends = np.union1d(ends, weaker[wide[at]])
     gaps = np.diff(ends, prepend=0)
     if gaps.max(initial=0) > longest:
         more = []
         for start, end in zip((ends - gaps).tolist(), ends.tolist(), strict=True):
             while end - start > longest:
                 start += longest
-                while b[start] & 0xC0 == 0x80:
+                while whole_[start] & 0xC0 == 0x80:
                     start -= 1
                 more.append(start)
             more.append(end)
