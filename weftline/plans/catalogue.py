@@ -1,15 +1,450 @@
-"""Every registered query and its DuckDB SQL."""
+"""Every registered query and its DuckDB SQL, over the driver's tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from weftline.operators import graph, panel, quality, reconcile, sequence
+from weftline.tables import table
+
+CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+SHARES = [f"s_{c.lower()}" for c in CATEGORIES[:-1]]
+STATES = ["period", "entity", "label"]
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to `digits` places, for sums whose last bits depend on their order."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# inputs ---------------------------------------------------------------------------------------
+
+
+def long_panel(s, d) -> DataFrame:
+    """(entity, period, category, value): a supplier's monthly revenue by part type."""
+    line = table(s, d, "lineitem").select("l_suppkey", "l_partkey", "l_shipdate", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
+    part = table(s, d, "part").select("p_partkey", "p_type")
+    rows = line.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return rows.groupBy(F.col("l_suppkey").alias("entity"), F.date_format("l_shipdate", "yyyy-MM").alias("period"), F.col("p_type").alias("category")).agg(F.sum("v").alias("value"))
+
+
+PANEL = """panel AS (SELECT l_suppkey AS entity, strftime(l_shipdate, '%Y-%m') AS period, p_type AS category, sum(l_extendedprice * (1 - l_discount)) AS value
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+whole_panel AS (SELECT * FROM panel WHERE entity IN (SELECT entity FROM panel GROUP BY entity HAVING count(DISTINCT period) = (SELECT count(DISTINCT period) FROM panel)))"""
+WIDE = PANEL + ", wide AS (SELECT entity, period, " + ", ".join(f"coalesce(sum(value) FILTER (WHERE category = '{c}'), 0) AS c_{c.lower()}" for c in CATEGORIES) + " FROM whole_panel GROUP BY ALL)"
+FEATURES = (
+    WIDE + ", tot AS (SELECT *, " + " + ".join(f"c_{c.lower()}" for c in CATEGORIES) + " AS total FROM wide), med AS (SELECT period, median(total) AS m FROM tot GROUP BY period), "
+    "feat AS (SELECT tot.*, ln(total / m) AS relative_level, " + ", ".join(f"c_{c.lower()} / total AS s_{c.lower()}" for c in CATEGORIES[:-1]) + " FROM tot JOIN med USING (period))"
+)
+
+
+def feature_panel(s, d) -> DataFrame:
+    return panel.features(panel.pivoted(panel.complete(long_panel(s, d)), CATEGORIES))
+
+
+def states(s, d) -> DataFrame:
+    """(entity, period, label): a user's most frequent event of each day."""
+    e = table(s, d, "events").select(F.col("user_id").alias("entity"), F.date_format("ts", "yyyy-MM-dd").alias("period"), F.col("event_type").alias("label"))
+    return sequence.majority(e, ["entity", "period"], "label").select(*STATES)
+
+
+STATE = """n AS (SELECT user_id AS entity, strftime(ts, '%Y-%m-%d') AS period, event_type AS label, count(*) AS n FROM events GROUP BY ALL),
+st AS (SELECT entity, period, label FROM n QUALIFY row_number() OVER (PARTITION BY entity, period ORDER BY n DESC, label) = 1)"""
+CHANGE = STATE + """, ch0 AS (SELECT *, lag(label) OVER (PARTITION BY entity ORDER BY period) AS previous FROM st),
+ch AS (SELECT *, coalesce(previous <> label, false) AS changed FROM ch0),
+isl AS (SELECT *, sum(CAST(changed AS INT)) OVER (PARTITION BY entity ORDER BY period ROWS UNBOUNDED PRECEDING) AS changes FROM ch),
+rn AS (SELECT entity, changes AS run, min(label) AS label, min(period) AS start, max(period) AS "end", count(*) AS length FROM isl GROUP BY entity, changes)"""
+
+
+def points(s, d) -> DataFrame:
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+
+
+POINTS = "p AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
+
+
+def supply_pairs(s, d) -> DataFrame:
+    """(x, y, distance): suppliers of one part, nearer the more parts they share. A part has few suppliers."""
+    sp = table(s, d, "lineitem").select(F.col("l_suppkey").alias("x"), F.col("l_partkey").alias("p")).distinct()
+    both = sp.join(sp.select(F.col("x").alias("y"), "p"), "p").where("x < y")
+    return both.groupBy("x", "y").agg((1.0 / F.count("*")).alias("distance"))
+
+
+def nation_pairs(s, d) -> DataFrame:
+    """(x, y, distance): suppliers of one nation, by the difference of their balances, in both directions."""
+    a = table(s, d, "supplier").select(F.col("s_suppkey").alias("x"), "s_nationkey", F.col("s_acctbal").alias("ba"))
+    b = a.select(F.col("x").alias("y"), "s_nationkey", F.col("ba").alias("bb"))
+    return a.join(b, "s_nationkey").where("x <> y").select("x", "y", F.abs(F.col("ba") - F.col("bb")).alias("distance"))
+
+
+def _layer_sql(name: str, pairs: str, k: int) -> str:
+    return f""", {name}_p AS ({pairs}),
+{name}_c AS (SELECT least(x, y) AS a, greatest(x, y) AS b, min(distance) AS distance FROM {name}_p WHERE x <> y GROUP BY 1, 2),
+{name}_b AS (SELECT a AS src, b AS dst, distance, 0 AS back FROM {name}_c UNION ALL SELECT b, a, distance, 1 FROM {name}_c),
+{name}_n AS (SELECT * FROM {name}_b QUALIFY row_number() OVER (PARTITION BY src ORDER BY distance, back, dst) <= {k}),
+{name}_w AS (SELECT src, dst, exp(-distance / (SELECT median(distance) FROM {name}_n WHERE distance > 0)) AS w FROM {name}_n),
+{name} AS (SELECT src, dst, max(w) AS w FROM (SELECT src, dst, w FROM {name}_w UNION ALL SELECT dst, src, w FROM {name}_w) GROUP BY src, dst)"""
+
+
+SUPPLY_SQL = "SELECT a.x, b.x AS y, 1.0 / count(*) AS distance FROM sp a JOIN sp b USING (p) WHERE a.x < b.x GROUP BY a.x, b.x"
+NATION_SQL = "SELECT a.s_suppkey AS x, b.s_suppkey AS y, abs(a.s_acctbal - b.s_acctbal) AS distance FROM supplier a JOIN supplier b USING (s_nationkey) WHERE a.s_suppkey <> b.s_suppkey"
+SUPPLY = "sp AS (SELECT DISTINCT l_suppkey AS x, l_partkey AS p FROM lineitem)" + _layer_sql("g1", SUPPLY_SQL, 8)
+LAYERS = SUPPLY + _layer_sql("g2", NATION_SQL, 3) + ", mix AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, w FROM g1 UNION ALL SELECT src, dst, 0.25 * w FROM g2) GROUP BY src, dst)"
+
+
+def transport(s, d) -> DataFrame:
+    return graph.mixed(graph.knn_layer(supply_pairs(s, d), 8), graph.knn_layer(nation_pairs(s, d), 3), 0.25)
+
+
+def supplier_nodes(s, d) -> DataFrame:
+    """(node, level, balance): standardised log revenue and balance of each supplier."""
+    v = long_panel(s, d).groupBy(F.col("entity").alias("node")).agg(F.log(F.sum("value")).alias("level"))
+    b = table(s, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_acctbal").alias("balance"))
+    return panel.zscored(v.join(b, "node"), ["level", "balance"])
+
+
+NODES = PANEL + """, nd0 AS (SELECT entity AS node, ln(sum(value)) AS level, any_value(s_acctbal) AS balance FROM panel JOIN supplier ON s_suppkey = entity GROUP BY entity),
+nd AS (SELECT node, (level - avg(level) OVER ()) / stddev_pop(level) OVER () AS level, (balance - avg(balance) OVER ()) / stddev_pop(balance) OVER () AS balance FROM nd0)"""
+
+
+def region_labels(s, d) -> DataFrame:
+    n = table(s, d, "nation").select("n_nationkey", F.col("n_regionkey").cast("int").alias("label"))
+    return table(s, d, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("node"), "label")
+
+
+REGION = "lab AS (SELECT s_suppkey AS node, n_regionkey AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+
+
+# panel ----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {PANEL} SELECT entity, CAST(count(*) AS BIGINT) AS cells, round(sum(value), 2) AS value FROM whole_panel GROUP BY entity")
+def panel_complete(s, d):
+    return rounded(panel.complete(long_panel(s, d)).groupBy("entity").agg(F.count("*").alias("cells"), F.sum("value").alias("value")), 2)
+
+
+@query(f"WITH {FEATURES} SELECT entity, period, round(total, 4) AS total, round(relative_level, 6) AS relative_level, {', '.join(f'round({c}, 6) AS {c}' for c in SHARES)} FROM feat")
+def panel_features(s, d):
+    f = feature_panel(s, d)
+    return f.select("entity", "period", F.round("total", 4).alias("total"), *[F.round(c, 6).alias(c) for c in ("relative_level", *SHARES)])
+
+
+_CENTRED = ", ".join(f"{c} - median({c}) OVER (PARTITION BY period) AS {c}" for c in SHARES)
+_Z = ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) AS {c}" for c in ("relative_level", *SHARES))
+
+
+@query(f"WITH {FEATURES}, cen AS (SELECT entity, period, relative_level, {_CENTRED} FROM feat) SELECT entity, period, {_Z} FROM cen")
+def panel_scaled(s, d):
+    f = feature_panel(s, d).select("entity", "period", "relative_level", *SHARES)
+    return rounded(panel.zscored(f, ["relative_level", *SHARES], SHARES))
+
+
+@query("SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS entities, min(l_quantity) AS low, median(l_quantity) AS mid, max(l_quantity) AS high, CAST(count(*) FILTER (WHERE l_discount = 0) AS BIGINT) AS no_discount FROM lineitem GROUP BY l_returnflag")
+def panel_audit(s, d):
+    q = F.col("l_quantity")
+    return table(s, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("entities"), F.min(q).alias("low"), F.median(q).alias("mid"), F.max(q).alias("high"), F.count_if(F.col("l_discount") == 0).alias("no_discount"))
+
+
+@query("WITH k AS (SELECT count(*) AS n FROM lineitem GROUP BY l_suppkey, l_partkey) SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS n_keys, CAST(sum(n - 1) AS BIGINT) AS n_duplicates FROM k")
+def duplicate_keys(s, d):
+    return panel.duplicate_keys(table(s, d, "lineitem"), "l_suppkey", "l_partkey")
+
+
+@query(f"WITH {PANEL}, e AS (SELECT entity, count(DISTINCT period) AS periods FROM panel GROUP BY entity) SELECT CAST(periods AS BIGINT) AS periods, CAST(count(*) AS BIGINT) AS entities FROM e GROUP BY periods")
+def coverage_hist(s, d):
+    return panel.coverage(long_panel(s, d))
+
+
+@query(f"WITH {NODES.split(', nd0')[0]}, x AS ({NATION_SQL}) SELECT CAST(count(*) AS BIGINT) AS rows_n, CAST(count(DISTINCT (least(x, y), greatest(x, y))) AS BIGINT) AS pairs, CAST(count(*) FILTER (WHERE distance = 0) AS BIGINT) AS zero, CAST(count(DISTINCT x) AS BIGINT) AS nodes, round(min(distance), 6) AS low, round(max(distance), 6) AS high FROM x")
+def pair_audit(s, d):
+    p = nation_pairs(s, d)
+    return rounded(p.agg(F.count("*").alias("rows_n"), F.count_distinct(F.struct(F.least("x", "y"), F.greatest("x", "y"))).alias("pairs"), F.count_if(F.col("distance") == 0).alias("zero"), F.count_distinct("x").alias("nodes"), F.min("distance").alias("low"), F.max("distance").alias("high")))
+
+
+@query(f"WITH {FEATURES} SELECT entity, CAST(substr(period, 1, 4) AS INT) AS year, round(median(relative_level), 6) AS relative_level, round(median(s_economy), 6) AS s_economy FROM feat GROUP BY ALL")
+def annual_median(s, d):
+    f = feature_panel(s, d).groupBy("entity", F.substring("period", 1, 4).cast("int").alias("year"))
+    return rounded(f.agg(F.median("relative_level").alias("relative_level"), F.median("s_economy").alias("s_economy")))
+
+
+@query("WITH g AS (SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS b FROM supplier) SELECT s_suppkey, b IS NULL AS imputed, round(coalesce(b, (SELECT median(b) FROM g)), 6) AS s_acctbal FROM g")
+def impute_flag(s, d):
+    return rounded(panel.imputed(table(s, d, "supplier").select("s_suppkey", "s_acctbal"), "s_acctbal", F.col("s_acctbal") <= 0))
+
+
+@query("WITH n AS (SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL), g AS (SELECT a.quality, b.toxic FROM (SELECT DISTINCT quality FROM n) a, (SELECT DISTINCT toxic FROM n) b), f AS (SELECT quality, toxic, CAST(coalesce(n, 0) AS BIGINT) AS n FROM g LEFT JOIN n USING (quality, toxic)) SELECT *, round(100.0 * n / sum(n) OVER (PARTITION BY quality), 6) AS percent FROM f")
+def share_crosstab(s, d):
+    return rounded(panel.crosstab(table(s, d, "labels"), "quality", "toxic"))
+
+
+@query("SELECT l_shipmode_ AS flag, round(quantile_cont(l_extendedprice, 0.1), 6) AS p10, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, round(avg(CAST(l_quantity < 10 AS INT)), 6) AS small FROM (SELECT *, l_returnflag AS l_shipmode_ FROM lineitem) GROUP BY 1")
+def quantiles(s, d):
+    q = F.percentile("l_extendedprice", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    g = table(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(q.alias("q"), F.avg((F.col("l_quantity") < 10).cast("int")).alias("small"))
+    return rounded(g.select("flag", *[F.get("q", F.lit(i)).alias(f"p{p}") for i, p in enumerate((10, 50, 90))], "small"))
+
+
+@query("WITH n AS (SELECT CAST(floor(l_extendedprice / 5000) AS BIGINT) AS bin, count(*) AS n FROM lineitem WHERE l_extendedprice BETWEEN 0 AND 120000 GROUP BY 1) SELECT b.bin, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(b.bin * 5000 AS DOUBLE) AS low FROM (SELECT unnest(range(0, 25)) AS bin) b LEFT JOIN n ON n.bin = b.bin")
+def histogram_bins(s, d):
+    return panel.histogram(table(s, d, "lineitem"), "l_extendedprice", 5000, 120000)
+
+
+@query("WITH c AS (SELECT c_nationkey AS region, c_mktsegment AS label, count(*) AS n FROM customer GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY region) AS region_n, sum(n) OVER (PARTITION BY label) AS label_n, sum(n) OVER () AS all_n FROM c), q AS (SELECT *, (n / region_n) / (label_n / all_n) AS lq FROM t WHERE region_n >= 10) SELECT label, region, CAST(n AS BIGINT) AS n, CAST(region_n AS BIGINT) AS region_n, round(lq, 6) AS lq, CAST(row_number() OVER (PARTITION BY label ORDER BY round(lq, 9) DESC, region) AS INT) AS rank FROM q QUALIFY rank <= 3")
+def location_quotient(s, d):
+    c = table(s, d, "customer").select(F.col("c_nationkey").alias("region"), F.col("c_mktsegment").alias("label"))
+    return rounded(panel.location_quotient(c, "region", "label", 10))
+
+
+@query("WITH g AS (SELECT median(c_acctbal) AS m FROM customer) SELECT c_mktsegment AS label, CAST(count(*) AS BIGINT) AS size, CAST(count(DISTINCT c_nationkey) AS BIGINT) AS regions, round(median(c_acctbal), 6) AS median_c_acctbal, round(median(c_acctbal) - any_value(m), 6) AS delta_c_acctbal FROM customer, g GROUP BY 1")
+def cluster_profiles(s, d):
+    c = table(s, d, "customer").withColumnRenamed("c_mktsegment", "label")
+    return rounded(panel.profiles(c, "label", "c_nationkey", ["c_acctbal"]))
+
+
+@query(f"WITH {FEATURES}, x AS (SELECT entity, sum(total) AS t, sum(c_promo) AS p FROM feat GROUP BY entity) SELECT round(sum(p) / sum(t), 6) AS ratio, round(sum(t * (p / t)) / sum(t), 6) AS weighted, round(covar_samp(t, p) / 1e6, 4) AS cov FROM x")
+def pooled_ratio(s, d):
+    x = feature_panel(s, d).groupBy("entity").agg(F.sum("total").alias("t"), F.sum("c_promo").alias("p"))
+    return x.agg(F.round(F.try_divide(F.sum("p"), F.sum("t")), 6).alias("ratio"), F.round(F.sum(F.col("t") * (F.col("p") / F.col("t"))) / F.sum("t"), 6).alias("weighted"), F.round(F.covar_samp("t", "p") / 1e6, 4).alias("cov"))
+
+
+# sequences ------------------------------------------------------------------------------------
+
+
+@query(f"WITH {STATE} SELECT entity, period, label FROM st")
+def majority_label(s, d):
+    return states(s, d)
+
+
+@query(f"WITH {STATE} SELECT entity, string_agg(label, ',' ORDER BY period) AS labels FROM st GROUP BY entity")
+def trajectory(s, d):
+    return sequence.trajectories(states(s, d), "entity", "period", "label").select("entity", F.array_join("labels", ",").alias("labels"))
+
+
+@query(f"WITH {CHANGE} SELECT entity, period, label, previous, changed, CAST(changes AS BIGINT) AS changes FROM isl")
+def change_flags(s, d):
+    return sequence.changes(states(s, d), "entity", "period", "label")
+
+
+@query(f'WITH {CHANGE} SELECT entity, CAST(run AS BIGINT) AS run, label, start, "end", CAST(length AS BIGINT) AS length FROM rn')
+def runs(s, d):
+    return sequence.runs(states(s, d), "entity", "period", "label")
+
+
+@query(f"WITH {CHANGE}, r AS (SELECT *, lag(label) OVER w AS from_label, lag(length) OVER w AS previous_run FROM rn WINDOW w AS (PARTITION BY entity ORDER BY run)) SELECT entity, start AS period, from_label, label AS to_label, CAST(previous_run AS BIGINT) AS previous_run, CAST(length AS BIGINT) AS new_run FROM r WHERE previous_run >= 2 AND length >= 2")
+def persistent_transitions(s, d):
+    return sequence.persistent_transitions(states(s, d), "entity", "period", "label", 2)
+
+
+@query(f"WITH {CHANGE}, f AS (SELECT entity, sum(length) AS periods, count(*) - 1 AS transitions, arg_max(length, run) AS trailing_run, arg_max(label, run) AS last_label FROM rn GROUP BY entity), c AS (SELECT entity, label, count(*) AS n FROM st GROUP BY ALL), m AS (SELECT entity, label AS dominant, n / sum(n) OVER (PARTITION BY entity) AS share FROM c QUALIFY row_number() OVER (PARTITION BY entity ORDER BY n DESC, label) = 1) SELECT f.entity, CAST(periods AS BIGINT) AS periods, transitions, CAST(trailing_run AS BIGINT) AS trailing_run, last_label, dominant, round(share, 6) AS share, CASE WHEN share >= 0.95 THEN 'core' WHEN share < 0.5 THEN 'borderline' ELSE 'stable' END AS class FROM f JOIN m USING (entity)")
+def stability_summary(s, d):
+    return rounded(sequence.stability(states(s, d), "entity", "period", "label", 0.95, 0.5))
+
+
+@query(f"WITH {CHANGE} SELECT period, previous AS from_label, label AS to_label, CAST(count(*) AS BIGINT) AS n FROM ch WHERE previous IS NOT NULL GROUP BY ALL")
+def transition_matrix(s, d):
+    return sequence.transition_matrix(states(s, d), "entity", "period", "label")
+
+
+@query(f"WITH {STATE}, e AS (SELECT entity, arg_min(label, period) AS from_label, arg_max(label, period) AS to_label FROM st GROUP BY entity) SELECT from_label, to_label, CAST(count(*) AS BIGINT) AS n FROM e WHERE from_label <> to_label GROUP BY ALL")
+def endpoint_flows(s, d):
+    return sequence.endpoint_flows(states(s, d), "entity", "period", "label")
+
+
+@query(f"WITH {PANEL}, t AS (SELECT entity, period, sum(value) AS v FROM panel GROUP BY ALL), x AS (SELECT entity, period, v - first_value(v) OVER (PARTITION BY entity ORDER BY period) AS delta, row_number() OVER (PARTITION BY period ORDER BY v, entity) AS rn, count(*) OVER (PARTITION BY period) AS n FROM t) SELECT entity, period, round(delta, 4) AS delta, rn = floor(n * 0.95) + 1 AS is_p95 FROM x")
+def index_base(s, d):
+    t = long_panel(s, d).groupBy("entity", "period").agg(F.sum("value").alias("v"))
+    e, p = Window.partitionBy("entity").orderBy("period"), Window.partitionBy("period")
+    return t.select("entity", "period", F.round(F.col("v") - F.first("v").over(e), 4).alias("delta"), (F.row_number().over(p.orderBy("v", "entity")) == F.floor(F.count("*").over(p) * 0.95) + 1).alias("is_p95"))
+
+
+# graphs ---------------------------------------------------------------------------------------
+
+
+@query(f"WITH {SUPPLY} SELECT src, dst, round(w, 6) AS w FROM g1")
+def knn_graph_layer(s, d):
+    return rounded(graph.knn_layer(supply_pairs(s, d), 8))
+
+
+@query(f"WITH {LAYERS} SELECT src, dst, round(w, 6) AS w FROM mix")
+def layer_mix(s, d):
+    return rounded(transport(s, d))
+
+
+@query(f"WITH {LAYERS} SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) AS w FROM mix")
+def row_normalize(s, d):
+    return rounded(graph.normalised(transport(s, d)))
+
+
+_ECON = f"{LAYERS}, {NODES}, eco AS (SELECT src, dst, w * exp(-(pow(a.level - b.level, 2) + pow(a.balance - b.balance, 2)) / 2) AS w FROM mix JOIN nd a ON a.node = src JOIN nd b ON b.node = dst)"
+
+
+@query(f"WITH {_ECON} SELECT src, dst, round(w, 6) AS w FROM eco")
+def edge_reweight(s, d):
+    return rounded(graph.reweighted(transport(s, d), supplier_nodes(s, d), ["level", "balance"], 1.0))
+
+
+_SMOOTH = "m AS (SELECT src AS node, sum(w * level) / sum(w) AS ml, sum(w * balance) / sum(w) AS mb FROM {g} JOIN nd ON node = dst GROUP BY src) SELECT node, round(CASE WHEN ml IS NULL THEN level ELSE 0.8 * level + 0.2 * ml END, 6) AS level, round(CASE WHEN mb IS NULL THEN balance ELSE 0.8 * balance + 0.2 * mb END, 6) AS balance FROM nd LEFT JOIN m USING (node)"
+
+
+@query(f"WITH {LAYERS}, {NODES}, {_SMOOTH.format(g='mix')}")
+def smooth_static(s, d):
+    return rounded(graph.smoothed(supplier_nodes(s, d), transport(s, d), ["level", "balance"], 0.2))
+
+
+@query(f"WITH {_ECON}, {_SMOOTH.format(g='eco')}")
+def smooth_dynamic(s, d):
+    n = supplier_nodes(s, d)
+    return rounded(graph.smoothed(n, graph.reweighted(transport(s, d), n, ["level", "balance"], 1.0), ["level", "balance"], 0.2))
+
+
+@query(f"WITH {LAYERS}, {REGION}, e AS (SELECT a.label AS ls, b.label AS ld, w FROM mix JOIN lab a ON a.node = src JOIN lab b ON b.node = dst), c AS (SELECT ls, sum(w) AS deg, coalesce(sum(w) FILTER (WHERE ls = ld), 0) AS i FROM e GROUP BY ls) SELECT round(sum(i) / sum(deg) - sum(deg * deg) / (sum(deg) * sum(deg)), 6) AS modularity FROM c")
+def modularity(s, d):
+    return rounded(graph.modularity(transport(s, d), region_labels(s, d)))
+
+
+@query(f"WITH {LAYERS}, {REGION}, e AS (SELECT a.label AS ls, b.label AS ld, w FROM mix JOIN lab a ON a.node = src JOIN lab b ON b.node = dst), c AS (SELECT ls, coalesce(sum(w) FILTER (WHERE ls = ld), 0) AS i, coalesce(sum(w) FILTER (WHERE ls <> ld), 0) AS o FROM e GROUP BY ls), q AS (SELECT l.label AS ls, coalesce(i, 0) AS i, coalesce(o, 0) AS o FROM (SELECT DISTINCT label FROM lab) l LEFT JOIN c ON c.ls = l.label), iso AS (SELECT avg(CASE WHEN i + o > 0 THEN i / (i + o) ELSE 0 END) AS avi, sum(CASE WHEN i + o > 0 THEN i / (i + o) ELSE 0 END) AS mq, count(*) AS k FROM q), x AS (SELECT ls, ld, sum(w) AS b FROM e WHERE ls <> ld GROUP BY ls, ld), u AS (SELECT sum(b / (p.o + r.o - b)) AS u FROM x JOIN q p ON p.ls = x.ls JOIN q r ON r.ls = x.ld) SELECT round(avi, 6) AS avi, round(u / k, 6) AS avu, round(avi / (1 + u / k), 6) AS anui, round(mq, 6) AS mq FROM iso, u")
+def network_indices(s, d):
+    return rounded(graph.network_indices(transport(s, d), region_labels(s, d)))
+
+
+@query(f"WITH {LAYERS}, dg AS (SELECT s_suppkey AS node, count(dst) AS degree FROM supplier LEFT JOIN mix ON src = s_suppkey GROUP BY s_suppkey) SELECT CAST(sum(degree) / 2 AS BIGINT) AS edges, CAST(count(*) FILTER (WHERE degree = 0) AS BIGINT) AS isolated, round(avg(degree), 6) AS mean_degree FROM dg")
+def graph_summary(s, d):
+    deg = transport(s, d).groupBy("src").agg(F.count("*").alias("degree"))
+    n = table(s, d, "supplier").select(F.col("s_suppkey").alias("src")).join(deg, "src", "left").fillna(0, ["degree"])
+    return rounded(n.agg((F.sum("degree") / 2).cast("long").alias("edges"), F.count_if(F.col("degree") == 0).alias("isolated"), F.avg("degree").alias("mean_degree")))
+
+
+# quality --------------------------------------------------------------------------------------
+
+
+@query(f"WITH {POINTS}, dd AS (SELECT a.id, b.id AS peer, list_distance(a.x, b.x) AS distance FROM p a JOIN p b USING (label) WHERE a.id <> b.id) SELECT id, peer, round(distance, 6) AS distance, CAST(row_number() OVER (PARTITION BY id ORDER BY round(distance, 9), peer) AS INT) AS rank FROM dd QUALIFY rank <= 3")
+def topk_neighbors(s, d):
+    return rounded(quality.neighbours(points(s, d), 3))
+
+
+@query(f"WITH {POINTS}, q AS (SELECT *, id % 5 AS region FROM p), dd AS (SELECT a.id, b.id AS peer, CAST(a.region = b.region AS INT) AS same, list_distance(a.x, b.x) AS distance FROM q a JOIN q b USING (label) WHERE a.id <> b.id) SELECT id, peer, same, round(distance, 6) AS distance, CAST(row_number() OVER (PARTITION BY id ORDER BY same, round(distance, 9), peer) AS INT) AS rank FROM dd QUALIFY rank <= 3")
+def peers_top3(s, d):
+    p = points(s, d).withColumn("region", F.col("id") % 5)
+    a, b = p.select("label", "id", F.col("region").alias("ra"), F.col("x").alias("xa")), p.select("label", F.col("id").alias("peer"), F.col("region").alias("rb"), F.col("x").alias("xb"))
+    dd = a.join(b, "label").where("id <> peer").select("id", "peer", (F.col("ra") == F.col("rb")).cast("int").alias("same"), F.sqrt(quality.sq_dist(F.col("xa"), F.col("xb"))).alias("distance"))
+    w = Window.partitionBy("id").orderBy("same", F.round("distance", 9), "peer")
+    return rounded(dd.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 3))
+
+
+@query(f"WITH {POINTS}, dd AS (SELECT a.id, a.label AS own, b.label AS other, sum(list_distance(a.x, b.x)) / count(*) AS m FROM p a JOIN p b ON a.id <> b.id GROUP BY ALL), f AS (SELECT id, sum(m) FILTER (WHERE own = other) AS a, min(m) FILTER (WHERE own <> other) AS b FROM dd GROUP BY id) SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM f")
+def silhouette(s, d):
+    return rounded(quality.silhouette(points(s, d)))
+
+
+@query(f"WITH {POINTS}, u AS (SELECT id, label, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM p), c AS (SELECT label, i, avg(v) AS m, count(*) AS n FROM u GROUP BY ALL), g AS (SELECT i, avg(v) AS gm FROM u GROUP BY i), d2 AS (SELECT u.id, u.label, sum(pow(v - m, 2)) AS d2 FROM u JOIN c ON c.label = u.label AND c.i = u.i GROUP BY ALL), sp AS (SELECT label, avg(sqrt(d2)) AS spread, sum(d2) AS within FROM d2 GROUP BY label), be AS (SELECT sum(n * pow(m - gm, 2)) AS between_ FROM c JOIN g USING (i)), cc AS (SELECT a.label AS l1, b.label AS l2, sqrt(sum(pow(a.m - b.m, 2))) AS dist FROM c a JOIN c b ON a.i = b.i AND a.label <> b.label GROUP BY ALL), r AS (SELECT l1, max((s1.spread + s2.spread) / dist) AS r FROM cc JOIN sp s1 ON s1.label = l1 JOIN sp s2 ON s2.label = l2 GROUP BY l1) SELECT round((between_ / (k - 1)) / (w / (n - k)), 6) AS calinski_harabasz, round((SELECT avg(r) FROM r), 6) AS davies_bouldin FROM be, (SELECT sum(within) AS w, count(*) AS k FROM sp), (SELECT count(*) AS n FROM p)")
+def centre_indices(s, d):
+    return rounded(quality.centre_indices(points(s, d)))
+
+
+@query("WITH n AS (SELECT quality AS a, toxic AS b, count(*) AS n FROM labels GROUP BY ALL), r AS (SELECT sum(x * (x - 1) / 2) AS ra FROM (SELECT sum(n) AS x FROM n GROUP BY a)), c AS (SELECT sum(x * (x - 1) / 2) AS rb FROM (SELECT sum(n) AS x FROM n GROUP BY b)), t AS (SELECT sum(n * (n - 1) / 2) AS idx, sum(n) AS m FROM n) SELECT round((idx - ra * rb / (m * (m - 1) / 2)) / ((ra + rb) / 2 - ra * rb / (m * (m - 1) / 2)), 6) AS ari FROM r, c, t")
+def ari(s, d):
+    return rounded(quality.ari(table(s, d, "labels"), "quality", "toxic"))
+
+
+@query("WITH e AS (SELECT quality, toxic, quality AS label FROM labels UNION ALL SELECT quality, toxic, toxic FROM labels WHERE toxic <> quality) SELECT label, round(sum(CAST(quality = toxic AS INT)) / count(*), 6) AS jaccard FROM e GROUP BY label")
+def jaccard(s, d):
+    return rounded(quality.jaccard(table(s, d, "labels"), "quality", "toxic"))
+
+
+# registers ------------------------------------------------------------------------------------
+
+
+def versions(s, d) -> DataFrame:
+    """Each customer's priority from one order to the next."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", F.col("o_orderdate").alias("valid_from"), F.lead("o_orderdate").over(w).alias("valid_to"))
+
+
+VERSIONS = "v AS (SELECT o_custkey, o_orderkey, o_orderpriority, o_orderdate AS valid_from, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_to FROM orders)"
+
+
+@query(f"WITH {VERSIONS} SELECT o_custkey, o_orderkey, o_orderpriority FROM v WHERE valid_from <= TIMESTAMP '1996-07-01' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1996-07-01')")
+def scd_join(s, d):
+    return reconcile.valid_at(versions(s, d), F.expr("timestamp_ntz'1996-07-01'")).select("o_custkey", "o_orderkey", "o_orderpriority")
+
+
+@query(f"WITH {VERSIONS} SELECT o_custkey, o_orderkey, o_orderpriority FROM v WHERE valid_from <= TIMESTAMP '1996-07-01' AND (valid_to IS NULL OR valid_to >= TIMESTAMP '1996-07-01')")
+def scd_join_closed(s, d):
+    return reconcile.valid_at(versions(s, d), F.expr("timestamp_ntz'1996-07-01'"), closed=True).select("o_custkey", "o_orderkey", "o_orderpriority")
+
+
+@query(f"WITH {VERSIONS} SELECT o_custkey, o_orderkey, o_orderpriority FROM v QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY valid_from DESC, o_orderkey DESC) = 1")
+def scd_latest(s, d):
+    return reconcile.latest(versions(s, d), "o_custkey", "valid_from", "o_orderkey").select("o_custkey", "o_orderkey", "o_orderpriority")
+
+
+@query("SELECT doc_id, regexp_replace(replace(lower(coalesce(text, '')), 'ё', 'е'), '[^a-zа-я0-9]', '', 'g') AS name FROM documents")
+def normalize_text(s, d):
+    return table(s, d, "documents").select("doc_id", reconcile.normal_name(F.coalesce("text", F.lit(""))).alias("name"))
+
+
+_CODE = "replace(replace(code, ' ', ''), '-', '')"
+
+
+@query(f"WITH x AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '1 512 000' WHEN 1 THEN '79-701-000-000' WHEN 2 THEN CAST(10000000 + c_custkey AS VARCHAR) ELSE 'n/a' END AS code FROM customer), y AS (SELECT c_custkey, {_CODE} AS v FROM x) SELECT c_custkey, CASE WHEN regexp_full_match(v, '[0-9]{{7}}') THEN '0' || v WHEN regexp_full_match(v, '[0-9]{{8}}') THEN v WHEN regexp_full_match(v, '[0-9]{{11}}') THEN substr(v, 1, 8) END AS code FROM y")
+def code_normalize(s, d):
+    k = F.col("c_custkey")
+    raw = F.when(k % 4 == 0, "1 512 000").when(k % 4 == 1, "79-701-000-000").when(k % 4 == 2, (10000000 + k).cast("string")).otherwise("n/a")
+    return table(s, d, "customer").select("c_custkey", reconcile.code8(raw).alias("code"))
+
+
+@query("WITH n AS (SELECT s_suppkey, s_nationkey, regexp_replace(lower(s_name), '[^a-z]', '', 'g') AS name FROM supplier), c AS (SELECT c_nationkey, regexp_replace(lower(c_name), '[^a-z]', '', 'g') AS cname, c_custkey FROM customer), m AS (SELECT s_suppkey, count(c_custkey) AS candidates FROM n LEFT JOIN c ON c_nationkey = s_nationkey AND c_custkey % 50 = s_suppkey % 50 GROUP BY s_suppkey) SELECT s_suppkey, CAST(candidates AS BIGINT) AS candidates, CASE WHEN candidates = 1 THEN 'matched' WHEN candidates > 1 THEN 'ambiguous' ELSE 'missing' END AS status FROM m")
+def name_match_status(s, d):
+    a = table(s, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("region"), (F.col("s_suppkey") % 50).alias("alias"))
+    b = table(s, d, "customer").select(F.col("c_nationkey").alias("region"), (F.col("c_custkey") % 50).alias("alias"), "c_custkey")
+    m = a.join(b, ["region", "alias"], "left").groupBy("s_suppkey").agg(F.count("c_custkey").alias("candidates"))
+    return m.withColumn("status", reconcile.match_status(F.col("candidates")))
+
+
+@query("WITH v AS (SELECT c_custkey, list(o_totalprice) FILTER (WHERE o_totalprice IS NOT NULL) AS vs FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY c_custkey) SELECT c_custkey, CASE WHEN vs IS NULL THEN 'missing' WHEN len(list_filter(vs, lambda z: z < 0)) > 0 THEN 'invalid' WHEN len(list_distinct(vs)) > 1 THEN 'conflict' ELSE 'ok' END AS status FROM v")
+def indicator_status(s, d):
+    o = table(s, d, "orders").where("o_orderstatus = 'P'").groupBy("o_custkey").agg(F.collect_set("o_totalprice").alias("vs"))
+    j = table(s, d, "customer").select("c_custkey").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return j.select("c_custkey", reconcile.value_status(F.coalesce("vs", F.array().cast("array<double>"))).alias("status"))
+
+
+@query("SELECT 'both' AS part, CAST(count(*) AS BIGINT) AS n FROM (SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders) UNION ALL SELECT 'customers only', count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT 'all', count(*) FROM (SELECT c_custkey FROM customer UNION SELECT o_custkey FROM orders)")
+def set_audit(s, d):
+    c, o = table(s, d, "customer").select("c_custkey"), table(s, d, "orders").select("o_custkey")
+    n = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+    return n(c.intersect(o), "both").unionAll(n(c.subtract(o), "customers only")).unionAll(n(c.union(o).distinct(), "all"))
+
+
+@query("SELECT o_custkey, CAST(count(*) AS BIGINT) AS n, max(o_totalprice) AS top FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND regexp_matches(o_orderstatus, 'O|F') GROUP BY o_custkey")
+def pushed_filters(s, d):
+    o = table(s, d, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & F.coalesce(F.col("o_orderstatus").rlike("O|F"), F.lit(False)))
+    return o.groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top"))
+
+
+@query("SELECT c_nationkey, CAST(count(*) AS BIGINT) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY c_nationkey ORDER BY 3 DESC, 1 LIMIT 12")
+def top_regions(s, d):
+    g = table(s, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+    return g.orderBy(F.desc("balance"), "c_nationkey").limit(12)
