@@ -14,11 +14,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.columns import free, whole
-from weftline.shared import cut
 
 _GEAR = np.random.default_rng(1_729).integers(0, 2**16, 256, dtype=np.uint16)
 _BLOCK = 1 << 20
@@ -71,7 +70,7 @@ def cuts(data: bytes, bits: tuple[int, ...] = (5, 3, 1), sparse: int = 128, long
 
 
 def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, pos, start, end, digest): the chunks of each text, in bytes; an empty text has none."""
+    """(id, row, start, end, digest): the chunks of each text, in bytes; an empty text has none. `row` tells rows of one id apart."""
 
     def split(batches):
         for batch in batches:
@@ -82,7 +81,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 while to < len(texts) and size < 4_000_000:
                     size += len(texts[to])
                     to += 1
-                out_id, out_row, pos, starts, ends, digests = [], [], [], [], [], []
+                out_id, out_row, starts, ends, digests = [], [], [], [], []
                 for k in range(at, to):
                     data = texts[k].encode("utf-8", "replace")
                     if not data:
@@ -90,37 +89,47 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     e = cuts(data)
                     s = np.concatenate(([0], e[:-1]))
                     out_id.append(np.full(len(e), ids[k], np.int64))
-                    out_row.append(np.full(len(e), rows[k], np.int64))
-                    pos.append(np.arange(len(e), dtype=np.int32))
+                    out_row.append(np.full(len(e), rows[k], np.int32))
                     starts.append(s.astype(np.int32))
                     ends.append(e.astype(np.int32))
                     view = memoryview(data)
                     digests.append(np.array([xxhash.xxh3_64_intdigest(view[x:y]) for x, y in zip(s.tolist(), e.tolist(), strict=True)], np.uint64).view(np.int64))
                 if out_id:
-                    names = ["id", "row", "pos", "start", "end", "digest"]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (out_id, out_row, pos, starts, ends, digests)], names=names)
+                    names = ["id", "row", "start", "end", "digest"]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (out_id, out_row, starts, ends, digests)], names=names)
                 at = to
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), whole(F.col(text_col)).alias("text"))
-    rows = rows.select("id", F.xxhash64("id", "text").alias("row"), "text")
-    return rows.mapInArrow(split, "id long, row long, pos int, start int, end int, digest long")
+    rows = rows.select("id", F.hash("id", "text").alias("row"), "text")
+    return rows.mapInArrow(split, "id long, row int, start int, end int, digest long")
+
+
+def _runs(held: Column, min_run: int) -> Column:
+    """Neighbouring (start, end) of a sorted array joined to runs, those of at least `min_run` bytes."""
+    shape = "array<struct<start:int,end:int>>"
+    none = F.struct(F.array().cast(shape).alias("done"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+    closed = lambda acc: F.when(acc["end"] - acc["start"] >= min_run, F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["done"])
+
+    def step(acc, x):
+        near = x["start"] == acc["end"]
+        return F.struct(F.when(near, acc["done"]).otherwise(closed(acc)).alias("done"), F.when(near, acc["start"]).otherwise(x["start"]).alias("start"), x["end"].alias("end"))
+
+    return F.aggregate(held, none, step, closed)
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 96) -> DataFrame:
-    """(id, row, start, end, drop): runs of repeated chunks of at least `min_run` bytes.
+    """(id, row, shared, later): each text's runs of repeated chunks of at least `min_run` bytes, as arrays of (start, end).
 
-    `drop` is false for runs of chunks that two documents or more hold, and true for those of chunks
-    that a smaller id holds too; a document can have both over the same bytes.
+    `shared` are runs of chunks that two documents or more hold, `later` those of chunks that a
+    smaller id holds too. The chunks of a text meet in one row, which is no longer than the text.
     """
     every = chunks(docs, id_col, text_col)
     shared = every.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
-    held = every.join(shared, "digest").select("id", "row", "pos", "start", "end", (F.col("id") != F.col("first")).alias("later"))
-    held = cut(held, "repeated")
-    sides = held.withColumn("drop", F.explode(F.when(F.col("later"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
-    order = Window.partitionBy("id", "row", "drop").orderBy("pos")
-    runs = sides.distinct().withColumn("run", F.col("pos") - F.row_number().over(order))
-    runs = runs.groupBy("id", "row", "drop", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return runs.where(F.col("end") - F.col("start") >= min_run).select("id", "row", "drop", "start", "end")
+    held = every.join(shared, "digest").select("id", "row", "start", "end", (F.col("id") != F.col("first")).alias("later"))
+    held = held.groupBy("id", "row").agg(F.collect_list(F.struct("start", "end", "later")).alias("held"))
+    held = held.withColumn("held", F.array_sort(F.array_distinct("held")))
+    pairs = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return held.select("id", "row", _runs(pairs(F.col("held")), min_run).alias("shared"), _runs(pairs(F.filter("held", lambda x: x["later"])), min_run).alias("later"))
 
 
 def _without(text: Column, spans: Column) -> Column:
@@ -141,22 +150,22 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     included. Null and empty texts have no chunks and stay. Rows of null id stay as they are; rows of
     one id are one document. An empty table gives an empty result. Appended names replace columns.
     """
-    (key,) = free(docs, "chunk_row")
-    spans = F.array_sort(F.collect_list(F.struct("start", "end")))
-    runs = repeated_runs(docs, id_col, text_col, min_run).groupBy("id", "row", "drop").agg(spans.alias("spans"), F.sum(F.col("end") - F.col("start")).alias("bytes"))
-    pick = lambda flag, c: F.max(F.when(F.col("drop") == flag, F.col(c)))
-    runs = runs.groupBy(F.col("id").alias(f"{key}_id"), F.col("row").alias(f"{key}_row")).agg(pick(True, "spans").alias(f"{key}_spans"), pick(True, "bytes").alias(f"{key}_gone"), pick(False, "bytes").alias(f"{key}_all"))
-    rows = docs.withColumn(key, F.xxhash64(F.col(id_col).cast("long"), whole(F.col(text_col))))
-    rows = rows.join(runs, (F.col(id_col).cast("long") == F.col(f"{key}_id")) & (F.col(key) == F.col(f"{key}_row")), "left")
-    new = F.when(F.col(f"{key}_spans").isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col(f"{key}_spans")))
+    key, shared, later = free(docs, "chunk_row", "shared_runs", "later_runs")
+    runs = repeated_runs(docs, id_col, text_col, min_run).where("size(shared) > 0")
+    runs = runs.select(F.col("id").alias(f"{key}_id"), F.col("row").alias(f"{key}_of"), F.col("shared").alias(shared), F.col("later").alias(later))
+    rows = docs.withColumn(key, F.hash(F.col(id_col).cast("long"), whole(F.col(text_col))))
+    rows = rows.join(runs, (F.col(id_col).cast("long") == F.col(f"{key}_id")) & (F.col(key) == F.col(f"{key}_of")), "left")
+    n_bytes = lambda c: F.aggregate(F.coalesce(c, F.array().cast("array<struct<start:int,end:int>>")), F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    n_later = F.coalesce(F.size(F.col(later)), F.lit(0))
+    new = F.when(n_later > 0, _without(F.col(text_col), F.col(later))).otherwise(F.col(text_col))
     added = ("repeated", "n_repeated_bytes", "n_dropped_bytes", "n_spans")
     own = [c for c in docs.columns if c.lower() not in added]
     return rows.select(
         *[new.alias(c) if c == text_col else F.col(c) for c in own],
-        F.col(f"{key}_all").isNotNull().alias("repeated"),
-        F.coalesce(f"{key}_all", F.lit(0)).cast("long").alias("n_repeated_bytes"),
-        F.coalesce(f"{key}_gone", F.lit(0)).cast("long").alias("n_dropped_bytes"),
-        F.when(F.col(f"{key}_spans").isNull(), 0).otherwise(F.size(f"{key}_spans")).cast("long").alias("n_spans"),
+        F.col(shared).isNotNull().alias("repeated"),
+        n_bytes(F.col(shared)).alias("n_repeated_bytes"),
+        n_bytes(F.col(later)).alias("n_dropped_bytes"),
+        n_later.cast("long").alias("n_spans"),
     )
 
 
