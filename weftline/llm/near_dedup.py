@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import components
@@ -191,7 +191,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # `most`: the shingles that a class can share with any other here, which bounds its similarities
     single = single_counts(reps, docs, id_col, text_col, k)
     members = members.join(single, "rep", "left").withColumn("most", F.col("n") - F.coalesce("single", F.lit(0)))
-    members = cut(members.where(100 * F.col("most") >= percent * F.col("n")).select("key", "rep", "n", "most", "a"), "open")
+    members = members.where(100 * F.col("most") >= percent * F.col("n")).select("key", "rep", "n", "most", "a")
+    members = cut(members.join(classes.select("rep", "keys"), "rep"), "open")
     turn = -1
     while True:
         here = cut(_open(members, parts), "open")
@@ -208,10 +209,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         else:
             mine = F.pmod(F.xxhash64("key", "rep"), turns)
             pivot = here.join(facts, "key").where((mine >= lo) & (mine < hi) & (F.col("part") != F.col("main_part")))
-        pivot = pivot.select("key", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("most").alias("pm"), F.col("part").alias("pp"))
+        pivot = pivot.select("key", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("most").alias("pm"), F.col("part").alias("pp"), F.col("keys").alias("pk"))
         both = F.least("most", "pm")
         near = 100 * both >= percent * (F.col("n") + F.col("pn") - both)
-        found = here.join(pivot, "key").where((F.col("part") != F.col("pp")) & _may_link(F.col("n"), F.col("pn"), percent) & near)
+        # one pivot a bucket makes no more rows than the tables have; later a pair is made in its first shared bucket alone
+        once = F.lit(True) if turn < 0 else F.col("key") == _first_shared(F.col("keys"), F.col("pk"), m)
+        found = here.join(pivot, "key").where((F.col("part") != F.col("pp")) & _may_link(F.col("n"), F.col("pn"), percent) & near & once)
         found = found.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
         found = cut(found.join(checked, ["a", "b"], "left_anti"), "pairs")
         if found.limit(1).count():
@@ -223,6 +226,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         turn += 1
 
 
+def _first_shared(a: Column, b: Column, m: int) -> Column:
+    """The key of the first table bucket that two classes of these small keys share."""
+    least = lambda at: F.array_min(F.array_intersect(F.slice(a, at, m), F.slice(b, at, m)))
+    return F.xxhash64(least(1), least(m + 1))
+
+
 def _open(members: DataFrame, parts: DataFrame) -> DataFrame:
     """The rows of `members` (key, rep, ...), with their part, of buckets that aren't connected yet."""
     own = [c for c in members.columns if c != "part"]
