@@ -8,14 +8,17 @@ shared pair, so the small keys are counted first and only shared ones are combin
 Texts of equal sets are one class. In each table bucket, the smallest class is compared with all
 others (a star, not all pairs). What the stars leave unconnected is exact too: in later rounds,
 classes outside the main component of their bucket are compared with the whole bucket, a bounded
-number of them a round, until every bucket is either connected or fully compared. There, the shingles
-that a class has alone bound its similarity to all others, and pairs that the bound rules out are
-never made.
+number of them a round, until every bucket is either connected or fully compared. There, two exact
+bounds rule pairs out before they are made: the shingles that a class has alone, and 1024 bits of
+which each shingle flips one, so that two sets differ in at least as many shingles as bits.
 With m = 10, texts of similarity 0.75 share a table with probability 0.9995, of 0.8 with 0.99993.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -78,13 +81,19 @@ def small_keys(s: np.ndarray, m: int) -> list[int]:
     return _mix(_mix(pair[:, 0] * _P + pair[:, 1]) + np.arange(2 * m, dtype=np.uint64)).view(np.int64).tolist()
 
 
+def flips(s: np.ndarray) -> list[int]:
+    """16 words of bits, each flipped as often as it is the top ten bits of a hash in the set."""
+    odd = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, m: int, k: int) -> DataFrame:
-    """(doc, n, k1, k2, keys): the set's size, a 128-bit key of the whole set, and the small keys."""
+    """(doc, n, k1, k2, keys, bits): the set's size, a 128-bit key of the whole set, the small keys and the flipped bits."""
 
     def sign(batches):
         words = _Words()
         for batch in batches:
-            n, k1, k2, keys = [], [], [], []
+            n, k1, k2, keys, bits = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, words, k)
                 d = xxhash.xxh3_128_digest(s.tobytes())
@@ -92,9 +101,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, m: int, k: int) -> D
                 k1.append(int.from_bytes(d[:8], "little", signed=True))
                 k2.append(int.from_bytes(d[8:], "little", signed=True))
                 keys.append(small_keys(s, m) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc", "n", "k1", "k2", "keys"])
+                bits.append(flips(s) if len(s) else [])
+            longs, lists = [pa.array(v, pa.int64()) for v in (n, k1, k2)], [pa.array(v, pa.list_(pa.int64())) for v in (keys, bits)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, *lists], names=["doc", "n", "k1", "k2", "keys", "bits"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(sign, "doc long, n long, k1 long, k2 long, keys array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(sign, "doc long, n long, k1 long, k2 long, keys array<long>, bits array<long>")
 
 
 def buckets(classes: DataFrame, m: int) -> DataFrame:
@@ -174,9 +185,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty result. Other columns of `docs` aren't read.
     """
     sig = cut(signatures(docs, id_col, text_col, m, k), "signatures")
-    best = F.min_by(F.struct("n", "keys"), F.col("doc"))
+    best = F.min_by(F.struct("n", "keys", "bits"), F.col("doc"))
     classes = sig.where("n > 0 and doc is not null").groupBy("k1", "k2").agg(F.min("doc").alias("rep"), best.alias("s"))
-    classes = cut(classes.select("k1", "k2", "rep", "s.n", "s.keys"), "classes")
+    classes = cut(classes.select("k1", "k2", "rep", "s.n", "s.keys", "s.bits"), "classes")
     table = cut(buckets(classes, m), "buckets")
     centres = table.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("size")).where("size > 1").select("key", F.col("c.rep").alias("a"), F.col("c.n").alias("an"), "size")
     star = table.join(centres.drop("size"), "key").where((F.col("rep") != F.col("a")) & _may_link(F.col("n"), F.col("an"), percent))
@@ -192,38 +203,46 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     single = single_counts(reps, docs, id_col, text_col, k)
     members = members.join(single, "rep", "left").withColumn("most", F.col("n") - F.coalesce("single", F.lit(0)))
     members = members.where(100 * F.col("most") >= percent * F.col("n")).select("key", "rep", "n", "most", "a")
-    members = cut(members.join(classes.select("rep", "keys"), "rep"), "open")
-    turn = -1
+    members = cut(members.join(classes.select("rep", "keys", "bits"), "rep"), "open")
+    turn, here, seen = -1, None, 0
     while True:
-        here = cut(_open(members, parts), "open")
-        facts = here.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct(F.col("most") / F.col("n"), -F.col("rep"), "part")).alias("m"))
-        facts = facts.select("key", "size", (-F.col("m.col2")).alias("main"), F.col("m.part").alias("main_part"))
-        turns = F.ceil(F.col("size") / pivots)
-        largest = facts.agg(F.max(turns)).first()[0]
-        lo, hi = 2**turn - 1 if turn >= 0 else 0, 2 ** (turn + 1) - 1
-        if largest is None or lo >= largest:
+        if here is None:
+            here = cut(_open(members, parts), "open")
+            facts = here.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct(F.col("most") / F.col("n"), -F.col("rep"), "part")).alias("m"))
+            facts = cut(facts.select("key", "size", (-F.col("m.col2")).alias("main"), F.col("m.part").alias("main_part")), "facts")
+            largest = facts.agg(F.max(F.ceil(F.col("size") / pivots))).first()[0]
+        if largest is None or seen >= largest:
             return _labelled(sig, classes, parts)
         if turn < 0:
             # first the class with the smallest share of shingles of its own, which most of a group links to
+            until = 0
             pivot = here.join(facts, "key").where("rep = main")
         else:
-            mine = F.pmod(F.xxhash64("key", "rep"), turns)
-            pivot = here.join(facts, "key").where((mine >= lo) & (mine < hi) & (F.col("part") != F.col("main_part")))
-        pivot = pivot.select("key", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("most").alias("pm"), F.col("part").alias("pp"), F.col("keys").alias("pk"))
-        both = F.least("most", "pm")
-        near = 100 * both >= percent * (F.col("n") + F.col("pn") - both)
-        # one pivot a bucket makes no more rows than the tables have; later a pair is made in its first shared bucket alone
-        once = F.lit(True) if turn < 0 else F.col("key") == _first_shared(F.col("keys"), F.col("pk"), m)
-        found = here.join(pivot, "key").where((F.col("part") != F.col("pp")) & _may_link(F.col("n"), F.col("pn"), percent) & near & once)
-        found = found.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+            until = seen + 8**turn
+            mine = F.pmod(F.xxhash64("key", "rep"), F.ceil(F.col("size") / pivots))
+            pivot = here.join(facts, "key").where((mine >= seen) & (mine < until) & (F.col("part") != F.col("main_part")))
+        pivot = pivot.select("key", *[F.col(c).alias(f"p_{c}") for c in ("rep", "n", "most", "part", "keys", "bits")])
+        both = F.least("most", "p_most")
+        near = 100 * both >= percent * (F.col("n") + F.col("p_n") - both)
+        near &= _differ(F.col("bits"), F.col("p_bits")) * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("p_n"))
+        if turn >= 0:
+            # a pair is made in its first shared bucket alone; the first round's one pivot a bucket makes no more rows than there are
+            near &= F.col("key") == _first_shared(F.col("keys"), F.col("p_keys"), m)
+        found = here.join(pivot, "key").where((F.col("part") != F.col("p_part")) & _may_link(F.col("n"), F.col("p_n"), percent) & near)
+        found = found.select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
         found = cut(found.join(checked, ["a", "b"], "left_anti"), "pairs")
         if found.limit(1).count():
             checked = checked.unionByName(found)
             more = cut(verify(found, docs, id_col, text_col, k, percent), "confirmed")
             if more.limit(1).count():
-                links = links.unionByName(more)
-                parts = components(links)
-        turn += 1
+                known = parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+                parts, here = components(known.unionByName(more)), None
+        turn, seen = turn + 1, until
+
+
+def _differ(a: Column, b: Column) -> Column:
+    """In how many bits two sets of flipped bits differ, at most the size of their symmetric difference."""
+    return reduce(add, (F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(16)))
 
 
 def _first_shared(a: Column, b: Column, m: int) -> Column:
