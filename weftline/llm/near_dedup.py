@@ -197,19 +197,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = _open(table.join(centres.where("size > 2").select("key", "a"), "key"), parts)
     members = cut(members, "open")
     reps = members.select("rep").distinct()
-    if not reps.limit(1).count():
+    n_open = reps.count()
+    if not n_open:
         return _labelled(sig, classes, parts)
     # `most`: the shingles that a class can share with any other here, which bounds its similarities
     single = single_counts(reps, docs, id_col, text_col, k)
     members = members.join(single, "rep", "left").withColumn("most", F.col("n") - F.coalesce("single", F.lit(0)))
-    members = members.where(100 * F.col("most") >= percent * F.col("n")).select("key", "rep", "n", "most", "a")
+    members = members.where(100 * F.col("most") >= percent * F.col("n")).select("key", "rep", "n", "most", "part")
     members = cut(members.join(classes.select("rep", "keys", "bits"), "rep"), "open")
-    turn, here, seen = -1, None, 0
+    turn, here, facts, seen = -1, members, None, 0
     while True:
-        if here is None:
-            here = cut(_open(members, parts), "open")
-            facts = here.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct(F.col("most") / F.col("n"), -F.col("rep"), "part")).alias("m"))
-            facts = cut(facts.select("key", "size", (-F.col("m.col2")).alias("main"), F.col("m.part").alias("main_part")), "facts")
+        if facts is None:
+            facts = here.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct(F.col("most") / F.col("n"), -F.col("rep"), "part")).alias("m"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+            facts = cut(facts.where("lo <> hi").select("key", "size", (-F.col("m.col2")).alias("main"), F.col("m.part").alias("main_part")), "facts")
             largest = facts.agg(F.max(F.ceil(F.col("size") / pivots))).first()[0]
         if largest is None or seen >= largest:
             return _labelled(sig, classes, parts)
@@ -234,9 +234,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if found.limit(1).count():
             checked = checked.unionByName(found)
             more = cut(verify(found, docs, id_col, text_col, k, percent), "confirmed")
-            if more.limit(1).count():
+            if n_more := more.count():
                 known = parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-                parts, here = components(known.unionByName(more)), None
+                parts = components(known.unionByName(more))
+                # parts that are out of date only make pairs of what is linked already; a few aren't worth a new table
+                if 20 * n_more >= n_open:
+                    here, facts = cut(_open(members, parts), "open"), None
         turn, seen = turn + 1, until
 
 
