@@ -115,8 +115,12 @@ SUPPLY = "sp AS (SELECT DISTINCT l_suppkey AS x, l_partkey AS p FROM lineitem)"
 LAYERS = SUPPLY + _layer_sql("g2", NATION_SQL, 3) + ", mix AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, w FROM g1 UNION ALL SELECT src, dst, 0.25 * w FROM g2) GROUP BY src, dst)"
 
 
+def knn_layers(s, d) -> tuple[DataFrame, DataFrame]:
+    return graph.knn_layer(supply_pairs(s, d), 8), graph.knn_layer(nation_pairs(s, d), 3)
+
+
 def transport(s, d) -> DataFrame:
-    return graph.mixed(graph.knn_layer(supply_pairs(s, d), 8), graph.knn_layer(nation_pairs(s, d), 3), 0.25)
+    return graph.mixed(*knn_layers(s, d), 0.25)
 
 
 def supplier_nodes(s, d) -> DataFrame:
@@ -448,3 +452,6 @@ def pushed_filters(s, d):
 def top_regions(s, d):
     g = table(s, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
     return g.orderBy(F.desc("balance"), "c_nationkey").limit(12)
+
+
+from weftline.plans import models  # noqa: E402, F401  registers its queries here
