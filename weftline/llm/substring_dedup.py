@@ -134,13 +134,11 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _without(text: Column, spans: Column) -> Column:
     """The text without the given byte spans, which are in order and apart."""
-    data = F.encode(text, "UTF-8")
-
-    def step(acc, x):
-        return F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(data, acc["at"] + 1, x["start"] - acc["at"]))).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<binary>").alias("out"))
-    return F.aggregate(spans, start, step, lambda acc: F.decode(F.concat(F.aggregate(acc["out"], F.lit(b""), lambda a, b: F.concat(a, b)), F.substring(data, acc["at"] + 1, F.octet_length(text))), "UTF-8"))
+    ends = F.concat(F.transform(spans, lambda x: x["start"]), F.array(F.octet_length(text)))
+    starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda x: x["end"]))
+    # the text is encoded once, as the only element of an array, and not again for every span
+    keep = lambda d: F.array_join(F.zip_with(starts, ends, lambda s, e: F.decode(F.substring(d, s + 1, e - s), "UTF-8")), "")
+    return F.transform(F.array(F.encode(text, "UTF-8")), keep)[0]
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 96) -> DataFrame:
