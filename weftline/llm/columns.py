@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of every contract here: [\x20\x09-\x0D].
@@ -39,3 +39,15 @@ def free(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Lower the session's limits of an Arrow batch to `rows` and `size`, so that a Python worker holds few whole texts at once.
+
+    The setting is read when a query is planned, so it has to hold after the operator returns. A
+    batch of fewer rows that the session asks for stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.columns import free
+from weftline.llm.columns import free, small_batches
 
 # fixed values: language families by ISO 639-1 code; a code that isn't here is a family of its own
 FAMILIES = {
@@ -143,6 +143,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     What comes to the driver is bounded: per_lang rows of DIMS floats for each language.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -174,6 +175,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def predicted(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(None if t is None or t is pd.NA or t != t else t) for t in text], columns=["lang", "score"])
 
+    small_batches(docs.sparkSession)
     (got,) = free(docs, "predicted")
     own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     return docs.withColumn(got, predicted(F.col(text_col))).select(*own, F.col(got)["lang"].alias("lang_pred"), F.col(got)["score"].alias("score"))

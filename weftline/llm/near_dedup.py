@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.columns import small_batches
 from weftline.llm.components import components
 from weftline.shared import cut
 
@@ -184,6 +185,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     count as one document. A row of null id has no component and stays. An empty table gives an
     empty result. Other columns of `docs` aren't read.
     """
+    small_batches(docs.sparkSession)
     sig = cut(signatures(docs, id_col, text_col, m, k), "signatures")
     best = F.min_by(F.struct("n", "keys", "bits"), F.col("doc"))
     classes = sig.where("n > 0 and doc is not null").groupBy("k1", "k2").agg(F.min("doc").alias("rep"), best.alias("s"))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.llm.columns import small_batches
 from weftline.shared import cut
 
 SIZE, END = 1024, 2
@@ -87,6 +88,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             m = 6 if keep_ids else 5
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out[:m], kinds, strict=False)], names=names[:m])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut_up, PIECES + ", ids array<int>" * keep_ids)
 
 
