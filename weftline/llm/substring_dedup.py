@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.columns import free, whole
+from weftline.llm.columns import free, small_batches, whole
 
 _GEAR = np.random.default_rng(1_729).integers(0, 2**16, 256, dtype=np.uint16)
 _BLOCK = 1 << 20
@@ -70,7 +70,11 @@ def cuts(data: bytes, bits: tuple[int, ...] = (5, 3, 1), sparse: int = 128, long
 
 
 def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, start, end, digest): the chunks of each text, in bytes; an empty text has none. `row` tells rows of one id apart."""
+    """(id, row, at, digest): the chunks of each text, in bytes; an empty text has none. `row` tells rows of one id apart.
+
+    `at` packs start and length, as start * 2^32 + 2 * length: one number moves in fewer bytes than
+    two, and sorts by start. Its lowest bit is free.
+    """
 
     def split(batches):
         for batch in batches:
@@ -81,7 +85,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 while to < len(texts) and size < 4_000_000:
                     size += len(texts[to])
                     to += 1
-                out_id, out_row, starts, ends, digests = [], [], [], [], []
+                out_id, out_row, places, digests = [], [], [], []
                 for k in range(at, to):
                     data = texts[k].encode("utf-8", "replace")
                     if not data:
@@ -90,23 +94,18 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     s = np.concatenate(([0], e[:-1]))
                     out_id.append(np.full(len(e), ids[k], np.int64))
                     out_row.append(np.full(len(e), rows[k], np.int32))
-                    starts.append(s.astype(np.int32))
-                    ends.append(e.astype(np.int32))
+                    places.append((s.astype(np.int64) << 32) + 2 * (e - s))
                     view = memoryview(data)
                     digests.append(np.array([xxhash.xxh3_64_intdigest(view[x:y]) for x, y in zip(s.tolist(), e.tolist(), strict=True)], np.uint64).view(np.int64))
                 if out_id:
-                    names = ["id", "row", "start", "end", "digest"]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (out_id, out_row, starts, ends, digests)], names=names)
+                    names = ["id", "row", "at", "digest"]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (out_id, out_row, places, digests)], names=names)
                 at = to
 
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), whole(F.col(text_col)).alias("text"))
     rows = rows.select("id", F.hash("id", "text").alias("row"), "text")
-    return rows.mapInArrow(split, "id long, row int, start int, end int, digest long")
-
-
-def _packed() -> Column:
-    """start, end and later as one long that sorts by start: arrays of numbers sort and lose doubles far faster than arrays of structs."""
-    return F.shiftleft(F.col("start").cast("long"), 32) + (F.col("end") - F.col("start")).cast("long") * 2 + F.col("later").cast("long")
+    return rows.mapInArrow(split, "id long, row int, at long, digest long")
 
 
 def _runs(held: Column, min_run: int) -> Column:
@@ -132,7 +131,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     every = chunks(docs, id_col, text_col)
     shared = every.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
-    held = every.join(shared, "digest").withColumn("later", F.col("id") != F.col("first")).groupBy("id", "row").agg(F.collect_list(_packed()).alias("held"))
+    # arrays of numbers sort and lose doubles far faster than arrays of structs; the lowest bit is `later`
+    place = F.col("at") + (F.col("id") != F.col("first")).cast("long")
+    held = every.join(shared, "digest").groupBy("id", "row").agg(F.collect_list(place).alias("held"))
     held = held.withColumn("held", F.sort_array(F.array_distinct("held")))
     later = F.filter("held", lambda x: x.bitwiseAND(F.lit(1)) == 1)
     return held.select("id", "row", _runs(F.col("held"), min_run).alias("shared"), _runs(later, min_run).alias("later"))
