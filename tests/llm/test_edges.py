@@ -173,6 +173,26 @@ def test_same_ids_as_tokenizers():
         assert list(encode(s)) == t.encode(s, add_special_tokens=False).ids, s
 
 
+def test_same_ids_as_default_tokenizers(spark, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    end = "<|endoftext|>"
+    long = [" " * 1_000_100 + "x", "a" + "\n" * 1_000_100, f"a\t {end}" + " \n" * 600_000 + f"b{end}"]
+    texts = [end, f" a  {end}\n\n b{end}{end} <|endoftext| >  c", "a \x1c\x1d  b\x1c c\u3000\u3000d \xa0e\x85\x85", "a  b\r\n\r\n  'll  12  !!\t\tz  ", *long]
+    encode = packing.encoder(path, added=True)
+    for s in texts:
+        assert list(encode(s)) == t.encode(s, add_special_tokens=False).ids, s[:50]
+    docs = spark.createDataFrame(list(enumerate(texts[:2])), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in packing.pieces(docs, path, keep_ids=True).collect()}
+    assert got == {i: [*t.encode(s, add_special_tokens=False).ids, packing.END] for i, s in enumerate(texts[:2])}
+    monkeypatch.setattr(packing, "_LONG", 0)
+    for s in [*texts[:4], NEAR, LONG, " ", "\n\n"]:
+        assert list(encode(s)) == t.encode(s, add_special_tokens=False).ids, s[:50]
+
+
 def test_pages(spark):
     page = '<html><head><title>t</title><script>var a="</p>"</script></head><body><nav><a href=x>menu</a></nav><div class="ad">buy</div><article><h1>Head &amp; more</h1><p>One\n two<br>three<p>Four &lt;b&gt;</article><div id="comments"><p>nice</p></div><footer>&copy; x</footer>'
     df = spark.createDataFrame([(1, "u", page, "x"), (2, None, None, None), (None, "u", "", None), (1, "u", page, "x")], "page_id long, url string, html string, Text string")
