@@ -147,6 +147,15 @@ def test_bootstrap_adds(spark):
     assert any(len(r["spans"]) > len(r["base"]) for r in found)
 
 
+def test_known_in_another_form(spark):
+    known = ["from 10.0.0.1 now", "to 1.23.4.5 only", "pay 4111 1111 1111 1111 soon", "write a.b@mail.example.com today"]
+    loose = ["seen 10[.]0[.]0[.]1 there", "some 12[.]3[.]4[.]5 else", "use 4111.1111.1111.1111, 4111/1111/1111/1111", "ask A.B [at] mail [dot] example.com ok", "ask ab(at)mail.example.com ok"]
+    docs = spark.createDataFrame(list(enumerate(known + loose)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert [got[i] for i in range(4)] == ["from <IP> now", "to <IP> only", "pay <CARD> soon", "write <EMAIL> today"]
+    assert [got[i] for i in range(4, 9)] == ["seen <IP> there", loose[1], "use <CARD>, <CARD>", "ask <EMAIL> ok", loose[4]]
+
+
 def test_packing(docs, none):
     got = packing.pack(docs).collect()
     assert len({r["doc_id"] for r in got}) == 13

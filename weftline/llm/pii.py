@@ -106,14 +106,21 @@ def _word(s: Column, last: bool) -> Column:
     return F.regexp_replace(F.lower(near), r"[0-9]+|\s+", "")
 
 
+def normal(kind: Column, value: Column) -> Column:
+    """What strict and loose forms of one identifier share: addresses with their dots, cards by their digits, phones by digits and plus sign."""
+    written = F.regexp_replace(F.regexp_replace(value, r" ?[\[(](?:at|AT)[\])] ?", "@"), r" ?[\[(](?:dot|DOT)[\])] ?", ".")
+    ways = {"email": F.lower(written), "ip": F.lower(F.replace(value, F.lit("[.]"), F.lit("."))), "card": _digits(value), "phone": F.regexp_replace(value, "[^0-9+]", "")}
+    return F.coalesce(*[F.when(kind == KINDS.index(k), v) for k, v in ways.items()])
+
+
 def learn(spans: DataFrame, rounds: int = 3, support: int = 3, least: float = 0.8) -> DataFrame:
-    """(kind, value): unseen identifiers that patterns of high confidence discover.
+    """(kind, value): identifiers that are seeds somewhere, or that patterns of high confidence discover.
 
     spans: id, row, kind, value, before, after, seed. A pattern needs `support` distinct known
     instances and a smoothed share of known ones of `least`; in each round the instances that it
     vouches for become known. Counts are distinct over the whole corpus and summed on the map side.
     """
-    value = F.lower(F.regexp_replace("value", r"[\s()\[\]./-]", ""))
+    value = normal(F.col("kind"), F.col("value"))
     left, right = _word(F.col("before"), True), _word(F.col("after"), False)
     two = F.lower(F.regexp_replace(F.regexp_extract("before", r"(\S+\s+\S+\s?)$", 1), r"[0-9]+|\s+", " "))
     contexts = F.array(F.concat(F.lit("l "), left), F.concat(F.lit("ll "), two), F.concat(F.lit("lr "), left, F.lit(" _ "), right))
@@ -125,21 +132,20 @@ def learn(spans: DataFrame, rounds: int = 3, support: int = 3, least: float = 0.
         good = scored.select("kind", "pattern", (F.col("sum") / (F.col("n") + 0.5)).alias("conf"), "sure").where((F.col("sure") >= support) & (F.col("conf") >= least))
         known = edges.join(good, ["kind", "pattern"], "left").groupBy("kind", "value").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(F.coalesce("conf", F.lit(0.0)))).alias("worth"))
         known = cut(known, "known")
-    seeds = edges.where("seed").select("kind", "value").distinct()
-    return known.where(F.col("worth") >= least).select("kind", "value").join(seeds, ["kind", "value"], "left_anti")
+    return known.where(F.col("worth") >= least).select("kind", "value")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """(id, row, base, spans) for each row of `docs`: arrays of (start, kind, end), ends exclusive, in code points.
 
-    `base` are the strict matches, `spans` those and what contexts add; a span that overlaps a base
-    span isn't added. `row` tells rows of one id apart. Null and empty texts have none. Repeated rows
+    `base` are the strict matches, `spans` those and what contexts add, as well as loose forms of what is
+    a strict match anywhere; a span that overlaps a base span isn't added. `row` tells rows of one id apart. Null and empty texts have none. Repeated rows
     get equal spans. An empty table gives an empty result.
     """
     got = scan(docs, id_col, text_col)
     each = got.select("id", "row", F.explode("found").alias("x")).select("id", "row", "x.*")
     new = learn(each, **how)
-    value = F.lower(F.regexp_replace("value", r"[\s()\[\]./-]", ""))
+    value = normal(F.col("kind"), F.col("value"))
     added = each.where("not seed").withColumn("v", value).join(new.select(F.col("kind").alias("k"), F.col("value").alias("nv")), (F.col("kind") == F.col("k")) & (F.col("v") == F.col("nv")), "left_semi")
     added = added.groupBy(F.col("id").alias("aid"), F.col("row").alias("arow")).agg(F.collect_set(F.struct("start", "kind", "end")).alias("added"))
     base = F.array_sort(F.transform(F.filter("found", lambda x: x["seed"]), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
