@@ -23,7 +23,9 @@ from weftline.llm.columns import free
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role|aria-label|itemprop|hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-_NAME = re.compile(r"[a-z]+")
+_NAME = re.compile(r"\S+")
+_NOT_LETTERS = re.compile(r"[^a-z]+")
+_QUALIFIER = re.compile(r"^(?:site|page|post|entry|article)[-_]+(?=.)")
 _WORDS = re.compile(r"\S+")
 
 # fixed values: HTML element names by role
@@ -42,6 +44,13 @@ BAD_NAMES = frozenset(
     "share sharing social related recommended recommendations login signin signup subscribe newsletter search form copyright legal pagination pager toolbar".split()
 )
 GOOD_NAMES = frozenset("article content post entry story maincontent articlebody posttext".split())
+#: Names and elements that an article within doesn't lift: comments, teasers and advertisements are often articles, too.
+FIRM = BAD_TAGS - {"form", "header"} | frozenset(
+    "nav navbar navigation menu ad ads advert advertisement adverts promo promoted sponsor sponsored cookie cookies consent popup modal comment comments commentlist "
+    "discussion disqus reply replies respond related recommended recommendations".split()
+)
+#: Priors of the order of the shape model's costs (at most 3), so that the cut can overrule a name or an element; a form may be the whole page.
+BAD, GOOD, FORM, HIDDEN = 3.0, 2.0, 1.0, 24.0
 
 
 class Block:
@@ -58,14 +67,15 @@ def _names(attrs: str) -> tuple[list[str], bool]:
         if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = True
         elif key != "style":
-            names += _NAME.findall(value)
+            # whole names: has-sidebar and no-comments say nothing of what is inside
+            names += [_NOT_LETTERS.sub("", _QUALIFIER.sub("", x)) for x in _NAME.findall(value)]
     return names, hidden
 
 
 def blocks(source: str) -> list[Block]:
     """The page's blocks of text in order. Unclosed and crossed tags are closed as browsers do; scripts, styles, comments and hidden elements have no text."""
     out: list[Block] = []
-    stack: list[tuple[str, int, float, int]] = [("", 0, 0.0, 0)]  # tag, number, prior so far, certainty: 1 content, -1 boilerplate, 0 neither
+    stack: list[tuple[str, int, float, int, bool]] = [("", 0, 0.0, 0, False)]  # tag, number, prior so far, certainty: 1 content, -1 boilerplate, 0 neither, whether no article within lifts it
     parts: list[str] = []
     linked, in_link, number, at = 0, 0, 0, 0
     raw_until = None
@@ -74,7 +84,7 @@ def blocks(source: str) -> list[Block]:
         nonlocal linked
         text = " ".join(_html.unescape("".join(parts)).split())
         if text:
-            tag, _, prior, sure = stack[-1]
+            tag, _, prior, sure, _ = stack[-1]
             out.append(Block(text, min(1.0, linked / len(text)), tag, stack[-2][1] if len(stack) > 1 and tag in ("p", "li", "h1", "h2", "h3", "td") else stack[-1][1], prior, sure))
         parts.clear()
         linked = 0
@@ -133,16 +143,22 @@ def blocks(source: str) -> list[Block]:
             same = ("li",) if name == "li" else ("dt", "dd") if name in ("dt", "dd") else ("option",) if name == "option" else ("td", "th") if name != "tr" else ("td", "th", "tr")
             while stack[-1][0] in same:
                 del stack[-1:]
-        tag, _, prior, sure = stack[-1]
-        if hidden or inner_bad and name not in ("html", "body", "article", "main"):
-            prior, sure = prior - 12, -1
+        tag, _, prior, sure, firm = stack[-1]
+        whole = name in ("html", "body", "article", "main")
+        if hidden:
+            prior, sure, firm = -HIDDEN, -1, True
+        elif inner_bad and not whole:
+            prior, sure, firm = min(prior, 0.0) - BAD, -1, firm or name in FIRM or any(x in FIRM for x in names)
+        elif name == "form":
+            prior -= FORM
         elif name in BAD_TAGS:
-            inside = name == "header" and sure == 1
-            prior, sure = prior + (0 if inside else -12), sure if inside else -1
+            if name != "header" or sure != 1:
+                prior, sure, firm = min(prior, 0.0) - BAD, -1, firm or name in FIRM
         elif name in GOOD_TAGS or any(x in GOOD_NAMES for x in names):
-            prior, sure = prior + 6, sure or 1
+            if not firm and (name in GOOD_TAGS or sure != -1):
+                prior, sure = max(prior, 0.0) + GOOD, 1
         number += 1
-        stack.append((name, number, max(-24.0, min(12.0, prior)), sure))
+        stack.append((name, number, prior if firm and prior <= -HIDDEN else max(-2 * BAD, min(2 * GOOD, prior)), sure, firm))
     flush()
     return out
 
