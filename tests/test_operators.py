@@ -77,6 +77,13 @@ def plain(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_names_decide_candidates(spark):
+    a = spark.createDataFrame([(1, 7, ["Орёл-2", "орел 2", "x"]), (2, 7, ["Two Names", "Other"]), (3, 8, ["Орёл 2"]), (4, 7, ["--", None])], "id long, region long, names array<string>")
+    b = spark.createDataFrame([(10, 7, ["ОРЕЛ 2", "X"]), (11, 7, ["two-names"]), (12, 7, ["other", "--"])], "other long, region long, names array<string>")
+    got = {r["id"]: r["candidates"] for r in reconcile.name_candidates(a, b, "id", "other").collect()}
+    assert got == {1: 1, 2: 2, 3: 0, 4: 0}
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_against_sql(spark, duck, name):
     df = catalogue.queries()[name](spark, SF)

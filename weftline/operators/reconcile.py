@@ -23,6 +23,17 @@ def normal_name(name: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(name), "ё", "е"), "[^a-zа-я0-9]", "")
 
 
+def name_candidates(entities: DataFrame, register: DataFrame, key: str, other: str) -> DataFrame:
+    """(key, candidates): how many different `other` of `register` have a normalised name of the entity in its region; both have (id, region, names array). Empty names match nothing."""
+
+    def aliases(df, ident):
+        names = F.array_distinct(F.transform("names", normal_name))
+        return df.select(ident, "region", F.explode(names).alias("name")).where("name <> ''")
+
+    m = aliases(entities, key).join(aliases(register, other), ["region", "name"]).groupBy(key).agg(F.count_distinct(other).alias("candidates"))
+    return entities.select(key).distinct().join(m, key, "left").fillna(0, ["candidates"])
+
+
 def code8(value: Column) -> Column:
     """A municipal code as 8 digits: spaces and hyphens go, 7 digits get a zero, 11 are cut; others are null."""
     v = F.regexp_replace(value, "[ -]", "")

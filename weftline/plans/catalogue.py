@@ -428,6 +428,22 @@ def name_match_status(s, d):
     return m.withColumn("status", reconcile.match_status(F.col("candidates")))
 
 
+_NORM = "regexp_replace(replace(lower(x), 'ё', 'е'), '[^a-zа-я0-9]', '', 'g')"
+_SUPPLIER_NAMES = "[s_name, replace(s_name, 'Supplier#', 'Customer '), upper(replace(s_name, 'Supplier', 'Customer')), 'Customer-' || right(s_name, 2)]"
+_CUSTOMER_NAMES = "[c_name, lower(c_name), 'customer ' || right(c_name, 2)]"
+
+
+@query(f"WITH a AS (SELECT DISTINCT s_suppkey, region, {_NORM} AS name FROM (SELECT s_suppkey, s_nationkey AS region, unnest({_SUPPLIER_NAMES}) AS x FROM supplier)), b AS (SELECT DISTINCT c_custkey, region, {_NORM} AS name FROM (SELECT c_custkey, c_nationkey AS region, unnest({_CUSTOMER_NAMES}) AS x FROM customer)), m AS (SELECT s_suppkey, count(DISTINCT c_custkey) AS candidates FROM supplier LEFT JOIN a USING (s_suppkey) LEFT JOIN b USING (region, name) GROUP BY s_suppkey) SELECT s_suppkey, CAST(candidates AS BIGINT) AS candidates, CASE WHEN candidates = 1 THEN 'matched' WHEN candidates > 1 THEN 'ambiguous' ELSE 'missing' END AS status FROM m")
+def name_alias_status(s, d):
+    """Suppliers in the customers' register by normalised names of the nation: as they are, in the register's wording (twice, written differently) and short."""
+    n, c = F.col("s_name"), F.col("c_name")
+    names = F.array(n, F.replace(n, F.lit("Supplier#"), F.lit("Customer ")), F.upper(F.replace(n, F.lit("Supplier"), F.lit("Customer"))), F.concat(F.lit("Customer-"), F.right(n, F.lit(2))))
+    a = table(s, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("region"), names.alias("names"))
+    b = table(s, d, "customer").select("c_custkey", F.col("c_nationkey").alias("region"), F.array(c, F.lower(c), F.concat(F.lit("customer "), F.right(c, F.lit(2)))).alias("names"))
+    m = reconcile.name_candidates(a, b, "s_suppkey", "c_custkey")
+    return m.withColumn("status", reconcile.match_status(F.col("candidates")))
+
+
 @query("WITH v AS (SELECT c_custkey, list(o_totalprice) FILTER (WHERE o_totalprice IS NOT NULL) AS vs FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY c_custkey) SELECT c_custkey, CASE WHEN vs IS NULL THEN 'missing' WHEN len(list_filter(vs, lambda z: z < 0)) > 0 THEN 'invalid' WHEN len(list_distinct(vs)) > 1 THEN 'conflict' ELSE 'ok' END AS status FROM v")
 def indicator_status(s, d):
     o = table(s, d, "orders").where("o_orderstatus = 'P'").groupBy("o_custkey").agg(F.collect_set("o_totalprice").alias("vs"))
