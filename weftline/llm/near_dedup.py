@@ -5,12 +5,15 @@ keyed by the pair of key i of the first and key j of the second collection, so m
 min-hashes cost 4 * m min-hashes and not 4 * m * m. A small key that one text alone has can't form a
 shared pair, so the small keys are counted first and only shared ones are combined.
 
-Texts of equal sets are one class. In each table bucket, the smallest class is compared with all
-others (a star, not all pairs). What the stars leave unconnected is exact too: in later rounds,
-classes outside the main component of their bucket are compared with the whole bucket, a bounded
-number of them a round, until every bucket is either connected or fully compared. There, two exact
-bounds rule pairs out before they are made: the shingles that a class has alone, and 1024 bits of
-which each shingle flips one, so that two sets differ in at least as many shingles as bits.
+Texts of equal sets are one class. In each table bucket, one class is compared with all others (a star, not all pairs): the one with
+the most small keys that others share, which most of a group is like. What the stars leave
+unconnected is exact too: in later rounds, classes outside their bucket's main component, the
+star's, are compared with the whole bucket, a bounded number of them a round, until every bucket is
+either connected or fully compared. Only such outsiders are listed bucket by bucket; what they are
+compared with is listed once per small key of the first collection and finds its buckets by the
+second collection in the row. Two exact bounds rule pairs out before they are made: the shingles
+that a class has alone, and 1024 bits of which each shingle flips one, so that two sets differ in at
+least as many shingles as bits.
 With m = 10, texts of similarity 0.75 share a table with probability 0.9995, of 0.8 with 0.99993.
 """
 
@@ -110,12 +113,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, m: int, k: int) -> D
 
 
 def buckets(classes: DataFrame, m: int) -> DataFrame:
-    """(key, rep, n): the tables' buckets that at least two classes share a small key of each collection for."""
+    """(u, v, rep, n, wide): the tables' buckets (u, v) that at least two classes share a small key of each collection for; `wide` is in how many of them a class is."""
     small = classes.select("rep", "n", F.posexplode("keys").alias("at", "small"))
     shared = small.groupBy("small").agg(F.count("*").alias("c")).where("c > 1").select("small")
     side = F.collect_list(F.when(F.col("at") < m, F.col("small"))), F.collect_list(F.when(F.col("at") >= m, F.col("small")))
-    sides = small.join(shared, "small", "left_semi").groupBy("rep", "n").agg(side[0].alias("u"), side[1].alias("v")).where("size(u) > 0 and size(v) > 0")
-    return sides.select("rep", "n", F.explode("u").alias("u"), "v").select("rep", "n", "u", F.explode("v").alias("v")).select(F.xxhash64("u", "v").alias("key"), "rep", "n")
+    sides = small.join(shared, "small", "left_semi").groupBy("rep", "n").agg(side[0].alias("us"), side[1].alias("vs")).where("size(us) > 0 and size(vs) > 0")
+    wide = F.size("us") * F.size("vs")
+    return sides.select("rep", "n", wide.alias("wide"), F.explode("us").alias("u"), "vs").select("u", F.explode("vs").alias("v"), "rep", "n", "wide")
 
 
 def _may_link(n1, n2, percent: int):
@@ -191,46 +195,39 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = sig.where("n > 0 and doc is not null").groupBy("k1", "k2").agg(F.min("doc").alias("rep"), best.alias("s"))
     classes = cut(classes.select("k1", "k2", "rep", "s.n", "s.keys", "s.bits"), "classes")
     table = cut(buckets(classes, m), "buckets")
-    centres = table.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("size")).where("size > 1").select("key", F.col("c.rep").alias("a"), F.col("c.n").alias("an"), "size")
-    star = table.join(centres.drop("size"), "key").where((F.col("rep") != F.col("a")) & _may_link(F.col("n"), F.col("an"), percent))
-    checked = cut(star.select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    centre = F.max(F.struct("wide", -F.col("rep"), "n"))
+    centres = table.groupBy("u", "v").agg(centre.alias("c"), F.count("*").alias("size")).where("size > 1")
+    centres = centres.select("u", "v", (-F.col("c.col2")).alias("a"), F.col("c.n").alias("an"))
+    star = table.join(centres, ["u", "v"]).where((F.col("rep") != F.col("a")) & _may_link(F.col("n"), F.col("an"), percent))
+    checked = cut(star.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct(), "pairs")
     links = cut(verify(checked, docs, id_col, text_col, k, percent), "confirmed")
     parts = components(links)
-    members = _open(table.join(centres.where("size > 2").select("key", "a"), "key"), parts)
-    members = cut(members, "open")
-    reps = members.select("rep").distinct()
-    n_open = reps.count()
-    if not n_open:
+    outside = cut(_outside(table, parts), "outside")
+    if not outside.limit(1).count():
         return _labelled(sig, classes, parts)
+    others = _near_outside(outside, classes, m)
     # `most`: the shingles that a class can share with any other here, which bounds its similarities
-    single = single_counts(reps, docs, id_col, text_col, k)
-    members = members.join(single, "rep", "left").withColumn("most", F.col("n") - F.coalesce("single", F.lit(0)))
-    members = members.where(100 * F.col("most") >= percent * F.col("n")).select("key", "rep", "n", "most", "part")
-    members = cut(members.join(classes.select("rep", "keys", "bits"), "rep"), "open")
-    turn, here, facts, seen = -1, members, None, 0
+    single = single_counts(others, docs, id_col, text_col, k)
+    others = others.join(single, "rep", "left").withColumn("most", F.col("n") - F.coalesce("single", F.lit(0)))
+    others = cut(others.where(100 * F.col("most") >= percent * F.col("n")).select("rep", "n", "most", "keys", "bits"), "others")
+    n_others, by_u, turn, seen = others.count(), None, 0, 0
     while True:
-        if facts is None:
-            facts = here.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct(F.col("most") / F.col("n"), -F.col("rep"), "part")).alias("m"), F.min("part").alias("lo"), F.max("part").alias("hi"))
-            facts = cut(facts.where("lo <> hi").select("key", "size", (-F.col("m.col2")).alias("main"), F.col("m.part").alias("main_part")), "facts")
-            largest = facts.agg(F.max(F.ceil(F.col("size") / pivots))).first()[0]
+        if by_u is None:
+            now = _with_part(others, parts, "rep", "part")
+            by_u = cut(now.withColumn("u", F.explode(F.slice("keys", 1, m))).join(outside.select("u").distinct(), "u", "left_semi"), "by_key")
+            largest = outside.agg(F.max(F.ceil(F.col("size") / pivots))).first()[0]
         if largest is None or seen >= largest:
             return _labelled(sig, classes, parts)
-        if turn < 0:
-            # first the class with the smallest share of shingles of its own, which most of a group links to
-            until = 0
-            pivot = here.join(facts, "key").where("rep = main")
-        else:
-            until = seen + 8**turn
-            mine = F.pmod(F.xxhash64("key", "rep"), F.ceil(F.col("size") / pivots))
-            pivot = here.join(facts, "key").where((mine >= seen) & (mine < until) & (F.col("part") != F.col("main_part")))
-        pivot = pivot.select("key", *[F.col(c).alias(f"p_{c}") for c in ("rep", "n", "most", "part", "keys", "bits")])
+        until = seen + 8**turn
+        mine = F.pmod(F.xxhash64("u", "v", "rep"), F.ceil(F.col("size") / pivots))
+        pivot = outside.where((mine >= seen) & (mine < until)).groupBy("u", "rep").agg(F.collect_list("v").alias("vs")).join(by_u, ["u", "rep"])
+        pivot = pivot.select("u", "vs", *[F.col(c).alias(f"p_{c}") for c in ("rep", "n", "most", "part", "keys", "bits")])
         both = F.least("most", "p_most")
         near = 100 * both >= percent * (F.col("n") + F.col("p_n") - both)
         near &= _differ(F.col("bits"), F.col("p_bits")) * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("p_n"))
-        if turn >= 0:
-            # a pair is made in its first shared bucket alone; the first round's one pivot a bucket makes no more rows than there are
-            near &= F.col("key") == _first_shared(F.col("keys"), F.col("p_keys"), m)
-        found = here.join(pivot, "key").where((F.col("part") != F.col("p_part")) & _may_link(F.col("n"), F.col("p_n"), percent) & near)
+        # a pair is made in its first shared bucket alone, by the one of the two that is outside its main component
+        near &= (F.col("u") == _first_shared(1, m)) & F.array_contains("vs", _first_shared(m + 1, m))
+        found = by_u.join(pivot, "u").where((F.col("part") != F.col("p_part")) & _may_link(F.col("n"), F.col("p_n"), percent) & near)
         found = found.select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
         found = cut(found.join(checked, ["a", "b"], "left_anti"), "pairs")
         if found.limit(1).count():
@@ -239,29 +236,44 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if n_more := more.count():
                 known = parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
                 parts = components(known.unionByName(more))
-                # parts that are out of date only make pairs of what is linked already; a few aren't worth a new table
-                if 20 * n_more >= n_open:
-                    here, facts = cut(_open(members, parts), "open"), None
+                # parts that are out of date only make pairs of what is linked already; a few aren't worth new tables
+                if 20 * n_more >= n_others:
+                    rows = _with_part(_with_part(outside, parts, "rep", "part"), parts, "main", "main_part")
+                    outside, by_u = cut(rows.where("part <> main_part").select(*outside.columns), "outside"), None
         turn, seen = turn + 1, until
 
 
+def _with_part(rows: DataFrame, parts: DataFrame, of: str, name: str) -> DataFrame:
+    """`rows` with the component of the class in column `of`, itself where it is linked with nothing."""
+    known = parts.select(F.col("node").alias(f"{of}_node"), F.col("component").alias(f"{of}_part"))
+    return rows.join(known, F.col(of) == F.col(f"{of}_node"), "left").select(*rows.columns, F.coalesce(f"{of}_part", of).alias(name))
+
+
+def _outside(table: DataFrame, parts: DataFrame) -> DataFrame:
+    """(u, v, size, main, rep): the rows of `table` outside the component of their bucket's centre, which is `main`. In a bucket of two the star has compared all."""
+    here = _with_part(table, parts, "rep", "part")
+    facts = here.groupBy("u", "v").agg(F.count("*").alias("size"), F.max(F.struct("wide", -F.col("rep"), "part")).alias("c"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+    facts = facts.where("lo <> hi and size > 2").select("u", "v", "size", (-F.col("c.col2")).alias("main"), F.col("c.part").alias("main_part"))
+    return here.join(facts, ["u", "v"]).where("part <> main_part").select("u", "v", "size", "main", "rep")
+
+
+def _near_outside(outside: DataFrame, classes: DataFrame, m: int) -> DataFrame:
+    """(rep, n, keys, bits): the classes that have a small key of each collection in common with buckets that have outsiders."""
+    ids = classes.select("rep", "n", "keys", "bits")
+    for at, key in ((1, "u"), (m + 1, "v")):
+        has = ids.select("rep", F.explode(F.slice("keys", at, m)).alias(key)).join(outside.select(key).distinct(), key, "left_semi")
+        ids = ids.join(has.select("rep").distinct(), "rep", "left_semi")
+    return cut(ids, "near_outside")
+
+
 def _differ(a: Column, b: Column) -> Column:
     """In how many bits two sets of flipped bits differ, at most the size of their symmetric difference."""
     return reduce(add, (F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(16)))
 
 
-def _first_shared(a: Column, b: Column, m: int) -> Column:
-    """The key of the first table bucket that two classes of these small keys share."""
-    least = lambda at: F.array_min(F.array_intersect(F.slice(a, at, m), F.slice(b, at, m)))
-    return F.xxhash64(least(1), least(m + 1))
-
-
-def _open(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """The rows of `members` (key, rep, ...), with their part, of buckets that aren't connected yet."""
-    own = [c for c in members.columns if c != "part"]
-    here = members.join(parts, F.col("rep") == F.col("node"), "left").select(*own, F.coalesce("component", "rep").alias("part"))
-    apart = here.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    return here.join(apart, "key", "left_semi")
+def _first_shared(at: int, m: int) -> Column:
+    """The least small key that `keys` and `p_keys` share in the collection that begins at `at`."""
+    return F.array_min(F.array_intersect(F.slice("keys", at, m), F.slice("p_keys", at, m)))
 
 
 def _labelled(sig: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
