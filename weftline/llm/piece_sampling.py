@@ -29,7 +29,7 @@ from weftline.llm.columns import whole
 
 MARK = "▁"
 _STRETCH = re.compile(" +[^ ]*|[^ ]+")
-_LONG = 40  # longer stretches get their sums one at a time
+_CELLS = 100_000  # characters of stretches summed at once; a longer stretch is summed alone
 _U = np.uint64
 
 
@@ -40,11 +40,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _rounded(x: np.ndarray) -> np.ndarray:
-    """Multiples of 2^-26 below 1: exact when a node's number is added, so that draws don't depend on where a stretch is kept."""
-    return np.minimum(np.floor(x * 2.0**26), 2.0**26 - 1) * 2.0**-26
-
-
 class Lattices:
     """The model's pieces, and the forward sums of stretches met so far, up to a bounded number."""
 
@@ -66,6 +61,9 @@ class Lattices:
             else:
                 pieces[name.replace(MARK, " ")] = i
                 self.as_bytes.append(name.replace(MARK, " ").encode())
+        self.byte_data = np.frombuffer(b"".join(self.as_bytes), np.uint8)
+        self.byte_size = np.array([len(x) for x in self.as_bytes])
+        self.byte_start = np.cumsum(self.byte_size) - self.byte_size
         self.pieces, self.longest = pieces, max(map(len, pieces))
         self.weight = (np.arange(self.size) + 10.0) ** -temperature
         self.byte_weight = float(self.weight[-1])
@@ -107,31 +105,36 @@ class Lattices:
 
     def clear(self) -> None:
         self.ends: dict[str, int] = {}
-        self.cum, self.prev, self.piece = np.empty(1 << 16), np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
         self.n_edges, self.n_nodes = 0, 0
-
-    def _add(self, cum, prev, piece) -> None:
-        need = self.n_edges + len(cum)
-        while need > len(self.cum):
-            self.cum, self.prev, self.piece = (np.concatenate([v, np.empty_like(v)]) for v in (self.cum, self.prev, self.piece))
-        self.cum[self.n_edges : need], self.prev[self.n_edges : need], self.piece[self.n_edges : need] = cum, prev, piece
-        self.n_edges = need
+        self.below, self.piece, self.back = np.empty(1 << 16, np.uint32), np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
+        self.first = np.empty(1 << 16, np.int32)
+
+    def _store(self, n_edges: int, n_nodes: int) -> tuple[slice, slice]:
+        """Room for more edges and nodes."""
+        edges, nodes = slice(self.n_edges, self.n_edges + n_edges), slice(self.n_nodes, self.n_nodes + n_nodes)
+        while edges.stop > len(self.below):
+            self.below, self.piece, self.back = (np.concatenate([v, np.empty_like(v)]) for v in (self.below, self.piece, self.back))
+        while nodes.stop > len(self.first):
+            self.first = np.concatenate([self.first, np.empty_like(self.first)])
+        self.n_edges, self.n_nodes = edges.stop, nodes.stop
+        return edges, nodes
 
     def learn(self, stretches: list[str]) -> None:
-        """Forward sums of new stretches, those of about equal length together."""
-        short = sorted((s for s in stretches if len(s) <= _LONG), key=len)
-        for at in range(0, len(short), 5000):
-            self._forward(short[at : at + 5000])
-        for s in stretches:
-            if len(s) > _LONG:
-                self._forward_one(s)
+        """Forward sums of new stretches, those of about equal length together; a stretch's don't depend on the others."""
+        line, at = sorted(stretches, key=len), 0
+        while at < len(line):
+            to = at
+            while to < len(line) and (to == at or (to - at + 1) * len(line[to]) <= _CELLS):
+                to += 1
+            self._forward(line[at:to])
+            at = to
 
     def _forward(self, group: list[str]) -> None:
         n, width = len(group), len(group[-1])
         size = np.fromiter(map(len, group), np.int64, n)
         codes = np.frombuffer("".join([s.ljust(width, "\0") for s in group]).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-        row = np.repeat(np.arange(n), size)
-        col = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        row = np.repeat(np.arange(n, dtype=np.int32), size)
+        col = (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
         h = np.full(len(row), 1469598103934665603, np.uint64)
         rows, ends, lengths, ids, weights = [], [], [], [], []
         for k in range(1, min(self.longest, width) + 1):
@@ -146,70 +149,56 @@ class Lattices:
                 n_bytes = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
                 rows.append(row[lone])
                 ends.append(col[lone] + 1)
-                lengths.append(np.ones(len(lone), np.int64))
+                lengths.append(np.ones(len(lone), np.int32))
                 ids.append(np.where(code < 128, self.byte_ids[np.minimum(code, 127)], self.size + code))
                 weights.append(self.byte_weight**n_bytes)
             hit = found[piece]
             rows.append(row[piece])
             ends.append(col[piece] + k)
-            lengths.append(np.full(len(hit), k))
+            lengths.append(np.full(len(hit), k, np.int32))
             ids.append(hit)
             weights.append(self.weight[hit])
             alive = found != -1
             row, col, h = row[alive], col[alive], h[alive]
-        row, end, length, piece, weight = map(np.concatenate, (rows, ends, lengths, ids, weights))
-        order = np.argsort(end, kind="stable")
-        row, end, length, piece, weight = row[order], end[order], length[order], piece[order], weight[order]
-        bounds = np.searchsorted(end, np.arange(1, width + 2))
+        # edges in order of their nodes, the longest first, which mostly are the likeliest; each length's are in order already
+        row, end, length, piece, weight = (np.concatenate(v[::-1]) for v in (rows, ends, lengths, ids, weights))
+        starts = np.cumsum(size + 1) - size - 1
+        node = starts[row] + end
+        order = np.argsort(node, kind="stable")
+        node, row, end, length, piece, weight = node[order], row[order], end[order], length[order], piece[order], weight[order]
+        order = np.argsort(end.astype(np.uint16) if width < 1 << 16 else end, kind="stable")
+        row, length, share = row[order], length[order], weight[order]
+        bounds = np.searchsorted(end[order], np.arange(1, width + 2))
         total = np.zeros((n, width + 1))
         total[:, 0] = 1.0
         for j in range(1, width + 1):
             part = slice(bounds[j - 1], bounds[j])
             r = row[part]
-            w = weight[part] * total[r, j - length[part]]
-            s = np.bincount(r, w, n)
-            weight[part] = w / s[r]
-            # totals shrink by the weights of pieces; a common factor keeps a stretch's in range
-            small = (s > 0) & (s < 1e-150)
-            total[:, j] = s
+            w = share[part] * total[r, j - length[part]]
+            t = np.bincount(r, w, n)
+            share[part] = w / t[r]
+            total[:, j] = t
+            # totals shrink by the weights of pieces; a common factor keeps those that are still needed in range
+            small = (t > 0) & (t < 1e-150)
             if small.any():
-                total[small, : j + 1] *= 1e150
-        order = np.lexsort((length, end, row))
-        row, end, length, piece, weight = row[order], end[order], length[order], piece[order], weight[order]
-        first = self.n_nodes + np.cumsum(size + 1) - size - 1
-        node = first[row] + end
-        sums = np.cumsum(weight)
+                total[small, max(0, j - self.longest) : j + 1] *= 1e150
+        # the sum of the shares up to each edge of a node, by itself
+        sums, back = np.empty_like(share), np.empty_like(length)
+        sums[order], back[order] = share, length
         new = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-        before = np.repeat(np.concatenate(([0.0], sums[new[1:] - 1])), np.diff(np.append(new, len(node))))
-        cum = _rounded(sums - before)
-        cum[np.append(new[1:] - 1, len(node) - 1)] = 1.0
-        self._add(node + cum, node - length, piece)
-        self.ends.update(zip(group, (first + size).tolist(), strict=True))
-        self.n_nodes += int((size + 1).sum())
-
-    def _forward_one(self, s: str) -> None:
-        logs, n = [0.0], len(s)
-        cums, prevs, ids = [], [], []
-        for j in range(1, n + 1):
-            here = []
-            for k in range(1, min(j, self.longest) + 1):
-                i = self.pieces.get(s[j - k : j])
-                if i is not None:
-                    here.append((k, i, logs[j - k] + float(np.log(self.weight[i]))))
-            if not here or here[0][0] > 1:
-                b = s[j - 1].encode("utf-8", "replace")
-                here.insert(0, (1, int(self.byte_ids[b[0]]) if len(b) == 1 else self.size + ord(s[j - 1]), logs[j - 1] + len(b) * float(np.log(self.byte_weight))))
-            top = max(x[2] for x in here)
-            w = np.exp(np.array([x[2] for x in here]) - top)
-            logs.append(top + float(np.log(w.sum())))
-            c = _rounded(np.cumsum(w) / w.sum())
-            c[-1] = 1.0
-            cums.append(self.n_nodes + j + c)
-            prevs += [self.n_nodes + j - x[0] for x in here]
-            ids += [x[1] for x in here]
-        self._add(np.concatenate(cums), np.array(prevs), np.array(ids))
-        self.ends[s] = self.n_nodes + n
-        self.n_nodes += n + 1
+        nth = np.arange(len(node)) - np.repeat(new, np.diff(np.append(new, len(node))))
+        at = np.flatnonzero(nth == 1)
+        while len(at):
+            sums[at] += sums[at - 1]
+            at = at[at + 1 < len(nth)] + 1
+            at = at[nth[at] > 0]
+        below = np.minimum(np.floor(sums * 2.0**32), 2.0**32 - 1).astype(np.uint32)
+        below[np.append(new[1:] - 1, len(node) - 1)] = 2**32 - 1
+        edges, nodes = self._store(len(node), int((size + 1).sum()))
+        self.below[edges], self.piece[edges], self.back[edges] = below, piece, back
+        self.first[nodes] = -1
+        self.first[nodes.start + node[new]] = edges.start + new
+        self.ends.update(zip(group, (nodes.start + starts + size).tolist(), strict=True))
 
     def encode(self, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sampled ids of all texts in one array, and the bounds of each text in it; a text always begins with a space that decoding takes off."""
@@ -224,21 +213,23 @@ class Lattices:
         self.learn(sorted(set(flat).difference(self.ends)))
         count = np.array([len(c) for c in cut])
         node = np.fromiter(map(self.ends.__getitem__, flat), np.int64, len(flat))
-        start = node - np.fromiter(map(len, flat), np.int64, len(flat))
         row = np.repeat(np.arange(len(texts)), count)
         place = np.arange(len(node)) - np.repeat(np.cumsum(count) - count, count)
         key = _mixed(seeds[row] + place.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
-        cum, prev, piece = self.cum[: self.n_edges], self.prev, self.piece
         live, steps, taken = np.arange(len(node)), [], np.zeros(len(node), np.int64)
         step = 0
         while len(live):
-            u = (_mixed(key[live] + _U(step * 0xD1B54A32D192ED03 & (2**64 - 1))) >> _U(38)).astype(float) * 2.0**-26
-            # ends of edges grow with the node, so one search finds the edge of every stretch's node
-            e = np.searchsorted(cum, node[live] + u, "right")
-            steps.append((live, piece[e]))
+            u = np.minimum(_mixed(key[live] + _U(step * 0xD1B54A32D192ED03 & (2**64 - 1))) >> _U(32), _U(2**32 - 2)).astype(np.uint32)
+            e = self.first[node]
+            miss = np.flatnonzero(u >= self.below[e])
+            while len(miss):
+                e[miss] += 1
+                miss = miss[u[miss] >= self.below[e[miss]]]
+            steps.append((live, self.piece[e]))
             taken[live] += 1
-            node[live] = prev[e]
-            live = live[node[live] > start[live]]
+            node = node - self.back[e]
+            more = self.first[node] >= 0
+            live, node = live[more], node[more]
             step += 1
         base = np.concatenate(([0], np.cumsum(taken)))
         ids = np.empty(base[-1], np.int64)
@@ -270,10 +261,19 @@ class Lattices:
             at.append(at[-1] + len(part))
         return np.concatenate(out), np.array(at)
 
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The texts that the ids between neighbouring bounds came from."""
+        size = self.byte_size[ids]
+        ends = np.cumsum(size)
+        at = np.repeat(self.byte_start[ids] - ends + size, size)
+        at += np.arange(len(at))
+        data = self.byte_data[at].tobytes()
+        marks = np.concatenate(([0], ends))[bounds].tolist()
+        return [data[a:b].decode("utf-8", "replace")[1:] for a, b in zip(marks[:-1], marks[1:], strict=True)]
+
     def decode(self, ids) -> str:
         """The text that ids came from."""
-        names = self.as_bytes
-        return b"".join([names[i] for i in ids]).decode("utf-8", "replace")[1:]
+        return self.decode_all(np.asarray(ids, np.int64), np.array([0, len(ids)]))[0]
 
 
 _lattices: dict[tuple, Lattices] = {}
@@ -328,13 +328,14 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
 
 def decode(docs: DataFrame, path: str | None = None, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """`docs` with the text that `ids_col` was encoded from in `out` (a column of that name is replaced)."""
+    """`docs` with the text that `ids_col` was encoded from in `out` (a column of that name is replaced). Null and empty ids give an empty text; an empty table gives an empty result."""
     path = path or model_path()
 
     @F.pandas_udf(T.StringType())
     def decoded(ids: pd.Series) -> pd.Series:
-        model = lattices(path, 1.0)
-        return pd.Series([model.decode(x) if x is not None else "" for x in ids], dtype=object)
+        model, all_ = lattices(path, 1.0), [np.zeros(0, np.int64) if x is None else np.asarray(x, np.int64) for x in ids]
+        bounds = np.concatenate(([0], np.cumsum([len(x) for x in all_], dtype=np.int64)))
+        return pd.Series(model.decode_all(np.concatenate([np.zeros(0, np.int64), *all_]), bounds), dtype=object)
 
     own = [c for c in docs.columns if c.lower() != out.lower()]
     return docs.select(*own, decoded(F.col(ids_col)).alias(out))
@@ -352,11 +353,11 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
             seeds = np.fromiter((xxhash.xxh64_intdigest(f"{seed}:{'' if k is None else k}") for k in keys), np.uint64, len(keys))
             for a, b in _batches(texts):
                 ids, bounds = model.encode(texts[a:b], seeds[a:b])
-                parts = [ids[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                back = [model.decode(p.tolist()) for p in parts]
+                raw, marks = ids.astype("<u4").tobytes(), (4 * bounds).tolist()
+                back = model.decode_all(ids, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(keys[a:b], pa.int64()), pa.array([len(p) for p in parts], pa.int64()), pa.array([zlib.crc32(p.astype("<u4").tobytes()) for p in parts], pa.int64()),
+                        pa.array(keys[a:b], pa.int64()), pa.array(np.diff(bounds)), pa.array([zlib.crc32(raw[x:y]) for x, y in zip(marks[:-1], marks[1:], strict=True)], pa.int64()),
                         pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in back]), pa.array([x == y for x, y in zip(back, texts[a:b], strict=True)]),
                     ],
                     names=["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "lossless"],
