@@ -1,12 +1,15 @@
 """Substring dedup: content-defined chunks by a gear rolling hash, deduplicated by digest.
 
 A chunk ends where the hash of the last 16 bytes has its top five bits clear (fewer where such places
-are rare), so cuts depend on the
-bytes around them alone: an insertion moves the cuts beside it and no others, and a passage that
-documents share is cut alike in each, but for its edges. Chunks are 32 bytes on average and keyed by
-digest; per digest the smallest and largest document are summed on the map side. Neighbouring chunks
-that are repeated join to runs, and only runs of `min_run` bytes or more count, so that common short
-phrases don't.
+are rare), so cuts depend on the bytes around them alone: an insertion moves the cuts beside it and
+no others, and a passage that documents share is cut alike in each, but for its edges. Chunks are 32
+bytes on average and keyed by digest. Neighbouring chunks that are repeated join to runs, and only
+runs of `min_run` bytes or more count, so that common short phrases don't.
+
+Documents are dealt into blocks of about 8 MB by a hash. A block hands out each of its digests once,
+with the smallest and largest id that hold it, and gets those back that another id holds; places
+never leave the block. So a passage that a third of all documents share is one row a block, summed
+on the map side, and what goes back is looked up where the texts are.
 """
 
 from __future__ import annotations
@@ -14,13 +17,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.columns import free, small_batches, whole
+from weftline.llm.columns import free, whole
 
 _GEAR = np.random.default_rng(1_729).integers(0, 2**16, 256, dtype=np.uint16)
-_BLOCK = 1 << 20
+_STEP = 1 << 20
+#: Bytes of text in a block, about: what a Python worker holds at once, beyond one text.
+BLOCK = 8 << 20
 
 
 def cuts(data: bytes, bits: tuple[int, ...] = (5, 3, 1), sparse: int = 128, longest: int = 4096) -> np.ndarray:
@@ -33,9 +38,9 @@ def cuts(data: bytes, bits: tuple[int, ...] = (5, 3, 1), sparse: int = 128, long
     """
     found, n = [[] for _ in bits], len(data)
     whole_ = np.frombuffer(data, np.uint8)
-    for at in range(0, n, _BLOCK):
+    for at in range(0, n, _STEP):
         lo = max(0, at - 16)
-        h = _GEAR[whole_[lo : at + _BLOCK]]
+        h = _GEAR[whole_[lo : at + _STEP]]
         for k in (1, 2, 4, 8):
             h[k:] = h[k:] + (h[:-k] << np.uint16(k))
         ends = np.flatnonzero(h[at - lo :] >> np.uint16(16 - bits[-1]) == 0)
@@ -69,109 +74,101 @@ def cuts(data: bytes, bits: tuple[int, ...] = (5, 3, 1), sparse: int = 128, long
     return ends
 
 
-def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, at, digest): the chunks of each text, in bytes; an empty text has none. `row` tells rows of one id apart.
+def digests(data: bytes, ends: np.ndarray) -> np.ndarray:
+    """64-bit digests of the chunks of `data` that end at `ends`."""
+    view, at = memoryview(data), ends.tolist()
+    return np.array([xxhash.xxh3_64_intdigest(view[x:y]) for x, y in zip([0, *at[:-1]], at, strict=True)], np.uint64).view(np.int64)
 
-    `at` packs start and length, as start * 2^32 + 2 * length: one number moves in fewer bytes than
-    two, and sorts by start. Its lowest bit is free.
-    """
 
-    def split(batches):
-        for batch in batches:
-            ids, rows, texts = (c.to_pylist() for c in batch.columns)
-            at = 0
-            while at < len(texts):
-                size, to = 0, at
-                while to < len(texts) and size < 4_000_000:
-                    size += len(texts[to])
-                    to += 1
-                out_id, out_row, places, digests = [], [], [], []
-                for k in range(at, to):
-                    data = texts[k].encode("utf-8", "replace")
-                    if not data:
-                        continue
-                    e = cuts(data)
-                    s = np.concatenate(([0], e[:-1]))
-                    out_id.append(np.full(len(e), ids[k], np.int64))
-                    out_row.append(np.full(len(e), rows[k], np.int32))
-                    places.append((s.astype(np.int64) << 32) + 2 * (e - s))
-                    view = memoryview(data)
-                    digests.append(np.array([xxhash.xxh3_64_intdigest(view[x:y]) for x, y in zip(s.tolist(), e.tolist(), strict=True)], np.uint64).view(np.int64))
-                if out_id:
-                    names = ["id", "row", "at", "digest"]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (out_id, out_row, places, digests)], names=names)
-                at = to
-
-    small_batches(docs.sparkSession)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), whole(F.col(text_col)).alias("text"))
-    rows = rows.select("id", F.hash("id", "text").alias("row"), "text")
-    return rows.mapInArrow(split, "id long, row int, at long, digest long")
-
-
-def _runs(held: Column, min_run: int) -> Column:
-    """Neighbours in a sorted array of packed chunks joined to runs (start, end), those of at least `min_run` bytes."""
-    shape = "array<struct<start:int,end:int>>"
-    none = F.struct(F.array().cast(shape).alias("done"), F.lit(0).alias("start"), F.lit(0).alias("end"))
-    closed = lambda acc: F.when(acc["end"] - acc["start"] >= min_run, F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["done"])
-
-    def step(acc, x):
-        start = F.shiftright(x, 32).cast("int")
-        near = start == acc["end"]
-        end = start + F.shiftright(x.bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int")
-        return F.struct(F.when(near, acc["done"]).otherwise(closed(acc)).alias("done"), F.when(near, acc["start"]).otherwise(start).alias("start"), end.alias("end"))
-
-    return F.aggregate(held, none, step, closed)
-
-
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 96) -> DataFrame:
-    """(id, row, shared, later): each text's runs of repeated chunks of at least `min_run` bytes, as arrays of (start, end).
-
-    `shared` are runs of chunks that two documents or more hold, `later` those of chunks that a
-    smaller id holds too. The chunks of a text meet in one row, which is no longer than the text.
-    """
-    every = chunks(docs, id_col, text_col)
-    shared = every.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
-    # arrays of numbers sort and lose doubles far faster than arrays of structs; the lowest bit is `later`
-    place = F.col("at") + (F.col("id") != F.col("first")).cast("long")
-    held = every.join(shared, "digest").groupBy("id", "row").agg(F.collect_list(place).alias("held"))
-    held = held.withColumn("held", F.sort_array(F.array_distinct("held")))
-    later = F.filter("held", lambda x: x.bitwiseAND(F.lit(1)) == 1)
-    return held.select("id", "row", _runs(F.col("held"), min_run).alias("shared"), _runs(later, min_run).alias("later"))
-
-
-def _without(text: Column, spans: Column) -> Column:
-    """The text without the given byte spans, which are in order and apart."""
-    ends = F.concat(F.transform(spans, lambda x: x["start"]), F.array(F.octet_length(text)))
-    starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda x: x["end"]))
-    # the text is encoded once, as the only element of an array, and not again for every span
-    keep = lambda d: F.array_join(F.zip_with(starts, ends, lambda s, e: F.decode(F.substring(d, s + 1, e - s), "UTF-8")), "")
-    return F.transform(F.array(F.encode(text, "UTF-8")), keep)[0]
-
-
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 96) -> DataFrame:
+def runs(ends: np.ndarray, held: np.ndarray, min_run: int) -> list[tuple[int, int]]:
+    """(start, end) in bytes of neighbouring `held` chunks, where they are `min_run` bytes or more together."""
+    edge = np.diff(np.concatenate(([False], held, [False])).astype(np.int8))
+    starts, stops = np.concatenate(([0], ends))[np.flatnonzero(edge == 1)], ends[np.flatnonzero(edge == -1) - 1]
+    long = stops - starts >= min_run
+    return list(zip(starts[long].tolist(), stops[long].tolist(), strict=True))
+
+
+def _utf8(texts: pa.ChunkedArray):
+    """Each text's bytes; null stays null."""
+    for x in texts.cast(pa.binary()):
+        yield x.as_py()
+
+
+def held_digests(dealt: DataFrame) -> DataFrame:
+    """(digest, block, first, last): each block's distinct digests and the smallest and largest id there. dealt: id, text, block."""
+
+    def gather(key, rows):
+        found, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, data in zip(rows.column("id").to_numpy(), _utf8(rows.column("text")), strict=True):
+            if data:
+                d = np.unique(digests(data, cuts(data)))
+                found.append(d)
+                ids.append(np.full(len(d), i, np.int64))
+        found, ids = np.concatenate(found), np.concatenate(ids)
+        order = np.lexsort((ids, found))
+        found, ids = found[order], ids[order]
+        new = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))[: len(found)])
+        last = np.append(new[1:], len(found))[: len(new)] - 1
+        return pa.table({"digest": found[new], "block": np.full(len(new), key[0].as_py(), np.int64), "first": ids[new], "last": ids[last]})
+
+    return dealt.groupBy("block").applyInArrow(gather, "digest long, block long, first long, last long")
+
+
+def shared_digests(held: DataFrame) -> DataFrame:
+    """(block, digest, first): for each block, those of its digests that two ids or more hold anywhere, and the smallest such id."""
+    shared = held.groupBy("digest").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first < last").select("digest", "first")
+    return held.select("block", "digest").join(shared, "digest").select("block", "digest", "first")
+
+
+ADDED = "repeated boolean, n_repeated_bytes long, n_dropped_bytes long, n_spans long"
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 96, block: int = BLOCK) -> DataFrame:
     """Every row of `docs`, its text without runs that a smaller id holds, with repeated, n_repeated_bytes, n_dropped_bytes and n_spans appended.
 
     `repeated` tells whether the text has any run that another document holds too, the first holder
-    included. Null and empty texts have no chunks and stay. Rows of null id stay as they are; rows of
-    one id are one document. An empty table gives an empty result. Appended names replace columns.
+    included; the n_spans dropped runs are those of chunks that a smaller id holds. Null and empty
+    texts have no chunks and stay. Rows of null id stay as they are; rows of one id are one document.
+    A very long text is one block by itself. An empty table gives an empty result. Appended names
+    replace columns. The texts are dealt by the row, so copies under one id are spread as well.
     """
-    key, shared, later = free(docs, "chunk_row", "shared_runs", "later_runs")
-    runs = repeated_runs(docs, id_col, text_col, min_run).where("size(shared) > 0")
-    runs = runs.select(F.col("id").alias(f"{key}_id"), F.col("row").alias(f"{key}_of"), F.col("shared").alias(shared), F.col("later").alias(later))
-    rows = docs.withColumn(key, F.hash(F.col(id_col).cast("long"), whole(F.col(text_col))))
-    rows = rows.join(runs, (F.col(id_col).cast("long") == F.col(f"{key}_id")) & (F.col(key) == F.col(f"{key}_of")), "left")
-    n_bytes = lambda c: F.aggregate(F.coalesce(c, F.array().cast("array<struct<start:int,end:int>>")), F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    n_later = F.coalesce(F.size(F.col(later)), F.lit(0))
-    new = F.when(n_later > 0, _without(F.col(text_col), F.col(later))).otherwise(F.col(text_col))
-    added = ("repeated", "n_repeated_bytes", "n_dropped_bytes", "n_spans")
+    added = [c.split()[0] for c in ADDED.split(", ")]
     own = [c for c in docs.columns if c.lower() not in added]
-    return rows.select(
-        *[new.alias(c) if c == text_col else F.col(c) for c in own],
-        F.col(shared).isNotNull().alias("repeated"),
-        n_bytes(F.col(shared)).alias("n_repeated_bytes"),
-        n_bytes(F.col(later)).alias("n_dropped_bytes"),
-        n_later.cast("long").alias("n_spans"),
-    )
+    docs = docs.select(*own)
+    (of,) = free(docs, "block")
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    where = F.pmod(F.xxhash64(F.col(id_col).cast("long"), whole(F.col(text_col))), F.lit(total // block + 1))
+    dealt = docs.where(F.col(id_col).isNotNull()).withColumn(of, where)
+    shared = shared_digests(held_digests(dealt.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(of).alias("block"))))
+
+    def mark(key, rows, known):
+        known_digest, known_first = known.column("digest").to_numpy(), known.column("first").to_numpy()
+        order = np.argsort(known_digest)
+        known_digest, known_first = np.append(known_digest[order], 0), known_first[order]
+        texts, facts = [], []
+        for i, data in zip(rows.column(id_col).cast(pa.int64()).to_numpy(), _utf8(rows.column(text_col)), strict=True):
+            shared_runs, later_runs = [], []
+            if data and len(known_first):
+                ends = cuts(data)
+                d = digests(data, ends)
+                at = np.searchsorted(known_digest[:-1], d)
+                hit = (known_digest[at] == d) & (at < len(known_first))
+                shared_runs = runs(ends, hit, min_run)
+                if shared_runs:
+                    later_runs = runs(ends, hit & (known_first[np.minimum(at, len(known_first) - 1)] != i), min_run)
+            size = lambda spans: sum(b - a for a, b in spans)
+            facts.append((bool(shared_runs), size(shared_runs), size(later_runs), len(later_runs)))
+            bounds = [0, *[x for span in later_runs for x in span], None]
+            texts.append(b"".join(data[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True)) if later_runs else data)
+        out = rows.select(own).set_column(own.index(text_col), text_col, pa.array(texts, pa.binary()).view(pa.string()))
+        for name, kind, values in zip(added, (pa.bool_(), *[pa.int64()] * 3), zip(*facts, strict=True) if facts else [[]] * 4, strict=True):
+            out = out.append_column(name, pa.array(values, kind))
+        return out
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [ADDED])
+    marked = dealt.groupBy(of).cogroup(shared.groupBy("block")).applyInArrow(mark, schema)
+    rest = docs.where(F.col(id_col).isNull()).select(*own, *[F.lit(v).cast(c.split()[1]).alias(c.split()[0]) for c, v in zip(ADDED.split(", "), (False, 0, 0, 0), strict=True)])
+    return marked.unionByName(rest)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
