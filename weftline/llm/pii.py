@@ -1,11 +1,13 @@
 """Personal data: seeds by pattern, then bootstrapped contextual extraction, in DataFrame functions only.
 
-Seed entities are the strict matches of each kind. The words around them become lexical patterns,
-and looser candidates (numbers that fail a check sum, written-out addresses, numbers without a
-country code) become instances. Patterns and instances form a graph that is scored in rounds: a
-pattern is worth the share of its distinct instances that are known, an instance what its best
-pattern is worth. Candidates of high worth are added. Contexts, not values, decide, so nothing is
-added where a context also surrounds other things.
+Seed entities are the strict matches of each kind. The words around them become lexical patterns (the
+word before, the two words before, the words on both sides), and a pattern extracts whatever run of
+identifier-like tokens (with a digit or an at sign) stands in its place, of any form. Patterns and
+runs form a graph that is scored in rounds: a pattern is worth the share of its distinct runs that
+are known to be of a kind, and runs in the place of a pattern that is worth enough become known
+themselves, until a round adds nothing. How much is enough is chosen on seeds that are held out.
+Contexts, not forms, decide, so nothing is added where a context also surrounds other things. Runs
+that are a seed written in another way (10[.]0[.]0[.]1) are known from the start.
 """
 
 from __future__ import annotations
@@ -27,27 +29,34 @@ STRICT = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: What a kind may look like beyond that; each needs a context that vouches for it.
-LOOSE = {
-    "email": rf"(?:(?<!{_L})|\G){_L}++ ?[\[(](?:at|AT)[\])] ?{_D}++(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?){_D}++)++",
-    "ip": r"(?:(?<![0-9])|\G)[0-9]{1,3}+(?:\[\.\][0-9]{1,3}+){3}|(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
-    "card": r"(?<![0-9A-Za-z+])[0-9](?:[ ./-]?[0-9]){12,18}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+.])\(?[0-9]{2,4}\)?[ .-][0-9]{2,4}[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?(?![0-9A-Za-z])",
-}
-_HINT = {"email": r"@|\((?:at|AT)\)|\[(?:at|AT)\]", "ip": r"[0-9]\.[0-9]|:[0-9A-Fa-f]{1,4}:|\[\.\]", "card": "[0-9]", "phone": r"[0-9]"}
+_TOKEN = r"(?=\S{0,63}[0-9@])\S{1,64}+(?!\S)"
+#: What contexts may extract: up to 8 tokens of up to 64 characters with a digit or an at sign, in a row unless one ends a clause, or words joined by a written-out at sign.
+RUN = rf"(?<!\S)(?:\S{{1,64}} ?[\[(](?:at|AT)[\])] ?[^\s\[(]{{1,64}}+(?: ?[\[(](?:dot|DOT)[\])] ?[^\s\[(]{{1,64}}+){{0,7}}|{_TOKEN}(?:(?<![,;:.!?\"']) {_TOKEN}){{0,7}})"
+_RUN_HINT = r"[0-9@]|[\[(](?:at|AT)[\])]"
+#: The kind of a run, which has none yet.
+ANY = -1
+_HINT = {"ip": r"[0-9]\.[0-9]", "card": "[0-9]"}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_SPAN = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
-_AROUND = 64
+_FIELDS = ("start", "end", "value", "left", "left2", "right")
+_SPAN = "array<struct<start:int,end:int,value:string,left:string,left2:string,right:string>>"
+
+
+def _context(words: Column) -> Column:
+    """Words as a pattern has them: lower-cased, numbers alike, white space alike."""
+    return F.regexp_replace(F.regexp_replace(F.lower(words), "[0-9]+", "0"), r"\s+", " ")
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches with code point positions and the text around them."""
+    """Leftmost non-overlapping matches with code point positions and the words before and after, up to the match before or after."""
     gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    after = F.slice(F.transform(gaps, lambda g: F.left(g, F.lit(_AROUND))), F.lit(2), F.size(gaps))
+    # words before a match are read from the end of the gap, so that a long gap isn't searched
+    last = lambda g, n: F.reverse(F.regexp_extract(F.reverse(g), r"^\s?\S++" + r"(?:\s++\S++)?" * (n - 1), 0))
+    after = F.slice(F.transform(gaps, lambda g: _context(F.regexp_extract(g, r"^\s?\S++", 0))), F.lit(2), F.size(gaps))
     shaped = F.arrays_zip(
         F.transform(gaps, lambda g: F.char_length(g)).alias("gap"),
-        F.transform(gaps, lambda g: F.right(g, F.lit(_AROUND))).alias("before"),
-        values.alias("value"), after.alias("after"),
+        F.transform(gaps, lambda g: _context(last(g, 1))).alias("left"),
+        F.transform(gaps, lambda g: _context(last(g, 2))).alias("left2"),
+        values.alias("value"), after.alias("right"),
     )
     shaped = F.filter(shaped, lambda x: x["value"].isNotNull())
     none = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("got"))
@@ -55,7 +64,7 @@ def matches(text: Column, pattern: str) -> Column:
     def add(acc, x):
         start = acc["at"] + x["gap"]
         end = start + F.char_length(x["value"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after"))
+        one = F.struct(start.alias("start"), end.alias("end"), *[x[c].alias(c) for c in _FIELDS[2:]])
         return F.struct(end.alias("at"), F.concat(acc["got"], F.array(one)).alias("got"))
 
     return F.aggregate(shaped, none, add, lambda acc: acc["got"])
@@ -74,36 +83,39 @@ def _valid(kind: str, v: Column) -> Column:
     return n.between(14, 19) & F.call_function("luhn_check", _digits(v)) if kind == "card" else n.between(10, 15)
 
 
-def _found(text: Column, kind: str, strict: bool) -> Column:
-    hint = text.contains("@") if kind == "email" and strict else text.contains("+") if kind == "phone" and strict else text.rlike(_HINT[kind])
-    got = matches(text, (STRICT if strict else LOOSE)[kind])
-    if strict:
-        got = F.filter(got, lambda x: _valid(kind, x["value"]))
-    elif kind in ("card", "phone"):
-        got = F.filter(got, lambda x: F.length(_digits(x["value"])).between(*((13, 19) if kind == "card" else (7, 15))))
+def _found(text: Column, kind: str) -> Column:
+    hint = text.contains("@") if kind == "email" else text.contains("+") if kind == "phone" else text.rlike(_HINT[kind])
+    got = F.filter(matches(text, STRICT[kind]), lambda x: _valid(kind, x["value"]))
     return F.when(hint, got).otherwise(F.array().cast(_SPAN))
 
 
-def _tagged(spans: Column, kind: str, seed: bool) -> Column:
-    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end"), x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after"), F.lit(seed).alias("seed")))
+def _runs(text: Column) -> Column:
+    """The runs of `text`, without punctuation around them."""
+
+    def trimmed(x):
+        lead = F.char_length(F.regexp_extract(x["value"], r"^[^0-9\p{L}+(\[]*+", 0))
+        trail = F.char_length(F.regexp_extract(F.reverse(x["value"]), r"^[^0-9\p{L})\]]*+", 0))
+        value = F.substring(x["value"], lead + 1, F.greatest(F.char_length(x["value"]) - lead - trail, F.lit(0)))
+        return F.struct((x["start"] + lead).alias("start"), (x["end"] - trail).alias("end"), value.alias("value"), *[x[c].alias(c) for c in _FIELDS[3:]])
+
+    got = F.filter(F.transform(matches(text, RUN), trimmed), lambda x: x["start"] < x["end"])
+    return F.when(text.rlike(_RUN_HINT), got).otherwise(F.array().cast(_SPAN))
+
+
+def _tagged(spans: Column, kind: int) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), *[x[c].alias(c) for c in _FIELDS[2:]]))
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, found): all strict and loose spans of each row, one pass over the texts, written to the shared folder."""
+    """(id, row, base, runs): the strict spans of each row, and the runs that overlap none of them; one pass over the texts, written to the shared folder."""
     text = F.col("__text")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole(F.col(text_col)).alias("__text"))
     rows = rows.withColumn("row", F.xxhash64("id", "__text"))
-    for strict in (True, False):
-        for kind in KINDS:
-            rows = rows.withColumn(f"__{kind}_{int(strict)}", _found(text, kind, strict))
-    found = [_tagged(F.col(f"__{k}_{int(s)}"), k, s) for s in (True, False) for k in KINDS]
-    return cut(rows.select("id", "row", F.concat(*found).alias("found")), "spans")
-
-
-def _word(s: Column, last: bool) -> Column:
-    """The nearest word with the signs on the way to the match, lower-cased and without digits."""
-    near = F.regexp_extract(s, r"(\S+\s?)$" if last else r"^(\s?\S+)", 1)
-    return F.regexp_replace(F.lower(near), r"[0-9]+|\s+", "")
+    for kind in KINDS:
+        rows = rows.withColumn(f"__{kind}", _found(text, kind))
+    rows = rows.withColumn("__runs", _runs(text)).withColumn("base", F.concat(*[_tagged(F.col(f"__{k}"), i) for i, k in enumerate(KINDS)]))
+    apart = F.filter("__runs", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    return cut(rows.select("id", "row", "base", _tagged(apart, ANY).alias("runs")), "spans")
 
 
 def normal(kind: Column, value: Column) -> Column:
@@ -113,45 +125,94 @@ def normal(kind: Column, value: Column) -> Column:
     return F.coalesce(*[F.when(kind == KINDS.index(k), v) for k, v in ways.items()])
 
 
-def learn(spans: DataFrame, rounds: int = 3, support: int = 3, least: float = 0.8) -> DataFrame:
-    """(kind, value): identifiers that are seeds somewhere, or that patterns of high confidence discover.
+def graph(spans: DataFrame) -> DataFrame:
+    """(pattern, node): which patterns distinct values are found in. spans: kind, value, left, left2, right."""
+    one, two = F.concat(F.lit("l "), "left"), F.concat(F.lit("ll "), "left2")
+    contexts = F.array(F.when(F.trim("left") != "", one), F.when(F.trim("left2").contains(" "), two), F.when((F.trim("left") != "") & (F.trim("right") != ""), F.concat(F.lit("lr "), "left", F.lit(" _ "), "right")))
+    return spans.select(F.explode(F.array_compact(contexts)).alias("pattern"), F.lower("value").alias("node")).distinct()
 
-    spans: id, row, kind, value, before, after, seed. A pattern needs `support` distinct known
-    instances and a smoothed share of known ones of `least`; in each round the instances that it
-    vouches for become known. Counts are distinct over the whole corpus and summed on the map side.
+
+def scored(edges: DataFrame, sizes: DataFrame, known: DataFrame, support: int) -> DataFrame:
+    """(pattern, kind, conf): the smoothed share of a pattern's values that are known to be of a kind, where `support` are."""
+    hits = edges.join(known, "node").groupBy("pattern", "kind").agg(F.count("*").alias("hits")).where(F.col("hits") >= support)
+    return hits.join(sizes, "pattern").select("pattern", "kind", (F.col("hits") / (F.col("n") + 0.5)).alias("conf"))
+
+
+def _best(edges: DataFrame, good: DataFrame) -> DataFrame:
+    """(node, conf, kind): each value's best pattern; a tie goes to the first kind."""
+    best = F.max(F.struct("conf", (-F.col("kind")).alias("k"))).alias("b")
+    return edges.join(good, "pattern").groupBy("node").agg(best).select("node", F.col("b.conf").alias("conf"), (-F.col("b.k")).alias("kind"))
+
+
+LEVELS = (0.5, 0.6, 0.7, 0.8, 0.9)
+
+
+def threshold(edges: DataFrame, seeds: DataFrame, support: int, precision: float) -> float | None:
+    """The lowest of LEVELS at which at least `precision` of the held-out seeds that contexts would add get their own kind; None where contexts add none of them.
+
+    A fifth of the seeds, by a hash, is held out: neither known nor counted in the size of a pattern,
+    but for the one that is judged. Where no seed falls into that fifth, 0.8.
+    """
+    hidden = seeds.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(5)) == 0)
+    if not hidden.limit(1).count():
+        return 0.8
+    shown = edges.join(hidden, "node", "left_anti")
+    sizes = shown.groupBy("pattern").agg((F.count("*") + 1).alias("n"))
+    known = seeds.join(hidden.select("node").distinct(), "node", "left_anti")
+    best = _best(edges.join(hidden.select("node").distinct(), "node", "left_semi"), scored(shown, sizes, known, support))
+    right = F.max((F.col("kind") == F.col("true")).cast("int"))
+    judged = best.join(hidden.select("node", F.col("kind").alias("true")), "node").groupBy("node").agg(F.max("conf").alias("conf"), right.alias("right"))
+    got = judged.agg(*[F.avg(F.when(F.col("conf") >= v, F.col("right"))).alias(f"p{i}") for i, v in enumerate(LEVELS)]).first()
+    return next((v for v, p in zip(LEVELS, got, strict=True) if p is not None and p >= precision), None)
+
+
+def learn(spans: DataFrame, support: int = 3, least: float | None = None, precision: float = 0.95) -> DataFrame:
+    """(kind, node): lower-cased runs that are seeds in another form, or that patterns worth `least` discover.
+
+    spans: kind (ANY for runs), value, left, left2, right. A pattern needs `support` distinct known
+    values. `least` is chosen by threshold() where it isn't given. A value that several kinds'
+    patterns discover takes the surest one's. Values only ever become known, so the rounds end;
+    counts are distinct over the whole corpus and summed on the map side.
     """
-    value = normal(F.col("kind"), F.col("value"))
-    left, right = _word(F.col("before"), True), _word(F.col("after"), False)
-    two = F.lower(F.regexp_replace(F.regexp_extract("before", r"(\S+\s+\S+\s?)$", 1), r"[0-9]+|\s+", " "))
-    contexts = F.array(F.concat(F.lit("l "), left), F.concat(F.lit("ll "), two), F.concat(F.lit("lr "), left, F.lit(" _ "), right))
-    edges = spans.select("kind", value.alias("value"), "seed", F.explode(F.filter(contexts, lambda c: F.length(F.trim(c)) > 4)).alias("pattern"))
-    edges = cut(edges.groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed")), "graph")
-    known = edges.groupBy("kind", "value").agg(F.max(F.col("seed").cast("double")).alias("worth"))
-    for _ in range(rounds):
-        scored = edges.join(known, ["kind", "value"]).groupBy("kind", "pattern").agg(F.sum("worth").alias("sum"), F.count("*").alias("n"), F.sum((F.col("worth") >= least).cast("long")).alias("sure"))
-        good = scored.select("kind", "pattern", (F.col("sum") / (F.col("n") + 0.5)).alias("conf"), "sure").where((F.col("sure") >= support) & (F.col("conf") >= least))
-        known = edges.join(good, ["kind", "pattern"], "left").groupBy("kind", "value").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(F.coalesce("conf", F.lit(0.0)))).alias("worth"))
-        known = cut(known, "known")
-    return known.where(F.col("worth") >= least).select("kind", "value")
+    seeds = spans.where(F.col("kind") != ANY).select("kind", F.lower("value").alias("node"), normal(F.col("kind"), F.col("value")).alias("form")).distinct()
+    runs = spans.where(F.col("kind") == ANY).select(F.lower("value").alias("node"), "value").distinct()
+    forms = runs.select("node", "value", F.explode(F.array(*[F.lit(i) for i in range(len(KINDS))])).alias("kind"))
+    forms = forms.select("node", "kind", normal(F.col("kind"), F.col("value")).alias("form")).join(seeds.select("kind", "form").distinct(), ["kind", "form"], "left_semi")
+    seeds = cut(seeds.select("kind", "node").distinct(), "seeds")
+    found = cut(forms.select("kind", "node").distinct(), "known")
+    edges = cut(graph(spans), "graph")
+    least = threshold(edges, seeds, support, precision) if least is None else least
+    if least is None:
+        return found
+    sizes = cut(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support), "sizes")
+    while True:
+        known = seeds.unionByName(found).distinct()
+        good = scored(edges, sizes, known, support).where(F.col("conf") >= least)
+        new = _best(edges.join(known.select("node").distinct(), "node", "left_anti"), good).select("kind", "node")
+        new = cut(new, "known")
+        if not new.limit(1).count():
+            return found
+        found = cut(found.unionByName(new), "known")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """(id, row, base, spans) for each row of `docs`: arrays of (start, kind, end), ends exclusive, in code points.
 
-    `base` are the strict matches, `spans` those and what contexts add, as well as loose forms of what is
-    a strict match anywhere; a span that overlaps a base span isn't added. `row` tells rows of one id apart. Null and empty texts have none. Repeated rows
-    get equal spans. An empty table gives an empty result.
+    `base` are the strict matches, `spans` those and what contexts add, as well as other forms of what is
+    a strict match anywhere; a span that overlaps a base span isn't added. `row` tells rows of one id
+    apart. Null and empty texts have none. Repeated rows get equal spans and count once in the graph.
+    An empty table gives an empty result. Texts of any length are read whole; tokens of more than 64
+    characters are no identifiers.
     """
     got = scan(docs, id_col, text_col)
-    each = got.select("id", "row", F.explode("found").alias("x")).select("id", "row", "x.*")
+    each = got.select("id", "row", F.explode(F.concat("base", "runs")).alias("x")).select("id", "row", "x.*")
     new = learn(each, **how)
-    value = normal(F.col("kind"), F.col("value"))
-    added = each.where("not seed").withColumn("v", value).join(new.select(F.col("kind").alias("k"), F.col("value").alias("nv")), (F.col("kind") == F.col("k")) & (F.col("v") == F.col("nv")), "left_semi")
+    added = each.where(F.col("kind") == ANY).drop("kind").withColumn("node", F.lower("value")).join(new, "node")
     added = added.groupBy(F.col("id").alias("aid"), F.col("row").alias("arow")).agg(F.collect_set(F.struct("start", "kind", "end")).alias("added"))
-    base = F.array_sort(F.transform(F.filter("found", lambda x: x["seed"]), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
+    base = F.array_sort(F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
     got = got.select("id", "row", base.alias("base")).join(added, F.col("id").eqNullSafe(F.col("aid")) & (F.col("row") == F.col("arow")), "left")
-    apart = F.filter(F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>")), lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return got.select("id", "row", "base", F.array_sort(F.concat("base", apart)).alias("spans"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    return got.select("id", "row", "base", F.array_sort(F.concat("base", F.coalesce("added", none))).alias("spans"))
 
 
 def as_text(spans: Column) -> Column:
