@@ -205,24 +205,6 @@ def test_pages(spark):
     assert html_extract.extract(df.limit(0), html_extract.fit(df.limit(0))).count() == 0
 
 
-def test_wrappers_and_boilerplate_within():
-    import duckdb
-
-    pages = [r[0] for r in duckdb.sql("SELECT html FROM '/root/testdata/sf0.001/pages.parquet' ORDER BY page_id LIMIT 100").fetchall()]
-    known = [b for p in pages for b in html_extract.blocks(p) if b.sure]
-    w = html_extract.fit_shape(np.array([html_extract.shape(b) for b in known]), np.array([float(b.sure > 0) for b in known]))
-    lines = [f"The river rose again in the year {k}, and the people of the town moved their boats to higher ground." for k in range(4)]
-    body = "".join(f"<p>{x}</p>" for x in lines)
-    for start, end in [('<div class="site has-sidebar">', "</div>"), ('<div class="no-comments">', "</div>"), ('<div class="with-banner">', "</div>"), ('<div class="content-sidebar">', "</div>"),
-                       ('<div class="banner">', "</div>"), ('<form action="x.aspx">', "</form>")]:
-        assert html_extract.main_blocks(f"<body>{start}<article>{body}</article>{end}<footer>c</footer>", w) == lines, start
-    assert html_extract.main_blocks(f'<body><form action="x.aspx"><div>{body}</div></form>', w) == lines
-    links = "".join(f"<li><a href=x>Go {k}</a></li>" for k in range(6))
-    assert html_extract.main_blocks(f"<body><article>{body}<ul>{links}</ul></article>", w) == lines
-    for outer in ('<div id="comments">', "<aside>", "<div hidden>"):
-        assert html_extract.main_blocks(f"<body><article>{body}</article>{outer}<article><a href=x>More on boats</a></article>", w) == lines, outer
-
-
 def test_min_cut_is_least():
     rng = np.random.default_rng(3)
     for _ in range(60):

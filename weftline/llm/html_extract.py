@@ -1,10 +1,11 @@
 """HTML extraction by minimum-cut labelling.
 
 A page becomes a sequence of blocks of text. Costs of calling a block content or boilerplate are its
-terminal capacities: what its elements and their names say, plus a logistic regression on the shape
-of the text, fitted on blocks of pages whose elements leave no doubt. Neighbours in the page and
-siblings in the DOM are joined by smoothness edges, and a minimum cut separates content from
-boilerplate.
+terminal capacities: a logistic regression on the shape of the text, its place in the page and in the
+tree, and on what its elements and their names say, fitted on blocks of pages whose elements leave no
+doubt, half of them without what the elements say, so that text and place have weights of their own.
+Neighbours in the page and siblings in the DOM are joined by smoothness edges, and a minimum cut
+separates content from boilerplate.
 """
 
 from __future__ import annotations
@@ -21,15 +22,15 @@ from pyspark.sql import types as T
 
 from weftline.llm.columns import free
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|aria-label|itemprop|hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-_NAME = re.compile(r"\S+")
-_NOT_LETTERS = re.compile(r"[^a-z]+")
-_QUALIFIER = re.compile(r"^(?:site|page|post|entry|article)[-_]+(?=.)")
+# a quote opens a value only after an equals sign, as in HTML
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"(?<![\w-])(class|id|role|aria-label|hidden|style)(?![\w-])(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_PARTS = re.compile(r"[^a-z]+")
 _WORDS = re.compile(r"\S+")
 
 # fixed values: HTML element names by role
-RAW = frozenset("script style noscript template textarea iframe object svg math canvas audio video select title".split())
+RAW = frozenset("script style noscript template textarea iframe object svg canvas audio video select title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -39,53 +40,81 @@ CLOSES_P = BLOCK - {"body", "html", "head"}
 BAD_TAGS = frozenset("nav footer aside form header menu button dialog head fieldset option".split())
 GOOD_TAGS = frozenset("article main".split())
 BAD_NAMES = frozenset(
-    "nav navbar navigation menu breadcrumb breadcrumbs footer foot header masthead sidebar side aside widget ad ads advert advertisement adverts banner promo "
-    "promoted sponsor sponsored cookie cookies consent notice alert gdpr popup modal overlay comment comments commentlist discussion disqus reply replies respond "
+    "nav navbar navigation menu breadcrumb breadcrumbs footer foot header masthead sidebar side aside widget widgets ad ads advert adverts advertisement advertising banner promo "
+    "promoted promotion sponsor sponsored cookie cookies consent notice alert gdpr popup modal overlay comment comments commentlist discussion disqus reply replies respond "
     "share sharing social related recommended recommendations login signin signup subscribe newsletter search form copyright legal pagination pager toolbar".split()
 )
 GOOD_NAMES = frozenset("article content post entry story maincontent articlebody posttext".split())
+#: Parts of names that say where or what shape something is.
+NEUTRAL = frozenset("site page post posts entry article list area box block section wrap wrapper container left right top bottom inner outer item items link links bar primary secondary global text message panel group row".split())
 #: Names and elements that an article within doesn't lift: comments, teasers and advertisements are often articles, too.
 FIRM = BAD_TAGS - {"form", "header"} | frozenset(
-    "nav navbar navigation menu ad ads advert advertisement adverts promo promoted sponsor sponsored cookie cookies consent popup modal comment comments commentlist "
+    "navbar navigation ad ads advert adverts advertisement advertising promo promoted promotion sponsor sponsored cookie cookies consent popup modal comment comments commentlist "
     "discussion disqus reply replies respond related recommended recommendations".split()
 )
-#: Priors of the order of the shape model's costs (at most 3), so that the cut can overrule a name or an element; a form may be the whole page.
-BAD, GOOD, FORM, HIDDEN = 3.0, 2.0, 1.0, 24.0
+#: Elements whose names say what they hold; those of headings are often made from their text.
+HOLDERS = BLOCK - frozenset("html body head main article h1 h2 h3 h4 h5 h6 p td th tr tbody thead pre blockquote figure figcaption caption dt dd hr".split())
+
+
+class Element:
+    __slots__ = ("tag", "parent", "bad", "firm", "good", "hidden", "size", "has_main", "state")
+
+    def __init__(self, tag, parent, bad=False, firm=False, good=False, hidden=False):
+        self.tag, self.parent, self.bad, self.firm, self.good, self.hidden = tag, parent, bad, firm, good, hidden
+        self.size, self.has_main, self.state = 0.0, False, (0, 0, False, False)
 
 
 class Block:
-    __slots__ = ("text", "linked", "tag", "parent", "prior", "sure")
+    """Text with the share of it in links, its tag, parent and depth, and what its elements say: `said` 1 for content, -1 for boilerplate, else 0; `hidden` is never content."""
 
-    def __init__(self, text, linked, tag, parent, prior, sure):
-        self.text, self.linked, self.tag, self.parent, self.prior, self.sure = text, linked, tag, parent, prior, sure
+    __slots__ = ("text", "linked", "tag", "parent", "depth", "element", "said", "hidden", "place")
 
+    def __init__(self, text, linked, tag, parent, depth, element):
+        self.text, self.linked, self.tag, self.parent, self.depth, self.element = text, linked, tag, parent, depth, element
+        self.said, self.hidden, self.place = 0, False, 0.0
 
-def _names(attrs: str) -> tuple[list[str], bool]:
-    names, hidden = [], False
-    for key, value in _ATTR.findall(attrs):
-        key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            hidden = True
-        elif key != "style":
-            # whole names: has-sidebar and no-comments say nothing of what is inside
-            names += [_NOT_LETTERS.sub("", _QUALIFIER.sub("", x)) for x in _NAME.findall(value)]
-    return names, hidden
+
+def _bad_name(name: str) -> tuple[bool, bool]:
+    """Whether a class or id names boilerplate, and firmly: all its parts do, but for those that say nothing; has-sidebar and no-comments don't."""
+    whole = _PARTS.sub("", name.lower())
+    parts = {whole} if whole in BAD_NAMES else {x for x in _PARTS.split(_HUMP.sub("-", name).lower()) if x and x not in NEUTRAL}
+    return bool(parts) and parts <= BAD_NAMES, bool(parts & FIRM) and parts <= BAD_NAMES
+
+
+def _element(tag: str, attrs: str, parent: int, in_good: bool) -> Element:
+    e = Element(tag, parent)
+    for key, value in _ATTR.findall(attrs) if attrs else ():
+        key, value = key.lower(), value.strip("\"'")
+        if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            e.hidden = True
+        elif key != "style" and tag not in ("html", "body", "main", "article"):
+            for name in [value] if key == "aria-label" else value.split():
+                bad, firm = _bad_name(name)
+                # an id within an article is a place to link to; a paragraph's class counts where it is firm
+                if bad and (tag in HOLDERS and (key != "id" or firm or not in_good) or tag in ("p", "blockquote", "figure") and firm and key == "class"):
+                    e.bad, e.firm = True, e.firm or firm
+                elif tag in HOLDERS and _PARTS.sub("", name.lower()) in GOOD_NAMES:
+                    e.good = True
+    if tag in BAD_TAGS and not (tag == "header" and in_good):
+        e.bad, e.firm = True, e.firm or tag in FIRM
+    return e
 
 
 def blocks(source: str) -> list[Block]:
     """The page's blocks of text in order. Unclosed and crossed tags are closed as browsers do; scripts, styles, comments and hidden elements have no text."""
     out: list[Block] = []
-    stack: list[tuple[str, int, float, int, bool]] = [("", 0, 0.0, 0, False)]  # tag, number, prior so far, certainty: 1 content, -1 boilerplate, 0 neither, whether no article within lifts it
+    elements = [Element("", -1)]
+    stack: list[tuple[str, int]] = [("", 0)]
     parts: list[str] = []
-    linked, in_link, number, at = 0, 0, 0, 0
-    raw_until = None
+    linked, in_link, at, in_article = 0, 0, 0, 0
 
     def flush():
         nonlocal linked
         text = " ".join(_html.unescape("".join(parts)).split())
         if text:
-            tag, _, prior, sure, _ = stack[-1]
-            out.append(Block(text, min(1.0, linked / len(text)), tag, stack[-2][1] if len(stack) > 1 and tag in ("p", "li", "h1", "h2", "h3", "td") else stack[-1][1], prior, sure))
+            tag, number = stack[-1]
+            up = stack[-2][1] if len(stack) > 1 and tag in ("p", "li", "h1", "h2", "h3", "h4", "td", "th", "dd", "dt") else number
+            out.append(Block(text, min(1.0, linked / len(text)), tag, up, len(stack), number))
         parts.clear()
         linked = 0
 
@@ -96,6 +125,11 @@ def blocks(source: str) -> list[Block]:
             if in_link:
                 linked += len(chunk.strip())
 
+    def leave(k):
+        nonlocal in_article
+        in_article -= sum(t in GOOD_TAGS for t, _ in stack[k:])
+        del stack[k:]
+
     while True:
         m = _TAG.search(source, at)
         if m is None:
@@ -121,68 +155,96 @@ def blocks(source: str) -> list[Block]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == name:
                         flush()
-                        del stack[k:]
+                        leave(k)
                         in_link = 0
                         break
                 else:
                     flush()
             elif len(stack) > 1 and stack[-1][0] == name:
                 flush()
-                del stack[-1:]
+                leave(len(stack) - 1)
             continue
-        names, hidden = _names(attrs) if attrs else ((), False)
-        inner_bad = any(x in BAD_NAMES for x in names)
-        if name not in BLOCK and not (inner_bad or hidden) or name in VOID:
+        element = _element(name, attrs, 0, in_article > 0)
+        if name not in BLOCK and not element.hidden or name in VOID:
             if name == "hr":
                 flush()
             continue
         flush()
         if name in CLOSES_P and stack[-1][0] == "p":
-            del stack[-1:]
+            leave(len(stack) - 1)
         if name in ("li", "dt", "dd", "td", "th", "tr", "option"):
             same = ("li",) if name == "li" else ("dt", "dd") if name in ("dt", "dd") else ("option",) if name == "option" else ("td", "th") if name != "tr" else ("td", "th", "tr")
             while stack[-1][0] in same:
-                del stack[-1:]
-        tag, _, prior, sure, firm = stack[-1]
-        whole = name in ("html", "body", "article", "main")
-        if hidden:
-            prior, sure, firm = -HIDDEN, -1, True
-        elif inner_bad and not whole:
-            prior, sure, firm = min(prior, 0.0) - BAD, -1, firm or name in FIRM or any(x in FIRM for x in names)
-        elif name == "form":
-            prior -= FORM
-        elif name in BAD_TAGS:
-            if name != "header" or sure != 1:
-                prior, sure, firm = min(prior, 0.0) - BAD, -1, firm or name in FIRM
-        elif name in GOOD_TAGS or any(x in GOOD_NAMES for x in names):
-            if not firm and (name in GOOD_TAGS or sure != -1):
-                prior, sure = max(prior, 0.0) + GOOD, 1
-        number += 1
-        stack.append((name, number, prior if firm and prior <= -HIDDEN else max(-2 * BAD, min(2 * GOOD, prior)), sure, firm))
+                leave(len(stack) - 1)
+        element.parent = stack[-1][1]
+        elements.append(element)
+        stack.append((name, len(elements) - 1))
+        in_article += name in GOOD_TAGS
     flush()
+    _say(out, elements)
     return out
 
 
-_SHAPE = 9
+def _say(found: list[Block], elements: list[Element]) -> None:
+    """What the elements say of each block: the innermost of them that says anything, but for wrappers of the page."""
+    for b in found:
+        elements[b.element].size += len(b.text) * (1 - b.linked)
+    for e in reversed(elements[1:]):
+        up = elements[e.parent]
+        up.size += e.size
+        up.has_main |= e.has_main or e.tag in ("article", "main", "h1")
+    total = elements[0].size
+    for e in elements[1:]:
+        said, held, firm, hidden = elements[e.parent].state
+        # what holds the article or most of the page's text is no sidebar, whatever its name
+        wrapper = not e.firm and (e.has_main or 2 * e.size > total)
+        if e.hidden:
+            hidden = True
+        elif e.bad and not wrapper:
+            said, firm = -1, firm or e.firm
+        elif (e.tag in GOOD_TAGS or e.good and said == 0) and not firm:
+            said = 1
+        e.state = said, held, firm, hidden
+    for k, b in enumerate(found):
+        b.said, _, _, b.hidden = elements[b.element].state
+        b.place = k / len(found)
+
+
+#: What the costs are made of, and the weight of each before any page is seen.
+PRIOR = {
+    "any": -0.5, "log words": 0.3, "in links": -3.0, "words that end a clause": 1.0, "ends a sentence": 0.7, "heading": 1.0, "paragraph": 1.0, "list item": -0.5,
+    "copyright or bars": -1.0, "log depth": 0.0, "near an end of the page": 0.0, "elements say boilerplate": -6.0, "elements say content": 3.0,
+}
+_SAID = 2  # the last features, which half of the fitted rows don't have
 
 
 def shape(b: Block) -> list[float]:
-    """Features of a block's text alone."""
+    """Features of a block's text, of its place, and of what its elements say."""
     words = _WORDS.findall(b.text)
     n = len(words)
-    ends = sum(w[-1] in ".!?:;" for w in words)
-    return [1.0, math.log1p(n), b.linked, min(1.0, ends / n), float(b.text[-1] in ".!?"), float(b.tag in ("h1", "h2", "h3")), float(b.tag in ("p", "pre", "blockquote")), float(b.tag == "li"), float("©" in b.text or "|" in b.text)]
+    ends = sum(w[-1] in ".!?:;," for w in words)
+    return [
+        1.0, math.log1p(n), b.linked, min(1.0, 5 * ends / n), float(b.text[-1] in ".!?:"), float(b.tag in ("h1", "h2", "h3", "h4")), float(b.tag in ("p", "pre", "blockquote")), float(b.tag == "li"), float("©" in b.text or "|" in b.text),
+        math.log1p(b.depth), abs(2 * b.place - 1), float(b.said < 0), float(b.said > 0),
+    ]
 
 
 def fit_shape(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
-    """Logistic regression by Newton's method, with a ridge, each class weighing the same; zeros where a class is missing."""
+    """Logistic regression by Newton's method, drawn to PRIOR by a ridge, each class weighing the same; PRIOR where a class is missing.
+
+    Every row comes twice, once without what its elements say, as that is what made its label.
+    """
+    prior = np.array(list(PRIOR.values()))
     if len(y) == 0 or y.min() == y.max():
-        return np.zeros(_SHAPE)
-    w, weight = np.zeros(x.shape[1]), np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y <= 0).mean())
+        return prior
+    bare = x.copy()
+    bare[:, -_SAID:] = 0
+    x, y = np.concatenate([x, bare]), np.concatenate([y, y])
+    w, weight = prior.copy(), np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y <= 0).mean()) * min(1.0, 400 / len(y))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (p - y)) + w
-        step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + np.eye(len(w)), grad)
+        grad = x.T @ (weight * (p - y)) + 2 * (w - prior)
+        step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + 2 * np.eye(len(w)), grad)
         w = w - step
         if abs(step).max() < 1e-8:
             break
@@ -286,26 +348,47 @@ def _max_flow(source, sink, to, cap, out) -> list[bool]:
     return reach
 
 
-def main_blocks(source: str | None, weights: np.ndarray) -> list[str]:
-    """The texts of the page's content blocks, in order."""
-    found = blocks(source or "")
-    if not found:
-        return []
-    x = np.clip(np.array([shape(b) for b in found]) @ weights, -3, 3)
-    score = [b.prior + float(v) + 0.25 for b, v in zip(found, x, strict=True)]
+def costs(found: list[Block], weights: np.ndarray) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Each block's score, positive for content, and the smoothness edges between neighbours in the page and siblings in the tree."""
+    score = np.clip(np.array([shape(b) for b in found]) @ weights, -4, 4)
+    score = [-24.0 if b.hidden else float(v) for b, v in zip(found, score, strict=True)]
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
-            edges.append((i - 1, i, 1.0 if found[i - 1].parent == b.parent else 0.3))
+            edges.append((i - 1, i, 1.2 if found[i - 1].parent == b.parent else 0.3))
         if last.get(b.parent, i - 1) != i - 1:
-            edges.append((last[b.parent], i, 0.7))
+            edges.append((last[b.parent], i, 0.9))
         last[b.parent] = i
-    keep = min_cut(score, edges)
+    return score, edges
+
+
+def main_blocks(source: str | None, weights: np.ndarray) -> list[str]:
+    """The texts of the page's content blocks, in order."""
+    found = blocks(source or "")
+    if not found:
+        return []
+    keep = min_cut(*costs(found, weights))
     return [b.text for b, k in zip(found, keep, strict=True) if k]
 
 
+def cut_changes(pages: DataFrame, weights: np.ndarray, html_col: str = "html") -> DataFrame:
+    """(blocks, changed): how many blocks there are, and how many the cut labels otherwise than their own cost would."""
+
+    def count(batches):
+        for pdf in batches:
+            n = changed = 0
+            for source in pdf["html"]:
+                found = blocks(source if isinstance(source, str) else "")
+                if found:
+                    score, edges = costs(found, weights)
+                    n, changed = n + len(found), changed + sum(k != (v >= 0) for k, v in zip(min_cut(score, edges), score, strict=True))
+            yield pd.DataFrame({"blocks": [n], "changed": [changed]})
+
+    return pages.select(F.col(html_col).alias("html")).mapInPandas(count, "blocks long, changed long").agg(F.sum("blocks").alias("blocks"), F.sum("changed").alias("changed"))
+
+
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = 400, most: int = 50) -> np.ndarray:
-    """Weights of the shape model, from the blocks of at most `sample` pages (taken by a hash of the id), `most` a page, whose elements leave no doubt. What comes to the driver is bounded by sample * most rows of 10 floats."""
+    """Weights of the shape model, from the blocks of at most `sample` pages (taken by a hash of the id), `most` a page, whose elements leave no doubt. What comes to the driver is bounded by sample * most rows of 14 floats."""
     span = 1 << 40
     n = pages.count()
     share = int(min(1.0, 2 * sample / max(n, 1)) * span)
@@ -314,11 +397,11 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sampl
 
     def shapes(batches):
         for pdf in batches:
-            x = [np.array([float(b.sure > 0), *shape(b)]).tobytes() for s in pdf["html"] for b in blocks(s if isinstance(s, str) else "")[:most] if b.sure]
+            x = [np.array([float(b.said > 0), *shape(b)]).tobytes() for s in pdf["html"] for b in blocks(s if isinstance(s, str) else "")[:most] if b.said and not b.hidden]
             yield pd.DataFrame({"x": pd.Series(x, dtype=object)})
 
     got = sorted(bytes(r["x"]) for r in rows.mapInPandas(shapes, "x binary").collect())
-    x = np.array([np.frombuffer(b) for b in got]).reshape(-1, _SHAPE + 1)
+    x = np.array([np.frombuffer(b) for b in got]).reshape(-1, len(PRIOR) + 1)
     return fit_shape(x[:, 1:], x[:, 0])
 
 
