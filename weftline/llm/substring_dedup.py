@@ -94,12 +94,12 @@ def _utf8(texts: pa.ChunkedArray):
         yield x.as_py()
 
 
-def held_digests(dealt: DataFrame) -> DataFrame:
-    """(digest, block, first, last): each block's distinct digests and the smallest and largest id there. dealt: id, text, block."""
+def held_digests(dealt: DataFrame, id_col: str, text_col: str, of: str) -> DataFrame:
+    """(digest, block, first, last): each block's distinct digests and the smallest and largest id there. `of` is the column of blocks."""
 
     def gather(key, rows):
         found, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, data in zip(rows.column("id").to_numpy(), _utf8(rows.column("text")), strict=True):
+        for i, data in zip(rows.column(id_col).cast(pa.int64()).to_numpy(), _utf8(rows.column(text_col)), strict=True):
             if data:
                 d = np.unique(digests(data, cuts(data)))
                 found.append(d)
@@ -111,7 +111,7 @@ def held_digests(dealt: DataFrame) -> DataFrame:
         last = np.append(new[1:], len(found))[: len(new)] - 1
         return pa.table({"digest": found[new], "block": np.full(len(new), key[0].as_py(), np.int64), "first": ids[new], "last": ids[last]})
 
-    return dealt.groupBy("block").applyInArrow(gather, "digest long, block long, first long, last long")
+    return dealt.groupBy(of).applyInArrow(gather, "digest long, block long, first long, last long")
 
 
 def shared_digests(held: DataFrame) -> DataFrame:
@@ -139,7 +139,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     where = F.pmod(F.xxhash64(F.col(id_col).cast("long"), whole(F.col(text_col))), F.lit(total // block + 1))
     dealt = docs.where(F.col(id_col).isNotNull()).withColumn(of, where)
-    shared = shared_digests(held_digests(dealt.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(of).alias("block"))))
+    # where there are no other columns, the texts are shuffled once for both uses
+    shared = shared_digests(held_digests(dealt.select(*[c for c in dealt.columns if c in (id_col, text_col, of)]), id_col, text_col, of))
 
     def mark(key, rows, known):
         known_digest, known_first = known.column("digest").to_numpy(), known.column("first").to_numpy()
