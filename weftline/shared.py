@@ -1,7 +1,7 @@
 """The folder that driver and executors share, and tables written there to cut lineage.
 
 The cluster names the folder in `spark.checkpoint.dir`; only where that is unset (tests, a laptop)
-a temporary folder is taken. Tables written here are ordinary Parquet, so a lost executor costs a
+a temporary folder is taken, and only where the master is local. Tables written here are ordinary Parquet, so a lost executor costs a
 reread and not a recomputation of everything before.
 """
 
@@ -17,22 +17,24 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session, or a folder set once where there is none."""
+    """`spark.checkpoint.dir` of the session, or a folder set once where there is none and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         sc = spark.sparkContext
         base = sc.getCheckpointDir()
         if not base:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
             base = sc.getCheckpointDir()
     return base.rstrip("/")
 
 
-def cut(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write `df` into the shared folder and read it again."""
+def cut(df: DataFrame, label: str = "table", by: str | None = None) -> DataFrame:
+    """Write `df` into the shared folder, in folders by the column `by` if given, and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
