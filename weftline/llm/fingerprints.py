@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.columns import ascii_lower, strip, whole
+from weftline.llm.columns import ascii_lower, free, strip, whole
 
-WORDS, FRACTION_BITS = 5, 2  # five-word shingles; hashes below 2^(32 - 2), a fourth of them, are kept
+WORDS, FRACTION_BITS = 5, 1  # five-word shingles; hashes below 2^(32 - 1), half of them, are kept
+#: Rows of a range of with_next, about, and ranges in a first-level group of them.
+RANGE_ROWS, FAN = 4000, 1000
 
 
 def words_of(text: Column) -> Column:
@@ -60,48 +62,81 @@ def merge(a: Column, b: Column) -> Column:
 
 
 def fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fingerprint", k: int = WORDS, bits: int = FRACTION_BITS) -> DataFrame:
-    """`docs` with the text's fingerprint as a string in `out` (a column of that name is replaced). Null text is empty; an empty fingerprint is ''."""
+    """`docs` with the text's fingerprint as a string in `out` (a column of that name is replaced).
+
+    Null text is empty; an empty fingerprint is ''. Texts of any length are read whole; equal texts
+    have equal fingerprints, in repeated rows too. An empty table gives an empty result.
+    """
     own = [c for c in docs.columns if c.lower() != out.lower()]
-    rows = docs.withColumn("__words", words_of(whole(F.col(text_col))))
-    return rows.select(*own, to_text(sketch_of(F.col("__words"), k, bits)).alias(out))
+    (words,) = free(docs, "words")
+    rows = docs.withColumn(words, words_of(whole(F.col(text_col))))
+    return rows.select(*own, to_text(sketch_of(F.col(words), k, bits)).alias(out))
 
 
-def with_next(docs: DataFrame, id_col: str, value_cols: dict[str, Column], max_buckets: int = 10_000) -> DataFrame:
-    """`docs` (id_col and other columns) with the next row's values, in ascending id, the first row's after the last.
+def range_starts(docs: DataFrame, id_col: str, rows: int = RANGE_ROWS, fan: int = FAN) -> list[list[int]]:
+    """The least ids of ranges of about `rows` rows, in order, in groups of about `fan` ranges; [[0]] where no row has an id.
 
-    The ids are cut into ranges of about equal counts at ids that are there; only their bounds, at
-    most `max_buckets`, come to the driver. Each range's first row is also sent to the range before
-    it, so each range finds its successors alone and no task sees the whole order. value_cols are
-    computed after rows are dealt, so what they hold isn't shuffled. Rows of one id come in the order
-    of their hash, rows of null id last.
+    Quantiles are taken of all ids, and where those make more ranges than a group holds, of each
+    group's again, on the executors. What comes to the driver is 8 bytes for every `rows` rows.
     """
     n = docs.count()
-    buckets = int(min(max_buckets, max(16, n // 2000)))
-    marks = [i / buckets for i in range(buckets)]
-    got = docs.agg(F.min(id_col).alias("lo"), F.percentile_approx(id_col, marks, max(10_000, 20 * buckets)).alias("q")).first()
+    ranges = max(16, n // rows)
+    marks = lambda k: [i / k for i in range(k)]
+    upper = min(ranges, fan)
+    got = docs.agg(F.min(id_col).alias("lo"), F.percentile_approx(id_col, marks(upper), max(10_000, 20 * upper)).alias("q")).first()
     starts = sorted({v for v in [got["lo"], *(got["q"] or [])] if v is not None}) or [0]
-    width = int(len(starts) ** 0.5) + 1
-    rows = [starts[i : i + width] for i in range(0, len(starts), width)]
-    literal = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
-    at_most = lambda values, v: F.size(F.filter(values, lambda x: x <= v)) - 1
-    row = F.greatest(at_most(literal([r[0] for r in rows]), F.col(id_col)), F.lit(0))
-    here = F.array(*[literal(r) for r in rows])
-    last = len(starts) - 1
-    dealt = docs.withColumn("__row", row)
-    dealt = dealt.withColumn("__start", F.get(here, F.col("__row")))
-    dealt = dealt.withColumn("__bucket", F.when(F.col(id_col).isNull(), last).otherwise(F.col("__row") * width + F.greatest(at_most(F.col("__start"), F.col(id_col)), F.lit(0))))
-    first = F.array_contains(F.col("__start"), F.col(id_col))
-    copies = F.when(first, F.array(F.struct(F.col("__bucket").alias("b"), F.lit(0).alias("extra")), F.struct(F.pmod(F.col("__bucket") - 1, F.lit(last + 1)).alias("b"), F.lit(1).alias("extra"))))
-    copies = F.coalesce(copies, F.array(F.struct(F.col("__bucket").alias("b"), F.lit(0).alias("extra"))))
-    dealt = dealt.withColumn("__copy", F.explode(copies)).withColumn("__b", F.col("__copy.b")).withColumn("__extra", F.col("__copy.extra")).drop("__row", "__start", "__bucket", "__copy")
-    dealt = dealt.repartition("__b")
+    if ranges <= fan:
+        width = int(len(starts) ** 0.5) + 1
+        return [starts[i : i + width] for i in range(0, len(starts), width)]
+    lower = -(-ranges // fan)
+    group = _at_most(_literal(starts), F.col(id_col))
+    cells = docs.where(F.col(id_col).isNotNull()).groupBy(group.alias("g")).agg(F.min(id_col).alias("lo"), F.percentile_approx(id_col, marks(lower), max(10_000, 20 * lower)).alias("q")).collect()
+    return [sorted({r["lo"], *r["q"]}) for r in sorted(cells, key=lambda r: r["g"])]
+
+
+def _literal(values: list[int]) -> Column:
+    return F.array(*[F.lit(v).cast("long") for v in values])
+
+
+def _at_most(values: Column, v: Column) -> Column:
+    """The place of the last of sorted `values` that isn't more than v, the first where none is."""
+    return F.greatest(F.size(F.filter(values, lambda x: x <= v)) - 1, F.lit(0))
+
+
+def with_next(docs: DataFrame, id_col: str, value_cols: dict[str, Column], rows: int = RANGE_ROWS, fan: int = FAN) -> DataFrame:
+    """`docs` (id_col and other columns) with the next row's values, in ascending id, the first row's after the last.
+
+    The ids are cut into ranges of about `rows` rows at ids that are there; their bounds, 8 bytes a
+    range, are broadcast as one row. Each range's first row is also sent to the range before it, so
+    each range finds its successors alone and no task sees the whole order. value_cols are computed
+    after rows are dealt, so what they hold isn't shuffled; their columns and next_* replace columns
+    of those names, and no other column is touched. Rows of one id come in the order of their hash,
+    rows of null id last. An empty table gives an empty result.
+    """
+    names = [c for c in docs.columns if c.lower() not in {k.lower() for k in value_cols} | {f"next_{c}".lower() for c in [*docs.columns, *value_cols]}]
+    docs = docs.select(*names)
+    bounds, row, start, bucket, copy, b, extra = free(docs.select("*", *[F.lit(0).alias(c) for k in [*names, *value_cols] for c in (f"next_{k}",)], *[F.lit(0).alias(k) for k in value_cols]), "bounds", "row", "start", "bucket", "copy", "b", "extra")
+    starts = range_starts(docs, id_col, rows, fan)
+    width = max(map(len, starts))
+    last = (len(starts) - 1) * width + len(starts[-1]) - 1
+    table = docs.sparkSession.createDataFrame([(starts, [r[0] for r in starts])], f"`{bounds}` array<array<bigint>>, `{row}` array<bigint>")
+    dealt = docs.join(F.broadcast(table)).withColumn(row, _at_most(F.col(row), F.col(id_col)))
+    dealt = dealt.withColumn(start, F.get(bounds, F.col(row))).withColumn(bucket, F.when(F.col(id_col).isNull(), last).otherwise(F.col(row) * width + _at_most(F.col(start), F.col(id_col))))
+    # the range before a group's first one is the last of the group before
+    before = F.when(F.col(bucket) == 0, last).when(F.col(bucket) % width > 0, F.col(bucket) - 1).otherwise((F.col(row) - 1) * width + F.size(F.get(bounds, F.col(row) - 1)) - 1)
+    here = F.struct(F.col(bucket).alias("b"), F.lit(0).alias("extra"))
+    copies = F.when(F.array_contains(start, F.col(id_col)), F.array(here, F.struct(before.alias("b"), F.lit(1).alias("extra"))))
+    dealt = dealt.withColumn(copy, F.explode(F.coalesce(copies, F.array(here)))).select(*names, F.col(copy)["b"].alias(b), F.col(copy)["extra"].alias(extra)).repartition(b)
     for name, value in value_cols.items():
         dealt = dealt.withColumn(name, value)
-    order = Window.partitionBy("__b").orderBy("__extra", F.col(id_col).asc_nulls_last(), F.xxhash64(*docs.columns))
-    for name in [c for c in dealt.columns if c not in ("__b", "__extra", id_col)]:
-        whole_range = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        dealt = dealt.withColumn(f"next_{name}", F.coalesce(F.lead(name).over(order), F.first(name).over(whole_range)) if not n or got["lo"] is None else F.lead(name).over(order))
-    return dealt.where("__extra = 0").drop("__b", "__extra")
+    order = Window.partitionBy(b).orderBy(extra, F.col(id_col).asc_nulls_last(), F.xxhash64(*names))
+    whole_range = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    no_ids = starts == [[0]]
+    for name in [c for c in dealt.columns if c not in (b, extra, id_col)]:
+        following = F.lead(name).over(order)
+        # where no row has an id, all are one range without a copy of its first row
+        dealt = dealt.withColumn(f"next_{name}", F.coalesce(following, F.first(name).over(whole_range)) if no_ids else following)
+    return dealt.where(F.col(extra) == 0).drop(b, extra)
 
 
 def op7_document_fingerprints(spark, sf_dir: str) -> DataFrame:
