@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,13 +43,16 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
-    """Lower the session's limits of an Arrow batch to `rows` and `size`, so that a Python worker holds few whole texts at once.
-
-    The setting is read when a query is planned, so it has to hold after the operator returns. A
-    batch of fewer rows that the session asks for stays.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m"):
+    """Arrow batches of at most `rows` rows and `size` for the jobs run within, so that a Python worker holds few whole texts at once; then the session's own again."""
+    ours = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in ours}
+    smaller = 0 < int(before["spark.sql.execution.arrow.maxRecordsPerBatch"]) <= rows
+    try:
+        for k, v in ours.items() if not smaller else ():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items() if not smaller else ():
+            spark.conf.set(k, v)

@@ -141,9 +141,10 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300) -> Model:
     """Fit on the labelled rows of `docs`: at most `per_lang` documents a language, taken by a hash of the id.
 
-    What comes to the driver is bounded: per_lang rows of DIMS floats for each language.
+    What comes to the driver is bounded: per_lang rows of DIMS floats for each language. Rows of null
+    text or language teach nothing; repeated rows are examples each; texts are read whole. An empty
+    table, or one without labels, gives a model that knows no language. Other columns aren't read.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -157,7 +158,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for pdf in batches:
             yield pd.DataFrame({"lang": pdf["lang"], "x": [features(t).astype(np.float32).tobytes() for t in pdf["text"]]})
 
-    got = rows.select("lang", "text").mapInPandas(count, "lang string, x binary").collect()
+    with small_batches(docs.sparkSession):
+        got = rows.select("lang", "text").mapInPandas(count, "lang string, x binary").collect()
     order = sorted((r["lang"], bytes(r["x"])) for r in got)
     x = np.array([np.frombuffer(b, np.float32) for _, b in order], np.float64)
     return Model(sorted(counts), x, np.array([k for k, _ in order], dtype=object))
@@ -175,7 +177,6 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def predicted(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(None if t is None or t is pd.NA or t != t else t) for t in text], columns=["lang", "score"])
 
-    small_batches(docs.sparkSession)
     (got,) = free(docs, "predicted")
     own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     return docs.withColumn(got, predicted(F.col(text_col))).select(*own, F.col(got)["lang"].alias("lang_pred"), F.col(got)["score"].alias("score"))

@@ -185,11 +185,16 @@ def single_counts(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str,
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m: int = 10, k: int = 5, percent: int = 75, pivots: int = 16) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of `docs`.
 
-    Texts without words are linked with nothing. Texts of equal sets are linked. Rows of one id
+    Texts are read whole, whatever their length; a batch of them is held at a time. Texts without
+    words are linked with nothing. Texts of equal sets are linked. Rows of one id
     count as one document. A row of null id has no component and stays. An empty table gives an
     empty result. Other columns of `docs` aren't read.
     """
-    small_batches(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return _near_groups(docs, id_col, text_col, m, k, percent, pivots)
+
+
+def _near_groups(docs: DataFrame, id_col: str, text_col: str, m: int, k: int, percent: int, pivots: int) -> DataFrame:
     sig = cut(signatures(docs, id_col, text_col, m, k), "signatures")
     best = F.min_by(F.struct("n", "keys", "bits"), F.col("doc"))
     classes = sig.where("n > 0 and doc is not null").groupBy("k1", "k2").agg(F.min("doc").alias("rep"), best.alias("s"))

@@ -101,7 +101,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 first = n % size or size
                 for k in range(-(-n // size)):
                     part = ids[at : at + (size if k else first)]
-                    row = (doc, k, at, len(part), zlib.crc32(part.tobytes()), list(part) if keep_ids else None)
+                    row = (doc, k, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), list(part) if keep_ids else None)
                     for column, v in zip(out, row, strict=True):
                         column.append(v)
                     at += len(part)
@@ -110,7 +110,6 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             m = 6 if keep_ids else 5
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out[:m], kinds, strict=False)], names=names[:m])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut_up, PIECES + ", ids array<int>" * keep_ids)
 
 
@@ -242,18 +241,26 @@ def place(rows: DataFrame, size: int = SIZE) -> DataFrame:
         k = np.searchsorted(keys_, key, "right") - 1
         return pd.DataFrame({"sequence_id": bases_[k] + key - keys_[k], "offset": offsets_[k]})
 
-    shards = int(min(4096, max(64, sum(hist.values()) // 1_000_000)))
+    shards = max(64, sum(hist.values()) // 1_000_000)
     own = [c for c in rows.columns if c not in ("sequence_id", "offset")]
     return ranked(rows, shards).withColumn("slot", slot("length", "rank")).select(*own, "slot.sequence_id", "slot.offset")
 
 
 def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
-    """Tokenise, cut and pack all of `docs`: (doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
+    """Tokenise, cut and pack all of `docs`: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
+
+    Null text is empty and one piece of the end id; repeated rows and rows of null id are packed like
+    others, each with its own pieces. Texts of any length are read whole. Pieces of equal length are
+    interchangeable and placed in the order of id, piece and checksum within their shard. An empty
+    table gives an empty result. Other columns aren't read.
+    """
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
-    return place(cut(pieces(docs, path, id_col, text_col, size), "pieces"), size)
+    with small_batches(docs.sparkSession):
+        made = cut(pieces(docs, path, id_col, text_col, size), "pieces")
+    return place(made, size)
 
 
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:
