@@ -179,6 +179,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     (got,) = free(docs, "predicted")
     own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    # a filter on the result would otherwise be given a second evaluation, with workers of its own
+    predicted = predicted.asNondeterministic()
     return docs.withColumn(got, predicted(F.col(text_col))).select(*own, F.col(got)["lang"].alias("lang_pred"), F.col(got)["score"].alias("score"))
 
 

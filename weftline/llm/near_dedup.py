@@ -42,7 +42,7 @@ class _Words(dict):
     """64-bit hashes of words, kept up to a bounded number."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
