@@ -13,7 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[tuple[SparkSession, str]] = []
+#: Folders of tables written here and not released yet, in order.
+_made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,15 +36,27 @@ def cut(df: DataFrame, label: str = "table", by: str | None = None) -> DataFrame
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline-{label}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    _made.append((spark, path))
+    _made[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
-@atexit.register
-def _clear() -> None:
-    for spark, path in _made:
-        try:
+def tables() -> list[str]:
+    """The folders of the tables that were written and not released, in order."""
+    return list(_made)
+
+
+def release(paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for path in paths:
+        spark = _made.pop(path, None)
+        if spark is not None:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended; whoever owns the folder clears it
-            return
+
+
+@atexit.register
+def _clear() -> None:
+    try:
+        release(tables())
+    except Exception:  # the session has ended; whoever owns the folder clears it
+        return
