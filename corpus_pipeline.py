@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import language_id, line_dedup, near_dedup, packing, pii
-from weftline.shared import cut
+from weftline.shared import cut, release, tables
 from weftline.tables import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -50,15 +50,18 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", identify), ("line_dedup", lines), ("near_dedup", near), ("pii", private), ("packing", packed)]
 
-#: SQL can't express language ID, near-dedup of whole sets or packing; tests/llm compare with a brute-force version.
+#: SQL can't express language ID, near-dedup of whole sets or packing; tests/llm/test_pipeline.py compares every stage with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written to the shared folder before the next."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to documents, each written to the shared folder before the next; what a stage read and wrote on the way is deleted then."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for k, (name, stage) in enumerate(STAGES):
+        known = set(tables())
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs, name)
+            release([*before, *[p for p in tables() if p not in known][:-1]])
+            before = tables()[-1:]
     return docs
