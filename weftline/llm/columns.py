@@ -44,7 +44,7 @@ def free(df: DataFrame, *names: str) -> list[str]:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m"):
+def small_batches(spark: SparkSession, rows: int = 500, size: str = "4m"):
     """Arrow batches of at most `rows` rows and `size` for the jobs run within, so that a Python worker holds few whole texts at once; then the session's own again."""
     ours = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
     before = {k: spark.conf.get(k) for k in ours}
