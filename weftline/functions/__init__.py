@@ -1 +1 @@
-"""Functions of the panel engine."""
+"""Column functions for texts, numbers, dates and places."""

@@ -1,6 +1,7 @@
 """Weighted graphs: nearest-neighbour layers, mixing, normalising, smoothing and network indices.
 
-Edges are (src, dst, w), both directions present.
+Edges are (src, dst, w), both directions present. Where `by` is given, edges, nodes or labels have
+such columns too (a period, say), and each of their values is a graph of its own.
 """
 
 from __future__ import annotations
@@ -8,27 +9,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.shared import cut
 
-def canonical(pairs: DataFrame) -> DataFrame:
-    """(a, b, distance) with a < b and the least distance; pairs of a node with itself go."""
-    p = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
-    return p.groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
+def canonical(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, a, b, distance) with a < b and the least distance; pairs of a node with itself go."""
+    p = pairs.where("x <> y").select(*by, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+    return p.groupBy(*by, "a", "b").agg(F.min("distance").alias("distance"))
 
-def knn_layer(pairs: DataFrame, k: int) -> DataFrame:
+
+def knn_layer(pairs: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Each node's k nearest, weighing exp(-distance / s) with s the median positive distance chosen, made symmetric by the larger weight. Ties: forward pairs first, then the neighbour's id."""
-    c = canonical(pairs)
-    both = c.select(F.col("a").alias("src"), F.col("b").alias("dst"), "distance", F.lit(0).alias("back")).unionByName(c.select(F.col("b").alias("src"), F.col("a").alias("dst"), "distance", F.lit(1).alias("back")))
-    near = both.withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy("distance", "back", "dst"))).where(F.col("rn") <= k)
-    scale = near.agg(F.median(F.when(F.col("distance") > 0, F.col("distance"))).alias("s"))
-    near = near.join(F.broadcast(scale)).select("src", "dst", F.exp(-F.col("distance") / F.col("s")).alias("w"))
-    return symmetric(near)
+    c = canonical(pairs, by)
+    both = c.select(*by, F.col("a").alias("src"), F.col("b").alias("dst"), "distance", F.lit(0).alias("back")).unionByName(c.select(*by, F.col("b").alias("src"), F.col("a").alias("dst"), "distance", F.lit(1).alias("back")))
+    near = both.withColumn("rn", F.row_number().over(Window.partitionBy(*by, "src").orderBy("distance", "back", "dst"))).where(F.col("rn") <= k)
+    # the chosen pairs are read for their scale and for their weights
+    near = cut(near.select(*by, "src", "dst", "distance"), "near")
+    scale = near.groupBy(*by).agg(F.median(F.when(F.col("distance") > 0, F.col("distance"))).alias("s"))
+    near = near.join(scale, list(by)) if by else near.join(F.broadcast(scale))
+    return symmetric(near.select(*by, "src", "dst", F.exp(-F.col("distance") / F.col("s")).alias("w")), by)
 
 
-def symmetric(edges: DataFrame) -> DataFrame:
+def symmetric(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """The larger weight of both directions, in both."""
-    both = edges.select("src", "dst", "w").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    return both.groupBy("src", "dst").agg(F.max("w").alias("w"))
+    both = edges.select(*by, "src", "dst", "w").unionByName(edges.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    return both.groupBy(*by, "src", "dst").agg(F.max("w").alias("w"))
 
 
 def mixed(a: DataFrame, b: DataFrame, weight: float) -> DataFrame:
@@ -37,52 +42,150 @@ def mixed(a: DataFrame, b: DataFrame, weight: float) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def normalised(edges: DataFrame) -> DataFrame:
+def normalised(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Weights as shares of their source's; a source without weight keeps zeros."""
-    total = F.sum("w").over(Window.partitionBy("src"))
-    return edges.select("src", "dst", F.when(total > 0, F.col("w") / total).otherwise(0.0).alias("w"))
+    total = F.sum("w").over(Window.partitionBy(*by, "src"))
+    return edges.select(*by, "src", "dst", F.when(total > 0, F.col("w") / total).otherwise(0.0).alias("w"))
 
 
-def reweighted(edges: DataFrame, nodes: DataFrame, columns: list[str], h: float) -> DataFrame:
-    """w * exp(-|z_src - z_dst|^2 / 2h^2) over `columns` of `nodes` (node, ...)."""
-    left = nodes.select(F.col("node").alias("src"), *[F.col(c).alias(f"l_{c}") for c in columns])
-    right = nodes.select(F.col("node").alias("dst"), *[F.col(c).alias(f"r_{c}") for c in columns])
+def reweighted(edges: DataFrame, nodes: DataFrame, columns: list[str], h: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """w * exp(-|z_src - z_dst|^2 / 2h^2) over `columns` of `nodes` (by, node, ...); where the edges lack `by`, each of its values gets them all."""
+    left = nodes.select(*by, F.col("node").alias("src"), *[F.col(c).alias(f"l_{c}") for c in columns])
+    right = nodes.select(*by, F.col("node").alias("dst"), *[F.col(c).alias(f"r_{c}") for c in columns])
     gap = sum((F.pow(F.col(f"l_{c}") - F.col(f"r_{c}"), 2) for c in columns), F.lit(0.0))
-    return edges.join(left, "src").join(right, "dst").select("src", "dst", (F.col("w") * F.exp(-gap / (2 * h * h))).alias("w"))
-
-
-def smoothed(nodes: DataFrame, edges: DataFrame, columns: list[str], mix: float) -> DataFrame:
-    """(1 - mix) x + mix * the neighbours' weighted mean; nodes without neighbours keep theirs."""
-    far = nodes.select(F.col("node").alias("dst"), *columns)
-    mean = normalised(edges).join(far, "dst").groupBy(F.col("src").alias("node")).agg(*[F.sum(F.col("w") * F.col(c)).alias(f"m_{c}") for c in columns], F.sum("w").alias("deg"))
-    out = nodes.join(mean, "node", "left")
-    blend = [F.when(F.coalesce("deg", F.lit(0.0)) > 0, (1 - mix) * F.col(c) + mix * F.col(f"m_{c}")).otherwise(F.col(c)).alias(c) for c in columns]
-    return out.select("node", *blend)
-
-
-def labelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Edges with the labels (node, label) of both ends."""
-    return edges.join(labels.select(F.col("node").alias("src"), F.col("label").alias("ls")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("ld")), "dst")
-
-
-def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Newman's weighted modularity, one row."""
-    e = labelled(edges, labels)
-    per = e.groupBy("ls").agg(F.sum("w").alias("deg"), F.sum(F.when(F.col("ls") == F.col("ld"), F.col("w")).otherwise(0.0)).alias("inside"))
-    all_ = per.agg(F.sum("deg").alias("m"), F.sum("inside").alias("inside"), F.sum(F.col("deg") * F.col("deg")).alias("sq"))
-    return all_.select((F.col("inside") / F.col("m") - F.col("sq") / (F.col("m") * F.col("m"))).alias("modularity"))
-
-
-def network_indices(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """avi (mean isolability), avu (mean unifiability), anui = avi / (1 + avu), mq (sum of isolabilities); internal weight counts twice, as both directions do."""
-    e = labelled(edges, labels)
-    per = e.groupBy("ls").agg(F.sum(F.when(F.col("ls") == F.col("ld"), F.col("w")).otherwise(0.0)).alias("inner"), F.sum(F.when(F.col("ls") != F.col("ld"), F.col("w")).otherwise(0.0)).alias("outer"))
-    names = labels.select(F.col("label").alias("ls")).distinct()
-    per = names.join(per, "ls", "left").fillna(0.0, ["inner", "outer"])
-    iso = per.select(F.coalesce(F.try_divide(F.col("inner"), F.col("inner") + F.col("outer")), F.lit(0.0)).alias("iso"))
-    iso = iso.agg(F.avg("iso").alias("avi"), F.sum("iso").alias("mq"), F.count("*").alias("k"))
-    cross = e.where("ls <> ld").groupBy("ls", "ld").agg(F.sum("w").alias("between"))
-    a, b = per.select("ls", F.col("outer").alias("oa")), per.select(F.col("ls").alias("ld"), F.col("outer").alias("ob"))
-    uni = cross.join(a, "ls").join(b, "ld").agg(F.coalesce(F.sum(F.try_divide(F.col("between"), F.col("oa") + F.col("ob") - F.col("between"))), F.lit(0.0)).alias("u"))
-    both = iso.join(F.broadcast(uni)).withColumn("avu", F.col("u") / F.col("k"))
-    return both.select("avi", "avu", (F.col("avi") / (1 + F.col("avu"))).alias("anui"), "mq")
+    near = edges.join(left, ["src", *[c for c in by if c in edges.columns]]).join(right, [*by, "dst"])
+    return near.select(*by, "src", "dst", (F.col("w") * F.exp(-gap / (2 * h * h))).alias("w"))
+
+
+def smoothed(nodes: DataFrame, edges: DataFrame, columns: list[str], mix: float, by: tuple[str, ...] = (), connected: DataFrame | None = None) -> DataFrame:
+    """(1 - mix) x + mix * the neighbours' weighted mean; nodes without neighbours keep theirs.
+
+    Whether a node has neighbours is decided on `edges`, or on the graph `connected`, without `by`,
+    if given: there, a node whose weights in `edges` have all become 0 has a mean of 0.
+    """
+    far = nodes.select(*by, F.col("node").alias("dst"), *columns)
+    on = [*[c for c in by if c in edges.columns], "dst"]
+    own = [c for c in by if c in edges.columns]
+    mean = normalised(edges, tuple(own)).join(far, on).groupBy(*by, F.col("src").alias("node")).agg(*[F.sum(F.col("w") * F.col(c)).alias(f"m_{c}") for c in columns], F.sum("w").alias("deg"))
+    out = nodes.join(mean, [*by, "node"], "left")
+    linked = F.coalesce("deg", F.lit(0.0)) > 0
+    if connected is not None:
+        out = out.join(connected.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("linked")), "node", "left")
+        linked = F.coalesce("linked", F.lit(0.0)) > 0
+    blend = [F.when(linked, (1 - mix) * F.col(c) + mix * F.coalesce(f"m_{c}", F.lit(0.0))).otherwise(F.col(c)).alias(c) for c in columns]
+    return out.select(*by, "node", *blend)
+
+
+def labelled(edges: DataFrame, labels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Edges with the labels (by, node, label) of both ends; where the edges lack `by`, each of its values gets them all."""
+    left, right = (labels.select(*by, F.col("node").alias(end), F.col("label").alias(name)) for end, name in (("src", "ls"), ("dst", "ld")))
+    return edges.join(left, ["src", *[c for c in by if c in edges.columns]]).join(right, [*by, "dst"])
+
+
+def _modularity(per: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """From each label's (by, ls, deg, inside)."""
+    all_ = per.groupBy(*by).agg(F.sum("deg").alias("m"), F.sum("inside").alias("inside"), F.sum(F.col("deg") * F.col("deg")).alias("sq"))
+    return all_.select(*by, (F.try_divide("inside", "m") - F.try_divide(F.col("sq"), F.col("m") * F.col("m"))).alias("modularity"))
+
+
+def modularity(edges: DataFrame, labels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Newman's weighted modularity, one row for each value of `by`."""
+    e = labelled(edges, labels, by)
+    return _modularity(e.groupBy(*by, "ls").agg(F.sum("w").alias("deg"), F.sum(F.when(F.col("ls") == F.col("ld"), F.col("w")).otherwise(0.0)).alias("inside")), by)
+
+
+def network_indices(edges: DataFrame, labels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """avi (mean isolability), avu (mean unifiability), anui = avi / (1 + avi * avu), mq (sum of isolabilities) and modularity, one row for each value of `by`.
+
+    Internal weight counts twice, as both directions do. The edges are read once, into a table of the
+    weight between each two labels, which everything else is made of.
+    """
+    between = labelled(edges, labels, by).groupBy(*by, "ls", "ld").agg(F.sum("w").alias("w"))
+    same = F.col("ls") == F.col("ld")
+    per = between.groupBy(*by, "ls").agg(F.sum(F.when(same, F.col("w")).otherwise(0.0)).alias("inner"), F.sum(F.when(~same, F.col("w")).otherwise(0.0)).alias("outer"))
+    names = labels.select(*by, F.col("label").alias("ls")).distinct()
+    per = names.join(per, [*by, "ls"], "left").fillna(0.0, ["inner", "outer"])
+    iso = per.select(*by, F.coalesce(F.try_divide(F.col("inner"), F.col("inner") + F.col("outer")), F.lit(0.0)).alias("iso"))
+    iso = iso.groupBy(*by).agg(F.avg("iso").alias("avi"), F.sum("iso").alias("mq"), F.count("*").alias("k"))
+    a, b = per.select(*by, "ls", F.col("outer").alias("oa")), per.select(*by, F.col("ls").alias("ld"), F.col("outer").alias("ob"))
+    cross = between.where(~same).join(a, [*by, "ls"]).join(b, [*by, "ld"])
+    uni = cross.groupBy(*by).agg(F.coalesce(F.sum(F.try_divide(F.col("w"), F.col("oa") + F.col("ob") - F.col("w"))), F.lit(0.0)).alias("u"))
+    mod = _modularity(per.select(*by, "ls", (F.col("inner") + F.col("outer")).alias("deg"), F.col("inner").alias("inside")), by)
+    joined = iso.join(uni, list(by), "left").join(mod, list(by), "left") if by else iso.join(F.broadcast(uni)).join(F.broadcast(mod))
+    avu = F.coalesce("u", F.lit(0.0)) / F.col("k")
+    return joined.select(*by, "avi", avu.alias("avu"), (F.col("avi") / (1 + F.col("avi") * avu)).alias("anui"), "mq", "modularity")
+
+
+def within(edges: DataFrame, ids: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+    """The edges of which both ends are in `ids` (node)."""
+    for end in (a, b):
+        edges = edges.join(ids.select(F.col("node").alias(end)).distinct(), end, "left_semi")
+    return edges
+
+
+def two_layers(nodes: DataFrame, first: DataFrame, second: DataFrame, columns: list[str], share: float) -> DataFrame:
+    """(node, columns): the neighbours' mean with each layer normalised on its own, (1 - share) of the first and `share` of the second; a node with one layer takes it whole, one with none keeps its own."""
+
+    def mean(edges, name):
+        far = nodes.select(F.col("node").alias("dst"), *columns)
+        total = F.sum("w")
+        return edges.join(far, "dst").groupBy(F.col("src").alias("node")).agg(*[F.try_divide(F.sum(F.col("w") * F.col(c)), total).alias(f"{name}_{c}") for c in columns])
+
+    both = nodes.join(mean(first, "a"), "node", "left").join(mean(second, "b"), "node", "left")
+    return both.select("node", *[F.coalesce((1 - share) * F.col(f"a_{c}") + share * F.col(f"b_{c}"), f"a_{c}", f"b_{c}", c).alias(c) for c in columns])
+
+
+def similarity_graph(near: DataFrame, k: int, h: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """exp(-d^2 / 2h^2) to each node's k nearest, from ranked neighbours (by, id, peer, distance, rank), made symmetric by the larger weight; weights of 0 go."""
+    edges = near.where(F.col("rank") <= k).select(*by, F.col("id").alias("src"), F.col("peer").alias("dst"), F.exp(-F.pow(F.greatest("distance", F.lit(0.0)), 2) / (2 * h * h)).alias("w"))
+    both = edges.unionByName(edges.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    return both.groupBy(*by, "src", "dst").agg(F.max("w").alias("w")).where("w > 0")
+
+
+def weight_ratio(dynamic: DataFrame, static: DataFrame, by: str) -> DataFrame:
+    """(by, ratio): each graph's total weight over the static graph's."""
+    total = static.agg(F.sum("w").alias("total"))
+    return dynamic.groupBy(by).agg(F.sum("w").alias("w")).join(F.broadcast(total)).select(by, F.try_divide("w", "total").alias("ratio"))
+
+
+def mean_degree(edges: DataFrame, nodes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, mean_degree): edges that aren't 0 over nodes (by, node)."""
+    n = nodes.groupBy(*by).agg(F.count("*").alias("n"))
+    m = edges.where("w <> 0").groupBy(*by).agg(F.count("*").alias("m"))
+    both = n.join(m, list(by), "left") if by else n.join(F.broadcast(m))
+    return both.select(*by, (F.coalesce("m", F.lit(0)) / F.col("n")).alias("mean_degree"))
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that each of `nodes` (node) can reach, itself where it has no edges.
+
+    Each round a node takes the least component among its own, its neighbours' and the component of
+    that; a round is written to the shared folder, so lineage stays short.
+    """
+    now = cut(nodes.select("node", F.col("node").alias("component")).distinct(), "components")
+    edges = cut(edges.where("w > 0").select("src", "dst").distinct(), "component_edges")
+    while True:
+        far = now.select(F.col("node").alias("dst"), F.col("component").alias("far"))
+        least = edges.join(far, "dst").groupBy(F.col("src").alias("node")).agg(F.min("far").alias("far"))
+        new = now.join(least, "node", "left").select("node", F.least("component", F.coalesce("far", "component")).alias("component"), F.col("component").alias("old"))
+        jump = new.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        new = cut(new.join(jump, "component", "left").select("node", F.coalesce("next", "component").alias("component"), "old"), "components")
+        if not new.where("component <> old").limit(1).count():
+            return new.select("node", "component")
+        now = new.select("node", "component")
+
+
+def component_summary(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: components, the size of the largest, and nodes without an edge."""
+    sizes = components(edges, nodes).groupBy("component").agg(F.count("*").alias("n"))
+    linked = edges.where("w > 0").select(F.col("src").alias("node")).distinct()
+    alone = nodes.select("node").distinct().join(linked, "node", "left_anti").agg(F.count("*").alias("isolated"))
+    return sizes.agg(F.count("*").alias("components"), F.max("n").alias("largest")).join(F.broadcast(alone))
+
+
+def ego(edges: DataFrame, weights: DataFrame, centre: int, period: str = "period") -> DataFrame:
+    """(dst, w, weights): a node's edges with the ordered list of their weights by period."""
+    mine = edges.where(F.col("src") == centre).select("dst", "w")
+    held = F.array_sort(F.collect_list(F.struct(period, F.col("w").alias("weight"))))
+    by_period = weights.where(F.col("src") == centre).groupBy("dst").agg(F.transform(held, lambda x: x["weight"]).alias("weights"))
+    return mine.join(by_period, "dst", "left")

@@ -1,4 +1,4 @@
-"""Fitted models: k-means, diagonal mixtures, ridge with folds, label alignment, draws and event scoring.
+"""Fitted models: k-means, diagonal mixtures, density clusters, ridge with folds, label alignment, draws and event scoring.
 
 What grows with the input is aggregated on the executors. The driver holds parameters only: centres,
 variances, a normal matrix of one row per feature, or a contingency table of one row per pair of labels.
@@ -10,18 +10,112 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators import quality
 
-def kmeans(points: DataFrame, k: int, seeds: int = 5, column: str = "x") -> tuple[np.ndarray, float]:
-    """The centres of the cheapest of several seeded fits, and its cost."""
-    rows = points.select(array_to_vector(F.col(column)).alias("features"))
-    fits = [KMeans(k=k, seed=s, maxIter=50).fit(rows) for s in range(seeds)]
-    best = min(fits, key=lambda f: f.summary.trainingCost)
-    return np.array(best.clusterCenters()), best.summary.trainingCost
+
+def _stack(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy())
+
+
+def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k centres of the rows of x, each drawn by the squared distance to the nearest one before."""
+    centres = [x[rng.integers(len(x))]]
+    while len(centres) < k:
+        d = np.min([((x - c) ** 2).sum(1) for c in centres], 0)
+        centres.append(x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))])
+    return np.array(centres)
+
+
+def kmeans_many(points: DataFrame, k: int | dict, by: tuple[str, ...] = (), starts: int = 10, rounds: int = 300, seed: int = 42, tolerance: float = 1e-4, sample: int = 2000, column: str = "x", every: bool = False) -> dict:
+    """{values of by: (centres, cost)}: the cheapest of several starts for each value of `by`, all fitted in the same passes.
+
+    A pass is one aggregate over the points: a task sums the members of every centre of every start,
+    so what meets on the driver is starts * k * (p + 2) numbers a group, however many points there
+    are. Centres begin by k-means++ on at most `sample` points of a group, taken by a hash. A group
+    is done when no centre of it moves by more than `tolerance` of the variance. `k` may differ by
+    group, as a dict by the values of `by`. With `every`, the centres of all starts and their costs.
+    """
+    rows = points.select(*by, F.col(column).alias("x"), F.to_json(F.struct(*by) if by else F.struct(F.lit(0).alias("g"))).alias("_g"))
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy(F.xxhash64("x", F.lit(seed)), F.array_join("x", ",")))).where(F.col("_n") <= sample)
+    drawn: dict = {}
+    for r in first.orderBy("_g", "_n").collect():
+        drawn.setdefault(r["_g"], (tuple(r[c] for c in by), []))[1].append(r["x"])
+    state, done, size = {}, {}, {}
+    for g, (values, x) in drawn.items():
+        x = np.array(x, float)
+        size[g] = min(k[values] if isinstance(k, dict) else k, len(x))
+        state[g] = np.stack([_plus_plus(x, size[g], np.random.default_rng([seed, i])) for i in range(starts)]), tolerance * x.var(0).mean()
+    for turn in range(rounds):
+        if not state:
+            break
+
+        def sums(batches, now={g: c for g, (c, _) in state.items()}):  # noqa: B006  what this round's tasks work with
+            for batch in batches:
+                for g, part in batch.groupby("_g"):
+                    if g not in now:
+                        continue
+                    x, c = _stack(part["x"]), now[g]
+                    n, m, p = c.shape
+                    d = (x * x).sum(1)[:, None] - 2 * x @ c.reshape(n * m, p).T + (c * c).sum(2).ravel()
+                    d = np.maximum(d.reshape(len(x), n, m), 0)
+                    near = d.argmin(2)
+                    out = np.zeros((n, m, p + 2))
+                    for i in range(n):
+                        hot = np.eye(m)[near[:, i]]
+                        out[i, :, 0], out[i, :, 1] = hot.sum(0), hot.T @ d[:, i].min(1)
+                        out[i, :, 2:] = hot.T @ x
+                    yield pd.DataFrame({"_g": g, "at": np.arange(out.size, dtype=np.int32), "v": out.ravel()})
+
+        got = rows.where(F.col("_g").isin(list(state))).select("_g", "x").mapInPandas(sums, "_g string, at int, v double").groupBy("_g", "at").agg(F.sum("v").alias("v"))
+        cells: dict = {g: np.zeros(c.shape[0] * c.shape[1] * (c.shape[2] + 2)) for g, (c, _) in state.items()}
+        for r in got.toPandas().itertuples(index=False):
+            cells[r[0]][r[1]] = r[2]
+        for g in list(state):
+            centres, limit = state[g]
+            n, m, p = centres.shape
+            v = cells[g].reshape(n, m, p + 2)
+            new = np.where(v[:, :, :1] > 0, v[:, :, 2:] / np.maximum(v[:, :, :1], 1), centres)
+            moved = ((new - centres) ** 2).sum(2).max()
+            if moved <= limit or turn == rounds - 1:
+                cost = v[:, :, 1].sum(1)
+                best = int(cost.argmin())
+                done[drawn[g][0]] = (centres, cost) if every else (centres[best], float(cost[best]))
+                del state[g]
+            else:
+                state[g] = new, limit
+    return done
+
+
+def kmeans(points: DataFrame, k: int, starts: int = 10, column: str = "x", seed: int = 42) -> tuple[np.ndarray, float]:
+    """The centres of the cheapest of several starts, and its cost."""
+    return kmeans_many(points, k, (), starts, seed=seed, column=column)[()]
+
+
+def assigned_many(points: DataFrame, models: dict, by: tuple[str, ...] = (), column: str = "x") -> DataFrame:
+    """`points` with label (from 0) and margin by the model of their value of `by`: the nearest centre, and (d2 - d1) / d2 for the two nearest."""
+    centres = {key: c for key, (c, _) in models.items()}
+    own = [c for c in points.columns if c not in ("label", "margin")]
+
+    def near(batches):
+        for batch in batches:
+            label, margin = np.zeros(len(batch), np.int32), np.full(len(batch), np.nan)
+            groups = batch.groupby(list(by)).indices if by else {(): np.arange(len(batch))}
+            for key, at in groups.items():
+                key = key if isinstance(key, tuple) else (key,)
+                if not len(at):
+                    continue
+                d = np.sqrt(((_stack(batch[column].iloc[at])[:, None] - centres[key]) ** 2).sum(2))
+                label[at] = d.argmin(1)
+                if d.shape[1] > 1:
+                    two = np.sort(d, 1)[:, :2]
+                    margin[at] = np.where(two[:, 1] > 0, (two[:, 1] - two[:, 0]) / np.where(two[:, 1] > 0, two[:, 1], 1), 0)
+            yield batch.assign(label=label, margin=margin)
+
+    got = points.select(*own).mapInPandas(near, ", ".join(f"`{c}` {t}" for c, t in points.select(*own).dtypes) + ", label int, margin double")
+    return got.withColumn("margin", F.when(~F.isnan("margin"), F.col("margin")))
 
 
 def _sq(x, centre):
@@ -36,60 +130,192 @@ def assigned(points: DataFrame, centres: np.ndarray, column: str = "x") -> DataF
     return rows.withColumn("label", F.col("_d")[0]["i"]).withColumn("margin", margin).drop("_d")
 
 
-def diagonal_mixture(points: DataFrame, centres: np.ndarray, rounds: int = 30, floor: float = 1e-6, column: str = "x") -> DataFrame:
-    """`points` with `label`, the likeliest component of a Gaussian mixture with diagonal covariances, fitted from the given centres.
+def diagonal_mixture(points: DataFrame, k: int, starts: int = 10, rounds: int = 100, floor: float = 1e-6, tolerance: float = 1e-3, seed: int = 42, column: str = "x") -> DataFrame:
+    """`points` with `label`, the likeliest component of a Gaussian mixture with diagonal covariances, the likeliest of several fits.
 
-    A round is one aggregate over the points: each task sums the weights, values and squares of its
-    rows, k * (2 p + 1) numbers, so what meets on the driver doesn't grow with the rows.
+    The fits begin from the centres of as many starts of k-means and go on together; one ends when its
+    mean log likelihood grows by less than `tolerance`. A round is one aggregate over the points: each
+    task sums the weights, values and squares of its rows, starts * k * (2 p + 1) numbers, so what
+    meets on the driver doesn't grow with the rows.
     """
-    k, p = centres.shape
-    means, variances, weights = centres.astype(float), np.ones((k, p)), np.full(k, 1 / k)
+    means = kmeans_many(points, k, (), starts, seed=seed, column=column, every=True)[()][0]
+    n, k, p = means.shape
+    state = means, np.ones((n, k, p)), np.full((n, k), 1 / k)
 
     def scores(x, means, variances, weights):
+        """(rows, starts, k) log densities, by products of the points and their squares."""
         with np.errstate(divide="ignore"):
-            return np.log(weights) - 0.5 * (np.log(2 * np.pi * variances).sum(1) + (((x[:, None] - means) ** 2) / variances).sum(2))
+            const = np.log(weights) - 0.5 * (np.log(2 * np.pi * variances).sum(2) + (means**2 / variances).sum(2))
+        a, b = (means / variances).reshape(n * k, p).T, (-0.5 / variances).reshape(n * k, p).T
+        return const + (x @ a + (x * x) @ b).reshape(len(x), n, k)
 
-    before = -np.inf
+    before, live, best = np.full(n, -np.inf), np.ones(n, bool), None
     for _ in range(rounds):
 
-        def sums(batches, now=(means, variances, weights)):
-            out, total = np.zeros((k, 2 * p + 1)), 0.0
+        def sums(batches, now=state):
+            out, like_sum = np.zeros((n, k, 2 * p + 1)), np.zeros(n)
             for batch in batches:
                 if len(batch):
-                    x = np.stack(batch[column].to_numpy())
+                    x = _stack(batch[column])
                     s = scores(x, *now)
-                    top = s.max(1, keepdims=True)
-                    like = top + np.log(np.exp(s - top).sum(1, keepdims=True))
-                    r, total = np.exp(s - like), total + like.sum()
-                    out += np.concatenate([r.sum(0)[:, None], r.T @ x, r.T @ (x * x)], 1)
-            yield pd.DataFrame({"i": np.arange(k), "v": list(out), "like": np.where(np.arange(k) == 0, total, 0.0)})
-
-        parts = points.select(column).mapInPandas(sums, "i int, v array<double>, like double")
-        one = parts.groupBy("i").agg(F.array(*[F.sum(F.col("v")[j]) for j in range(2 * p + 1)]).alias("v"), F.sum("like").alias("like")).orderBy("i").collect()
-        if not one:
+                    top = s.max(2, keepdims=True)
+                    like = top + np.log(np.exp(s - top).sum(2, keepdims=True))
+                    r = np.exp(s - like).reshape(len(x), n * k)
+                    like_sum += like.sum((0, 2))
+                    out[:, :, 0] += r.sum(0).reshape(n, k)
+                    out[:, :, 1 : p + 1] += (r.T @ x).reshape(n, k, p)
+                    out[:, :, p + 1 :] += (r.T @ (x * x)).reshape(n, k, p)
+            v = np.concatenate([out.ravel(), like_sum])
+            yield pd.DataFrame({"at": np.arange(len(v), dtype=np.int32), "v": v})
+
+        got = points.select(column).mapInPandas(sums, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
+        if not len(got):
             break
-        v = np.array([r["v"] for r in one])
-        n = np.maximum(v[:, :1], 1e-12)
-        weights, means = v[:, 0] / max(v[:, 0].sum(), 1e-12), v[:, 1 : p + 1] / n
-        variances = np.maximum(v[:, p + 1 :] / n - means**2, 0) + floor
-        now = sum(r["like"] for r in one)
-        if abs(now - before) <= 1e-6 * abs(now):
+        flat = np.zeros(n * k * (2 * p + 1) + n)
+        flat[got["at"].to_numpy()] = got["v"].to_numpy()
+        v, like = flat[:-n].reshape(n, k, 2 * p + 1), flat[-n:]
+        size = np.maximum(v[:, :, :1], 1e-12)
+        rows = v[:, :, 0].sum(1)
+        best = int(like.argmax())
+        live &= (like - before) > tolerance * rows
+        if not live.any():
             break
-        before = now
-
-    def label(batches, now=(means, variances, weights)):
+        before = like
+        centre = v[:, :, 1 : p + 1] / size
+        spread = np.maximum(v[:, :, p + 1 :] / size - centre**2, 0) + floor
+        new = centre, spread, v[:, :, 0] / rows[:, None]
+        state = tuple(np.where(live.reshape(-1, *[1] * (a.ndim - 1)), a, b) for a, b in zip(new, state, strict=True))
+    chosen = best or 0
+
+    def label(batches, now=state):
         for batch in batches:
-            x = np.stack(batch[column].to_numpy()) if len(batch) else np.zeros((0, p))
-            yield batch.assign(label=scores(x, *now).argmax(1).astype("int32"))
+            x = _stack(batch[column]) if len(batch) else np.zeros((0, p))
+            yield batch.assign(label=scores(x, *now)[:, chosen].argmax(1).astype("int32"))
 
     own = points.drop("label")
     return own.mapInPandas(label, ", ".join(f"`{c}` {t}" for c, t in own.dtypes) + ", label int")
 
 
-def ordered_labels(rows: DataFrame, level: str, label: str = "label") -> DataFrame:
-    """`rows` with labels renumbered from 1 by the median of `level`, smallest first."""
-    order = rows.groupBy(F.col(label).alias("_old")).agg(F.median(level).alias("_m")).withColumn("_new", F.row_number().over(Window.orderBy("_m", "_old")))
-    return rows.join(F.broadcast(order.select("_old", "_new")), F.col(label) == F.col("_old"), "left").withColumn(label, F.col("_new")).drop("_old", "_new")
+def ordered_labels(rows: DataFrame, level: str, label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
+    """`rows` with labels renumbered from 1 by the median of `level`, smallest first, for each value of `by`."""
+    mids = rows.groupBy(*by, F.col(label).alias("_old")).agg(F.median(level).alias("_m"))
+    order = mids.withColumn("_new", F.row_number().over(Window.partitionBy(*by).orderBy("_m", "_old"))).drop("_m")
+    return rows.withColumn("_old", F.col(label)).join(order, [*by, "_old"], "left").withColumn(label, F.col("_new")).select(*rows.columns)
+
+
+def core_tree(x: np.ndarray, neighbours: int) -> np.ndarray:
+    """Edges (a, b, distance) of the minimum spanning tree by mutual reachability: the largest of the distance and both points' distances to their `neighbours`-th nearest, themselves included; shortest first."""
+    n = len(x)
+    d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1) - 2 * x @ x.T, 0))
+    np.fill_diagonal(d, 0)
+    core = np.partition(d, min(neighbours, n) - 1, axis=1)[:, min(neighbours, n) - 1]
+    reach = np.maximum(np.maximum(d, core[:, None]), core)
+    best, from_, left = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool)
+    at, out = 0, []
+    left[0] = False
+    for _ in range(n - 1):
+        closer = left & (reach[at] < best)
+        best[closer], from_[closer] = reach[at][closer], at
+        at = int(np.where(left, best, np.inf).argmin())
+        left[at] = False
+        out.append((from_[at], at, best[at]))
+    edges = np.array(out).reshape(-1, 3)
+    return edges[np.argsort(edges[:, 2], kind="stable")]
+
+
+def density_labels(x: np.ndarray, least: int = 50, neighbours: int = 10) -> np.ndarray:
+    """HDBSCAN: labels from 0, -1 for noise.
+
+    The tree is cut from its longest edge down; a part of `least` points or more that splits into two
+    such parts ends there, smaller parts fall out of it. A part is worth the sum over its points of
+    1 / distance at which they leave it, less that at which it began, and the parts that are worth
+    more than those within them are the clusters. The whole is never one.
+    """
+    n = len(x)
+    if n < max(2, least):
+        return np.full(n, -1, np.int64)
+    tree = core_tree(x, neighbours)
+    parent, top = list(range(n)), list(range(n))
+    kids, height, size = {}, {}, dict.fromkeys(range(n), 1)
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for k, (a, b, d) in enumerate(tree):
+        ra, rb = find(int(a)), find(int(b))
+        node = n + k
+        kids[node], height[node], size[node] = (top[ra], top[rb]), d, size[top[ra]] + size[top[rb]]
+        parent[rb] = ra
+        top[ra] = node
+
+    def leaves(node):
+        line, found = [node], []
+        while line:
+            v = line.pop()
+            if v < n:
+                found.append(v)
+            else:
+                line += kids[v]
+        return found
+
+    root = 2 * n - 2
+    born, worth, within, members = {0: 0.0}, {0: 0.0}, {0: []}, {0: []}
+    line = [(root, 0)]
+    while line:
+        node, part = line.pop()
+        if node < n:
+            members[part].append(node)
+            continue
+        level = 1 / height[node] if height[node] > 0 else np.inf
+        big = [v for v in kids[node] if size[v] >= least]
+        gain = level - born[part] if np.isfinite(level) else 0.0
+        if len(big) == 2:
+            worth[part] += gain * size[node]
+            for v in big:
+                new = len(born)
+                born[new], worth[new], within[new], members[new] = level, 0.0, [], []
+                within[part].append(new)
+                line.append((v, new))
+            continue
+        for v in kids[node]:
+            if v in big:
+                line.append((v, part))
+            else:
+                worth[part] += gain * size[v]
+                members[part] += leaves(v)
+    chosen: dict[int, bool] = {}
+    for part in sorted(born, reverse=True):
+        inner = sum(worth[c] for c in within[part])
+        chosen[part] = part != 0 and worth[part] >= inner
+        if not chosen[part]:
+            worth[part] = inner
+    labels, line, label = np.full(n, -1, np.int64), [0], 0
+    while line:
+        part = line.pop()
+        if chosen[part]:
+            down = [part]
+            while down:
+                q = down.pop()
+                labels[members[q]] = label
+                down += within[q]
+            label += 1
+        else:
+            line += within[part][::-1]
+    return labels
+
+
+def density_clusters(points: DataFrame, by: str, least: int = 50, neighbours: int = 10) -> DataFrame:
+    """(by, id, label) by density_labels() for each value of `by`, whose points meet in one task with a matrix of their distances; -1 is noise."""
+    kinds = dict(points.dtypes)
+
+    def label(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id")
+        return group[[by, "id"]].assign(label=density_labels(_stack(group["x"]), least, neighbours).astype("int32"))
+
+    return points.select(by, "id", "x").groupBy(by).applyInPandas(label, f"{by} {kinds[by]}, id {kinds['id']}, label int")
 
 
 def aligned(rows: DataFrame, reference: str, label: str) -> DataFrame:
@@ -121,12 +347,21 @@ def aligned(rows: DataFrame, reference: str, label: str) -> DataFrame:
     return rows.withColumn("aligned", F.try_element_at(F.create_map(*itertools.chain(*found)), F.col(label)))
 
 
-def ridge_folds(rows: DataFrame, features: list[str], target: str, fold: str, alpha: float = 1.0) -> DataFrame:
+def one_hot(rows: DataFrame, column: str) -> tuple[DataFrame, list[str]]:
+    """`rows` with a 0/1 column for each value of `column`, and their names. The values, a bounded set of labels, come to the driver."""
+    values = sorted(r[0] for r in rows.select(column).distinct().collect() if r[0] is not None)
+    names = [f"{column}_is_{i}" for i in range(len(values))]
+    return rows.select("*", *[F.coalesce((F.col(column) == v).cast("double"), F.lit(0.0)).alias(n) for n, v in zip(names, values, strict=True)]), names
+
+
+def ridge_folds(rows: DataFrame, features: list[str], target: str, fold: str, alpha: float = 1.0, plain: list[str] = ()) -> DataFrame:
     """(fold, n, mse, mean_mse): held-out errors of ridge regression, and of predicting the training mean.
 
-    Features are standardised by the training rows of each fold (constant ones become 0). One
-    aggregate per fold gathers the moments; every fit subtracts its fold's from the total.
+    Features are standardised by the training rows of each fold (constant ones become 0), those in
+    `plain` (0/1 columns) taken as they are; a value that a fold's training rows lack has no weight.
+    One aggregate per fold gathers the moments; every fit subtracts its fold's from the total.
     """
+    features = [*features, *plain]
     terms = ["1", *features, target]
     cells = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
     col = lambda t: F.lit(1.0) if t == "1" else F.col(t).cast("double")
@@ -146,7 +381,8 @@ def ridge_folds(rows: DataFrame, features: list[str], target: str, fold: str, al
         mean = train[0] / n
         cov = train / n - np.outer(mean, mean)
         sd = np.sqrt(np.maximum(np.diag(cov), 0))[1:-1]
-        scale = np.where(sd > 0, 1 / np.where(sd > 0, sd, 1), 0)
+        scale = np.where(sd > 1e-12, 1 / np.where(sd > 1e-12, sd, 1), 0)
+        scale[len(features) - len(plain) :] = 1
         x, y = cov[1:-1, 1:-1] * np.outer(scale, scale), cov[1:-1, -1] * scale
         w = np.linalg.solve(n * x + alpha * np.eye(len(features)), n * y) * scale
         v = np.concatenate([[-(mean[-1] - w @ mean[1:-1])], -w, [1]])
@@ -156,15 +392,34 @@ def ridge_folds(rows: DataFrame, features: list[str], target: str, fold: str, al
     return rows.sparkSession.createDataFrame(out, f"{fold} {kind}, n long, mse double, mean_mse double")
 
 
-def subsample(rows: DataFrame, entity: str, trials: int, share: float = 0.8) -> DataFrame:
-    """(trial, ...): for each trial the rows of that share of entities whose hash with the trial is smallest; whole entities, without a driver-side draw."""
-    ids = rows.select(F.col(entity).alias("_e")).distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    ids = ids.where(F.pmod(F.xxhash64("_e", "trial"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return ids.join(rows, F.col("_e") == F.col(entity)).drop("_e")
+def ridge_gain(rows: DataFrame, numeric: list[str], base: str, added: str, target: str, fold: str, alpha: float = 1.0) -> DataFrame:
+    """(n, base_mse, mse, base_rmse, rmse, reduction_percent): errors over all held-out rows with the labels `base` one-hot, and with the labels `added` as well."""
+    rows, first = one_hot(rows.dropna(subset=[*numeric, target, fold, base, added]), base)
+    rows, second = one_hot(rows, added)
+    plain, more = (ridge_folds(rows, numeric, target, fold, alpha, names).select(fold, "n", F.col("mse").alias(name)) for names, name in ((first, "base"), ([*first, *second], "full")))
+    pooled = lambda c: F.sum(F.col("n") * F.col(c)) / F.sum("n")
+    both = plain.join(more.drop("n"), fold).agg(F.sum("n").alias("n"), pooled("base").alias("base_mse"), pooled("full").alias("mse"))
+    return both.select("n", "base_mse", "mse", F.sqrt("base_mse").alias("base_rmse"), F.sqrt("mse").alias("rmse"), (100 * (1 - F.try_divide("mse", "base_mse"))).alias("reduction_percent"))
+
+
+def subsample(rows: DataFrame, entity: str, trials: int, share: float = 0.8, seed: int = 0) -> DataFrame:
+    """(trial, ...): for each trial the rows of exactly floor(share * n) of the n entities, those whose hash with the trial is smallest; whole entities, without a driver-side draw."""
+    ids = rows.select(F.col(entity).alias("_e")).distinct()
+    n = int(ids.count() * share)
+    drawn = ids.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("_h", F.xxhash64("_e", "trial", F.lit(seed)))
+    # the n-th smallest hash of each trial is found from counts of its leading bits, then among those that share them
+    top = drawn.withColumn("_b", F.shiftright("_h", 40))
+    upto = top.groupBy("trial", "_b").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(Window.partitionBy("trial").orderBy("_b")))
+    edge = upto.where((F.col("upto") >= n) & (F.col("upto") - F.col("c") < n)).select("trial", F.col("_b").alias("_edge"), (n - F.col("upto") + F.col("c")).alias("_room"))
+    near = top.join(edge, "trial").where(F.col("_b") <= F.col("_edge"))
+    place = F.row_number().over(Window.partitionBy("trial").orderBy("_h", "_e"))
+    tied = near.where(F.col("_b") == F.col("_edge")).withColumn("_n", place).where(F.col("_n") <= F.col("_room")).select("trial", "_e")
+    chosen = near.where(F.col("_b") < F.col("_edge")).select("trial", "_e").unionByName(tied)
+    return chosen.join(rows, F.col("_e") == F.col(entity)).drop("_e")
 
 
 def block_bootstrap(rows: DataFrame, period: str, iterations: int, seed: int = 0) -> DataFrame:
-    """(iteration, draw, ...): rows of periods drawn with replacement within their year (the first 4 characters); a period drawn twice comes twice."""
+    """(iteration, draw, ...): rows of periods drawn with replacement within their year (the first 4 characters); a period drawn twice comes twice. The names of the periods, which grow with the calendar and not with the rows, come to the driver."""
     periods = sorted(r[0] for r in rows.select(period).distinct().collect() if r[0] is not None)
     r, draws = np.random.default_rng(seed), []
     for i in range(iterations):
@@ -172,7 +427,7 @@ def block_bootstrap(rows: DataFrame, period: str, iterations: int, seed: int = 0
             year = list(year)
             draws += [(i, d, year[j]) for d, j in enumerate(r.integers(0, len(year), len(year)))]
     table = rows.sparkSession.createDataFrame(draws, "iteration int, draw int, _p string")
-    return rows.join(F.broadcast(table), F.col(period) == F.col("_p")).drop("_p")
+    return rows.join(table, F.col(period) == F.col("_p")).drop("_p")
 
 
 def match_events(true: DataFrame, found: DataFrame, tolerance: int = 2, keys: tuple[str, ...] = ("entity", "from_label", "to_label")) -> DataFrame:
@@ -196,8 +451,67 @@ def match_events(true: DataFrame, found: DataFrame, tolerance: int = 2, keys: tu
     return near.groupBy(*keys).applyInPandas(greedy, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", at long, found_at long, shift long")
 
 
-def event_scores(true: DataFrame, found: DataFrame, tolerance: int = 2) -> DataFrame:
-    """(true_events, found_events, matched, precision, recall); a ratio without events is null."""
+def event_scores(true: DataFrame, found: DataFrame, entities: DataFrame, tolerance: int = 2) -> DataFrame:
+    """(true_events, found_events, matched, false_events, precision, recall, stable_nodes, false_stable, false_stable_percent); a ratio without events is null.
+
+    A node of `entities` (entity) is stable if it has no true event, and falsely not so if one is found.
+    """
     n = lambda df, name: df.agg(F.count("*").alias(name))
-    row = n(true, "true_events").crossJoin(n(found, "found_events")).crossJoin(n(match_events(true, found, tolerance), "matched"))
-    return row.select("*", F.try_divide("matched", "found_events").alias("precision"), F.try_divide("matched", "true_events").alias("recall"))
+    stable = entities.select("entity").distinct().join(true.select("entity").distinct(), "entity", "left_anti")
+    wrong = stable.join(found.select("entity").distinct(), "entity", "left_semi")
+    parts = [n(true, "true_events"), n(found, "found_events"), n(match_events(true, found, tolerance), "matched"), n(stable, "stable_nodes"), n(wrong, "false_stable")]
+    row = parts[0]
+    for p in parts[1:]:
+        row = row.crossJoin(F.broadcast(p))
+    return row.select(
+        "true_events", "found_events", "matched", (F.col("found_events") - F.col("matched")).alias("false_events"), F.try_divide("matched", "found_events").alias("precision"), F.try_divide("matched", "true_events").alias("recall"),
+        "stable_nodes", "false_stable", (100 * F.try_divide("false_stable", "stable_nodes")).alias("false_stable_percent"),
+    )
+
+
+def calibration(rows: DataFrame, entity: str, label: str, columns: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each label's mean of the columns; the covariances of the entities' mean residuals; and those of what remains. Each as (a, b, cov) but the first."""
+    from weftline.operators import panel
+
+    mean = rows.groupBy(label).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
+    left = rows.join(mean, label).select(entity, *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in columns])
+    effect = left.groupBy(entity).agg(*[F.avg(c).alias(f"_e_{c}") for c in columns])
+    noise = left.join(effect, entity).select(*[(F.col(c) - F.col(f"_e_{c}")).alias(c) for c in columns])
+    return mean.select(label, *[F.col(f"_m_{c}").alias(c) for c in columns]), panel.covariances(effect.select(*[F.col(f"_e_{c}").alias(c) for c in columns]), columns), panel.covariances(noise, columns)
+
+
+def synthetic_panel(spark, centres: np.ndarray, effect_cov: np.ndarray, noise_cov: np.ndarray, nodes: int, periods: int, seed: int, changes: bool = True, spike: bool = False, share: float = 0.1, at: int = 12, effects: float = 1.0, noise: float = 1.0) -> DataFrame:
+    """(period, node, truth, x): points around their type's centre with an effect of the node and noise.
+
+    With `changes`, a share of the nodes moves to another type in period `at`; with `spike`, another
+    share looks like the next type in period 5 alone. The last coordinate is fixed by the first type.
+    """
+    r, k = np.random.default_rng(seed), len(centres)
+    first = r.permutation(np.arange(nodes) % k)
+    truth, order, n = np.tile(first, (periods, 1)), r.permutation(nodes), int(nodes * share)
+    if changes:
+        truth[at:, order[:n]] = (first[order[:n]] + r.integers(1, k, n)) % k
+    e = effects * r.multivariate_normal(np.zeros(centres.shape[1]), effect_cov, nodes)
+    x = centres[truth] + e + noise * r.multivariate_normal(np.zeros(centres.shape[1]), noise_cov, (periods, nodes))
+    if spike:
+        at_ = order[n : 2 * n]
+        x[5, at_] += centres[(first[at_] + 1) % k] - centres[first[at_]]
+    x[:, :, -1] = centres[first, -1] + e[:, -1]
+    x = (x - x.mean((0, 1))) / np.maximum(x.std((0, 1)), 1e-12)
+    rows = [(t, i, int(truth[t, i]), x[t, i].tolist()) for t in range(periods) for i in range(nodes)]
+    return spark.createDataFrame(rows, "period int, node long, truth int, x array<double>")
+
+
+def block_model(spark, types: np.ndarray, degree: float, inside: float, seed: int) -> DataFrame:
+    """(src, dst, w): a random graph in both directions, of the expected degree, with the share `inside` of it within types; weights from 0.2 to 1."""
+    r, n, k = np.random.default_rng(seed), len(types), len(set(types.tolist()))
+    p = np.where(types[:, None] == types, degree * inside / (n / k - 1), degree * (1 - inside) / (n - n / k))
+    up = np.triu(r.random((n, n)) < p, 1) * r.uniform(0.2, 1, (n, n))
+    a, b = np.nonzero(up)
+    rows = [(int(i), int(j), float(up[i, j])) for i, j in zip(a, b, strict=True)]
+    return spark.createDataFrame(rows + [(j, i, w) for i, j, w in rows], "src long, dst long, w double")
+
+
+def bootstrap_agreement(runs: DataFrame, keys: list[str], reference: str, label: str) -> DataFrame:
+    """(keys, agreement): the share of runs in which a row's aligned label is its reference."""
+    return quality.agreement(runs, reference, label, tuple(keys))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,58 +12,179 @@ def sq_dist(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
-def neighbours(points: DataFrame, k: int, block: str = "label") -> DataFrame:
-    """The k nearest of each point within its block, exactly, ties by id."""
-    a = points.select(F.col(block).alias("block"), F.col("id").alias("id"), F.col("x").alias("xa"))
-    b = points.select(F.col(block).alias("block"), F.col("id").alias("peer"), F.col("x").alias("xb"))
-    d = a.join(b, "block").where("id <> peer").select("id", "peer", F.sqrt(sq_dist(F.col("xa"), F.col("xb"))).alias("distance"))
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.round("distance", 9), "peer"))).where(F.col("rank") <= k)
-
-
-def centroids(points: DataFrame) -> DataFrame:
-    """(label, n, c, v): size, mean and population variance of each label by coordinate."""
-    cell = points.select("label", F.posexplode("x").alias("at", "v")).groupBy("label", "at").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s"))
+def _stacked(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 1))
+
+
+def pairwise(points: DataFrame, by: tuple[str, ...], work, schema: str, rows: int = 1500) -> DataFrame:
+    """work(left, right) for each pair of blocks of about `rows` points (by, id, x, others) that share `by`.
+
+    Each pair of blocks is a task's work on two small tables, however many points a value of `by` has;
+    a point is sent once for each block of its value.
+    """
+    sizes = points.groupBy(*by).agg(F.ceil(F.count("*") / rows).cast("int").alias("_blocks"))
+    dealt = points.join(sizes, list(by)) if by else points.crossJoin(F.broadcast(sizes))
+    dealt = dealt.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")).withColumn("_all", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    own = points.columns
+    # both sides come of one table, so each names its columns anew
+    left, right = (dealt.select(*[F.col(c).alias(c) for c in own], F.col(i).alias("_i"), F.col(j).alias("_j")) for i, j in (("_own", "_all"), ("_all", "_own")))
+    keys = [*by, "_i", "_j"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(work, schema)
+
+
+def _distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean"):
+    """Rows of exact distances, a few rows of `a` at a time."""
+    if metric == "cosine":
+        a, b = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (a, b))
+    step = max(1, 4_000_000 // max(1, b.size))
+    for at in range(0, len(a), step):
+        part = a[at : at + step]
+        yield at, 1 - part @ b.T if metric == "cosine" else np.sqrt(((part[:, None] - b) ** 2).sum(2))
+
+
+def neighbours(points: DataFrame, k: int, block: str | tuple[str, ...] = "label", metric: str = "euclidean", other_first: str | None = None) -> DataFrame:
+    """(block, id, peer, distance, rank): the k nearest of each point within its block, exactly, ties by id; by Euclidean or cosine distance.
+
+    With `other_first`, a column, points that differ in it come before those that don't (`same` is 0
+    or 1). Blocks are cut further and compared by pairs; only k rows of each pair leave a task.
+    """
+    by = (block,) if isinstance(block, str) else tuple(block)
+    extra = [other_first] if other_first else []
+    kinds = dict(points.dtypes)
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        peers = right["id"].to_numpy()
+        if len(left) and len(right):
+            ids, xa, xb = left["id"].to_numpy(), _stacked(left["x"]), _stacked(right["x"])
+            for at, d in _distances(xa, xb, metric):
+                for i, row in enumerate(d, at):
+                    same = (right[other_first].to_numpy() == left[other_first].iloc[i]).astype(int) if other_first else np.zeros(len(row), int)
+                    order = np.lexsort((peers, np.round(row, 9), same))
+                    order = order[peers[order] != ids[i]][:k]
+                    out.append(pd.DataFrame({**{c: [left[c].iloc[0]] * len(order) for c in by}, "id": ids[i], "peer": peers[order], "same": same[order], "distance": row[order]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=[*by, "id", "peer", "same", "distance"])
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + f", id {kinds['id']}, peer {kinds['id']}, same int, distance double"
+    near = pairwise(points.select(*by, "id", "x", *extra), by, nearest, schema)
+    rank = F.row_number().over(Window.partitionBy(*by, "id").orderBy("same", F.round("distance", 9), "peer"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select(*by, "id", "peer", *(["same"] if other_first else []), "distance", "rank")
+
+
+def centroids(points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, label, n, c, v): size, mean and population variance of each label by coordinate."""
+    cell = points.select(*by, "label", F.posexplode("x").alias("at", "v")).groupBy(*by, "label", "at").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s"))
     got = F.array_sort(F.collect_list(F.struct("at", "m", "s")))
-    cell = cell.groupBy("label").agg(F.first("n").alias("n"), got.alias("g"))
-    return cell.select("label", "n", F.transform("g", lambda x: x["m"]).alias("c"), F.transform("g", lambda x: x["s"]).alias("v"))
-
-
-def silhouette(points: DataFrame, blocks: int = 16) -> DataFrame:
-    """Mean exact Euclidean silhouette; singletons count 0. All points against all, as the index is defined, dealt as blocks of columns."""
-    a = points.select("id", F.col("label").alias("own"), F.col("x").alias("xa"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    b = points.select(F.col("id").alias("peer"), F.col("label").alias("other"), F.col("x").alias("xb"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    d = a.join(b, "block").where("id <> peer").groupBy("id", "own", "other").agg(F.sum(F.sqrt(sq_dist(F.col("xa"), F.col("xb")))).alias("s"), F.count("*").alias("n"))
-    m = d.groupBy("id").agg(F.sum(F.when(F.col("own") == F.col("other"), F.col("s") / F.col("n"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("s") / F.col("n"))).alias("b"))
-    return m.agg(F.avg(F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))).alias("silhouette"))
-
-
-def centre_indices(points: DataFrame) -> DataFrame:
-    """calinski_harabasz and davies_bouldin, one row. Centres are few and broadcast: their number is the labels'."""
-    c = centroids(points)
-    whole = centroids(points.withColumn("label", F.lit(0))).select(F.col("c").alias("g"), F.col("n").alias("n_all"))
-    per = points.join(F.broadcast(c), "label").select("label", "n", "c", sq_dist(F.col("x"), F.col("c")).alias("d2"))
-    per = per.groupBy("label").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.sum("d2").alias("within"), F.avg(F.sqrt("d2")).alias("spread"))
-    ch = per.join(F.broadcast(whole)).agg(F.sum(F.col("n") * sq_dist(F.col("c"), F.col("g"))).alias("between"), F.sum("within").alias("within"), F.count("*").alias("k"), F.first("n_all").alias("n"))
-    ch = ch.select(((F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"))
-    a, b = per.select("label", F.col("c").alias("ca"), F.col("spread").alias("sa"), F.lit(1).alias("j")), per.select(F.col("label").alias("l2"), F.col("c").alias("cb"), F.col("spread").alias("sb"), F.lit(1).alias("j"))
-    db = a.join(F.broadcast(b), "j").where("label <> l2").groupBy("label").agg(F.max((F.col("sa") + F.col("sb")) / F.sqrt(sq_dist(F.col("ca"), F.col("cb")))).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
-    return ch.join(F.broadcast(db))
-
-
-def ari(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Adjusted Rand index of two labellings, 1 when both are trivially equal."""
+    cell = cell.groupBy(*by, "label").agg(F.first("n").alias("n"), got.alias("g"))
+    return cell.select(*by, "label", "n", F.transform("g", lambda x: x["m"]).alias("c"), F.transform("g", lambda x: x["s"]).alias("v"))
+
+
+def silhouette(points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean exact Euclidean silhouette for each value of `by`; singletons count 0.
+
+    All points against all, as the index is defined, in pairs of blocks by matrix products; what
+    leaves a pair is one sum for each point and label.
+    """
+    kinds = dict(points.dtypes)
+
+    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=[*by, "id", "own", "other", "s", "n"])
+        xa, xb = _stacked(left["x"]), _stacked(right["x"])
+        d = np.sqrt(np.maximum((xa * xa).sum(1)[:, None] + (xb * xb).sum(1) - 2 * xa @ xb.T, 0))
+        d[left["id"].to_numpy()[:, None] == right["id"].to_numpy()] = 0
+        names, code = np.unique(right["label"].to_numpy(), return_inverse=True)
+        hot = np.eye(len(names))[code]
+        total, size = d @ hot, hot.sum(0)
+        out = pd.DataFrame({**{c: np.repeat(left[c].to_numpy(), len(names)) for c in by}, "id": np.repeat(left["id"].to_numpy(), len(names)), "own": np.repeat(left["label"].to_numpy(), len(names)),
+                            "other": np.tile(names, len(left)), "s": total.ravel(), "n": np.tile(size, len(left)).astype(int)})
+        return out
+
+    schema = "".join(f"{c} {kinds[c]}, " for c in by) + f"id {kinds['id']}, own {kinds['label']}, other {kinds['label']}, s double, n long"
+    d = pairwise(points.select(*by, "id", "label", "x"), by, sums, schema).groupBy(*by, "id", "own", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    same = F.col("own") == F.col("other")
+    m = d.groupBy(*by, "id").agg(F.sum(F.when(same & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(~same, F.col("s") / F.col("n"))).alias("b"))
+    one = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return m.groupBy(*by).agg(F.avg(one).alias("silhouette"))
+
+
+def sampled(points: DataFrame, size: int, seed: int = 42) -> DataFrame:
+    """Exactly `size` points (all, if there are fewer): those whose hash with the seed is smallest."""
+    return points.withColumn("_h", F.xxhash64("id", F.lit(seed))).orderBy("_h", "id").limit(size).drop("_h")
+
+
+def s_dbw(points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """S_Dbw for each value of `by`: mean scatter of the labels plus the density between each two of them.
+
+    Variances are the population's; the radius is the root of the summed norms of the labels'
+    variances over their number; null where all points are alike.
+    """
+    norm = lambda v: F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
+    c = centroids(points, by)
+    whole = centroids(points.withColumn("label", F.lit(0)), by).select(*by, norm(F.col("v")).alias("all_v"))
+    facts = c.groupBy(*by).agg(F.count("*").alias("k"), (F.sqrt(F.sum(norm(F.col("v")))) / F.count("*")).alias("radius"), F.avg(norm(F.col("v"))).alias("mean_v"))
+    on = lambda a, b, more=(): a.join(b, [*by, *more]) if by or more else a.crossJoin(F.broadcast(b))
+    near = lambda x, y: F.sqrt(sq_dist(x, y)) <= F.col("radius")
+    rows = on(on(points.select(*by, "label", "x"), c.select(*by, "label", "c"), ("label",)), facts.select(*by, "radius"))
+    own = rows.groupBy(*by, "label").agg(F.count_if(near(F.col("x"), F.col("c"))).alias("density"))
+    other = c.select(*by, F.col("label").alias("l2"), F.col("c").alias("c2"))
+    middle = F.zip_with("c", "c2", lambda x, y: (x + y) / 2)
+    pairs = on(rows, other).where("label <> l2").groupBy(*by, F.least("label", "l2").alias("a"), F.greatest("label", "l2").alias("b")).agg(F.count_if(near(F.col("x"), middle)).alias("between"))
+    pairs = pairs.join(own.select(*by, F.col("label").alias("a"), F.col("density").alias("da")), [*by, "a"]).join(own.select(*by, F.col("label").alias("b"), F.col("density").alias("db")), [*by, "b"])
+    between = pairs.groupBy(*by).agg(F.sum(F.coalesce(F.try_divide("between", F.greatest("da", "db")), F.lit(0.0))).alias("dens"))
+    out = on(facts, whole)
+    out = out.join(between, list(by), "left") if by else out.crossJoin(F.broadcast(between))
+    return out.select(*by, (F.try_divide("mean_v", "all_v") + F.coalesce(F.try_divide(2 * F.col("dens"), F.col("k") * (F.col("k") - 1)), F.lit(0.0))).alias("s_dbw"))
+
+
+def least_share(labels: DataFrame, period: str = "period", label: str = "label") -> DataFrame:
+    """One row: the least share that any label has in any period, 0 where it has no rows there."""
+    n = labels.groupBy(period, label).agg(F.count("*").alias("n"))
+    grid = n.select(period).distinct().crossJoin(n.select(label).distinct())
+    full = grid.join(n, [period, label], "left").fillna(0, ["n"])
+    return full.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(period))).agg(F.min("share").alias("least_share"))
+
+
+def agreement(pairs: DataFrame, a: str, b: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, agreement): the share of rows with equal labels."""
+    return pairs.groupBy(*by).agg(F.avg((F.col(a) == F.col(b)).cast("int")).alias("agreement"))
+
+
+def centre_indices(points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """calinski_harabasz and davies_bouldin, one row for each value of `by`."""
+    on = lambda a, b, more=(): a.join(b, [*by, *more]) if by or more else a.crossJoin(F.broadcast(b))
+    c = centroids(points, by)
+    whole = centroids(points.withColumn("label", F.lit(0)), by).select(*by, F.col("c").alias("g"), F.col("n").alias("n_all"))
+    per = on(points.select(*by, "label", "x"), c, ("label",)).select(*by, "label", "n", "c", sq_dist(F.col("x"), F.col("c")).alias("d2"))
+    per = per.groupBy(*by, "label").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.sum("d2").alias("within"), F.avg(F.sqrt("d2")).alias("spread"))
+    ch = on(per, whole).groupBy(*by).agg(F.sum(F.col("n") * sq_dist(F.col("c"), F.col("g"))).alias("between"), F.sum("within").alias("within"), F.count("*").alias("k"), F.first("n_all").alias("n"))
+    ch = ch.select(*by, (F.try_divide("between", F.col("k") - 1) / F.nullif(F.try_divide("within", F.col("n") - F.col("k")), F.lit(0.0))).alias("calinski_harabasz"))
+    b = per.select(*by, F.col("label").alias("l2"), F.col("c").alias("cb"), F.col("spread").alias("sb"))
+    db = on(per, b).where("label <> l2").groupBy(*by, "label").agg(F.max(F.try_divide(F.col("spread") + F.col("sb"), F.sqrt(sq_dist(F.col("c"), F.col("cb"))))).alias("r")).groupBy(*by).agg(F.avg("r").alias("davies_bouldin"))
+    return on(ch, db)
+
+
+def ari(pairs: DataFrame, a: str = "a", b: str = "b", by: tuple[str, ...] = ()) -> DataFrame:
+    """Adjusted Rand index of two labellings for each value of `by`, 1 when both are trivially equal."""
     two = lambda c: F.col(c) * (F.col(c) - 1) / 2
-    n = pairs.groupBy(a, b).agg(F.count("*").alias("n"))
-    rows = n.groupBy(a).agg(F.sum("n").alias("n")).agg(F.sum(two("n")).alias("ra"))
-    cols = n.groupBy(b).agg(F.sum("n").alias("n")).agg(F.sum(two("n")).alias("rb"))
-    all_ = n.agg(F.sum(two("n")).alias("idx"), F.sum("n").alias("n"))
-    j = all_.join(F.broadcast(rows)).join(F.broadcast(cols))
+    n = pairs.groupBy(*by, a, b).agg(F.count("*").alias("n"))
+    rows = n.groupBy(*by, a).agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(two("n")).alias("ra"))
+    cols = n.groupBy(*by, b).agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(two("n")).alias("rb"))
+    all_ = n.groupBy(*by).agg(F.sum(two("n")).alias("idx"), F.sum("n").alias("n"))
+    j = all_.join(rows, list(by)).join(cols, list(by)) if by else all_.join(F.broadcast(rows)).join(F.broadcast(cols))
     expect = F.try_divide(F.col("ra") * F.col("rb"), two("n"))
-    return j.select(F.coalesce(F.try_divide(F.col("idx") - expect, (F.col("ra") + F.col("rb")) / 2 - expect), F.lit(1.0)).alias("ari"))
+    return j.select(*by, F.coalesce(F.try_divide(F.col("idx") - expect, (F.col("ra") + F.col("rb")) / 2 - expect), F.lit(1.0)).alias("ari"))
+
+
+def adjacent_ari(labels: DataFrame, entity: str, period: str, label: str) -> DataFrame:
+    """(period, ari): each period's labels against those of the period before, over entities that have both."""
+    w = Window.partitionBy(entity).orderBy(period)
+    both = labels.withColumn("_before", F.lag(label).over(w)).where("_before is not null")
+    return ari(both, "_before", label, (period,))
 
 
 def jaccard(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Per label, rows that have it on both sides over rows that have it on either."""
-    labels = F.explode(F.array_distinct(F.array(a, b))).alias("label")
-    e = pairs.select(a, b, labels)
-    return e.groupBy("label").agg((F.sum((F.col(a) == F.col(b)).cast("long")) / F.count("*")).alias("jaccard"))
+    both = pairs.select(F.col(a).alias("_a"), F.col(b).alias("_b"))
+    e = both.select("_a", "_b", F.explode(F.array_distinct(F.array_compact(F.array("_a", "_b")))).alias("label"))
+    return e.groupBy("label").agg((F.sum(F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)).cast("long")) / F.count("*")).alias("jaccard"))

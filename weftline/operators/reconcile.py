@@ -1,4 +1,4 @@
-"""Registers: validity intervals, latest versions, name matching and status cascades."""
+"""Registers: validity intervals, latest versions, name matching, crosswalks and status cascades."""
 
 from __future__ import annotations
 
@@ -12,6 +12,28 @@ def valid_at(versions: DataFrame, at: Column, low: str = "valid_from", high: str
     return versions.where((F.col(low) <= at) & (F.col(high).isNull() | upper))
 
 
+def interval_join(facts: DataFrame, versions: DataFrame, keys: list[str], at: str, low: str = "valid_from", high: str = "valid_to", closed: bool = False) -> DataFrame:
+    """`facts` with the columns of the versions of equal `keys` whose interval holds column `at`, half-open or closed at its end.
+
+    An equi-join on the keys with the range as its condition, so no more pairs are made than a key
+    has facts times versions. An open end is null; facts without a version go.
+    """
+    own = [c for c in versions.columns if c not in keys]
+    named = versions.select(*[F.col(k).alias(f"_{k}") for k in keys], *own)
+    upper = F.col(high) >= F.col(at) if closed else F.col(high) > F.col(at)
+    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    cond = (F.col(low) <= F.col(at)) & (F.col(high).isNull() | upper)
+    for c in same:
+        cond &= c
+    return facts.join(named, cond).drop(*[f"_{k}" for k in keys])
+
+
+def crosswalk(register: DataFrame, ids: DataFrame, key: str, code: str, years: list[int], low: str = "year_from", high: str = "year_to") -> DataFrame:
+    """(key, year, code): each id's normalised code in each year, from the version that is valid then (half-open)."""
+    per_year = ids.select(key).distinct().withColumn("year", F.explode(F.array(*[F.lit(y) for y in years])))
+    return interval_join(per_year, register.select(key, code, low, high), [key], "year", low, high).select(key, "year", code8(F.col(code)).alias("code"))
+
+
 def latest(versions: DataFrame, key: str, by: str, tie: str) -> DataFrame:
     """The last version of each key."""
     w = Window.partitionBy(key).orderBy(F.desc(by), F.desc(tie))
@@ -35,8 +57,8 @@ def name_candidates(entities: DataFrame, register: DataFrame, key: str, other: s
 
 
 def code8(value: Column) -> Column:
-    """A municipal code as 8 digits: spaces and hyphens go, 7 digits get a zero, 11 are cut; others are null."""
-    v = F.regexp_replace(value, "[ -]", "")
+    """A municipal code as 8 digits: white space of any kind and hyphens go, 7 digits get a zero, 11 are cut; others are null."""
+    v = F.regexp_replace(value, r"(?U)[\s-]", "")
     return F.when(v.rlike("^[0-9]{7}$"), F.concat(F.lit("0"), v)).when(v.rlike("^[0-9]{8}$"), v).when(v.rlike("^[0-9]{11}$"), F.substring(v, 1, 8))
 
 
@@ -45,6 +67,66 @@ def match_status(n: Column) -> Column:
 
 
 def value_status(values: Column) -> Column:
-    """missing, invalid, conflict or ok for the list of an entity's values."""
-    bad = F.exists(values, lambda v: v.isNull() | F.isnan(v) | (v < 0))
+    """missing, invalid (any that isn't finite or is negative), conflict or ok for the list of an entity's values."""
+    bad = F.exists(values, lambda v: v.isNull() | F.isnan(v) | (v < 0) | (v == float("inf")))
     return F.when(F.size(values) == 0, "missing").when(bad, "invalid").when(F.size(F.array_distinct(values)) > 1, "conflict").otherwise("ok")
+
+
+def status_cascade(value: Column, *reviews: tuple[str, Column]) -> Column:
+    """The status of the list of values, where that is ok the first of (name, whether it applies) that does, else ok."""
+    first = value_status(value)
+    out = F.lit("ok")
+    for name, applies in reversed(reviews):
+        out = F.when(F.coalesce(applies, F.lit(False)), name).otherwise(out)
+    return F.when(first == "ok", out).otherwise(first)
+
+
+def value_lists(facts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, values): the values of each key in a list, those that are null as well."""
+    held = F.collect_list(F.struct(value))
+    return facts.groupBy(*keys).agg(F.transform(held, lambda x: x[value]).alias("values"))
+
+
+def with_lists(rows: DataFrame, lists: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` with `values` of their key, an empty list where it has none."""
+    kind = dict(lists.dtypes)["values"]
+    return rows.join(lists, keys, "left").withColumn("values", F.coalesce("values", F.array().cast(kind)))
+
+
+def both_years(coverage: DataFrame, key: str, year: str, n: str, years: list[int]) -> DataFrame:
+    """(key, status_<year>..., complete): a status by the number of candidates of each year, complete where every year has exactly one."""
+    count = lambda y: F.coalesce(F.max(F.when(F.col(year) == y, F.col(n))), F.lit(0)).alias(f"n_{y}")
+    got = coverage.groupBy(key).agg(*[count(y) for y in years])
+    whole = F.lit(True)
+    for y in years:
+        whole &= F.col(f"n_{y}") == 1
+    return got.select(key, *[match_status(F.col(f"n_{y}")).alias(f"status_{y}") for y in years], whole.alias("complete"))
+
+
+def consistent(total: Column, *parts: Column) -> Column:
+    """Whether numbers given as text are whole, none is negative, and the parts add up to the total."""
+    values = [F.expr("cast(null as bigint)") if p is None else p.try_cast("bigint") for p in (total, *parts)]
+    good = F.lit(True)
+    for v in values:
+        good &= v.isNotNull() & (v >= 0)
+    return F.coalesce(good & (values[0] == sum(values[1:], F.lit(0))), F.lit(False))
+
+
+def read_indicator(rows: DataFrame, code: str, unit: str, period: str, level: str, **extra: str) -> DataFrame:
+    """(code, year, value) of one indicator for one period and level, and other columns with given values; another unit than `unit` is an error."""
+    got = rows.where((F.col("indicator_code") == code) & (F.col("indicator_period") == period) & (F.col("mun_level") == level))
+    for column, value in extra.items():
+        got = got.where(F.col(column) == value)
+    held = F.when(F.col("indicator_unit").eqNullSafe(F.lit(unit)), F.col("indicator_value")).otherwise(F.raise_error(F.concat(F.lit("unexpected unit: "), F.coalesce("indicator_unit", F.lit("none")))))
+    return got.select(F.col("oktmo").alias("code"), "year", held.alias("value"))
+
+
+def coverage_counts(audit: DataFrame, metric: str = "metric", year: str = "year", status: str = "status") -> DataFrame:
+    """(metric, year, status, n)."""
+    return audit.groupBy(metric, year, status).agg(F.count("*").alias("n"))
+
+
+def covered_in_all(audit: DataFrame, key: str, years: int, metric: str = "metric", status: str = "status") -> DataFrame:
+    """(metric, both): how many keys are ok in all `years` years."""
+    per = audit.groupBy(metric, key).agg(F.count_if(F.col(status) == "ok").alias("n_ok"))
+    return per.groupBy(metric).agg(F.count_if(F.col("n_ok") == years).alias("both"))

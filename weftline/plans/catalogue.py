@@ -71,8 +71,15 @@ def states(s, d) -> DataFrame:
     return sequence.majority(e, ["entity", "period"], "label").select(*STATES)
 
 
+def states_with_margin(s, d) -> DataFrame:
+    """(entity, period, label, margin): with the share of the day's events that the label has."""
+    e = table(s, d, "events").select(F.col("user_id").alias("entity"), F.date_format("ts", "yyyy-MM-dd").alias("period"), F.col("event_type").alias("label"))
+    return sequence.majority(e, ["entity", "period"], "label").select(*STATES, F.col("share").alias("margin"))
+
+
 STATE = """n AS (SELECT user_id AS entity, strftime(ts, '%Y-%m-%d') AS period, event_type AS label, count(*) AS n FROM events GROUP BY ALL),
-st AS (SELECT entity, period, label FROM n QUALIFY row_number() OVER (PARTITION BY entity, period ORDER BY n DESC, label) = 1)"""
+sm AS (SELECT entity, period, label, n / sum(n) OVER (PARTITION BY entity, period) AS margin, n FROM n),
+st AS (SELECT entity, period, label, margin FROM sm QUALIFY row_number() OVER (PARTITION BY entity, period ORDER BY n DESC, label) = 1)"""
 CHANGE = STATE + """, ch0 AS (SELECT *, lag(label) OVER (PARTITION BY entity ORDER BY period) AS previous FROM st),
 ch AS (SELECT *, coalesce(previous <> label, false) AS changed FROM ch0),
 isl AS (SELECT *, sum(CAST(changed AS INT)) OVER (PARTITION BY entity ORDER BY period ROWS UNBOUNDED PRECEDING) AS changes FROM ch),
@@ -182,10 +189,19 @@ def coverage_hist(s, d):
     return panel.coverage(long_panel(s, d))
 
 
-@query(f"WITH {NODES.split(', nd0')[0]}, x AS ({NATION_SQL}) SELECT CAST(count(*) AS BIGINT) AS rows_n, CAST(count(DISTINCT (least(x, y), greatest(x, y))) AS BIGINT) AS pairs, CAST(count(*) FILTER (WHERE distance = 0) AS BIGINT) AS zero, CAST(count(DISTINCT x) AS BIGINT) AS nodes, round(min(distance), 6) AS low, round(max(distance), 6) AS high FROM x")
+_PAIRS = f"pr AS (SELECT 'supply' AS layer, x, y, distance FROM ({SUPPLY_SQL}) UNION ALL SELECT 'nation', x, y, distance FROM ({NATION_SQL}) UNION ALL SELECT 'order', l_suppkey, l_partkey % 50, round(l_quantity / 10) FROM lineitem)"
+
+
+def layered_pairs(s, d) -> DataFrame:
+    """(layer, x, y, distance): both supplier layers, and a noisy one with repeated and conflicting rows."""
+    noisy = table(s, d, "lineitem").select(F.col("l_suppkey").alias("x"), (F.col("l_partkey") % 50).alias("y"), F.round(F.col("l_quantity") / 10).alias("distance"))
+    tag = lambda df, name: df.select(F.lit(name).alias("layer"), "x", "y", "distance")
+    return tag(supply_pairs(s, d), "supply").unionByName(tag(nation_pairs(s, d), "nation")).unionByName(tag(noisy, "order"))
+
+
+@query(f"WITH sp AS (SELECT DISTINCT l_suppkey AS x, l_partkey AS p FROM lineitem), {_PAIRS}, r AS (SELECT layer, count(*) AS n_rows, count(*) FILTER (WHERE distance = 0) AS zero, min(distance) AS low, max(distance) AS high, count(*) - count(DISTINCT (x, y, distance)) AS repeated, count(DISTINCT (x, y)) AS directed, count(DISTINCT (least(x, y), greatest(x, y))) AS pairs FROM pr GROUP BY layer), c AS (SELECT layer, count(*) AS conflicts FROM (SELECT layer FROM pr GROUP BY layer, least(x, y), greatest(x, y) HAVING count(DISTINCT distance) > 1) GROUP BY layer), nd AS (SELECT layer, count(DISTINCT v) AS nodes FROM (SELECT layer, x AS v FROM pr UNION ALL SELECT layer, y FROM pr) GROUP BY layer) SELECT r.layer, n_rows, zero, round(low, 6) AS low, round(high, 6) AS high, CAST(repeated AS BIGINT) AS repeated, pairs, CAST(directed AS BIGINT) AS directed, coalesce(conflicts, 0) AS conflicts, nodes FROM r LEFT JOIN c USING (layer) JOIN nd USING (layer)")
 def pair_audit(s, d):
-    p = nation_pairs(s, d)
-    return rounded(p.agg(F.count("*").alias("rows_n"), F.count_distinct(F.struct(F.least("x", "y"), F.greatest("x", "y"))).alias("pairs"), F.count_if(F.col("distance") == 0).alias("zero"), F.count_distinct("x").alias("nodes"), F.min("distance").alias("low"), F.max("distance").alias("high")))
+    return rounded(panel.pair_audit(layered_pairs(s, d), "layer"))
 
 
 @query(f"WITH {FEATURES} SELECT entity, CAST(substr(period, 1, 4) AS INT) AS year, round(median(relative_level), 6) AS relative_level, round(median(s_economy), 6) AS s_economy FROM feat GROUP BY ALL")
@@ -211,27 +227,36 @@ def quantiles(s, d):
     return rounded(g.select("flag", *[F.get("q", F.lit(i)).alias(f"p{p}") for i, p in enumerate((10, 50, 90))], "small"))
 
 
-@query("WITH n AS (SELECT CAST(floor(l_extendedprice / 5000) AS BIGINT) AS bin, count(*) AS n FROM lineitem WHERE l_extendedprice BETWEEN 0 AND 120000 GROUP BY 1) SELECT b.bin, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(b.bin * 5000 AS DOUBLE) AS low FROM (SELECT unnest(range(0, 25)) AS bin) b LEFT JOIN n ON n.bin = b.bin")
+@query("WITH n AS (SELECT CAST(floor(l_extendedprice / 5000) AS BIGINT) AS bin, count(*) AS n FROM lineitem GROUP BY 1) SELECT b.bin, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(b.bin * 5000 AS DOUBLE) AS low FROM (SELECT unnest(range(0, (SELECT max(bin) + 1 FROM n))) AS bin) b LEFT JOIN n ON n.bin = b.bin")
 def histogram_bins(s, d):
-    return panel.histogram(table(s, d, "lineitem"), "l_extendedprice", 5000, 120000)
+    return panel.histogram(table(s, d, "lineitem"), "l_extendedprice", 5000)
 
 
-@query("WITH c AS (SELECT c_nationkey AS region, c_mktsegment AS label, count(*) AS n FROM customer GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY region) AS region_n, sum(n) OVER (PARTITION BY label) AS label_n, sum(n) OVER () AS all_n FROM c), q AS (SELECT *, (n / region_n) / (label_n / all_n) AS lq FROM t WHERE region_n >= 10) SELECT label, region, CAST(n AS BIGINT) AS n, CAST(region_n AS BIGINT) AS region_n, round(lq, 6) AS lq, CAST(row_number() OVER (PARTITION BY label ORDER BY round(lq, 9) DESC, region) AS INT) AS rank FROM q QUALIFY rank <= 3")
+@query("WITH c0 AS (SELECT c_nationkey AS region, c_mktsegment AS label, count(*) AS n FROM customer GROUP BY ALL), c AS (SELECT region, label, coalesce(n, 0) AS n FROM (SELECT DISTINCT region FROM c0) CROSS JOIN (SELECT DISTINCT label FROM c0) LEFT JOIN c0 USING (region, label)), t AS (SELECT *, sum(n) OVER (PARTITION BY region) AS region_n, sum(n) OVER (PARTITION BY label) AS label_n, sum(n) OVER () AS all_n FROM c), q AS (SELECT *, (n / region_n) / (label_n / all_n) AS lq FROM t WHERE region_n >= 10) SELECT label, region, CAST(n AS BIGINT) AS n, CAST(region_n AS BIGINT) AS region_n, round(lq, 6) AS lq, CAST(row_number() OVER (PARTITION BY label ORDER BY round(lq, 9) DESC, region) AS INT) AS rank FROM q QUALIFY rank <= 3")
 def location_quotient(s, d):
     c = table(s, d, "customer").select(F.col("c_nationkey").alias("region"), F.col("c_mktsegment").alias("label"))
     return rounded(panel.location_quotient(c, "region", "label", 10))
 
 
-@query("WITH g AS (SELECT median(c_acctbal) AS m FROM customer) SELECT c_mktsegment AS label, CAST(count(*) AS BIGINT) AS size, CAST(count(DISTINCT c_nationkey) AS BIGINT) AS regions, round(median(c_acctbal), 6) AS median_c_acctbal, round(median(c_acctbal) - any_value(m), 6) AS delta_c_acctbal FROM customer, g GROUP BY 1")
+@query("WITH f AS (SELECT c_custkey, c_mktsegment AS label, c_nationkey AS region, (c_acctbal + 1000) / 5500 - 1 AS level, c_acctbal / 10000 AS s1, abs(c_acctbal) / 20000 AS s2 FROM customer), g AS (SELECT median(s1) AS g1, median(s2) AS g2 FROM f) SELECT label, CAST(count(*) AS BIGINT) AS size, CAST(count(DISTINCT region) AS BIGINT) AS regions, round(100 * exp(median(level)), 6) AS level_index, round(median(s1), 6) AS median_s1, round(median(s2), 6) AS median_s2, round(100 * (median(s1) - any_value(g1)), 6) AS delta_pp_s1, round(100 * (median(s2) - any_value(g2)), 6) AS delta_pp_s2 FROM f, g GROUP BY 1")
 def cluster_profiles(s, d):
-    c = table(s, d, "customer").withColumnRenamed("c_mktsegment", "label")
-    return rounded(panel.profiles(c, "label", "c_nationkey", ["c_acctbal"]))
+    b = F.col("c_acctbal")
+    c = table(s, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("label"), F.col("c_nationkey").alias("region"), ((b + 1000) / 5500 - 1).alias("level"), (b / 10000).alias("s1"), (F.abs(b) / 20000).alias("s2"))
+    return rounded(panel.profiles(c, "label", "region", "level", ["s1", "s2"]))
 
 
-@query(f"WITH {FEATURES}, x AS (SELECT entity, sum(total) AS t, sum(c_promo) AS p FROM feat GROUP BY entity) SELECT round(sum(p) / sum(t), 6) AS ratio, round(sum(t * (p / t)) / sum(t), 6) AS weighted, round(covar_samp(t, p) / 1e6, 4) AS cov FROM x")
+@query(f"WITH {FEATURES}, x AS (SELECT entity, sum(total) AS t, sum(c_promo) AS p, count(*) AS n FROM feat GROUP BY entity) SELECT round(sum(p) / sum(t), 6) AS ratio, round(sum(n * (p / t)) / sum(n), 6) AS weighted FROM x")
 def pooled_ratio(s, d):
-    x = feature_panel(s, d).groupBy("entity").agg(F.sum("total").alias("t"), F.sum("c_promo").alias("p"))
-    return x.agg(F.round(F.try_divide(F.sum("p"), F.sum("t")), 6).alias("ratio"), F.round(F.sum(F.col("t") * (F.col("p") / F.col("t"))) / F.sum("t"), 6).alias("weighted"), F.round(F.covar_samp("t", "p") / 1e6, 4).alias("cov"))
+    """The ratio of sums, and the entities' ratios weighted by their periods."""
+    x = feature_panel(s, d).groupBy("entity").agg(F.sum("total").alias("t"), F.sum("c_promo").alias("p"), F.count("*").alias("n"))
+    ratio = F.try_divide("p", "t")
+    return rounded(x.agg(F.try_divide(F.sum("p"), F.sum("t")).alias("ratio"), F.try_divide(F.sum(F.col("n") * ratio), F.sum("n")).alias("weighted")))
+
+
+@query(f"WITH {FEATURES}, u AS (SELECT unnest(['c_promo', 'c_small', 'total']) AS c, unnest([c_promo, c_small, total]) / 1000 AS v, entity, period FROM feat) SELECT x.c AS a, y.c AS b, round(covar_samp(x.v, y.v), 4) AS cov FROM u x JOIN u y USING (entity, period) GROUP BY ALL")
+def covariance_matrix(s, d):
+    cols = ["c_promo", "c_small", "total"]
+    return rounded(panel.covariances(feature_panel(s, d).select(*[(F.col(c) / 1000).alias(c) for c in cols]), cols), 4)
 
 
 # sequences ------------------------------------------------------------------------------------
@@ -257,14 +282,43 @@ def runs(s, d):
     return sequence.runs(states(s, d), "entity", "period", "label")
 
 
-@query(f"WITH {CHANGE}, r AS (SELECT *, lag(label) OVER w AS from_label, lag(length) OVER w AS previous_run FROM rn WINDOW w AS (PARTITION BY entity ORDER BY run)) SELECT entity, start AS period, from_label, label AS to_label, CAST(previous_run AS BIGINT) AS previous_run, CAST(length AS BIGINT) AS new_run FROM r WHERE previous_run >= 2 AND length >= 2")
+_PERSIST = CHANGE + ", im AS (SELECT isl.*, margin, row_number() OVER (PARTITION BY isl.entity, changes ORDER BY isl.period) AS nth FROM isl), r3 AS (SELECT entity, changes AS run, avg(margin) FILTER (WHERE nth <= 3) AS m3 FROM im GROUP BY ALL), r AS (SELECT rn.*, m3, lag(label) OVER w AS from_label, lag(length) OVER w AS previous_run FROM rn JOIN r3 USING (entity, run) WINDOW w AS (PARTITION BY entity ORDER BY run)), pt AS (SELECT entity, start AS period, from_label, label AS to_label, CAST(previous_run AS BIGINT) AS previous_run, CAST(length AS BIGINT) AS new_run, m3 AS new_run_margin FROM r WHERE previous_run >= {n} AND length >= {n})"
+
+
+@query("WITH " + _PERSIST.replace("{n}", "3") + " SELECT * REPLACE (round(new_run_margin, 6) AS new_run_margin) FROM pt")
 def persistent_transitions(s, d):
-    return sequence.persistent_transitions(states(s, d), "entity", "period", "label", 2)
+    """By the rule of three periods on either side; few of these users keep a state that long."""
+    return rounded(sequence.persistent_transitions(states_with_margin(s, d), "entity", "period", "label", 3, "margin"))
+
+
+@query("WITH " + _PERSIST.replace("{n}", "2") + " SELECT * REPLACE (round(new_run_margin, 6) AS new_run_margin) FROM pt")
+def transitions_of_two(s, d):
+    """By a rule of two periods."""
+    return rounded(sequence.persistent_transitions(states_with_margin(s, d), "entity", "period", "label", 2, "margin"))
 
 
-@query(f"WITH {CHANGE}, f AS (SELECT entity, sum(length) AS periods, count(*) - 1 AS transitions, arg_max(length, run) AS trailing_run, arg_max(label, run) AS last_label FROM rn GROUP BY entity), c AS (SELECT entity, label, count(*) AS n FROM st GROUP BY ALL), m AS (SELECT entity, label AS dominant, n / sum(n) OVER (PARTITION BY entity) AS share FROM c QUALIFY row_number() OVER (PARTITION BY entity ORDER BY n DESC, label) = 1) SELECT f.entity, CAST(periods AS BIGINT) AS periods, transitions, CAST(trailing_run AS BIGINT) AS trailing_run, last_label, dominant, round(share, 6) AS share, CASE WHEN share >= 0.95 THEN 'core' WHEN share < 0.5 THEN 'borderline' ELSE 'stable' END AS class FROM f JOIN m USING (entity)")
+_STABLE = CHANGE + ", f AS (SELECT entity, sum(length) AS periods, count(*) - 1 AS transitions, arg_max(length, run) AS trailing_run, arg_max(label, run) AS last_label FROM rn GROUP BY entity), c AS (SELECT entity, label, count(*) AS n FROM st GROUP BY ALL), m AS (SELECT entity, label AS dominant, n / sum(n) OVER (PARTITION BY entity) AS share FROM c QUALIFY row_number() OVER (PARTITION BY entity ORDER BY n DESC, label) = 1), g AS (SELECT entity, avg(margin) AS mean_margin, min(margin) AS least_margin FROM st GROUP BY entity), sb AS (SELECT f.entity, CAST(periods AS BIGINT) AS periods, transitions, CAST(trailing_run AS BIGINT) AS trailing_run, last_label, dominant, share, mean_margin, least_margin, CASE WHEN share >= {core} AND mean_margin >= {cm} THEN 'core' WHEN share < {border} OR mean_margin < {bm} THEN 'borderline' ELSE 'stable' END AS class FROM f JOIN m USING (entity) JOIN g USING (entity))"
+_RULE = {"core": 0.6, "cm": 0.7, "border": 0.4, "bm": 0.55}
+
+
+def stable_states(s, d) -> DataFrame:
+    """The rule with limits that these users' shares and margins lie on both sides of."""
+    return sequence.stability(states_with_margin(s, d), "entity", "period", "label", "margin", (_RULE["core"], _RULE["cm"]), (_RULE["border"], _RULE["bm"]))
+
+
+@query(f"WITH {_STABLE.format(**_RULE)} SELECT * REPLACE (round(share, 6) AS share, round(mean_margin, 6) AS mean_margin, round(least_margin, 6) AS least_margin) FROM sb")
 def stability_summary(s, d):
-    return rounded(sequence.stability(states(s, d), "entity", "period", "label", 0.95, 0.5))
+    return rounded(stable_states(s, d))
+
+
+@query(f"WITH {_STABLE.format(core='22 / 24', cm=0.15, border=0.75, bm=0.1)} SELECT entity, class FROM sb")
+def stability_default_rule(s, d):
+    return sequence.stability(states_with_margin(s, d), "entity", "period", "label", "margin").select("entity", "class")
+
+
+@query(f"WITH {_STABLE.format(**_RULE)} SELECT c.class, CAST(c.place AS INT) AS place, CAST(count(sb.entity) AS BIGINT) AS n FROM (VALUES ('core', 0), ('stable', 1), ('borderline', 2)) c(class, place) LEFT JOIN sb USING (class) GROUP BY ALL")
+def stability_counts(s, d):
+    return sequence.class_counts(stable_states(s, d))
 
 
 @query(f"WITH {CHANGE} SELECT period, previous AS from_label, label AS to_label, CAST(count(*) AS BIGINT) AS n FROM ch WHERE previous IS NOT NULL GROUP BY ALL")
@@ -277,11 +331,17 @@ def endpoint_flows(s, d):
     return sequence.endpoint_flows(states(s, d), "entity", "period", "label")
 
 
-@query(f"WITH {PANEL}, t AS (SELECT entity, period, sum(value) AS v FROM panel GROUP BY ALL), x AS (SELECT entity, period, v - first_value(v) OVER (PARTITION BY entity ORDER BY period) AS delta, row_number() OVER (PARTITION BY period ORDER BY v, entity) AS rn, count(*) OVER (PARTITION BY period) AS n FROM t) SELECT entity, period, round(delta, 4) AS delta, rn = floor(n * 0.95) + 1 AS is_p95 FROM x")
+@query(f"WITH {PANEL}, t AS (SELECT entity, period, sum(value) AS v FROM panel GROUP BY ALL) SELECT entity, period, round(v - first_value(v) OVER (PARTITION BY entity ORDER BY period), 4) AS delta FROM t")
 def index_base(s, d):
     t = long_panel(s, d).groupBy("entity", "period").agg(F.sum("value").alias("v"))
-    e, p = Window.partitionBy("entity").orderBy("period"), Window.partitionBy("period")
-    return t.select("entity", "period", F.round(F.col("v") - F.first("v").over(e), 4).alias("delta"), (F.row_number().over(p.orderBy("v", "entity")) == F.floor(F.count("*").over(p) * 0.95) + 1).alias("is_p95"))
+    return t.select("entity", "period", F.round(F.col("v") - F.first("v").over(Window.partitionBy("entity").orderBy("period")), 4).alias("delta"))
+
+
+@query(f"WITH {PANEL}, t AS (SELECT entity, period, sum(value) AS v FROM panel GROUP BY ALL), x AS (SELECT period, v, row_number() OVER (PARTITION BY period ORDER BY v) AS rn, count(*) OVER (PARTITION BY period) AS n FROM t) SELECT period, round(v, 4) AS value FROM x WHERE rn = floor(n * 0.95) + 1")
+def period_p95(s, d):
+    """The value at the floor of 95 % of the places of each period, not interpolated."""
+    t = long_panel(s, d).groupBy("entity", "period").agg(F.sum("value").alias("v"))
+    return rounded(panel.floor_percentile(t, "v", 0.95, ("period",)), 4)
 
 
 # graphs ---------------------------------------------------------------------------------------
@@ -329,7 +389,7 @@ def modularity(s, d):
     return rounded(graph.modularity(transport(s, d), region_labels(s, d)))
 
 
-@query(f"WITH {LAYERS}, {REGION}, e AS (SELECT a.label AS ls, b.label AS ld, w FROM mix JOIN lab a ON a.node = src JOIN lab b ON b.node = dst), c AS (SELECT ls, coalesce(sum(w) FILTER (WHERE ls = ld), 0) AS i, coalesce(sum(w) FILTER (WHERE ls <> ld), 0) AS o FROM e GROUP BY ls), q AS (SELECT l.label AS ls, coalesce(i, 0) AS i, coalesce(o, 0) AS o FROM (SELECT DISTINCT label FROM lab) l LEFT JOIN c ON c.ls = l.label), iso AS (SELECT avg(CASE WHEN i + o > 0 THEN i / (i + o) ELSE 0 END) AS avi, sum(CASE WHEN i + o > 0 THEN i / (i + o) ELSE 0 END) AS mq, count(*) AS k FROM q), x AS (SELECT ls, ld, sum(w) AS b FROM e WHERE ls <> ld GROUP BY ls, ld), u AS (SELECT sum(b / (p.o + r.o - b)) AS u FROM x JOIN q p ON p.ls = x.ls JOIN q r ON r.ls = x.ld) SELECT round(avi, 6) AS avi, round(u / k, 6) AS avu, round(avi / (1 + u / k), 6) AS anui, round(mq, 6) AS mq FROM iso, u")
+@query(f"WITH {LAYERS}, {REGION}, e AS (SELECT a.label AS ls, b.label AS ld, w FROM mix JOIN lab a ON a.node = src JOIN lab b ON b.node = dst), c AS (SELECT ls, coalesce(sum(w) FILTER (WHERE ls = ld), 0) AS i, coalesce(sum(w) FILTER (WHERE ls <> ld), 0) AS o FROM e GROUP BY ls), q AS (SELECT l.label AS ls, coalesce(i, 0) AS i, coalesce(o, 0) AS o FROM (SELECT DISTINCT label FROM lab) l LEFT JOIN c ON c.ls = l.label), iso AS (SELECT avg(CASE WHEN i + o > 0 THEN i / (i + o) ELSE 0 END) AS avi, sum(CASE WHEN i + o > 0 THEN i / (i + o) ELSE 0 END) AS mq, count(*) AS k FROM q), x AS (SELECT ls, ld, sum(w) AS b FROM e WHERE ls <> ld GROUP BY ls, ld), u AS (SELECT sum(b / (p.o + r.o - b)) AS u FROM x JOIN q p ON p.ls = x.ls JOIN q r ON r.ls = x.ld) SELECT round(avi, 6) AS avi, round(u / k, 6) AS avu, round(avi / (1 + avi * u / k), 6) AS anui, round(mq, 6) AS mq, round((SELECT sum(i) / sum(i + o) - sum(pow(i + o, 2)) / pow(sum(i + o), 2) FROM q), 6) AS modularity FROM iso, u")
 def network_indices(s, d):
     return rounded(graph.network_indices(transport(s, d), region_labels(s, d)))
 
@@ -346,16 +406,14 @@ def graph_summary(s, d):
 
 @query(f"WITH {POINTS}, dd AS (SELECT a.id, b.id AS peer, list_distance(a.x, b.x) AS distance FROM p a JOIN p b USING (label) WHERE a.id <> b.id) SELECT id, peer, round(distance, 6) AS distance, CAST(row_number() OVER (PARTITION BY id ORDER BY round(distance, 9), peer) AS INT) AS rank FROM dd QUALIFY rank <= 3")
 def topk_neighbors(s, d):
-    return rounded(quality.neighbours(points(s, d), 3))
+    return rounded(quality.neighbours(points(s, d), 3)).select("id", "peer", "distance", "rank")
 
 
 @query(f"WITH {POINTS}, q AS (SELECT *, id % 5 AS region FROM p), dd AS (SELECT a.id, b.id AS peer, CAST(a.region = b.region AS INT) AS same, list_distance(a.x, b.x) AS distance FROM q a JOIN q b USING (label) WHERE a.id <> b.id) SELECT id, peer, same, round(distance, 6) AS distance, CAST(row_number() OVER (PARTITION BY id ORDER BY same, round(distance, 9), peer) AS INT) AS rank FROM dd QUALIFY rank <= 3")
 def peers_top3(s, d):
+    """The three nearest of a vector's label, those of another region first; vectors have no region but their number's last digit."""
     p = points(s, d).withColumn("region", F.col("id") % 5)
-    a, b = p.select("label", "id", F.col("region").alias("ra"), F.col("x").alias("xa")), p.select("label", F.col("id").alias("peer"), F.col("region").alias("rb"), F.col("x").alias("xb"))
-    dd = a.join(b, "label").where("id <> peer").select("id", "peer", (F.col("ra") == F.col("rb")).cast("int").alias("same"), F.sqrt(quality.sq_dist(F.col("xa"), F.col("xb"))).alias("distance"))
-    w = Window.partitionBy("id").orderBy("same", F.round("distance", 9), "peer")
-    return rounded(dd.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 3))
+    return rounded(quality.neighbours(p, 3, other_first="region")).select("id", "peer", "same", "distance", "rank")
 
 
 @query(f"WITH {POINTS}, dd AS (SELECT a.id, a.label AS own, b.label AS other, sum(list_distance(a.x, b.x)) / count(*) AS m FROM p a JOIN p b ON a.id <> b.id GROUP BY ALL), f AS (SELECT id, sum(m) FILTER (WHERE own = other) AS a, min(m) FILTER (WHERE own <> other) AS b FROM dd GROUP BY id) SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM f")
@@ -410,21 +468,23 @@ def normalize_text(s, d):
     return table(s, d, "documents").select("doc_id", reconcile.normal_name(F.coalesce("text", F.lit(""))).alias("name"))
 
 
-_CODE = "replace(replace(code, ' ', ''), '-', '')"
+_CODE = "regexp_replace(replace(code, chr(160), ''), '[\\s-]', '', 'g')"
 
 
-@query(f"WITH x AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '1 512 000' WHEN 1 THEN '79-701-000-000' WHEN 2 THEN CAST(10000000 + c_custkey AS VARCHAR) ELSE 'n/a' END AS code FROM customer), y AS (SELECT c_custkey, {_CODE} AS v FROM x) SELECT c_custkey, CASE WHEN regexp_full_match(v, '[0-9]{{7}}') THEN '0' || v WHEN regexp_full_match(v, '[0-9]{{8}}') THEN v WHEN regexp_full_match(v, '[0-9]{{11}}') THEN substr(v, 1, 8) END AS code FROM y")
+@query(f"WITH x AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '1 512 000' WHEN 1 THEN '79-701' || chr(160) || '-000' || chr(9) || '-000' WHEN 2 THEN CAST(10000000 + c_custkey AS VARCHAR) ELSE 'n/a' END AS code FROM customer), y AS (SELECT c_custkey, {_CODE} AS v FROM x) SELECT c_custkey, CASE WHEN regexp_full_match(v, '[0-9]{{7}}') THEN '0' || v WHEN regexp_full_match(v, '[0-9]{{8}}') THEN v WHEN regexp_full_match(v, '[0-9]{{11}}') THEN substr(v, 1, 8) END AS code FROM y")
 def code_normalize(s, d):
     k = F.col("c_custkey")
-    raw = F.when(k % 4 == 0, "1 512 000").when(k % 4 == 1, "79-701-000-000").when(k % 4 == 2, (10000000 + k).cast("string")).otherwise("n/a")
+    raw = F.when(k % 4 == 0, "1 512 000").when(k % 4 == 1, "79-701\u00a0-000\t-000").when(k % 4 == 2, (10000000 + k).cast("string")).otherwise("n/a")
     return table(s, d, "customer").select("c_custkey", reconcile.code8(raw).alias("code"))
 
 
-@query("WITH n AS (SELECT s_suppkey, s_nationkey, regexp_replace(lower(s_name), '[^a-z]', '', 'g') AS name FROM supplier), c AS (SELECT c_nationkey, regexp_replace(lower(c_name), '[^a-z]', '', 'g') AS cname, c_custkey FROM customer), m AS (SELECT s_suppkey, count(c_custkey) AS candidates FROM n LEFT JOIN c ON c_nationkey = s_nationkey AND c_custkey % 50 = s_suppkey % 50 GROUP BY s_suppkey) SELECT s_suppkey, CAST(candidates AS BIGINT) AS candidates, CASE WHEN candidates = 1 THEN 'matched' WHEN candidates > 1 THEN 'ambiguous' ELSE 'missing' END AS status FROM m")
+@query("WITH n AS (SELECT s_suppkey, s_nationkey AS region, regexp_replace(replace(lower(s_name), 'supplier', 'customer'), '[^a-z0-9]', '', 'g') AS name FROM supplier), c AS (SELECT c_nationkey AS region, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS name, c_custkey FROM customer), m AS (SELECT s_suppkey, count(DISTINCT c_custkey) AS candidates FROM n LEFT JOIN c USING (region, name) GROUP BY s_suppkey) SELECT s_suppkey, CAST(candidates AS BIGINT) AS candidates, CASE WHEN candidates = 1 THEN 'matched' WHEN candidates > 1 THEN 'ambiguous' ELSE 'missing' END AS status FROM m")
 def name_match_status(s, d):
-    a = table(s, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("region"), (F.col("s_suppkey") % 50).alias("alias"))
-    b = table(s, d, "customer").select(F.col("c_nationkey").alias("region"), (F.col("c_custkey") % 50).alias("alias"), "c_custkey")
-    m = a.join(b, ["region", "alias"], "left").groupBy("s_suppkey").agg(F.count("c_custkey").alias("candidates"))
+    """Suppliers in the customers' register by one normalised name in the nation, in the register's wording."""
+    n = F.array(F.replace(F.lower("s_name"), F.lit("supplier"), F.lit("customer")))
+    a = table(s, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("region"), n.alias("names"))
+    b = table(s, d, "customer").select("c_custkey", F.col("c_nationkey").alias("region"), F.array("c_name").alias("names"))
+    m = reconcile.name_candidates(a, b, "s_suppkey", "c_custkey")
     return m.withColumn("status", reconcile.match_status(F.col("candidates")))
 
 
@@ -444,11 +504,13 @@ def name_alias_status(s, d):
     return m.withColumn("status", reconcile.match_status(F.col("candidates")))
 
 
-@query("WITH v AS (SELECT c_custkey, list(o_totalprice) FILTER (WHERE o_totalprice IS NOT NULL) AS vs FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY c_custkey) SELECT c_custkey, CASE WHEN vs IS NULL THEN 'missing' WHEN len(list_filter(vs, lambda z: z < 0)) > 0 THEN 'invalid' WHEN len(list_distinct(vs)) > 1 THEN 'conflict' ELSE 'ok' END AS status FROM v")
+@query("WITH v AS (SELECT c_custkey, list(CASE o_orderkey % 9 WHEN 0 THEN -1.0 WHEN 1 THEN CAST('nan' AS DOUBLE) WHEN 2 THEN CAST('inf' AS DOUBLE) WHEN 3 THEN 100.0 ELSE round(o_totalprice / 200000) END) FILTER (WHERE o_orderkey IS NOT NULL) AS vs FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY c_custkey) SELECT c_custkey, CASE WHEN vs IS NULL THEN 'missing' WHEN len(list_filter(vs, lambda z: z < 0 OR isnan(z) OR isinf(z))) > 0 THEN 'invalid' WHEN len(list_distinct(vs)) > 1 THEN 'conflict' ELSE 'ok' END AS status FROM v")
 def indicator_status(s, d):
-    o = table(s, d, "orders").where("o_orderstatus = 'P'").groupBy("o_custkey").agg(F.collect_set("o_totalprice").alias("vs"))
-    j = table(s, d, "customer").select("c_custkey").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return j.select("c_custkey", reconcile.value_status(F.coalesce("vs", F.array().cast("array<double>"))).alias("status"))
+    """The list of each customer's pending prices, some of them made negative, infinite or no number."""
+    k = F.col("o_orderkey") % 9
+    v = F.when(k == 0, -1.0).when(k == 1, float("nan")).when(k == 2, float("inf")).when(k == 3, 100.0).otherwise(F.round(F.col("o_totalprice") / 200000))
+    lists = reconcile.value_lists(table(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"), v.alias("v")), ["c_custkey"], "v")
+    return reconcile.with_lists(table(s, d, "customer").select("c_custkey"), lists, ["c_custkey"]).select("c_custkey", reconcile.value_status(F.col("values")).alias("status"))
 
 
 @query("SELECT 'both' AS part, CAST(count(*) AS BIGINT) AS n FROM (SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders) UNION ALL SELECT 'customers only', count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT 'all', count(*) FROM (SELECT c_custkey FROM customer UNION SELECT o_custkey FROM orders)")
@@ -470,4 +532,4 @@ def top_regions(s, d):
     return g.orderBy(F.desc("balance"), "c_nationkey").limit(12)
 
 
-from weftline.plans import models  # noqa: E402, F401  registers its queries here
+from weftline.plans import models, networks, panels, registers, studies  # noqa: E402, F401  register their queries here

@@ -5,23 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftline.operators import learning
-from weftline.plans.catalogue import LAYERS, NODES, knn_layers, points, query, rounded, states, supplier_nodes, transport
+from weftline.operators import graph, learning, sequence
+from weftline.plans.catalogue import _PERSIST, LAYERS, NODES, knn_layers, points, query, rounded, states_with_margin, supplier_nodes, transport
 from weftline.tables import table
 
 
 @query()
 def kmeans_labels(s, d):
-    """The best of five seeded fits over the vectors, with each one's relative margin."""
+    """The best of ten starts over the vectors, with each one's relative margin."""
     p = points(s, d).drop("label")
     return learning.assigned(p, learning.kmeans(p, 10)[0]).select("id", "label", F.round("margin", 6).alias("margin"))
 
 
 @query()
 def mixture_labels(s, d):
-    """A diagonal mixture started from the k-means centres."""
-    p = points(s, d).drop("label")
-    return learning.diagonal_mixture(p, learning.kmeans(p, 10)[0]).select("id", "label")
+    """The likeliest of ten diagonal mixtures started from k-means centres."""
+    return learning.diagonal_mixture(points(s, d).drop("label"), 10).select("id", "label")
 
 
 @query("SELECT vec_id AS id, label AS aligned FROM embeddings")
@@ -42,22 +41,27 @@ def ridge_validation(s, d):
 @query()
 def entity_subsamples(s, d):
     """Mean price by trial, over 80 % of the customers each."""
-    return learning.subsample(table(s, d, "orders"), "o_custkey", 5).groupBy("trial").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 6).alias("price"))
+    return learning.subsample(table(s, d, "orders"), "o_custkey", 20).groupBy("trial").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 6).alias("price"))
 
 
 @query()
 def month_bootstrap(s, d):
     """Mean price by bootstrap of months within their year."""
     o = table(s, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_totalprice")
-    return learning.block_bootstrap(o, "month", 5).groupBy("iteration").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 6).alias("price"))
+    return learning.block_bootstrap(o, "month", 50).groupBy("iteration").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 6).alias("price"))
 
 
-@query()
+_EVENTS = "WITH " + _PERSIST.replace("{n}", "2") + ", e AS (SELECT DISTINCT entity FROM st), ac AS (SELECT entity FROM ch WHERE changed), x AS (SELECT (SELECT count(*) FROM ac) AS true_events, (SELECT count(*) FROM pt) AS found_events, (SELECT count(*) FROM e WHERE entity NOT IN (SELECT entity FROM ac)) AS stable_nodes)"
+
+
+@query(_EVENTS + " SELECT true_events, found_events, found_events AS matched, CAST(0 AS BIGINT) AS false_events, round(CASE WHEN found_events > 0 THEN 1.0 END, 6) AS precision, round(found_events / true_events, 6) AS recall, stable_nodes, CAST(0 AS BIGINT) AS false_stable, CASE WHEN stable_nodes > 0 THEN 0.0 END AS false_stable_percent FROM x")
 def event_scores(s, d):
-    """Label changes against the same a step later, every fifth entity's left out."""
-    w = Window.partitionBy("entity").orderBy("period")
-    c = states(s, d).select("entity", F.lag("label").over(w).alias("from_label"), F.col("label").alias("to_label"), F.row_number().over(w).alias("at")).where("from_label <> to_label")
-    return learning.event_scores(c, c.where("entity % 5 <> 0").withColumn("at", F.col("at") + 1))
+    """Transitions that last two days on both sides, scored against all changes of state; each matches the change that it is."""
+    rows = states_with_margin(s, d)
+    place = rows.select("entity", "period", F.row_number().over(Window.partitionBy("entity").orderBy("period")).alias("at"))
+    at = lambda df: df.join(place, ["entity", "period"]).select("entity", "from_label", "to_label", "at")
+    found = sequence.persistent_transitions(rows, "entity", "period", "label", 2)
+    return rounded(learning.event_scores(at(sequence.all_changes(rows, "entity", "period", "label")), at(found), rows.select("entity")))
 
 
 @query("SELECT c_custkey, s_suppkey, s_name FROM (SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 8, '0') || '000' AS code FROM customer) JOIN (SELECT s_suppkey, s_name, lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS code8 FROM supplier) ON substr(code, 1, 8) = code8")
@@ -88,12 +92,5 @@ SELECT node, round(0.8 * level + 0.2 * coalesce(0.75 * h + 0.25 * r, h, r, level
 def smooth_two_layers(s, d):
     """Each layer normalised on its own; a node with one layer takes it whole, one with none keeps its value."""
     nodes = supplier_nodes(s, d).select("node", "level")
-
-    def mean(edges, name):
-        near = edges.join(nodes, F.col("dst") == F.col("node"))
-        return near.groupBy(F.col("src").alias("node")).agg((F.sum(F.col("w") * F.col("level")) / F.sum("w")).alias(name))
-
-    one, two = (mean(e, n) for e, n in zip(knn_layers(s, d), ("h", "r"), strict=True))
-    both = nodes.join(one, "node", "left").join(two, "node", "left")
-    near = F.coalesce(0.75 * F.col("h") + 0.25 * F.col("r"), "h", "r", "level")
-    return rounded(both.select("node", (0.8 * F.col("level") + 0.2 * near).alias("level")))
+    near = graph.two_layers(nodes, *knn_layers(s, d), ["level"], 0.25).withColumnRenamed("level", "near")
+    return rounded(nodes.join(near, "node").select("node", (0.8 * F.col("level") + 0.2 * F.col("near")).alias("level")))

@@ -1 +1 @@
-"""Sources of the panel engine."""
+"""Readers of files other than Parquet: CSV, JSON, XLSX and SQLite."""
