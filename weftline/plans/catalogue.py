@@ -532,4 +532,4 @@ def top_regions(s, d):
     return g.orderBy(F.desc("balance"), "c_nationkey").limit(12)
 
 
-from weftline.plans import models, networks, panels, registers, studies  # noqa: E402, F401  register their queries here
+from weftline.plans import fixed, models, networks, panels, registers, studies  # noqa: E402, F401  register their queries here
