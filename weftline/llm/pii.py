@@ -58,16 +58,32 @@ def matches(text: Column, pattern: str) -> Column:
         F.transform(gaps, lambda g: _context(last(g, 2))).alias("left2"),
         values.alias("value"), after.alias("right"),
     )
-    shaped = F.filter(shaped, lambda x: x["value"].isNotNull())
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("got"))
+    return let(F.filter(shaped, lambda x: x["value"].isNotNull()), _placed)
 
-    def add(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.char_length(x["value"])
-        one = F.struct(start.alias("start"), end.alias("end"), *[x[c].alias(c) for c in _FIELDS[2:]])
-        return F.struct(end.alias("at"), F.concat(acc["got"], F.array(one)).alias("got"))
 
-    return F.aggregate(shaped, none, add, lambda acc: acc["got"])
+_CHUNK = 256
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with `value` evaluated once however often the body has it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _placed(shaped: Column) -> Column:
+    """Matches with their positions: sums of what comes before, in chunks, so that a text with many matches takes time in proportion."""
+    total = lambda v: F.aggregate(v, F.lit(0), lambda s, x: s + x)
+
+    def with_sizes(sizes):
+        chunks = F.sequence(F.lit(0), F.floor(F.size(sizes) / _CHUNK).cast("int"))
+        sums = F.transform(chunks, lambda c: total(F.slice(sizes, c * _CHUNK + 1, _CHUNK)))
+        return let(sums, lambda s: let(F.transform(s, lambda _, c: total(F.slice(s, F.lit(1), c))), lambda before: F.transform(shaped, lambda x, i: one(x, i, sizes, before))))
+
+    def one(x, i, sizes, before):
+        at = F.get(before, F.floor(i / _CHUNK).cast("int")) + total(F.slice(sizes, F.floor(i / _CHUNK).cast("int") * _CHUNK + 1, i % _CHUNK))
+        start = at + x["gap"]
+        return F.struct(start.alias("start"), (start + F.char_length(x["value"])).alias("end"), *[x[c].alias(c) for c in _FIELDS[2:]])
+
+    return let(F.transform(shaped, lambda x: x["gap"] + F.char_length(x["value"])), with_sizes)
 
 
 def _digits(v: Column) -> Column:
@@ -114,8 +130,22 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     for kind in KINDS:
         rows = rows.withColumn(f"__{kind}", _found(text, kind))
     rows = rows.withColumn("__runs", _runs(text)).withColumn("base", F.concat(*[_tagged(F.col(f"__{k}"), i) for i, k in enumerate(KINDS)]))
-    apart = F.filter("__runs", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return cut(rows.select("id", "row", "base", _tagged(apart, ANY).alias("runs")), "spans")
+    return cut(rows.select("id", "row", "base", _tagged(_apart(F.col("__runs"), F.col("base"), F.char_length(text)), ANY).alias("runs")), "spans")
+
+
+_CELL = 1024
+
+
+def _apart(runs: Column, base: Column, length: Column) -> Column:
+    """The runs that overlap no base span, looked up in cells of the text, of which a run touches two at most."""
+    touching = lambda c: F.filter(base, lambda b: (b["start"] < (c + 1) * _CELL) & (b["end"] > c * _CELL))
+    cells = F.transform(F.sequence(F.lit(0), F.floor(length / _CELL).cast("int")), touching)
+
+    def free_of(cell, x, at):
+        return ~F.exists(F.get(cell, F.floor(at / _CELL).cast("int")), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+
+    kept = let(cells, lambda cell: F.filter(runs, lambda x: free_of(cell, x, x["start"]) & free_of(cell, x, x["end"] - 1)))
+    return F.when((F.size(runs) == 0) | (F.size(base) == 0), runs).otherwise(kept)
 
 
 def normal(kind: Column, value: Column) -> Column:
@@ -222,7 +252,7 @@ def as_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """`docs` with every span of `text_col` replaced by <KIND>; overlapping spans become the first one's kind. Texts without spans stay as they are, null ones too."""
+    """`docs` with every span of `text_col` replaced by <KIND>; overlapping spans become the first one's kind. Texts without spans stay as they are, null ones too. A text with very many spans takes time with the product of its length and their number."""
     (row,) = free(docs, "row_hash")
     spans = find(docs, id_col, text_col, **how).where("size(spans) > 0").select(F.col("id").alias(f"{row}_id"), F.col("row").alias(f"{row}_of"), F.col("spans").alias(f"{row}_spans")).distinct()
     rows = docs.withColumn(row, F.xxhash64(F.col(id_col).cast("long"), whole(F.col(text_col))))
