@@ -6,8 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.operators import graph, panel, quality, sequence
-from weftline.plans.catalogue import CHANGE, FEATURES, PANEL, SHARES, STATE, _PERSIST, feature_panel, layered_pairs, long_panel, query, rounded, states, states_with_margin
-from weftline.plans.catalogue import NATION_SQL, SUPPLY_SQL
+from weftline.plans.catalogue import CHANGE, FEATURES, PANEL, SHARES, STATE, SUPPLY_SQL, _PERSIST, feature_panel, layered_pairs, long_panel, query, rounded, states, states_with_margin
 from weftline.tables import table
 
 
