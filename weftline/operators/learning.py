@@ -7,6 +7,7 @@ variances, a normal matrix of one row per feature, or a contingency table of one
 from __future__ import annotations
 
 import itertools
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -47,7 +48,7 @@ def kmeans_many(points: DataFrame, k: int | dict, by: tuple[str, ...] = (), star
     for g, (values, x) in drawn.items():
         x = np.array(x, float)
         size[g] = min(k[values] if isinstance(k, dict) else k, len(x))
-        state[g] = np.stack([_plus_plus(x, size[g], np.random.default_rng([seed, i])) for i in range(starts)]), tolerance * x.var(0).mean()
+        state[g] = np.stack([_plus_plus(x, size[g], np.random.default_rng([seed, i, zlib.crc32(g.encode())])) for i in range(starts)]), tolerance * x.var(0).mean()
     for turn in range(rounds):
         if not state:
             break
@@ -318,18 +319,13 @@ def density_clusters(points: DataFrame, by: str, least: int = 50, neighbours: in
     return points.select(by, "id", "x").groupBy(by).applyInPandas(label, f"{by} {kinds[by]}, id {kinds['id']}, label int")
 
 
-def aligned(rows: DataFrame, reference: str, label: str) -> DataFrame:
-    """`rows` with `aligned`: `label` renamed to reference labels one to one so that most rows agree.
-
-    The contingency table, one row per pair of labels, is all that the driver sees. Labels beyond
-    the reference's number get null.
-    """
-    table = {(r[0], r[1]): r["n"] for r in rows.groupBy(reference, label).agg(F.count("*").alias("n")).collect()}
+def best_names(table: dict) -> dict:
+    """{label: reference} one to one for a contingency table {(reference, label): n}, so that most rows agree; labels beyond the reference's number are missing."""
     refs, labels = (sorted({key[at] for key in table if key[at] is not None}) for at in (0, 1))
     # the best total for the labels so far over every set of reference labels in use
     best: dict[int, tuple[int, tuple]] = {0: (0, ())}
+    spare = max(0, len(labels) - len(refs))
     for at, old in enumerate(labels):
-        spare = max(0, len(labels) - len(refs))
         new: dict[int, tuple[int, tuple]] = {}
         for used, (n, names) in best.items():
             choices = [i for i in range(len(refs)) if not used >> i & 1]
@@ -341,10 +337,27 @@ def aligned(rows: DataFrame, reference: str, label: str) -> DataFrame:
                     new[mask] = total, (*names, i)
         best = new
     names = max(best.values(), key=lambda v: v[0])[1]
-    found = [(F.lit(old), F.lit(refs[i])) for old, i in zip(labels, names, strict=True) if i is not None]
-    if not found:
-        return rows.withColumn("aligned", F.lit(None).cast(dict(rows.dtypes)[reference]))
-    return rows.withColumn("aligned", F.try_element_at(F.create_map(*itertools.chain(*found)), F.col(label)))
+    return {old: refs[i] for old, i in zip(labels, names, strict=True) if i is not None}
+
+
+def aligned(rows: DataFrame, reference: str, label: str, by: str | None = None) -> DataFrame:
+    """`rows` with `aligned`: `label` renamed to reference labels one to one so that most rows agree, for each value of `by`.
+
+    The contingency tables, one row per pair of labels, are all that the driver sees. Labels beyond
+    the reference's number get null.
+    """
+    keys = [by] if by else []
+    tables: dict = {}
+    for r in rows.groupBy(*keys, reference, label).agg(F.count("*").alias("n")).collect():
+        tables.setdefault(r[by] if by else None, {})[r[reference], r[label]] = r["n"]
+    kinds = dict(rows.dtypes)
+    found = [(*([g] if by else []), old, new) for g, t in tables.items() for old, new in best_names(t).items()]
+    schema = ", ".join([*([f"_g {kinds[by]}"] if by else []), f"_old {kinds[label]}", f"aligned {kinds[reference]}"])
+    names = rows.sparkSession.createDataFrame(found, schema)
+    on = F.col(label) == F.col("_old")
+    if by:
+        on &= F.col(by) == F.col("_g")
+    return rows.join(names, on, "left").drop("_old", "_g")
 
 
 def one_hot(rows: DataFrame, column: str) -> tuple[DataFrame, list[str]]:

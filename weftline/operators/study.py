@@ -102,9 +102,8 @@ def with_reference(points: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def aligned_by(points: DataFrame, by: str) -> DataFrame:
-    """Points with `aligned`: for each value of `by` labels renamed to those of `reference` so that most agree. The tables of counts, one row for each pair of labels, are all that the driver sees."""
-    names = [r[0] for r in points.select(by).distinct().orderBy(by).collect()]
-    return reduce(DataFrame.unionByName, (learning.aligned(points.where(F.col(by) == F.lit(v)), "reference", "label") for v in names))
+    """Points with `aligned`: for each value of `by` labels renamed to those of `reference` so that most agree."""
+    return learning.aligned(points, "reference", "label", by)
 
 
 def against_reference(points: DataFrame, reference: DataFrame, by: str, period: bool = True) -> DataFrame:
