@@ -54,7 +54,7 @@ def month_bootstrap(s, d):
 _EVENTS = "WITH " + _PERSIST.replace("{n}", "2") + ", e AS (SELECT DISTINCT entity FROM st), ac AS (SELECT entity FROM ch WHERE changed), x AS (SELECT (SELECT count(*) FROM ac) AS true_events, (SELECT count(*) FROM pt) AS found_events, (SELECT count(*) FROM e WHERE entity NOT IN (SELECT entity FROM ac)) AS stable_nodes)"
 
 
-@query(_EVENTS + " SELECT true_events, found_events, found_events AS matched, CAST(0 AS BIGINT) AS false_events, round(CASE WHEN found_events > 0 THEN 1.0 END, 6) AS precision, round(found_events / true_events, 6) AS recall, stable_nodes, CAST(0 AS BIGINT) AS false_stable, CASE WHEN stable_nodes > 0 THEN 0.0 END AS false_stable_percent FROM x")
+@query(_EVENTS + " SELECT true_events, found_events, found_events AS matched, CAST(0 AS BIGINT) AS false_events, CAST(CASE WHEN found_events > 0 THEN 1 END AS DOUBLE) AS precision, round(found_events / true_events, 6) AS recall, stable_nodes, CAST(0 AS BIGINT) AS false_stable, CAST(CASE WHEN stable_nodes > 0 THEN 0 END AS DOUBLE) AS false_stable_percent FROM x")
 def event_scores(s, d):
     """Transitions that last two days on both sides, scored against all changes of state; each matches the change that it is."""
     rows = states_with_margin(s, d)

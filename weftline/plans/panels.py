@@ -90,7 +90,7 @@ def beating_baseline(s, d):
     return g.agg(F.count_if(F.col("score") > 4500).alias("better"), F.max_by("setting", "score").alias("best"), F.min_by("setting", "score").alias("worst"))
 
 
-@query("SELECT year(o_orderdate) AS year, o_orderpriority AS type, CAST(count(*) AS BIGINT) AS n, round(median(o_totalprice), 6) AS target FROM orders GROUP BY ALL")
+@query("SELECT CAST(year(o_orderdate) AS INT) AS year, o_orderpriority AS type, CAST(count(*) AS BIGINT) AS n, round(median(o_totalprice), 6) AS target FROM orders GROUP BY ALL")
 def median_target(s, d):
     g = table(s, d, "orders").groupBy(F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("type"))
     return rounded(g.agg(F.count("*").alias("n"), F.median("o_totalprice").alias("target")))

@@ -109,7 +109,7 @@ def covered_both_years(s, d):
 _INDICATORS = "i AS (SELECT CAST(o_custkey AS VARCHAR) AS oktmo, year(o_orderdate) AS year, o_orderstatus AS indicator_code, 'roubles' AS indicator_unit, o_orderpriority AS indicator_period, 'upper' AS mun_level, o_totalprice AS indicator_value FROM orders)"
 
 
-@query(f"WITH {_INDICATORS} SELECT oktmo AS code, year, indicator_value AS value FROM i WHERE indicator_code = 'F' AND indicator_period = '2-HIGH' AND mun_level = 'upper'")
+@query(f"WITH {_INDICATORS} SELECT oktmo AS code, CAST(year AS INT) AS year, indicator_value AS value FROM i WHERE indicator_code = 'F' AND indicator_period = '2-HIGH' AND mun_level = 'upper'")
 def indicator_reader(s, d):
     o = table(s, d, "orders")
     rows = o.select(F.col("o_custkey").cast("string").alias("oktmo"), F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("indicator_code"), F.lit("roubles").alias("indicator_unit"), F.col("o_orderpriority").alias("indicator_period"), F.lit("upper").alias("mun_level"), F.col("o_totalprice").alias("indicator_value"))
@@ -122,7 +122,7 @@ def many_to_one_join(s, d):
     return contracts.many_to_one(table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), c, ["o_custkey"], "inner").select("o_orderkey", "o_orderpriority", "c_mktsegment")
 
 
-@query("WITH a AS (SELECT o_custkey, year(o_orderdate) AS year, count(*) AS n, round(sum(o_totalprice), 2) AS price FROM orders GROUP BY ALL) SELECT o_orderkey, a.year, n, price FROM orders o JOIN a ON a.o_custkey = o.o_custkey AND a.year = year(o.o_orderdate)")
+@query("WITH a AS (SELECT o_custkey, year(o_orderdate) AS year, count(*) AS n, round(sum(o_totalprice), 2) AS price FROM orders GROUP BY ALL) SELECT o_orderkey, CAST(a.year AS INT) AS year, n, price FROM orders o JOIN a ON a.o_custkey = o.o_custkey AND a.year = year(o.o_orderdate)")
 def composite_join(s, d):
     """Each order with its customer's number and sum of orders of the year, on two keys."""
     o = table(s, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", F.year("o_orderdate").alias("year"))
