@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.columns import free, whole
+from weftline.llm.columns import free, let, whole
 from weftline.shared import cut
 
 KINDS = ("email", "ip", "card", "phone")
@@ -64,11 +64,6 @@ def matches(text: Column, pattern: str) -> Column:
 _CHUNK = 256
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with `value` evaluated once however often the body has it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _placed(shaped: Column) -> Column:
     """Matches with their positions: sums of what comes before, in chunks, so that a text with many matches takes time in proportion."""
     total = lambda v: F.aggregate(v, F.lit(0), lambda s, x: s + x)
