@@ -14,7 +14,7 @@ SPACES = " \t\n\x0b\x0c\r"
 
 def simulated(docs, labels):
     """{(part, order, step): counts} by applying each order, document by document."""
-    quality, toxic = {i for i, q, t in labels if q == 1}, {i for i, q, t in labels if t == 1}
+    quality, toxic = ({r[0] for r in labels if r[0] is not None and r[k] == 1} for k in (1, 2))
     first, rows = {}, []
     for i, text, _ in docs:
         if i is not None:
