@@ -47,6 +47,13 @@ def test_lines(docs, none):
     assert line_dedup.dedup_lines(docs).count() == len(rows()) and line_dedup.dedup_lines(none).count() == 0
 
 
+def test_many_lines(spark):
+    many = [f"line number {i} of many" if i % 3 else f"own line {i}" for i in range(100_000)]
+    other = [f"line number {i} of many" for i in range(100_000)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame([(1, "\n".join(other)), (2, "\n".join(many))], "doc_id long, text string")).collect()}
+    assert got[2]["text"] == "\n".join(x for x in many if x.startswith("own")) and got[2]["n_dropped"] == 66_666 and got[1]["n_dropped"] == 0
+
+
 def test_near(docs, none):
     got = [r for r in near_dedup.near_groups(docs).collect()]
     by = {r["doc_id"]: r for r in got if r["doc_id"] is not None}

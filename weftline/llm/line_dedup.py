@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.columns import ascii_lower, free, strip, whole
+from weftline.llm.columns import ascii_lower, free, let, strip, whole
 from weftline.shared import cut
 
 #: A line is hot beyond this share of all lines, so that there are at most 1 / share hot lines.
@@ -35,8 +35,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line whose key has at least `min_chars` code points and is found in at least `min_docs`
     documents stays only in the smallest id that holds it, all its occurrences there included.
     Null or empty text is one empty line. Repeated ids are one document. Rows of null id are left
-    as they are and don't count as documents. A text that loses all its lines is empty. An empty
-    table gives an empty result. Other columns pass through; n_lines and n_dropped are replaced.
+    as they are and don't count as documents. A text that loses all its lines is empty. A text
+    takes time in proportion to its lines, however many. An empty table gives an empty result. Other columns pass through; n_lines and n_dropped are replaced.
     """
     if min_docs < 2:
         raise ValueError("a line is repeated when two documents hold it")
@@ -62,7 +62,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = docs.join(dropped, (F.col(id_col) == F.col(key)) & (F.col(row) == F.col(f"{key}_2")), "left")
     lines = lines_of(F.col(text_col))
     kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop)))
-    text = F.when(F.col(drop).isNull(), whole(F.col(text_col))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    text = F.when(F.col(drop).isNull(), whole(F.col(text_col))).otherwise(let(lines, lambda ls: F.array_join(F.transform(kept, lambda i: F.get(ls, i)), "\n")))
     own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped") and c != row]
     return out.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in own],
