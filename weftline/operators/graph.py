@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.quantiles import group_medians
 from weftline.shared import cut
 
 
@@ -25,7 +26,7 @@ def knn_layer(pairs: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     near = both.withColumn("rn", F.row_number().over(Window.partitionBy(*by, "src").orderBy("distance", "back", "dst"))).where(F.col("rn") <= k)
     # the chosen pairs are read for their scale and for their weights
     near = cut(near.select(*by, "src", "dst", "distance"), "near")
-    scale = near.groupBy(*by).agg(F.median(F.when(F.col("distance") > 0, F.col("distance"))).alias("s"))
+    scale = group_medians(near.select(*by, F.when(F.col("distance") > 0, F.col("distance")).alias("s")), list(by), ["s"])
     near = near.join(scale, list(by)) if by else near.join(F.broadcast(scale))
     return symmetric(near.select(*by, "src", "dst", F.exp(-F.col("distance") / F.col("s")).alias("w")), by)
 

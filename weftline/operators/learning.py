@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import quality
+from weftline.operators.quantiles import group_medians
+from weftline.shared import cut
 
 
 def _stack(column: pd.Series) -> np.ndarray:
@@ -199,7 +201,7 @@ def diagonal_mixture(points: DataFrame, k: int, starts: int = 10, rounds: int =
 
 def ordered_labels(rows: DataFrame, level: str, label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
     """`rows` with labels renumbered from 1 by the median of `level`, smallest first, for each value of `by`."""
-    mids = rows.groupBy(*by, F.col(label).alias("_old")).agg(F.median(level).alias("_m"))
+    mids = group_medians(rows.withColumn("_old", F.col(label)), [*by, "_old"], [level]).withColumnRenamed(level, "_m")
     order = mids.withColumn("_new", F.row_number().over(Window.partitionBy(*by).orderBy("_m", "_old"))).drop("_m")
     return rows.withColumn("_old", F.col(label)).join(order, [*by, "_old"], "left").withColumn(label, F.col("_new")).select(*rows.columns)
 
@@ -322,22 +324,51 @@ def density_clusters(points: DataFrame, by: str, least: int = 50, neighbours: in
 def best_names(table: dict) -> dict:
     """{label: reference} one to one for a contingency table {(reference, label): n}, so that most rows agree; labels beyond the reference's number are missing."""
     refs, labels = (sorted({key[at] for key in table if key[at] is not None}) for at in (0, 1))
-    # the best total for the labels so far over every set of reference labels in use
-    best: dict[int, tuple[int, tuple]] = {0: (0, ())}
-    spare = max(0, len(labels) - len(refs))
-    for at, old in enumerate(labels):
-        new: dict[int, tuple[int, tuple]] = {}
-        for used, (n, names) in best.items():
-            choices = [i for i in range(len(refs)) if not used >> i & 1]
-            if at + 1 - len([x for x in names if x is not None]) <= spare:
-                choices.append(None)
-            for i in choices:
-                mask, total = (used, n) if i is None else (used | 1 << i, n + table.get((refs[i], old), 0))
-                if mask not in new or total > new[mask][0]:
-                    new[mask] = total, (*names, i)
-        best = new
-    names = max(best.values(), key=lambda v: v[0])[1]
-    return {old: refs[i] for old, i in zip(labels, names, strict=True) if i is not None}
+    if not refs or not labels:
+        return {}
+    agree = np.array([[table.get((r, c), 0) for r in refs] for c in labels], float)
+    turned = len(labels) > len(refs)
+    pairs = enumerate(assignment(agree.T if turned else agree))
+    return {labels[j if turned else i]: refs[i if turned else j] for i, j in pairs}
+
+
+def assignment(gain: np.ndarray) -> list[int]:
+    """The column of each row, one to one, for which the gains add up to the most; no more rows than columns.
+
+    Rows come in one after the other, each by the cheapest path that frees a column for it, with
+    prices on rows and columns that keep all reduced losses at zero or more: rows^2 * columns steps.
+    """
+    loss = gain.max() - gain
+    rows, cols = loss.shape
+    row_price, col_price, holder = np.zeros(rows), np.zeros(cols), np.full(cols, -1)
+    for new in range(rows):
+        reach, before = loss[new] - row_price[new] - col_price, np.full(cols, -1)
+        settled, at = [], -1
+        open_ = np.ones(cols, bool)
+        while True:
+            at = int(np.where(open_, reach, np.inf).argmin())
+            far = reach[at]
+            if holder[at] < 0:
+                break
+            open_[at] = False
+            settled.append(at)
+            row = holder[at]
+            through = far + loss[row] - row_price[row] - col_price
+            better = open_ & (through < reach - 1e-12)
+            reach[better], before[better] = through[better], at
+        row_price[new] += far
+        for c in settled:
+            row_price[holder[c]] += far - reach[c]
+            col_price[c] -= far - reach[c]
+        while before[at] >= 0:
+            holder[at] = holder[before[at]]
+            at = before[at]
+        holder[at] = new
+    out = [-1] * rows
+    for c, r in enumerate(holder):
+        if r >= 0:
+            out[r] = c
+    return out
 
 
 def aligned(rows: DataFrame, reference: str, label: str, by: str | None = None) -> DataFrame:
@@ -444,24 +475,26 @@ def block_bootstrap(rows: DataFrame, period: str, iterations: int, seed: int = 0
 
 
 def match_events(true: DataFrame, found: DataFrame, tolerance: int = 2, keys: tuple[str, ...] = ("entity", "from_label", "to_label")) -> DataFrame:
-    """(keys, at, found_at, shift): true and found events of equal keys matched one to one, nearest first (then earliest), at most `tolerance` apart."""
+    """(keys, at, found_at, shift): true and found events of equal keys matched one to one, nearest first (then earliest), at most `tolerance` apart.
+
+    In rounds over all keys at once: pairs that come first at both their ends are taken, until no
+    pair is left. Rounds are as many as the longest chain of events that each wait for the one before.
+    Events of equal time are one; null keys match nothing.
+    """
     keys = list(keys)
     a = true.select(*keys, F.col("at").cast("long").alias("at"))
     near = a.join(found.select(*keys, F.col("at").cast("long").alias("found_at")), keys).where(F.abs(F.col("at") - F.col("found_at")) <= tolerance)
-    kinds = dict(near.dtypes)
-
-    def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(shift=group["found_at"] - group["at"])
-        group = group.assign(_d=group["shift"].abs()).sort_values(["_d", "at", "found_at"])
-        left, right, take = set(), set(), []
-        for t, f in zip(group["at"], group["found_at"], strict=True):
-            take.append(t not in left and f not in right)
-            if take[-1]:
-                left.add(t)
-                right.add(f)
-        return group[take].drop(columns="_d")
-
-    return near.groupBy(*keys).applyInPandas(greedy, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", at long, found_at long, shift long")
+    edges = near.distinct().select(*keys, "at", "found_at", F.struct(F.abs(F.col("at") - F.col("found_at")).alias("d"), "at", "found_at").alias("e"))
+    edges, taken = cut(edges, "events"), None
+    while edges.limit(1).count():
+        # an edge that comes first at both its ends is what the one-by-one choice takes too; what shares an end with it goes
+        best = [edges.groupBy(*keys, end).agg(F.min("e").alias(f"best_{end}")) for end in ("at", "found_at")]
+        now = edges.join(best[0], [*keys, "at"]).join(best[1], [*keys, "found_at"]).where((F.col("e") == F.col("best_at")) & (F.col("e") == F.col("best_found_at")))
+        now = cut(now.select(*keys, "at", "found_at"), "matched")
+        taken = now if taken is None else taken.unionByName(now)
+        edges = cut(edges.join(now.select(*keys, "at"), [*keys, "at"], "left_anti").join(now.select(*keys, "found_at"), [*keys, "found_at"], "left_anti"), "events")
+    taken = edges.select(*keys, "at", "found_at") if taken is None else taken
+    return taken.withColumn("shift", F.col("found_at") - F.col("at"))
 
 
 def event_scores(true: DataFrame, found: DataFrame, entities: DataFrame, tolerance: int = 2) -> DataFrame:
@@ -493,38 +526,6 @@ def calibration(rows: DataFrame, entity: str, label: str, columns: list[str]) ->
     return mean.select(label, *[F.col(f"_m_{c}").alias(c) for c in columns]), panel.covariances(effect.select(*[F.col(f"_e_{c}").alias(c) for c in columns]), columns), panel.covariances(noise, columns)
 
 
-def synthetic_panel(spark, centres: np.ndarray, effect_cov: np.ndarray, noise_cov: np.ndarray, nodes: int, periods: int, seed: int, changes: bool = True, spike: bool = False, share: float = 0.1, at: int = 12, effects: float = 1.0, noise: float = 1.0) -> DataFrame:
-    """(period, node, truth, x): points around their type's centre with an effect of the node and noise.
-
-    With `changes`, a share of the nodes moves to another type in period `at`; with `spike`, another
-    share looks like the next type in period 5 alone. The last coordinate is fixed by the first type.
-    """
-    r, k = np.random.default_rng(seed), len(centres)
-    first = r.permutation(np.arange(nodes) % k)
-    truth, order, n = np.tile(first, (periods, 1)), r.permutation(nodes), int(nodes * share)
-    if changes:
-        truth[at:, order[:n]] = (first[order[:n]] + r.integers(1, k, n)) % k
-    e = effects * r.multivariate_normal(np.zeros(centres.shape[1]), effect_cov, nodes)
-    x = centres[truth] + e + noise * r.multivariate_normal(np.zeros(centres.shape[1]), noise_cov, (periods, nodes))
-    if spike:
-        at_ = order[n : 2 * n]
-        x[5, at_] += centres[(first[at_] + 1) % k] - centres[first[at_]]
-    x[:, :, -1] = centres[first, -1] + e[:, -1]
-    x = (x - x.mean((0, 1))) / np.maximum(x.std((0, 1)), 1e-12)
-    rows = [(t, i, int(truth[t, i]), x[t, i].tolist()) for t in range(periods) for i in range(nodes)]
-    return spark.createDataFrame(rows, "period int, node long, truth int, x array<double>")
-
-
-def block_model(spark, types: np.ndarray, degree: float, inside: float, seed: int) -> DataFrame:
-    """(src, dst, w): a random graph in both directions, of the expected degree, with the share `inside` of it within types; weights from 0.2 to 1."""
-    r, n, k = np.random.default_rng(seed), len(types), len(set(types.tolist()))
-    p = np.where(types[:, None] == types, degree * inside / (n / k - 1), degree * (1 - inside) / (n - n / k))
-    up = np.triu(r.random((n, n)) < p, 1) * r.uniform(0.2, 1, (n, n))
-    a, b = np.nonzero(up)
-    rows = [(int(i), int(j), float(up[i, j])) for i, j in zip(a, b, strict=True)]
-    return spark.createDataFrame(rows + [(j, i, w) for i, j, w in rows], "src long, dst long, w double")
-
-
 def bootstrap_agreement(runs: DataFrame, keys: list[str], reference: str, label: str) -> DataFrame:
     """(keys, agreement): the share of runs in which a row's aligned label is its reference."""
     return quality.agreement(runs, reference, label, tuple(keys))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.quantiles import first, group_medians, group_quantiles
 from weftline.shared import cut
 
 
@@ -24,23 +25,22 @@ def pivoted(panel: DataFrame, categories: list[str], entity: str = "entity", per
 def features(wide: DataFrame, period: str = "period") -> DataFrame:
     """total, relative level ln(total / median of the period) and a share for each category but the last."""
     cats = [c for c in wide.columns if c.startswith("c_")]
-    wide = wide.withColumn("total", sum((F.col(c) for c in cats[1:]), F.col(cats[0])))
-    mid = wide.groupBy(period).agg(F.median("total").alias("_mid"))
-    wide = wide.join(mid, period)
+    wide = cut(wide.withColumn("total", sum((F.col(c) for c in cats[1:]), F.col(cats[0]))), "wide")
+    wide = wide.join(group_medians(wide, [period], ["total"]).withColumnRenamed("total", "_mid"), period)
     level = F.log(F.try_divide(F.col("total"), F.col("_mid")))
     return wide.withColumn("relative_level", level).drop("_mid").select("*", *[F.try_divide(F.col(c), F.col("total")).alias(f"s_{c[2:]}") for c in cats[:-1]])
 
 
 def centred(df: DataFrame, columns: list[str], period: str = "period") -> DataFrame:
     """`columns` less their period's median, which is one row a period."""
-    mids = df.groupBy(period).agg(*[F.median(c).alias(f"_mid_{c}") for c in columns])
+    mids = group_quantiles(df, [period], {c: [0.5] for c in columns}).select(period, *[first(c).alias(f"_mid_{c}") for c in columns])
     return df.join(mids, period).select(*[(F.col(c) - F.col(f"_mid_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def zscored(df: DataFrame, columns: list[str], centre: list[str] = (), period: str = "period", by: tuple[str, ...] = ()) -> DataFrame:
     """Columns standardised over all rows, or those of a value of `by`, with the population deviation, those of `centre` less their period's median first; a constant column is 0. The input is written once, as it is read for the moments and for the rows."""
     if centre:
-        df = cut(centred(df, list(centre), period), "centred")
+        df = cut(centred(cut(df, "panel"), list(centre), period), "centred")
     stats = df.groupBy(*by).agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"d_{c}") for c in columns])
     out = df.join(stats, list(by)) if by else df.join(F.broadcast(stats))
     for c in columns:
@@ -51,7 +51,7 @@ def zscored(df: DataFrame, columns: list[str], centre: list[str] = (), period: s
 def imputed(df: DataFrame, column: str, missing: Column) -> DataFrame:
     """`column` with missing values replaced by the median of the others, and whether it was."""
     gap = df.withColumn("imputed", missing).withColumn(column, F.when(missing, None).otherwise(F.col(column)))
-    mid = gap.agg(F.median(column).alias("mid"))
+    mid = group_quantiles(gap, [], {column: [0.5]}).select(first(column).alias("mid"))
     return gap.join(F.broadcast(mid)).withColumn(column, F.coalesce(column, "mid")).drop("mid")
 
 
@@ -97,10 +97,12 @@ def location_quotient(df: DataFrame, region: str, label: str, least: int = 1, to
 
 def profiles(df: DataFrame, label: str, region: str, level: str | None, shares: list[str]) -> DataFrame:
     """Size, regions, exp(median) * 100 of the log `level`, and the median shares of each label with their differences from the median of all rows in percentage points."""
-    index = [] if level is None else [(100 * F.exp(F.median(level))).alias("level_index")]
-    mids = df.groupBy(label).agg(F.count("*").alias("size"), F.count_distinct(region).alias("regions"), *index, *[F.median(c).alias(f"median_{c}") for c in shares])
-    all_ = df.agg(*[F.median(c).alias(f"all_{c}") for c in shares])
-    out = mids.join(F.broadcast(all_))
+    wanted = {c: [0.5] for c in [*([] if level is None else [level]), *shares]}
+    index = [] if level is None else [(100 * F.exp(first(level))).alias("level_index")]
+    mids = group_quantiles(df, [label], wanted).select(label, *index, *[first(c).alias(f"median_{c}") for c in shares])
+    sizes = df.groupBy(label).agg(F.count("*").alias("size"), F.count_distinct(region).alias("regions"))
+    all_ = group_quantiles(df, [], {c: [0.5] for c in shares}).select(*[first(c).alias(f"all_{c}") for c in shares])
+    out = sizes.join(mids, label).join(F.broadcast(all_))
     return out.select(label, "size", "regions", *(["level_index"] if level else []), *[f"median_{c}" for c in shares], *[(100 * (F.col(f"median_{c}") - F.col(f"all_{c}"))).alias(f"delta_pp_{c}") for c in shares])
 
 
@@ -125,7 +127,7 @@ def total_ratio(wide: DataFrame, parts: list[str], total: str) -> DataFrame:
     """One row: the least, median and greatest ratio of the sum of `parts` to `total`."""
     ratio = F.try_divide(sum((F.col(c) for c in parts[1:]), F.col(parts[0])), F.col(total))
     r = wide.select(ratio.alias("ratio"))
-    return r.agg(F.min("ratio").alias("low"), F.median("ratio").alias("mid"), F.max("ratio").alias("high"))
+    return r.agg(F.min("ratio").alias("low"), F.max("ratio").alias("high")).join(F.broadcast(group_medians(r, [], ["ratio"]))).select("low", F.col("ratio").alias("mid"), "high")
 
 
 def means(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
@@ -169,11 +171,8 @@ def top_and_selected(df: DataFrame, key: str, by: str, n: int, selected) -> Data
 
 def floor_percentile(df: DataFrame, column: str, p: float, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, value): the value at place floor(n * p) of the sorted column, not interpolated."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n"))
-    total = counts.groupBy(*by).agg(F.sum("n").alias("all_n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*by).orderBy(column)))
-    rows = upto.join(total, list(by)) if by else upto.crossJoin(F.broadcast(total))
-    return rows.where(F.col("upto") > F.floor(F.col("all_n") * p)).groupBy(*by).agg(F.min(column).alias("value"))
+    got = group_quantiles(df.where(F.col(column).isNotNull()), list(by), {column: [p]}, interpolate=False)
+    return got.select(*by, first(column).alias("value"))
 
 
 def pivot_years(df: DataFrame, entity: str, year: str, value_cols: list[str], years: list[int]) -> DataFrame:

@@ -12,20 +12,73 @@ def valid_at(versions: DataFrame, at: Column, low: str = "valid_from", high: str
     return versions.where((F.col(low) <= at) & (F.col(high).isNull() | upper))
 
 
+#: The ratio of the cell widths of neighbouring levels.
+_FINER = 8
+
+
+def _line(column: Column, kind: str) -> Column:
+    """A date, time or number as a place on a line, in the same order."""
+    if kind == "date":
+        return F.unix_date(column).cast("double")
+    if kind.startswith("timestamp"):
+        return F.unix_micros(column.cast("timestamp")).cast("double")
+    return column.cast("double")
+
+
 def interval_join(facts: DataFrame, versions: DataFrame, keys: list[str], at: str, low: str = "valid_from", high: str = "valid_to", closed: bool = False) -> DataFrame:
     """`facts` with the columns of the versions of equal `keys` whose interval holds column `at`, half-open or closed at its end.
 
-    An equi-join on the keys with the range as its condition, so no more pairs are made than a key
-    has facts times versions. An open end is null; facts without a version go.
+    Time is cut into cells, eight times wider from level to level. A version lies in the one or two
+    cells of the level that is as wide as itself, a fact in one cell of each level in use, and both
+    are joined by key, level and cell: so a key with many short versions and many facts meets cell
+    by cell, and pairs that the exact condition then rejects are those of one cell. An open end is
+    null and reaches to the last fact. Facts without a version go, as do null keys and null times.
     """
+    facts_at, from_, to = (_line(F.col(c), dict(df.dtypes)[c]) for df, c in ((facts, at), (versions, low), (versions, high)))
     own = [c for c in versions.columns if c not in keys]
-    named = versions.select(*[F.col(k).alias(f"_{k}") for k in keys], *own)
+    last = facts.agg(F.max(facts_at).alias("_last"))
+    named = versions.where(F.col(low).isNotNull()).crossJoin(F.broadcast(last))
+    end = F.greatest(F.coalesce(to, "_last"), from_)
+    level = F.greatest(F.lit(0), F.ceil(F.log(float(_FINER), F.greatest(end - from_, F.lit(1.0))))).cast("int")
+    named = named.select(*[F.col(k).alias(f"_{k}") for k in keys], *own, from_.alias("_from"), end.alias("_end"), level.alias("_level"))
+    cell = lambda x, lv: F.floor(x / F.pow(F.lit(float(_FINER)), lv))
+    named = named.withColumn("_cell", F.explode(F.sequence(cell(F.col("_from"), F.col("_level")), cell(F.col("_end"), F.col("_level"))))).drop("_from", "_end")
+    # a level for each power of eight between the shortest and the longest version: at most some twenty
+    levels = named.agg(F.array_sort(F.collect_set("_level")).alias("_levels"))
+    marked = facts.where(F.col(at).isNotNull()).crossJoin(F.broadcast(levels)).withColumn("_at_level", F.explode("_levels")).drop("_levels")
+    marked = marked.withColumn("_at_cell", cell(facts_at, F.col("_at_level")))
     upper = F.col(high) >= F.col(at) if closed else F.col(high) > F.col(at)
-    same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    cond = (F.col(low) <= F.col(at)) & (F.col(high).isNull() | upper)
-    for c in same:
-        cond &= c
-    return facts.join(named, cond).drop(*[f"_{k}" for k in keys])
+    cond = (F.col("_level") == F.col("_at_level")) & (F.col("_cell") == F.col("_at_cell")) & (F.col(low) <= F.col(at)) & (F.col(high).isNull() | upper)
+    for k in keys:
+        cond &= F.col(k) == F.col(f"_{k}")
+    return marked.join(named, cond).drop(*[f"_{k}" for k in keys], "_level", "_cell", "_at_level", "_at_cell")
+
+
+def box_join(left: DataFrame, right: DataFrame, width: float = 1.0) -> DataFrame:
+    """(left_id, right_id): the boxes (id, x0, x1, y0, y1) of both sides that meet, their edges included.
+
+    A grid of cells is the index: levels of cells twice as wide from one to the next, from `width` on,
+    and a box in the at most four cells of the first level that is as wide as itself, and in those of
+    all coarser levels in use. Two boxes are joined on the level of the larger one, and reported from
+    the one cell that holds the lower corner of what they share. Boxes with a null or an end before
+    their beginning meet nothing.
+    """
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    level = F.greatest(F.lit(0), F.ceil(F.log(2.0, F.greatest(side, F.lit(width)) / width))).cast("int")
+    ok = (F.col("x1") >= F.col("x0")) & (F.col("y1") >= F.col("y0"))
+    both = [df.where(ok).select(*[F.col(c).cast("double").alias(c) if c != "id" else F.col(c) for c in ("id", "x0", "x1", "y0", "y1")]).withColumn("own", level) for df in (left, right)]
+    levels = both[0].select("own").unionByName(both[1].select("own")).agg(F.array_sort(F.collect_set("own")).alias("levels"))
+    at = lambda v, lv: F.floor(v / (width * F.pow(F.lit(2.0), lv)))
+    sides = []
+    for df, name in zip(both, ("l", "r"), strict=True):
+        rows = df.crossJoin(F.broadcast(levels)).withColumn("level", F.explode(F.filter("levels", lambda v: v >= F.col("own")))).drop("levels")
+        rows = rows.withColumn("cx", F.explode(F.sequence(at(F.col("x0"), F.col("level")), at(F.col("x1"), F.col("level")))))
+        rows = rows.withColumn("cy", F.explode(F.sequence(at(F.col("y0"), F.col("level")), at(F.col("y1"), F.col("level")))))
+        sides.append(rows.select("level", "cx", "cy", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "x0", "x1", "y0", "y1", "own")]))
+    found = sides[0].join(sides[1], ["level", "cx", "cy"]).where(F.greatest("l_own", "r_own") == F.col("level"))
+    meets = (F.col("l_x0") <= F.col("r_x1")) & (F.col("r_x0") <= F.col("l_x1")) & (F.col("l_y0") <= F.col("r_y1")) & (F.col("r_y0") <= F.col("l_y1"))
+    here = (at(F.greatest("l_x0", "r_x0"), F.col("level")) == F.col("cx")) & (at(F.greatest("l_y0", "r_y0"), F.col("level")) == F.col("cy"))
+    return found.where(meets & here).select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"))
 
 
 def crosswalk(register: DataFrame, ids: DataFrame, key: str, code: str, years: list[int], low: str = "year_from", high: str = "year_to") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.quantiles import group_medians
+
 
 def majority(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     """The most frequent label of each key, the first by order on ties, and its share."""
@@ -98,7 +100,8 @@ def unchanged(df: DataFrame, entity: str, label: str) -> DataFrame:
 def cohort_medians(df: DataFrame, entity: str, period: str, label: str, value: str) -> DataFrame:
     """(cohort, period, n, median): the median value by period of the entities that began with each label."""
     first = df.groupBy(entity).agg(F.min_by(label, period).alias("cohort"))
-    return df.join(first, entity).groupBy("cohort", period).agg(F.count("*").alias("n"), F.median(value).alias("median"))
+    rows = df.join(first, entity).select("cohort", period, F.col(value).alias("median"))
+    return rows.groupBy("cohort", period).agg(F.count("*").alias("n")).join(group_medians(rows, ["cohort", period], ["median"]), ["cohort", period])
 
 
 def direction_counts(transitions: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import graph, panel, quality, reconcile, sequence
+from weftline.operators.quantiles import first, group_medians, group_quantiles
+from weftline.shared import cut
 from weftline.tables import table
 
 CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -206,8 +208,8 @@ def pair_audit(s, d):
 
 @query(f"WITH {FEATURES} SELECT entity, CAST(substr(period, 1, 4) AS INT) AS year, round(median(relative_level), 6) AS relative_level, round(median(s_economy), 6) AS s_economy FROM feat GROUP BY ALL")
 def annual_median(s, d):
-    f = feature_panel(s, d).groupBy("entity", F.substring("period", 1, 4).cast("int").alias("year"))
-    return rounded(f.agg(F.median("relative_level").alias("relative_level"), F.median("s_economy").alias("s_economy")))
+    f = feature_panel(s, d).select("entity", F.substring("period", 1, 4).cast("int").alias("year"), "relative_level", "s_economy")
+    return rounded(group_medians(cut(f, "features"), ["entity", "year"], ["relative_level", "s_economy"]))
 
 
 @query("WITH g AS (SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS b FROM supplier) SELECT s_suppkey, b IS NULL AS imputed, round(coalesce(b, (SELECT median(b) FROM g)), 6) AS s_acctbal FROM g")
@@ -222,9 +224,10 @@ def share_crosstab(s, d):
 
 @query("SELECT l_shipmode_ AS flag, round(quantile_cont(l_extendedprice, 0.1), 6) AS p10, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, round(avg(CAST(l_quantity < 10 AS INT)), 6) AS small FROM (SELECT *, l_returnflag AS l_shipmode_ FROM lineitem) GROUP BY 1")
 def quantiles(s, d):
-    q = F.percentile("l_extendedprice", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    g = table(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(q.alias("q"), F.avg((F.col("l_quantity") < 10).cast("int")).alias("small"))
-    return rounded(g.select("flag", *[F.get("q", F.lit(i)).alias(f"p{p}") for i, p in enumerate((10, 50, 90))], "small"))
+    line = table(s, d, "lineitem").withColumn("flag", F.col("l_returnflag"))
+    q = group_quantiles(line, ["flag"], {"l_extendedprice": [0.1, 0.5, 0.9]})
+    small = line.groupBy("flag").agg(F.avg((F.col("l_quantity") < 10).cast("int")).alias("small"))
+    return rounded(q.join(small, "flag").select("flag", *[first("l_extendedprice", i).alias(f"p{p}") for i, p in enumerate((10, 50, 90))], "small"))
 
 
 @query("WITH n AS (SELECT CAST(floor(l_extendedprice / 5000) AS BIGINT) AS bin, count(*) AS n FROM lineitem GROUP BY 1) SELECT b.bin, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(b.bin * 5000 AS DOUBLE) AS low FROM (SELECT unnest(range(0, (SELECT max(bin) + 1 FROM n))) AS bin) b LEFT JOIN n ON n.bin = b.bin")

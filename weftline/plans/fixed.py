@@ -101,11 +101,11 @@ def monthly_silhouette(s, d):
     return rounded(quality.silhouette(study.vectors(z, COLUMNS).join(labels, "id"), ("period",)))
 
 
-@query(f"WITH {_INDICES}, k AS (SELECT period, node, (label + CASE WHEN period > '1995' AND node % 3 = 0 THEN 1 ELSE 0 END) % 5 AS label FROM pl), st AS (SELECT avg(CAST(label = b AS INT)) AS stability FROM (SELECT label, lag(label) OVER (PARTITION BY node ORDER BY period) AS b FROM k) WHERE b IS NOT NULL), n AS (SELECT period, label, count(*) AS n FROM k GROUP BY ALL), gr AS (SELECT p.period, l.label, coalesce(n, 0) AS n FROM (SELECT DISTINCT period FROM n) p CROSS JOIN (SELECT DISTINCT label FROM n) l LEFT JOIN n ON n.period = p.period AND n.label = l.label) SELECT round(stability, 6) AS stability, round((SELECT min(n / t) FROM (SELECT n, sum(n) OVER (PARTITION BY period) AS t FROM gr)), 6) AS least_share FROM st")
+@query(f"WITH {_INDICES}, k AS (SELECT period, node, (label + CASE WHEN period > '1996' AND node % 3 = 0 THEN 1 ELSE 0 END) % 5 AS label FROM pl), st AS (SELECT avg(CAST(label = b AS INT)) AS stability FROM (SELECT label, lag(label) OVER (PARTITION BY node ORDER BY period) AS b FROM k) WHERE b IS NOT NULL), n AS (SELECT period, label, count(*) AS n FROM k GROUP BY ALL), gr AS (SELECT p.period, l.label, coalesce(n, 0) AS n FROM (SELECT DISTINCT period FROM n) p CROSS JOIN (SELECT DISTINCT label FROM n) l LEFT JOIN n ON n.period = p.period AND n.label = l.label) SELECT round(stability, 6) AS stability, round((SELECT min(n / t) FROM (SELECT n, sum(n) OVER (PARTITION BY period) AS t FROM gr)), 6) AS least_share FROM st")
 def label_bundle(s, d):
-    """The share of labels that stay from period to period, and the least share of one, of regions that a third of the suppliers leave in 1995."""
+    """The share of labels that stay from period to period, and the least share of one, of regions that a third of the suppliers leave in 1996."""
     z = scaled_panel(s, d).select("period", F.col("node").alias("id"))
-    moved = F.when((F.col("period") > "1995") & (F.col("id") % 3 == 0), 1).otherwise(0)
+    moved = F.when((F.col("period") > "1996") & (F.col("id") % 3 == 0), 1).otherwise(0)
     rows = z.join(region_labels(s, d).withColumnRenamed("node", "id"), "id").withColumn("label", (F.col("label") + moved) % 5)
     return rounded(study.stability_share(rows).crossJoin(F.broadcast(study.least_shares(rows))))
 
@@ -131,15 +131,6 @@ def population_reconciliation(s, d):
     return reconcile.both_years(first.unionByName(second), "id", "year", "n", [2023, 2024])
 
 
-@query()
-def random_graph(s, d):
-    """A random graph of three types: its mean degree lies near the one asked for, and most of its edges within types."""
-    types = np.arange(300) % 3
-    e = cut(learning.block_model(s, types, 10.0, 0.7, 5), "graph")
-    same = (F.col("src") % 3 == F.col("dst") % 3).cast("int")
-    return e.agg((F.count("*") / 300).between(8.0, 12.0).alias("degree_as_asked"), F.avg(same).between(0.6, 0.8).alias("within_as_asked"), F.min("w").between(0.2, 1.0).alias("weights_in_range"))
-
-
 @query()
 def annual_baseline(s, d):
     """Two to eight types of yearly features without a graph: silhouette, indices of the centres, and agreement of neighbouring years."""

@@ -36,6 +36,14 @@ def interval_join_closed(s, d):
     return reconcile.interval_join(facts, held, ["o_custkey"], "at", closed=True).select("o_orderkey", "version")
 
 
+@query("SELECT s.s_suppkey AS left_id, c.c_custkey AS right_id FROM supplier s JOIN customer c ON s.s_acctbal <= c.c_acctbal + 2.0 * (c.c_custkey % 50) AND c.c_acctbal <= s.s_acctbal + 60 AND s.s_nationkey - 1 <= c.c_nationkey AND c.c_nationkey <= s.s_nationkey + 1")
+def box_join(s, d):
+    """Suppliers and customers of nations next to one another whose ranges of balances meet."""
+    v = table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x0"), (F.col("s_acctbal") + 60).alias("x1"), (F.col("s_nationkey") - 1).alias("y0"), (F.col("s_nationkey") + 1).alias("y1"))
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x0"), (F.col("c_acctbal") + 2.0 * (F.col("c_custkey") % 50)).alias("x1"), F.col("c_nationkey").alias("y0"), F.col("c_nationkey").alias("y1"))
+    return reconcile.box_join(v, c, 4.0)
+
+
 _REGISTER = "reg AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN '1 512 ' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') WHEN 1 THEN '79-701-' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') || '-000' ELSE CAST(20000000 + c_custkey AS VARCHAR) END AS code, v.f AS year_from, v.t AS year_to FROM customer, (VALUES (1992, 1994), (1994, 1997)) v(f, t) WHERE c_custkey % 7 > 0 OR v.f = 1992)"
 
 
@@ -72,20 +80,20 @@ def both_years_status(s, d):
     return reconcile.both_years(n, "id", "year", "n", [1993, 1995])
 
 
-_AUDIT = """k AS (SELECT o_custkey AS id, year(o_orderdate) AS year, list(CASE WHEN o_orderkey % 11 = 0 THEN -o_totalprice WHEN o_orderkey % 13 = 0 THEN CAST('inf' AS DOUBLE) ELSE round(o_totalprice / 100000) END) AS vs FROM orders WHERE o_orderpriority = '1-URGENT' AND year(o_orderdate) IN (1994, 1995) GROUP BY ALL),
-a AS (SELECT c_custkey AS id, y.year, c_nationkey AS region, c_acctbal AS population, coalesce(vs, []) AS vs FROM customer, (VALUES (1994), (1995)) y(year) LEFT JOIN k ON k.id = c_custkey AND k.year = y.year),
-st AS (SELECT id, year, CASE WHEN len(vs) = 0 THEN 'missing' WHEN len(list_filter(vs, lambda v: v < 0 OR v = CAST('inf' AS DOUBLE))) > 0 THEN 'invalid' WHEN len(list_distinct(vs)) > 1 THEN 'conflict' WHEN id % 17 = 0 THEN 'boundary_review' WHEN region IN (1, 2) THEN 'geography_review' WHEN id = 188 AND year = 1995 THEN 'value_review' WHEN population IS NULL OR population <= 0 THEN 'no_population' ELSE 'ok' END AS status FROM a)"""
+_AUDIT = """k AS (SELECT o_custkey AS id, year(o_orderdate) AS year, list(CASE WHEN o_orderkey % 11 = 0 THEN -o_totalprice WHEN o_orderkey % 13 = 0 THEN CAST('inf' AS DOUBLE) ELSE round(o_totalprice / 100000) END) AS vs FROM orders WHERE o_orderpriority = '1-URGENT' AND year(o_orderdate) IN (1995, 1996) GROUP BY ALL),
+a AS (SELECT c_custkey AS id, y.year, c_nationkey AS region, c_acctbal AS population, coalesce(vs, []) AS vs FROM customer, (VALUES (1995), (1996)) y(year) LEFT JOIN k ON k.id = c_custkey AND k.year = y.year),
+st AS (SELECT id, year, CASE WHEN len(vs) = 0 THEN 'missing' WHEN len(list_filter(vs, lambda v: v < 0 OR v = CAST('inf' AS DOUBLE))) > 0 THEN 'invalid' WHEN len(list_distinct(vs)) > 1 THEN 'conflict' WHEN id % 17 = 0 THEN 'boundary_review' WHEN region IN (1, 2) THEN 'geography_review' WHEN id = 188 AND year = 1996 THEN 'value_review' WHEN population IS NULL OR population <= 0 THEN 'no_population' ELSE 'ok' END AS status FROM a)"""
 
 
 def audited(s, d):
     """(id, year, status): the cascade over the urgent orders' rounded prices of each customer and year, some made negative or infinite."""
-    o = table(s, d, "orders").where("o_orderpriority = '1-URGENT' and year(o_orderdate) in (1994, 1995)")
+    o = table(s, d, "orders").where("o_orderpriority = '1-URGENT' and year(o_orderdate) in (1995, 1996)")
     price = F.when(F.col("o_orderkey") % 11 == 0, -F.col("o_totalprice")).when(F.col("o_orderkey") % 13 == 0, F.lit(float("inf"))).otherwise(F.round(F.col("o_totalprice") / 100000))
     lists = reconcile.value_lists(o.select(F.col("o_custkey").alias("id"), F.year("o_orderdate").alias("year"), price.alias("v")), ["id", "year"], "v")
-    c = table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.explode(F.array(F.lit(1994), F.lit(1995))).alias("year"), F.col("c_nationkey").alias("region"), F.col("c_acctbal").alias("population"))
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.explode(F.array(F.lit(1995), F.lit(1996))).alias("year"), F.col("c_nationkey").alias("region"), F.col("c_acctbal").alias("population"))
     rows = reconcile.with_lists(c, lists, ["id", "year"])
     status = reconcile.status_cascade(
-        F.col("values"), ("boundary_review", F.col("id") % 17 == 0), ("geography_review", F.col("region").isin(1, 2)), ("value_review", (F.col("id") == 188) & (F.col("year") == 1995)),
+        F.col("values"), ("boundary_review", F.col("id") % 17 == 0), ("geography_review", F.col("region").isin(1, 2)), ("value_review", (F.col("id") == 188) & (F.col("year") == 1996)),
         ("no_population", ~scalars.finite(F.col("population")) | (F.col("population") <= 0)),
     )
     return rows.select("id", "year", status.alias("status"))
@@ -170,14 +178,14 @@ def parameter_grid(s, d):
     return grid.crossJoin(s.createDataFrame([(0.5,), (1.0,), (2.0,)], "bandwidth double")).crossJoin(s.createDataFrame([("cosine",), ("euclidean",)], "distance string"))
 
 
-_BOTH = "x AS (SELECT o_custkey AS id, list(m ORDER BY y) AS vals FROM (SELECT o_custkey, year(o_orderdate) AS y, round(avg(o_totalprice), 2) AS m FROM orders WHERE year(o_orderdate) IN (1994, 1995) GROUP BY ALL) GROUP BY 1 HAVING count(*) = 2)"
+_BOTH = "x AS (SELECT o_custkey AS id, list(m ORDER BY y) AS vals FROM (SELECT o_custkey, year(o_orderdate) AS y, round(avg(o_totalprice), 6) AS m FROM orders WHERE year(o_orderdate) IN (1995, 1996) GROUP BY ALL) GROUP BY 1 HAVING count(*) = 2)"
 
 
 @query(f"WITH {_BOTH} SELECT id, vals[1] AS first, vals[2] AS second FROM x WHERE vals[1] >= 100000 AND vals[2] >= 100000")
 def both_years_panel(s, d):
     """Customers with valid means in both of two years, by the array of both."""
-    o = table(s, d, "orders").select(F.col("o_custkey").alias("id"), F.year("o_orderdate").alias("y"), "o_totalprice").where("y in (1994, 1995)")
-    m = o.groupBy("id", "y").agg(F.round(F.avg("o_totalprice"), 2).alias("m"))
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("id"), F.year("o_orderdate").alias("y"), "o_totalprice").where("y in (1995, 1996)")
+    m = o.groupBy("id", "y").agg(F.round(F.avg("o_totalprice"), 6).alias("m"))
     got = m.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "m"))), lambda x: x["m"]).alias("vals"))
     return got.where((F.size("vals") == 2) & F.forall("vals", lambda v: scalars.finite(v) & (v >= 100000))).select("id", F.col("vals")[0].alias("first"), F.col("vals")[1].alias("second"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline import sinks
 from weftline.operators import contracts, graph, learning, panel, quality, sequence, study
+from weftline.operators.quantiles import group_medians
 from weftline.plans.catalogue import SHARES, feature_panel, knn_layers, layered_pairs, long_panel, query, region_labels, rounded, supply_pairs
 from weftline.plans.networks import COLUMNS, MIX, WIDTH, panel_edges, scaled_panel
 from weftline.shared import cut, shared_dir
@@ -60,8 +61,8 @@ def annual_model(s, d):
 
 def annual_nodes(s, d) -> DataFrame:
     """(period, node, features) of each year's medians, standardised; the year is the period."""
-    f = feature_panel(s, d).groupBy(F.col("entity").alias("node"), F.substring("period", 1, 4).alias("period"))
-    f = f.agg(*[F.median(c).alias(c) for c in COLUMNS])
+    f = feature_panel(s, d).select(F.col("entity").alias("node"), F.substring("period", 1, 4).alias("period"), *COLUMNS)
+    f = group_medians(cut(f, "features"), ["node", "period"], COLUMNS)
     return cut(panel.zscored(f, COLUMNS, SHARES), "annual")
 
 
@@ -389,54 +390,6 @@ def residual_calibration(s, d):
     return rounded(s.createDataFrame(rows, "feature string, effect_std double, noise_std double"))
 
 
-@query()
-def synthetic_checks(s, d):
-    """Panels with known changes, by scenario: how many events are found by all changes and by those that last, with and without the graph."""
-    centres, effect, noise = calibrated(s, d)
-    scenarios = {"calibrated": {}, "no changes": {"changes": False}, "spike": {"spike": True}, "low noise": {"noise": 0.5}, "no effects": {"effects": 0.0}}
-    nodes, periods, runs = 90, 24, 2
-    names = [f"f{i}" for i in range(len(COLUMNS))]
-    panels, edges = {}, {}
-    for name, how in scenarios.items():
-        for run in range(runs):
-            truth = cut(learning.synthetic_panel(s, centres, effect, noise, nodes, periods, 202_410 + run, **how), "truth")
-            types = np.array([r["truth"] for r in truth.where("period = 0").orderBy("node").collect()])
-            panels[f"{name}|{run}"], edges[f"{name}|{run}"] = truth, learning.block_model(s, types, 8.0, 0.7, run)
-    truth = cut(study.stacked(panels), "panels")
-    flat = truth.select("setting", "period", "node", *[F.col("x")[i].alias(n) for i, n in enumerate(names)])
-    by = ("setting", "period")
-    near = graph.smoothed(flat, graph.reweighted(cut(study.stacked(edges), "edges"), flat, names, WIDTH, by), names, MIX, by)
-    both = study.stacked({"plain": flat, "graph": near}, "model").withColumn("fit", F.concat_ws("|", "setting", "model"))
-    labels = study.fitted(study.vectors(both, names, ("fit",)), K, ("fit",), STARTS).select("fit", "period", "id", "label")
-    known = truth.select("setting", "period", F.col("node").alias("id"), F.col("truth").alias("reference"))
-    rows = labels.withColumn("setting", F.regexp_extract("fit", r"^(.*)\|", 1)).join(known, ["setting", "period", "id"])
-    rows = cut(study.aligned_by(cut(rows, "known"), "fit"), "aligned").withColumn("entity", F.concat_ws("|", "fit", F.col("id").cast("string")))
-    real = cut(sequence.all_changes(rows, "entity", "period", "reference").withColumnRenamed("period", "at"), "real")
-    found = {"all": sequence.all_changes(rows, "entity", "period", "aligned"), "persistent": sequence.persistent_transitions(rows, "entity", "period", "aligned").select("entity", "period", "from_label", "to_label")}
-    out = None
-    entities = rows.select("entity", "fit").distinct()
-    for rule, events in found.items():
-        events = cut(events.withColumnRenamed("period", "at"), "found")
-        matched = learning.match_events(real, events)
-        count = lambda df, name: df.join(entities, "entity").groupBy("fit").agg(F.count("*").alias(name))
-        stable = entities.join(real.select("entity").distinct(), "entity", "left_anti")
-        wrong = stable.join(events.select("entity").distinct(), "entity", "left_semi")
-        part = entities.select("fit").distinct()
-        for df, name in ((count(real, "true_events"), "true_events"), (count(events, "found_events"), "found_events"), (count(matched, "matched"), "matched"), (stable.groupBy("fit").agg(F.count("*").alias("stable")), "stable"), (wrong.groupBy("fit").agg(F.count("*").alias("false_stable")), "false_stable")):
-            part = part.join(df, "fit", "left").fillna(0, [name])
-        part = part.withColumn("rule", F.lit(rule))
-        out = part if out is None else out.unionByName(part)
-    ari = quality.ari(rows, "reference", "aligned", ("fit", "period")).groupBy("fit").agg(F.avg("ari").alias("ari"))
-    out = out.join(ari, "fit").withColumn("scenario", F.split("fit", r"\|")[0]).withColumn("model", F.split("fit", r"\|")[2])
-    got = out.groupBy("scenario", "model", "rule").agg(F.avg("ari").alias("ari"), *[F.sum(c).alias(c) for c in ("true_events", "found_events", "matched", "stable", "false_stable")])
-    return rounded(
-        got.select(
-            "scenario", "model", "rule", "ari", "true_events", "found_events", "matched", (F.col("found_events") - F.col("matched")).alias("false_events"), F.try_divide("matched", "found_events").alias("precision"),
-            F.try_divide("matched", "true_events").alias("recall"), (100 * F.try_divide("false_stable", "stable")).alias("false_stable_percent"),
-        )
-    )
-
-
 @query()
 def acceptance(s, d):
     """Whether the likeness of refits, the agreement by year and the balance of the types pass their thresholds."""
