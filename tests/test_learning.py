@@ -151,3 +151,26 @@ def test_calibration(spark):
     assert mean.count() == 3 and effect.count() == noise.count() == 4
     # `b` is the same in all of a node's rows, so no noise is left of it
     assert {(r["a"], r["b"]): round(r["cov"], 9) for r in noise.collect()}["b", "b"] == 0
+
+
+def test_seeds_of_all_points_are_as_good_as_many_starts(spark):
+    """A group of 30,000 points in which a cluster of 60 lies far off: no sample of a few thousand is sure to have it in proportion."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 8, (7, 4))
+    x = np.concatenate([centres[rng.integers(0, 7, 29_940)] + rng.normal(0, 1, (29_940, 4)), rng.normal(0, 1, (60, 4)) + 400])
+    _, cost = learning.kmeans_many(spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").repartition(6), 8, starts=4)[()]
+    best = np.inf
+    for _ in range(30):
+        c = learning._plus_plus(x, np.ones(len(x)), 8, rng)
+        for _ in range(25):
+            near = learning._distances_to(x, c).argmin(1)
+            c = np.array([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(8)])
+        best = min(best, learning._distances_to(x, c).min(1).sum())
+    assert cost <= 1.01 * best
+
+
+def test_fewer_points_than_centres(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0])] * 5 + [("b", [float(i), 0.0]) for i in (0, 0, 9, 9)], "g string, x array<double>")
+    got = learning.kmeans_many(df, 3, ("g",), starts=2)
+    assert len(got["a",][0]) == 1 and got["a",][1] == 0 and sorted(c[0] for c in got["b",][0]) == [0, 9]
+    assert learning.kmeans_many(df.where("g = 'c'"), 3, ("g",), starts=2) == {}

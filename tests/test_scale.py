@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import learning, panel, reconcile
+from weftline.operators import learning, panel, quality, reconcile
 from weftline.operators.quantiles import group_medians, group_quantiles
 
 PS = [0.0, 0.1, 0.5, 0.77, 1.0]
@@ -137,3 +137,53 @@ def test_two_hundred_labels():
     assert learning.best_names(table) == {j: f"r{names[j]}" for j in range(200)}
     assert time.time() - start < 20
     assert learning.best_names({("a", 1): 5, ("a", 2): 7, ("a", 3): 1}) == {2: "a"} and learning.best_names({}) == {}
+
+
+def plain_neighbours(rows, k, metric, other):
+    out = {}
+    for b in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == b]
+        x = np.array([r[2] for r in mine])
+        if metric == "cosine":
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            d = 1 - x @ x.T
+        else:
+            d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+        ids, kind = np.array([r[1] for r in mine]), np.array([r[3] for r in mine])
+        for i in range(len(mine)):
+            order = np.lexsort((ids, np.round(d[i], 9), kind == kind[i] if other else kind * 0))
+            out[b, ids[i]] = ids[order[ids[order] != ids[i]][:k]].tolist()
+    return out
+
+
+@pytest.fixture(scope="module")
+def clustered():
+    """A block of 3000 points in 60 clusters, with repeated points and null vectors, and a small block."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(0, 40, (60, 6))
+    x = centres[rng.integers(0, 60, 3000)] + rng.normal(0, 0.5, (3000, 6))
+    x[:5], x[5:9] = x[5], 0
+    big = [(0, int(i), x[i].tolist(), int(rng.integers(3))) for i in rng.permutation(3000)]
+    return big + [(1, i, rng.normal(0, 1, 6).tolist(), i % 2) for i in range(40)] + [(2, 7, [1.0] * 6, 0)]
+
+
+@pytest.mark.parametrize(("metric", "other"), [("euclidean", None), ("euclidean", "kind"), ("cosine", None)])
+def test_neighbours_by_pivots(spark, clustered, metric, other):
+    df = spark.createDataFrame(clustered, "label int, id long, x array<double>, kind int").repartition(6)
+    got = {}
+    for r in quality.neighbours(df, 4, metric=metric, other_first=other, rows=200).orderBy("rank").collect():
+        got.setdefault((r["label"], r["id"]), []).append(r["peer"])
+    want = plain_neighbours(clustered, 4, metric, other)
+    assert got == {key: v for key, v in want.items() if v}
+
+
+def test_pivots_skip_most_pairs(spark, clustered):
+    df = spark.createDataFrame(clustered, "label int, id long, x array<double>, kind int").where("label = 0").withColumn("_g", F.lit("0"))
+    pivots = quality._pivots(df, 200, "euclidean")
+    placed, shape = quality._with_cells(df, pivots, 200, "euclidean")
+    sizes = placed.groupBy("_cell", "_sub").agg(F.count("*").alias("n"))
+    inside = sizes.agg(F.sum(F.col("n") * F.col("n"))).first()[0]
+    # with the reach of the fourth nearest of clusters this wide
+    going = quality._visits(placed.withColumn("reach", F.lit(2.0)), pivots, shape, "euclidean")
+    beyond = going.join(sizes.withColumnsRenamed({"_cell": "_to_cell", "_sub": "_to_sub"}), ["_to_cell", "_to_sub"]).agg(F.sum("n")).first()[0] or 0
+    assert len(pivots["0"]) > 5 and inside + beyond < 0.1 * 3000 * 3000

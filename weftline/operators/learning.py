@@ -23,16 +23,101 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy())
 
 
-def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k centres of the rows of x, each drawn by the squared distance to the nearest one before."""
-    centres = [x[rng.integers(len(x))]]
+def _plus_plus(x: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k centres of the rows of x, each drawn by its weight times the squared distance to the nearest one before."""
+    centres = [x[rng.choice(len(x), p=w / w.sum())]]
     while len(centres) < k:
-        d = np.min([((x - c) ** 2).sum(1) for c in centres], 0)
+        d = w * np.min([((x - c) ** 2).sum(1) for c in centres], 0)
         centres.append(x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))])
     return np.array(centres)
 
 
-def kmeans_many(points: DataFrame, k: int | dict, by: tuple[str, ...] = (), starts: int = 10, rounds: int = 300, seed: int = 42, tolerance: float = 1e-4, sample: int = 2000, column: str = "x", every: bool = False) -> dict:
+def _reduced(x: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k centres of weighted candidates: the cheapest of a few weighted fits."""
+    best = None
+    for _ in range(5):
+        c = _plus_plus(x, w, k, rng)
+        for _ in range(10):
+            near = ((x[:, None] - c) ** 2).sum(2).argmin(1)
+            c = np.array([np.average(x[near == i], 0, w[near == i]) if (near == i).any() else c[i] for i in range(k)])
+        cost = (w * ((x[:, None] - c) ** 2).sum(2).min(1)).sum()
+        if best is None or cost < best[0]:
+            best = cost, c
+    return best[1]
+
+
+def _distances_to(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1), 0)
+
+
+def _luck(h: np.ndarray, start: int, turn: int) -> np.ndarray:
+    """A number from 0 to 1 for each hash, another for each start and round."""
+    z = h.astype(np.int64).view(np.uint64) + np.uint64((start * 1009 + turn + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53 + 1e-18
+
+
+def seeded(rows: DataFrame, k, starts: int, seed: int, turns: int = 3) -> tuple[dict, dict]:
+    """({group: centres to begin with, of every start}, {group: mean variance}) of rows (_g, x, _h), by k-means|| on all points.
+
+    A round draws about twice as many distinct points as there are centres, for every group and start
+    in one pass, by their squared distance to what has been drawn: a point's key is exponential at that rate, so
+    the least keys are the draw, and no total is needed before. Each task sends no more than the draw.
+    Candidates are weighted by the points next to them and reduced to the centres on the driver.
+    """
+    drawn: dict = {}
+    for turn in range(turns):
+
+        def draw(batches, now={g: [np.array(c, float) for c in cs] for g, cs in drawn.items()}, turn=turn):  # noqa: B006  what this round's tasks work with
+            for batch in batches:
+                for g, part in batch.groupby("_g"):
+                    x, h, most = _stack(part["x"]).astype(float), part["_h"].to_numpy(), 2 * k(g)
+                    for i in range(starts):
+                        far = _distances_to(x, now[g][i]).min(1) if now else np.ones(len(x))
+                        with np.errstate(divide="ignore"):
+                            key = np.where(far > 1e-12, -np.log(_luck(h, i, turn)) / far, np.inf)
+                        _, at = np.unique(key, return_index=True)  # equal points have equal keys: one of them
+                        at = [j for j in at[:most] if np.isfinite(key[j])]
+                        if at:
+                            yield pd.DataFrame({"_g": g, "start": i, "key": key[at], "x": [x[j].tolist() for j in at]})
+
+        got = rows.mapInPandas(draw, "_g string, start int, key double, x array<double>")
+        got = got.groupBy("_g", "start", "key").agg(F.first("x").alias("x")).withColumn("n", F.row_number().over(Window.partitionBy("_g", "start").orderBy("key")))
+        for r in got.orderBy("_g", "start", "n").collect():
+            if r["n"] <= 2 * k(r["_g"]):
+                drawn.setdefault(r["_g"], [[] for _ in range(starts)])[r["start"]].append(r["x"])
+    if not drawn:
+        return {}, {}
+
+    drawn = {g: [np.array(c, float) for c in cs] for g, cs in drawn.items()}
+
+    def weigh(batches, now=drawn):
+        for batch in batches:
+            for g, part in batch.groupby("_g"):
+                x = _stack(part["x"]).astype(float)
+                for i, c in enumerate(now[g]):
+                    n = np.bincount(_distances_to(x, c).argmin(1), minlength=len(c))
+                    yield pd.DataFrame({"_g": g, "start": i, "at": np.arange(len(n)), "v": n.astype(float)})
+                moments = np.concatenate((x.sum(0), (x * x).sum(0)))
+                yield pd.DataFrame({"_g": g, "start": -1, "at": np.arange(len(moments)), "v": moments})
+
+    weights: dict = {g: {} for g in drawn}
+    for r in rows.mapInPandas(weigh, "_g string, start int, at int, v double").groupBy("_g", "start", "at").agg(F.sum("v").alias("v")).collect():
+        weights[r["_g"]].setdefault(r["start"], {})[r["at"]] = r["v"]
+    begin, spread = {}, {}
+    for g, cs in drawn.items():
+        filled = [np.array([weights[g].get(i, {}).get(j, 0.0) for j in range(len(c))]) for i, c in enumerate(cs)]
+        size = min(k(g), min(len(c) for c in cs))
+        rngs = [np.random.default_rng([seed, i, zlib.crc32(g.encode())]) for i in range(starts)]
+        begin[g] = np.stack([_reduced(c, np.maximum(w, 1e-9), size, rng) for c, w, rng in zip(cs, filled, rngs, strict=True)])
+        n, p = filled[0].sum(), cs[0].shape[1]
+        m = np.array([weights[g][-1][j] for j in range(2 * p)]) / n
+        spread[g] = float(np.mean(np.maximum(m[p:] - m[:p] ** 2, 0)))
+    return begin, spread
+
+
+def kmeans_many(points: DataFrame, k: int | dict, by: tuple[str, ...] = (), starts: int = 10, rounds: int = 300, seed: int = 42, tolerance: float = 1e-4, column: str = "x", every: bool = False) -> dict:
     """{values of by: (centres, cost)}: the cheapest of several starts for each value of `by`, all fitted in the same passes.
 
     A pass is one aggregate over the points: a task sums the members of every centre of every start,
@@ -41,16 +126,12 @@ def kmeans_many(points: DataFrame, k: int | dict, by: tuple[str, ...] = (), star
     is done when no centre of it moves by more than `tolerance` of the variance. `k` may differ by
     group, as a dict by the values of `by`. With `every`, the centres of all starts and their costs.
     """
-    rows = points.select(*by, F.col(column).alias("x"), F.to_json(F.struct(*by) if by else F.struct(F.lit(0).alias("g"))).alias("_g"))
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy(F.xxhash64("x", F.lit(seed)), F.array_join("x", ",")))).where(F.col("_n") <= sample)
-    drawn: dict = {}
-    for r in first.orderBy("_g", "_n").collect():
-        drawn.setdefault(r["_g"], (tuple(r[c] for c in by), []))[1].append(r["x"])
-    state, done, size = {}, {}, {}
-    for g, (values, x) in drawn.items():
-        x = np.array(x, float)
-        size[g] = min(k[values] if isinstance(k, dict) else k, len(x))
-        state[g] = np.stack([_plus_plus(x, size[g], np.random.default_rng([seed, i, zlib.crc32(g.encode())])) for i in range(starts)]), tolerance * x.var(0).mean()
+    group = F.to_json(F.struct(*by) if by else F.struct(F.lit(0).alias("g")))
+    rows = points.select(*by, F.col(column).alias("x"), group.alias("_g"), F.xxhash64(column, F.lit(seed)).alias("_h"))
+    values = {r["_g"]: tuple(r[c] for c in by) for r in rows.select("_g", *by).distinct().collect()}
+    sizes = {g: k[v] if isinstance(k, dict) else k for g, v in values.items()}
+    begin, spread = seeded(rows.select("_g", "x", "_h"), sizes.__getitem__, starts, seed)
+    done, state = {}, {g: (c, tolerance * spread[g]) for g, c in begin.items()}
     for turn in range(rounds):
         if not state:
             break
@@ -85,7 +166,7 @@ def kmeans_many(points: DataFrame, k: int | dict, by: tuple[str, ...] = (), star
             if moved <= limit or turn == rounds - 1:
                 cost = v[:, :, 1].sum(1)
                 best = int(cost.argmin())
-                done[drawn[g][0]] = (centres, cost) if every else (centres[best], float(cost[best]))
+                done[values[g]] = (centres, cost) if every else (centres[best], float(cost[best]))
                 del state[g]
             else:
                 state[g] = new, limit

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.shared import cut
+
 
 def sq_dist(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
@@ -42,31 +44,149 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean"):
         yield at, 1 - part @ b.T if metric == "cosine" else np.sqrt(((part[:, None] - b) ** 2).sum(2))
 
 
-def neighbours(points: DataFrame, k: int, block: str | tuple[str, ...] = "label", metric: str = "euclidean", other_first: str | None = None) -> DataFrame:
+#: Pivots of all blocks together, which the driver holds; points of a pivot's cell, in the mean, while there are pivots for it.
+PIVOTS, CELL = 4096, 64
+
+
+def _unit(x: np.ndarray, metric: str) -> np.ndarray:
+    """Points among which Euclidean distances order as `metric` does: themselves, or at length one (null vectors stay)."""
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if metric == "cosine" else x
+
+
+def _pivots(points: DataFrame, rows: int, metric: str) -> dict[str, np.ndarray]:
+    """{block: pivots} for blocks of more than `rows` points, taken by a hash: a share of PIVOTS by size, so blocks that have any are at most half as many."""
+    sizes = points.groupBy("_g").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    share = F.least(F.ceil(F.col("n") / CELL), F.floor(F.lit(float(PIVOTS)) * F.col("n") / max(1, total)))
+    sizes = sizes.where(F.col("n") > rows).withColumn("p", share).where("p > 1")
+    if not sizes.limit(1).count():
+        return {}
+    luck = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 31)) / float(1 << 31)
+    drawn = points.join(F.broadcast(sizes), "_g").where(luck < 2 * F.col("p") / F.col("n"))
+    drawn = drawn.withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy(luck, "id"))).where(F.col("_n") <= F.col("p"))
+    found: dict[str, list] = {}
+    for r in drawn.select("_g", "x").collect():
+        found.setdefault(r["_g"], []).append(r["x"])
+    return {g: _unit(np.array(x, float), metric) for g, x in found.items()}
+
+
+def _with_cells(points: DataFrame, pivots: dict, rows: int, metric: str) -> tuple[DataFrame, dict]:
+    """`points` with _cell (the nearest pivot), _sub (a part of at most about `rows` points of it) and _subs; and {block: (radius, parts)} of its cells."""
+
+    def cell(batches):
+        for batch in batches:
+            at, far = np.zeros(len(batch), np.int32), np.full(len(batch), np.inf)
+            for g, place in batch.groupby("_g").indices.items():
+                if g in pivots and len(place):
+                    x = _unit(_stacked(batch["x"].iloc[place]).astype(float), metric)
+                    d = np.concatenate([d for _, d in _distances(x, pivots[g])])
+                    at[place] = d.argmin(1)
+                    # a null vector has no direction, so no radius holds it
+                    far[place] = np.where((x != 0).any(1) | (metric != "cosine"), d.min(1), np.inf)
+            yield batch.assign(_cell=at, _far=far)
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in points.dtypes)
+    near = cut(points.mapInPandas(cell, f"{kinds}, _cell int, _far double"), "cells")
+    facts = near.groupBy("_g", "_cell").agg(F.max("_far").alias("_radius"), F.ceil(F.count("*") / rows).cast("int").alias("_subs"))
+    near = near.drop("_far").join(facts.drop("_radius"), ["_g", "_cell"]).withColumn("_sub", F.pmod(F.xxhash64("id"), F.col("_subs")).cast("int"))
+    shape = {g: (np.full(len(p), -np.inf), np.zeros(len(p), int)) for g, p in pivots.items()}
+    # only blocks with pivots come to the driver, a row for each pivot
+    for r in facts.where(F.col("_g").isin(list(pivots))).collect() if pivots else []:
+        shape[r["_g"]][0][r["_cell"]], shape[r["_g"]][1][r["_cell"]] = r["_radius"], r["_subs"]
+    return near, shape
+
+
+def _nearest(left: pd.DataFrame, right: pd.DataFrame, k: int, metric: str, other_first: str | None):
+    """For each row of `left` the places in `right` of its k nearest with another id, whether they are the same in `other_first`, and their distances."""
+    ids, peers = left["id"].to_numpy(), right["id"].to_numpy()
+    mine, theirs = (left[other_first].to_numpy(), right[other_first].to_numpy()) if other_first else (None, None)
+    for at, d in _distances(_stacked(left["x"]).astype(float), _stacked(right["x"]).astype(float), metric):
+        for i, row in enumerate(d, at):
+            same = (theirs == mine[i]).astype(int) if other_first else np.zeros(len(row), int)
+            order = np.lexsort((peers, np.round(row, 9), same))
+            order = order[peers[order] != ids[i]][:k]
+            yield i, order, same[order], row[order]
+
+
+def _visits(found: DataFrame, pivots: dict, shape: dict, metric: str) -> DataFrame:
+    """Rows of `found` (_g, _cell, _sub, _subs, x, reach, ...) for each part of another cell, or of their own, that may hold a point within `reach`: with _to_cell, _to_sub."""
+
+    def go(batches):
+        for batch in batches:
+            rows, cells, subs = [], [], []
+            for g, place in batch.groupby("_g").indices.items():
+                own, part, reach = (batch[c].to_numpy()[place] for c in ("_cell", "_sub", "reach"))
+                if g in pivots:
+                    radius, n = shape[g]
+                    d = np.concatenate([d for _, d in _distances(_unit(_stacked(batch["x"].iloc[place]).astype(float), metric), pivots[g])])
+                    # no point of a cell is nearer than its pivot less the radius, nor than the plane halfway between both pivots
+                    apart = np.maximum(np.concatenate([v for _, v in _distances(pivots[g], pivots[g])])[own], 1e-300)
+                    plane = (d**2 - d[np.arange(len(d)), own][:, None] ** 2) / (2 * apart)
+                    least = np.where(np.isinf(radius), -np.inf, np.maximum(d - radius, np.where(apart > 1e-9, plane, 0)))
+                    near = (least <= reach[:, None] + 1e-7) & (n > 0)
+                else:
+                    n = np.array([batch["_subs"].iloc[place].iloc[0]])
+                    near = np.ones((len(place), 1), bool)
+                for i, c in zip(*np.nonzero(near), strict=True):
+                    for t in range(n[c]):
+                        if c != own[i] or t != part[i]:
+                            rows.append(place[i])
+                            cells.append(c)
+                            subs.append(t)
+            yield batch.iloc[rows].assign(_to_cell=np.array(cells, np.int32), _to_sub=np.array(subs, np.int32))
+
+    return found.mapInPandas(go, ", ".join(f"`{c}` {t}" for c, t in found.dtypes) + ", _to_cell int, _to_sub int")
+
+
+def neighbours(points: DataFrame, k: int, block: str | tuple[str, ...] = "label", metric: str = "euclidean", other_first: str | None = None, rows: int = 1500) -> DataFrame:
     """(block, id, peer, distance, rank): the k nearest of each point within its block, exactly, ties by id; by Euclidean or cosine distance.
 
     With `other_first`, a column, points that differ in it come before those that don't (`same` is 0
-    or 1). Blocks are cut further and compared by pairs; only k rows of each pair leave a task.
+    or 1). Blocks of more than `rows` points are cut into cells around pivots. A point looks in its
+    own cell first; the k-th best there is its reach, and by the triangle inequality only cells whose
+    radius and side of the plane between the pivots come that near are looked into. A point that finds fewer than k of the kind it prefers
+    reaches everywhere. Cells are parted to about `rows` points, and parts are compared in pairs.
     """
     by = (block,) if isinstance(block, str) else tuple(block)
     extra = [other_first] if other_first else []
     kinds = dict(points.dtypes)
-
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        peers = right["id"].to_numpy()
-        if len(left) and len(right):
-            ids, xa, xb = left["id"].to_numpy(), _stacked(left["x"]), _stacked(right["x"])
-            for at, d in _distances(xa, xb, metric):
-                for i, row in enumerate(d, at):
-                    same = (right[other_first].to_numpy() == left[other_first].iloc[i]).astype(int) if other_first else np.zeros(len(row), int)
-                    order = np.lexsort((peers, np.round(row, 9), same))
-                    order = order[peers[order] != ids[i]][:k]
-                    out.append(pd.DataFrame({**{c: [left[c].iloc[0]] * len(order) for c in by}, "id": ids[i], "peer": peers[order], "same": same[order], "distance": row[order]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=[*by, "id", "peer", "same", "distance"])
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + f", id {kinds['id']}, peer {kinds['id']}, same int, distance double"
-    near = pairwise(points.select(*by, "id", "x", *extra), by, nearest, schema)
+    keyed = points.select(*by, "id", "x", *extra, F.to_json(F.struct(*by) if by else F.struct(F.lit(0).alias("g"))).alias("_g"))
+    pivots = _pivots(keyed, rows, metric)
+    placed, shape = _with_cells(keyed, pivots, rows, metric)
+    own = placed.columns
+    peer = f"array<struct<peer: {kinds['id']}, same: int, distance: double>>"
+
+    def inside(part: pd.DataFrame) -> pd.DataFrame:
+        reach, found, ids = np.full(len(part), np.inf), [[]] * len(part), part["id"].tolist()
+        for i, order, same, d in _nearest(part, part, k, metric, other_first):
+            found[i] = [{"peer": ids[j], "same": int(s), "distance": float(v)} for j, s, v in zip(order, same, d, strict=True)]
+            if len(order) == k and not same.any():
+                # cosine distances are half the squared distances of vectors of length one
+                reach[i] = np.sqrt(2 * max(d[-1], 0)) + 1e-9 if metric == "cosine" else d[-1]
+        if metric == "cosine":
+            reach[[not np.any(x) for x in part["x"]]] = np.inf
+        return part.assign(reach=reach, found=found)
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in placed.dtypes)
+    first = cut(placed.groupBy("_g", "_cell", "_sub").applyInPandas(inside, f"{schema}, reach double, found {peer}"), "nearest")
+    near = first.select(*by, "id", F.explode("found").alias("f")).select(*by, "id", "f.*")
+    if pivots or first.where("_subs > 1").limit(1).count():
+        going = cut(_visits(first.drop("found"), pivots, shape, metric), "visits")
+        pair = ["_g", "_cell", "_sub", "_to_cell", "_to_sub"]
+        there = first.select(*[F.col(c).alias({"_cell": "_to_cell", "_sub": "_to_sub"}.get(c, c)) for c in own]).join(going.select(*pair).distinct(), ["_g", "_to_cell", "_to_sub"])
+
+        def between(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            if len(left) and len(right):
+                peers = right["id"].to_numpy()
+                for i, order, same, d in _nearest(left, right, k, metric, other_first):
+                    out.append(pd.DataFrame({**{c: [left[c].iloc[i]] * len(order) for c in by}, "id": left["id"].iloc[i], "peer": peers[order], "same": same, "distance": d}))
+            return pd.concat(out) if out else pd.DataFrame(columns=[*by, "id", "peer", "same", "distance"])
+
+        result = "".join(f"{c} {kinds[c]}, " for c in by) + f"id {kinds['id']}, peer {kinds['id']}, same int, distance double"
+        # both sides come of one table, so each names its columns anew
+        left, right = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (going, there))
+        near = near.unionByName(left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(between, result))
     rank = F.row_number().over(Window.partitionBy(*by, "id").orderBy("same", F.round("distance", 9), "peer"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select(*by, "id", "peer", *(["same"] if other_first else []), "distance", "rank")
 
