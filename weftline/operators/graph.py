@@ -37,10 +37,10 @@ def symmetric(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return both.groupBy(*by, "src", "dst").agg(F.max("w").alias("w"))
 
 
-def mixed(a: DataFrame, b: DataFrame, weight: float) -> DataFrame:
+def mixed(a: DataFrame, b: DataFrame, weight: float, by: tuple[str, ...] = ()) -> DataFrame:
     """a + weight * b."""
-    both = a.select("src", "dst", "w").unionByName(b.select("src", "dst", (F.col("w") * weight).alias("w")))
-    return both.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    both = a.select(*by, "src", "dst", "w").unionByName(b.select(*by, "src", "dst", (F.col("w") * weight).alias("w")))
+    return both.groupBy(*by, "src", "dst").agg(F.sum("w").alias("w"))
 
 
 def normalised(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -61,8 +61,8 @@ def reweighted(edges: DataFrame, nodes: DataFrame, columns: list[str], h: float,
 def smoothed(nodes: DataFrame, edges: DataFrame, columns: list[str], mix: float, by: tuple[str, ...] = (), connected: DataFrame | None = None) -> DataFrame:
     """(1 - mix) x + mix * the neighbours' weighted mean; nodes without neighbours keep theirs.
 
-    Whether a node has neighbours is decided on `edges`, or on the graph `connected`, without `by`,
-    if given: there, a node whose weights in `edges` have all become 0 has a mean of 0.
+    Whether a node has neighbours is decided on `edges`, or on the graph `connected`, with those
+    columns of `by` that it has, if given: there, a node whose weights in `edges` have all become 0 has a mean of 0.
     """
     far = nodes.select(*by, F.col("node").alias("dst"), *columns)
     on = [*[c for c in by if c in edges.columns], "dst"]
@@ -71,7 +71,8 @@ def smoothed(nodes: DataFrame, edges: DataFrame, columns: list[str], mix: float,
     out = nodes.join(mean, [*by, "node"], "left")
     linked = F.coalesce("deg", F.lit(0.0)) > 0
     if connected is not None:
-        out = out.join(connected.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("linked")), "node", "left")
+        of = [c for c in by if c in connected.columns]
+        out = out.join(connected.groupBy(*of, F.col("src").alias("node")).agg(F.sum("w").alias("linked")), [*of, "node"], "left")
         linked = F.coalesce("linked", F.lit(0.0)) > 0
     blend = [F.when(linked, (1 - mix) * F.col(c) + mix * F.coalesce(f"m_{c}", F.lit(0.0))).otherwise(F.col(c)).alias(c) for c in columns]
     return out.select(*by, "node", *blend)
@@ -124,16 +125,17 @@ def within(edges: DataFrame, ids: DataFrame, a: str = "src", b: str = "dst") ->
     return edges
 
 
-def two_layers(nodes: DataFrame, first: DataFrame, second: DataFrame, columns: list[str], share: float) -> DataFrame:
-    """(node, columns): the neighbours' mean with each layer normalised on its own, (1 - share) of the first and `share` of the second; a node with one layer takes it whole, one with none keeps its own."""
+def two_layers(nodes: DataFrame, first: DataFrame, second: DataFrame, columns: list[str], share: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, node, columns): the neighbours' mean with each layer normalised on its own, (1 - share) of the first and `share` of the second; a node with one layer takes it whole, one with none keeps its own. Layers without a column of `by` hold for all its values."""
 
     def mean(edges, name):
-        far = nodes.select(F.col("node").alias("dst"), *columns)
+        far = nodes.select(*by, F.col("node").alias("dst"), *columns)
         total = F.sum("w")
-        return edges.join(far, "dst").groupBy(F.col("src").alias("node")).agg(*[F.try_divide(F.sum(F.col("w") * F.col(c)), total).alias(f"{name}_{c}") for c in columns])
+        near = edges.where("w > 0").join(far, [*[c for c in by if c in edges.columns], "dst"])
+        return near.groupBy(*by, F.col("src").alias("node")).agg(*[F.try_divide(F.sum(F.col("w") * F.col(c)), total).alias(f"{name}_{c}") for c in columns])
 
-    both = nodes.join(mean(first, "a"), "node", "left").join(mean(second, "b"), "node", "left")
-    return both.select("node", *[F.coalesce((1 - share) * F.col(f"a_{c}") + share * F.col(f"b_{c}"), f"a_{c}", f"b_{c}", c).alias(c) for c in columns])
+    both = nodes.join(mean(first, "a"), [*by, "node"], "left").join(mean(second, "b"), [*by, "node"], "left")
+    return both.select(*by, "node", *[F.coalesce((1 - share) * F.col(f"a_{c}") + share * F.col(f"b_{c}"), f"a_{c}", f"b_{c}", c).alias(c) for c in columns])
 
 
 def similarity_graph(near: DataFrame, k: int, h: float, by: tuple[str, ...] = ()) -> DataFrame:

@@ -58,7 +58,7 @@ def _luck(h: np.ndarray, start: int, turn: int) -> np.ndarray:
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53 + 1e-18
 
 
-def seeded(rows: DataFrame, k, starts: int, seed: int, turns: int = 3) -> tuple[dict, dict]:
+def seeded(rows: DataFrame, k, starts: int, seed: int, turns: int = 3, own_seeds: bool = False) -> tuple[dict, dict]:
     """({group: centres to begin with, of every start}, {group: mean variance}) of rows (_g, x, _h), by k-means|| on all points.
 
     A round draws about twice as many distinct points as there are centres, for every group and start
@@ -109,7 +109,7 @@ def seeded(rows: DataFrame, k, starts: int, seed: int, turns: int = 3) -> tuple[
     for g, cs in drawn.items():
         filled = [np.array([weights[g].get(i, {}).get(j, 0.0) for j in range(len(c))]) for i, c in enumerate(cs)]
         size = min(k(g), min(len(c) for c in cs))
-        rngs = [np.random.default_rng([seed, i, zlib.crc32(g.encode())]) for i in range(starts)]
+        rngs = [np.random.default_rng([seed, i, *([zlib.crc32(g.encode())] if own_seeds else [])]) for i in range(starts)]
         begin[g] = np.stack([_reduced(c, np.maximum(w, 1e-9), size, rng) for c, w, rng in zip(cs, filled, rngs, strict=True)])
         n, p = filled[0].sum(), cs[0].shape[1]
         m = np.array([weights[g][-1][j] for j in range(2 * p)]) / n
@@ -117,7 +117,7 @@ def seeded(rows: DataFrame, k, starts: int, seed: int, turns: int = 3) -> tuple[
     return begin, spread
 
 
-def kmeans_many(points: DataFrame, k: int | dict, by: tuple[str, ...] = (), starts: int = 10, rounds: int = 300, seed: int = 42, tolerance: float = 1e-4, column: str = "x", every: bool = False) -> dict:
+def kmeans_many(points: DataFrame, k: int | dict, by: tuple[str, ...] = (), starts: int = 10, rounds: int = 300, seed: int = 42, tolerance: float = 1e-4, column: str = "x", every: bool = False, own_seeds: bool = False) -> dict:
     """{values of by: (centres, cost)}: the cheapest of several starts for each value of `by`, all fitted in the same passes.
 
     A pass is one aggregate over the points: a task sums the members of every centre of every start,
@@ -125,12 +125,13 @@ def kmeans_many(points: DataFrame, k: int | dict, by: tuple[str, ...] = (), star
     are. Centres begin by k-means++ on at most `sample` points of a group, taken by a hash. A group
     is done when no centre of it moves by more than `tolerance` of the variance. `k` may differ by
     group, as a dict by the values of `by`. With `every`, the centres of all starts and their costs.
+    Groups of the same points begin alike, and so end alike, but with `own_seeds`.
     """
     group = F.to_json(F.struct(*by) if by else F.struct(F.lit(0).alias("g")))
-    rows = points.select(*by, F.col(column).alias("x"), group.alias("_g"), F.xxhash64(column, F.lit(seed)).alias("_h"))
+    rows = points.select(*by, F.col(column).alias("x"), group.alias("_g"), F.xxhash64(column, F.lit(seed), *([group] if own_seeds else [])).alias("_h"))
     values = {r["_g"]: tuple(r[c] for c in by) for r in rows.select("_g", *by).distinct().collect()}
     sizes = {g: k[v] if isinstance(k, dict) else k for g, v in values.items()}
-    begin, spread = seeded(rows.select("_g", "x", "_h"), sizes.__getitem__, starts, seed)
+    begin, spread = seeded(rows.select("_g", "x", "_h"), sizes.__getitem__, starts, seed, own_seeds=own_seeds)
     done, state = {}, {g: (c, tolerance * spread[g]) for g, c in begin.items()}
     for turn in range(rounds):
         if not state:

@@ -40,13 +40,43 @@ def stacked(settings: dict, by: str = "setting") -> DataFrame:
     return reduce(DataFrame.unionByName, (df.select(F.lit(name).alias(by), *df.columns) for name, df in settings.items()))
 
 
-def fitted(points: DataFrame, k: int | dict, by: tuple[str, ...] = (), starts: int = 10, seed: int = 42, level: str | None = None) -> DataFrame:
+def fitted(points: DataFrame, k: int | dict, by: tuple[str, ...] = (), starts: int = 10, seed: int = 42, level: str | None = None, own_seeds: bool = False) -> DataFrame:
     """`points` with label and margin of the best of several starts for each value of `by`; with `level`, labels count from 1 by its median."""
     points = cut(points, "points")
-    got = cut(learning.assigned_many(points, learning.kmeans_many(points, k, by, starts, seed=seed), by), "labels")
+    got = cut(learning.assigned_many(points, learning.kmeans_many(points, k, by, starts, seed=seed, own_seeds=own_seeds), by), "labels")
     return learning.ordered_labels(got, level, by=by) if level else got
 
 
+def standardised(nodes: DataFrame, columns: list[str], shares: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, period, node, columns): shares less their period's median, then all columns standardised over the periods, each value of `by` on its own."""
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in (*by, "period")])
+    z = panel.zscored(nodes.select(*by, "period", "node", *columns, key.alias("_k")), columns, shares, "_k", by)
+    return z.select(*by, "period", "node", *columns)
+
+
+def layered_nodes(z: DataFrame, first: DataFrame, second: DataFrame, columns: list[str], mix: float, weight: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, period, node, columns): (1 - mix) of each node's features and `mix` of its neighbours' over two layers, each normalised on its own."""
+    keys = (*by, "period")
+    near = graph.two_layers(z.select(*keys, "node", *columns), first, second, columns, weight, keys)
+    both = z.join(near.select(*keys, "node", *[F.col(c).alias(f"n_{c}") for c in columns]), [*keys, "node"])
+    return both.select(*keys, "node", *[((1 - mix) * F.col(c) + mix * F.col(f"n_{c}")).alias(c) for c in columns])
+
+
+def layered_fit(nodes: DataFrame, first: DataFrame, second: DataFrame, columns: list[str], shares: list[str], k: int, by: tuple[str, ...] = (), mix: float = 0.2, weight: float = 0.25, starts: int = 10, level: str | None = None) -> DataFrame:
+    """(by, period, id, x, label, margin): the types of plain features (by, period, node, columns), standardised, smoothed over both layers and fitted for each value of `by` on its own; x are the standardised features.
+
+    What is compared with a fit, refits and draws alike, goes this way too, so that a draw of
+    everything gives the same types. With `level`, labels count from 1 by its median.
+    """
+    z = cut(standardised(nodes, columns, shares, by), "standardised")
+    points = vectors(layered_nodes(z, first, second, columns, mix, weight, by), columns, by)
+    keys = [*by, "period", "id"]
+    if level:
+        points = points.join(z.select(*by, "period", F.col("node").alias("id"), F.col(level).alias("_level")), keys)
+    got = fitted(points, k, by, starts, level="_level" if level else None)
+    return got.select(*keys, "label", "margin").join(vectors(z, columns, by), keys)
+
+
 def monthly_metrics(points: DataFrame, graphs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, period, silhouette, calinski_harabasz, davies_bouldin, s_dbw, avi, avu, anui, mq, modularity) of labelled points (by, period, id, x, label) on each period's graph."""
     keys = [*by, "period"]
@@ -106,9 +136,14 @@ def aligned_by(points: DataFrame, by: str) -> DataFrame:
     return learning.aligned(points, "reference", "label", by)
 
 
+def aligned_to(points: DataFrame, reference: DataFrame, by: str) -> DataFrame:
+    """(by, period, id, reference, aligned): labels of each value of `by` renamed to a reference's."""
+    return cut(aligned_by(cut(with_reference(points, reference), "referenced"), by), "aligned")
+
+
 def against_reference(points: DataFrame, reference: DataFrame, by: str, period: bool = True) -> DataFrame:
     """(by, period, ari, agreement) of labels with a reference, names aligned over all periods at once."""
-    rows = cut(aligned_by(cut(with_reference(points, reference), "referenced"), by), "aligned")
+    rows = aligned_to(points, reference, by)
     keys = (by, "period") if period else (by,)
     return quality.ari(rows, "reference", "aligned", keys).join(quality.agreement(rows, "reference", "aligned", keys), list(keys))
 
@@ -120,10 +155,21 @@ def jaccards(points: DataFrame, by: str) -> DataFrame:
     return e.groupBy(by, "label").agg((F.sum(F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)).cast("long")) / F.count("*")).alias("jaccard"))
 
 
-def select_setting(metrics: DataFrame, score: str, *needs: Column) -> DataFrame:
-    """The row with the best score among those that meet all needs."""
-    good = reduce(lambda a, b: a & b, needs, F.lit(True))
-    return metrics.where(good).orderBy(F.desc(score)).limit(1)
+def select_setting(metrics: DataFrame, *order: Column, needs: Column, score: str = "silhouette", slack: float = 0.0, required: bool = True) -> DataFrame:
+    """The chosen row: of those that meet the needs and whose score is at most `slack` below the best of them, the first by `order`.
+
+    That none meets the needs is an error, or no row where the choice isn't `required`.
+    """
+    eligible = cut(metrics.where(needs), "eligible")
+    if required and not eligible.limit(1).count():
+        raise ValueError("no setting meets the needs")
+    return panel.near_best(eligible, score, *order, F.desc(score), slack=slack)
+
+
+def marked(metrics: DataFrame, key: str, *order: Column, needs: Column, slack: float = 0.0) -> DataFrame:
+    """`metrics` with `eligible` and `chosen`; where no setting is eligible none is chosen."""
+    pick = select_setting(metrics, *order, needs=needs, slack=slack, required=False).select(key, F.lit(True).alias("chosen"))
+    return metrics.withColumn("eligible", needs).join(pick, key, "left").fillna(False, ["chosen"])
 
 
 def four_methods(nodes: DataFrame, static: DataFrame, dynamic: DataFrame, columns: list[str], k: int, starts: int = 10) -> DataFrame:
