@@ -246,24 +246,41 @@ def as_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def _redacted(text: Column, spans: Column) -> Column:
+    """`text` with its spans, sorted by start, as <KIND>, in time proportional to its length and their number: pieces are read from chunks of the text, and where the spans before end is a maximum by chunks of spans."""
+    names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+    ends, chunk = F.transform(spans, lambda x: x["end"]), lambda i, size: F.floor(i / size).cast("int")
+
+    def piece(chunks, a, b):
+        near = F.slice(chunks, chunk(a, _CELL) + 1, chunk(b, _CELL) - chunk(a, _CELL) + 1)
+        return F.substring(F.array_join(near, ""), a % _CELL + 1, b - a)
+
+    def written(chunks, ends, tops):
+        def one(x, i):
+            at = F.coalesce(F.greatest(F.get(tops, chunk(i, _CHUNK)), F.array_max(F.slice(ends, chunk(i, _CHUNK) * _CHUNK + 1, i % _CHUNK))), F.lit(0))
+            return let(at, lambda at: F.when(x["start"] >= at, F.concat(piece(chunks, at, x["start"]), F.get(names, x["kind"]))))
+
+        last = F.array_max(ends)
+        return F.concat(F.array_join(F.transform(spans, one), ""), piece(chunks, last, F.char_length(text)))
+
+    def with_tops(chunks, ends):
+        firsts = F.sequence(F.lit(0), chunk(F.size(ends), _CHUNK))
+        tops = F.transform(firsts, lambda c: F.array_max(F.slice(ends, c * _CHUNK + 1, _CHUNK)))
+        before = let(tops, lambda t: F.transform(t, lambda _, c: F.array_max(F.slice(t, F.lit(1), c))))
+        return let(before, lambda t: written(chunks, ends, t))
+
+    chunks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_CELL}}}"), 0)
+    return let(chunks, lambda c: let(ends, lambda e: with_tops(c, e)))
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """`docs` with every span of `text_col` replaced by <KIND>; overlapping spans become the first one's kind. Texts without spans stay as they are, null ones too. A text with very many spans takes time with the product of its length and their number."""
+    """`docs` with every span of `text_col` replaced by <KIND>; overlapping spans become the first one's kind. Texts without spans stay as they are, null ones too."""
     (row,) = free(docs, "row_hash")
     spans = find(docs, id_col, text_col, **how).where("size(spans) > 0").select(F.col("id").alias(f"{row}_id"), F.col("row").alias(f"{row}_of"), F.col("spans").alias(f"{row}_spans")).distinct()
     rows = docs.withColumn(row, F.xxhash64(F.col(id_col).cast("long"), whole(F.col(text_col))))
     rows = rows.join(spans, F.col(id_col).eqNullSafe(F.col(f"{row}_id")) & (F.col(row) == F.col(f"{row}_of")), "left")
-    text, names = whole(F.col(text_col)), F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-
-    def step(acc, x):
-        fresh = x["start"] >= acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.get(names, x["kind"])))).otherwise(acc["out"]).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    new = F.aggregate(F.col(f"{row}_spans"), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return rows.select(*[F.when(F.col(f"{row}_spans").isNull(), F.col(c)).otherwise(new).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    new = F.when(F.col(f"{row}_spans").isNull(), F.col(text_col)).otherwise(_redacted(whole(F.col(text_col)), F.col(f"{row}_spans")))
+    return rows.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
