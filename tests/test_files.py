@@ -93,6 +93,19 @@ def test_markdown_and_manifest(spark, tmp_path):
     assert (r["file"], r["length"], r["sha256"]) == ("f.bin", 3000, hashlib.sha256(b"abc" * 1000).hexdigest())
 
 
+def test_manifest_reads_in_pieces(spark, tmp_path):
+    """Files of no piece, of whole ones and of a part of one, with odd names; what looks compressed is digested as it is; a file over Spark's limit on a cell isn't held."""
+    sizes = {"empty": 0, "one": 64, "two.gz": 128, "a b%20c": 129, "é": 63}
+    for name, n in sizes.items():
+        (tmp_path / name).write_bytes(bytes(range(n)))
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 100)
+    try:
+        got = {r["file"]: (r["length"], r["sha256"]) for r in sinks.manifest(spark, [str(tmp_path)], 64).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got == {name: (n, hashlib.sha256(bytes(range(n))).hexdigest()) for name, n in sizes.items()}
+
+
 def test_contracts(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string")
     b = spark.createDataFrame([(1, 5), (1, 6)], "k long, w int")
@@ -111,3 +124,12 @@ def test_scalars(spark):
     assert f(scalars.clamp(F.lit(5.0), 0, 4), scalars.finite(F.lit(math.nan)), scalars.finite(F.lit(None).cast("double")), scalars.finite(F.lit(1))) == (1.0, False, False, True)
     x, y = scalars.projected(F.lit(-170.0), F.lit(82.0))
     assert f(x, y) == (pytest.approx(35 + (190 - 19) / 171 * 930), 28.0)
+
+
+def test_report(spark, tmp_path):
+    a = spark.createDataFrame([("x|y", 1), ("z", 20)], "name string, n int")
+    path = str(tmp_path / "report")
+    sinks.write_report(spark, path, "All", {"One": a, "Two": a.limit(0)})
+    text = "\n".join(r["value"] for r in spark.read.text(path).collect())
+    assert text.startswith("# All\n\n## One\n\n| name ") and "## Two" in text
+    assert {tuple(r) for r in sinks.report_rows(spark, path, 2).collect()} == {("x\\|y", "1"), ("z", "20")}

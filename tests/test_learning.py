@@ -1,5 +1,7 @@
 """Fitted models against numpy and hand-checked cases."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -174,3 +176,19 @@ def test_fewer_points_than_centres(spark):
     got = learning.kmeans_many(df, 3, ("g",), starts=2)
     assert len(got["a",][0]) == 1 and got["a",][1] == 0 and sorted(c[0] for c in got["b",][0]) == [0, 9]
     assert learning.kmeans_many(df.where("g = 'c'"), 3, ("g",), starts=2) == {}
+
+
+def test_drawn_medians_equal_those_of_copied_rows(spark):
+    """Nodes that lack months or values, months drawn often or never, and repeated rows."""
+    r = random.Random(5)
+    rows = [(n, f"{y}-{m:02d}", None if r.random() < 0.1 else r.randint(0, 9) / 3, r.random()) for n in range(6) for y in (2023, 2024) for m in range(1, 13) if r.random() < 0.5 or n == 0]
+    rows += rows[:7] + [(9, "2023-05", None, 1.0), (10, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "node int, period string, a double, b double").withColumn("year", F.substring("period", 1, 4)).repartition(5)
+    copied = learning.block_bootstrap(df, "period", 20, 3).groupBy("iteration", "node", "year").agg(F.median("a").alias("a"), F.median("b").alias("b"))
+    drawn = learning.drawn_medians(df, ["node", "year"], "period", ["a", "b"], learning.block_weights(df, "period", 20, 3))
+    key = lambda t: {(x["iteration"], x["node"], x["year"]): (x["a"], x["b"]) for x in t.collect()}
+    want, got = key(copied), key(drawn)
+    assert got.keys() == want.keys() and len(got) == drawn.count() > 150
+    assert all(got[k][i] == pytest.approx(want[k][i]) for k in want for i in (0, 1))
+    weights = learning.block_weights(df, "period", 20, 3)
+    assert {x[0] for x in weights.groupBy("iteration", F.substring("period", 1, 4)).agg(F.sum("weight").alias("n")).select("n").collect()} == {12}

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import graph, panel, quality, reconcile, sequence
+from weftline.operators import graph, panel, quality, reconcile, sequence, study
 from weftline.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -211,3 +211,25 @@ def test_against_sql(spark, duck, name):
     names = [d[0] for d in found.description]
     assert sorted(names) == cols
     assert got == sorted(repr([plain(r[names.index(c)]) for c in cols]) for r in found.fetchall())
+
+
+def test_reaching_a_baseline(spark):
+    g = spark.createDataFrame([("base", 5.0, 10), ("a", 4.9, 10), ("b", 4.0, 30), ("c", 9.0, 8), ("d", None, 50), (None, 6.0, 11)], "k string, v double, n int")
+    got = panel.reaching(g, F.col("k") == "base", {"v": 0.5, "n": 1})
+    assert got.columns == g.columns and {r["k"] for r in got.collect()} == {"a", None}
+    assert panel.reaching(g, F.col("k") == "none", {"v": 1.0}).count() == 0
+    with pytest.raises(Exception, match="several baselines"):
+        panel.reaching(g, F.col("k").isNotNull(), {"v": 1.0}).collect()
+
+
+def test_unchanged_and_growing(spark):
+    rows = [(1, "a", 1, 1.0), (1, "b", 1, 2.0), (2, "a", 1, 2.0), (2, "b", 2, 1.0), (2, "c", 1, 3.0), (3, "a", None, None), (3, "b", 1, 4.0), (4, "a", 1, 1.0)]
+    df = spark.createDataFrame(rows, "e int, p string, l int, v double")
+    assert tuple(sequence.unchanged_and_growing(df, "e", "p", "l", "v").first()) == (4, 2, 2)
+    assert tuple(sequence.unchanged_and_growing(df.limit(0), "e", "p", "l", "v").first()) == (0, 0, 0)
+
+
+def test_winners_with_ties(spark):
+    means = spark.createDataFrame([("x", 1.0, 2.0), ("y", 1.0, 1.0)], "model string, up double, down double")
+    assert {tuple(r) for r in study.winners(means, "model", ["up"], ["down"], tie="both").collect()} == {("up", "both"), ("down", "y")}
+    assert {tuple(r) for r in study.winners(means, "model", ["up"], ["down"]).collect()} == {("up", "x"), ("down", "y")}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -544,18 +545,53 @@ def subsample(rows: DataFrame, entity: str, trials: int, share: float = 0.8, see
     return chosen.join(rows, F.col("_e") == F.col(entity)).drop("_e")
 
 
-def block_bootstrap(rows: DataFrame, period: str, iterations: int, seed: int = 0) -> DataFrame:
-    """(iteration, draw, ...): rows of periods drawn with replacement within their year (the first 4 characters); a period drawn twice comes twice. The names of the periods, which grow with the calendar and not with the rows, come to the driver."""
+def _block_draws(rows: DataFrame, period: str, iterations: int, seed: int) -> list[tuple[int, int, str]]:
+    """(iteration, draw, period) of periods drawn with replacement within their year (the first 4 characters). The names of the periods, which grow with the calendar and not with the rows, come to the driver."""
     periods = sorted(r[0] for r in rows.select(period).distinct().collect() if r[0] is not None)
     r, draws = np.random.default_rng(seed), []
     for i in range(iterations):
         for _, year in itertools.groupby(periods, key=lambda p: p[:4]):
             year = list(year)
             draws += [(i, d, year[j]) for d, j in enumerate(r.integers(0, len(year), len(year)))]
-    table = rows.sparkSession.createDataFrame(draws, "iteration int, draw int, _p string")
+    return draws
+
+
+def block_bootstrap(rows: DataFrame, period: str, iterations: int, seed: int = 0) -> DataFrame:
+    """(iteration, draw, ...): rows of periods drawn with replacement within their year; a period drawn twice comes twice."""
+    table = rows.sparkSession.createDataFrame(_block_draws(rows, period, iterations, seed), "iteration int, draw int, _p string")
     return rows.join(table, F.col(period) == F.col("_p")).drop("_p")
 
 
+def block_weights(rows: DataFrame, period: str, iterations: int, seed: int = 0) -> DataFrame:
+    """(iteration, period, weight): how often each of the same draws has a period, where it has it; a row for each draw and period of the calendar at most."""
+    times = Counter((i, p) for i, _, p in _block_draws(rows, period, iterations, seed))
+    return rows.sparkSession.createDataFrame([(i, p, n) for (i, p), n in times.items()], f"iteration int, `{period}` string, weight int")
+
+
+def drawn_medians(rows: DataFrame, by: list[str], period: str, columns: list[str], weights: DataFrame) -> DataFrame:
+    """(iteration, by, columns): for each draw of block_weights() the exact median of each column over the rows of a group, each as often as its period is drawn.
+
+    Rows are read and grouped once and never copied for a draw. A group of `by` is held as a sorted
+    array, so it should be one of few rows, as those of a node and year are. A draw that has none of a
+    group's periods gives it no row; nulls don't count; a column without values is null.
+    """
+    year = lambda c: F.substring(F.col(c), 1, 4)
+    entry = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).cast("double").alias("v"), F.col(period).alias("p")))
+    groups = rows.where(F.col(period).isNotNull()).groupBy(*by, year(period).alias("_year")).agg(F.collect_set(period).alias("_periods"), *[F.sort_array(F.collect_list(entry(c))).alias(c) for c in columns])
+    maps = weights.groupBy("iteration", year(period).alias("_year")).agg(F.map_from_entries(F.collect_list(F.struct(period, "weight"))).alias("_w"))
+    # a row for each draw and year, made from the calendar alone
+    both = groups.join(F.broadcast(maps), "_year").where(F.exists("_periods", lambda p: F.map_contains_key("_w", p)))
+
+    def median(c):
+        often = F.flatten(F.transform(c, lambda x: F.array_repeat(x["v"], F.coalesce(F.try_element_at(F.col("_w"), x["p"]), F.lit(0)))))
+        many = F.col(f"_m_{c}")
+        low, high = (F.get(many, end((F.size(many) - 1) / 2).cast("int")) for end in (F.floor, F.ceil))
+        return often.alias(f"_m_{c}"), (low + (high - low) * 0.5).alias(c)
+
+    parts = [median(c) for c in columns]
+    return both.select("iteration", *by, *[p for p, _ in parts]).select("iteration", *by, *[m for _, m in parts])
+
+
 def match_events(true: DataFrame, found: DataFrame, tolerance: int = 2, keys: tuple[str, ...] = ("entity", "from_label", "to_label")) -> DataFrame:
     """(keys, at, found_at, shift): true and found events of equal keys matched one to one, nearest first (then earliest), at most `tolerance` apart.
 

@@ -118,6 +118,16 @@ def near_best(df: DataFrame, score: str, *order: Column, slack: float = 0.001) -
     return df.join(F.broadcast(best)).where(F.col(score) >= F.col("_best") - slack).drop("_best").orderBy(*order).limit(1)
 
 
+def reaching(df: DataFrame, baseline: Column, slack: dict[str, float]) -> DataFrame:
+    """The rows other than the `baseline` one whose columns are each at least the baseline's less their slack; none where there is no baseline, an error where there are several."""
+    several = F.when(F.count("*") > 1, F.raise_error(F.lit("several baselines")))
+    least = df.where(baseline).agg(several.alias("_several"), *[(F.max(c) - v).alias(f"_least_{c}") for c, v in slack.items()])
+    rows = df.where(~F.coalesce(baseline, F.lit(False))).join(F.broadcast(least))
+    for c in slack:
+        rows = rows.where(F.col(c) >= F.col(f"_least_{c}"))
+    return rows.where("_several is null").drop("_several", *[f"_least_{c}" for c in slack])
+
+
 def missing_names(columns: list[str], *dropped: str) -> list[str]:
     """The columns without those `dropped`, in order."""
     return [c for c in columns if c not in dropped]

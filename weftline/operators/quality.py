@@ -229,8 +229,8 @@ def silhouette(points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def sampled(points: DataFrame, size: int, seed: int = 42) -> DataFrame:
-    """Exactly `size` points (all, if there are fewer): those whose hash with the seed is smallest."""
-    return points.withColumn("_h", F.xxhash64("id", F.lit(seed))).orderBy("_h", "id").limit(size).drop("_h")
+    """Exactly `size` points (all, if there are fewer): those whose MD5 of id|seed is smallest."""
+    return points.withColumn("_h", F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(str(seed))))).orderBy("_h", "id").limit(size).drop("_h")
 
 
 def s_dbw(points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -104,6 +104,13 @@ def cohort_medians(df: DataFrame, entity: str, period: str, label: str, value: s
     return rows.groupBy("cohort", period).agg(F.count("*").alias("n")).join(group_medians(rows, ["cohort", period], ["median"]), ["cohort", period])
 
 
+def unchanged_and_growing(df: DataFrame, entity: str, period: str, label: str, value: str) -> DataFrame:
+    """(n, unchanged, growing): entities, those of one label all along, and those whose value is greater in their last period than in their first; a null label or end value counts for neither."""
+    same = (F.count(label) == F.count("*")) & (F.min(label) == F.max(label))
+    each = df.groupBy(entity).agg(same.alias("same"), (F.max_by(value, period) > F.min_by(value, period)).alias("more"))
+    return each.agg(F.count("*").alias("n"), F.count_if("same").alias("unchanged"), F.count_if("more").alias("growing"))
+
+
 def direction_counts(transitions: DataFrame) -> DataFrame:
     """(from_label, to_label, n), the most frequent first."""
     return transitions.groupBy("from_label", "to_label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "from_label", "to_label")

@@ -181,10 +181,16 @@ def four_methods(nodes: DataFrame, static: DataFrame, dynamic: DataFrame, column
     return cut(fits.unionByName(mixture).join(plain, ["period", "id"]), "four")
 
 
-def winners(means: DataFrame, key: str, higher: list[str], lower: list[str]) -> DataFrame:
-    """(metric, winner): the key with the best mean of each metric, the first by name on ties."""
-    best = [F.struct(F.lit(c).alias("metric"), F.min(F.struct(-F.col(c) if c in higher else F.col(c), F.col(key)))[key].alias("winner")) for c in [*higher, *lower]]
-    return means.agg(F.array(*best).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+def winners(means: DataFrame, key: str, higher: list[str], lower: list[str], tie: str | None = None) -> DataFrame:
+    """(metric, winner): the key with the best mean of each metric; on ties the first by name, or the text `tie` where it is given."""
+    order = lambda c: -F.col(c) if c in higher else F.col(c)
+    best = [F.struct(F.lit(c).alias("metric"), F.min(F.struct(order(c).alias("v"), F.col(key))).alias("b")) for c in [*higher, *lower]]
+    got = means.agg(F.array(*best).alias("r")).select(F.explode("r").alias("r")).select("r.metric", F.col("r.b.v").alias("_v"), F.col(f"r.b.{key}").alias("winner"))
+    if tie is None:
+        return got.drop("_v")
+    each = means.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), order(c).cast("double").alias("_v")) for c in [*higher, *lower]])).alias("r")).select("r.*")
+    first = got.join(each.groupBy("metric", "_v").agg(F.count("*").alias("_n")), ["metric", "_v"])
+    return first.select("metric", F.when(F.col("_n") > 1, F.lit(tie)).otherwise(F.col("winner")).alias("winner"))
 
 
 def accepted(row: DataFrame, **least: float) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import graph, learning, sequence
 from weftline.plans.catalogue import _PERSIST, LAYERS, NODES, knn_layers, points, query, rounded, states_with_margin, supplier_nodes, transport
+from weftline.shared import cut
 from weftline.tables import table
 
 
@@ -23,10 +24,10 @@ def mixture_labels(s, d):
     return learning.diagonal_mixture(points(s, d).drop("label"), 10).select("id", "label")
 
 
-@query("SELECT vec_id AS id, label AS aligned FROM embeddings")
+@query("WITH x AS (SELECT vec_id AS id, label, (label * 7 + CASE WHEN vec_id % 5 = 0 THEN 4 ELSE 3 END) % 10 AS renamed FROM embeddings), n AS (SELECT renamed, label, count(*) AS n FROM x GROUP BY ALL), m AS (SELECT renamed, arg_max(label, n) AS aligned FROM n GROUP BY 1) SELECT id, aligned FROM x JOIN m USING (renamed)")
 def label_alignment(s, d):
-    """Renamed labels get their names back."""
-    rows = points(s, d).select("id", "label", ((F.col("label") * 7 + 3) % 10).alias("renamed"))
+    """Renamed labels get their names back, those of a fifth of the vectors another label's."""
+    rows = points(s, d).select("id", "label", ((F.col("label") * 7 + F.when(F.col("id") % 5 == 0, 4).otherwise(3)) % 10).alias("renamed"))
     return learning.aligned(rows, "label", "renamed").select("id", "aligned")
 
 
@@ -48,7 +49,10 @@ def entity_subsamples(s, d):
 def month_bootstrap(s, d):
     """Mean price by bootstrap of months within their year."""
     o = table(s, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_totalprice")
-    return learning.block_bootstrap(o, "month", 50).groupBy("iteration").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 6).alias("price"))
+    months = cut(o.groupBy("month").agg(F.count("*").alias("n"), F.count("o_totalprice").alias("known"), F.sum("o_totalprice").alias("total")), "months")
+    drawn = months.join(F.broadcast(learning.block_weights(months, "month", 50)), "month")
+    times = lambda c: F.sum(F.col(c) * F.col("weight"))
+    return drawn.groupBy("iteration").agg(times("n").alias("n"), F.round(times("total") / times("known"), 6).alias("price"))
 
 
 _EVENTS = "WITH " + _PERSIST.replace("{n}", "2") + ", e AS (SELECT DISTINCT entity FROM st), ac AS (SELECT entity FROM ch WHERE changed), x AS (SELECT (SELECT count(*) FROM ac) AS true_events, (SELECT count(*) FROM pt) AS found_events, (SELECT count(*) FROM e WHERE entity NOT IN (SELECT entity FROM ac)) AS stable_nodes)"

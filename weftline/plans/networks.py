@@ -150,11 +150,11 @@ def s_dbw(s, d):
     return rounded(quality.s_dbw(points(s, d)))
 
 
-@query("SELECT CAST(200 AS BIGINT) AS n, true AS inside")
+@query("WITH p AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR) || '|42'), vec_id LIMIT 200), dd AS (SELECT a.id, a.label AS own, b.label AS other, sum(list_distance(a.x, b.x)) / count(*) AS m FROM p a JOIN p b ON a.id <> b.id GROUP BY ALL), f AS (SELECT id, sum(m) FILTER (WHERE own = other) AS a, min(m) FILTER (WHERE own <> other) AS b FROM dd GROUP BY id) SELECT (SELECT count(*) FROM p) AS n, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM f")
 def sampled_silhouette(s, d):
-    """The silhouette of 200 vectors drawn by a hash, which lies between -1 and 1."""
+    """The silhouette of 200 vectors drawn by a hash."""
     rows = cut(quality.sampled(points(s, d), 200), "sample")
-    return quality.silhouette(rows).crossJoin(rows.agg(F.count("*").alias("n"))).select("n", F.col("silhouette").between(-1.0, 1.0).alias("inside"))
+    return quality.silhouette(rows).crossJoin(rows.agg(F.count("*").alias("n"))).select("n", F.round("silhouette", 6).alias("silhouette"))
 
 
 _JACC = "x AS (SELECT label AS ref, CASE WHEN vec_id % 6 = 0 THEN (label + 1) % 10 ELSE label END AS aligned FROM embeddings), e AS (SELECT ref, aligned, ref AS label FROM x UNION ALL SELECT ref, aligned, aligned FROM x WHERE aligned <> ref), j AS (SELECT label, sum(CAST(ref = aligned AS INT)) / count(*) AS jaccard FROM e GROUP BY 1)"

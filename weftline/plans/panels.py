@@ -37,6 +37,14 @@ def near_best_pick(s, d):
     return panel.near_best(g, "score", F.asc("n"), F.desc("setting"), slack=500)
 
 
+@query("WITH g AS (SELECT c_nationkey AS setting, round(avg(c_acctbal), 6) AS score, count(*) AS n FROM customer GROUP BY 1), b AS (SELECT * FROM g WHERE setting = 7), e AS (SELECT g.* FROM g, b WHERE g.setting <> 7 AND g.n >= b.n - 5 AND g.score >= b.score - 1000) SELECT * FROM e WHERE score >= (SELECT max(score) FROM e) - 500 ORDER BY n, setting DESC LIMIT 1")
+def near_best_reaching(s, d):
+    """The same among nations with at most 5 customers fewer and 1000 less mean balance than nation 7."""
+    g = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("setting")).agg(F.round(F.avg("c_acctbal"), 6).alias("score"), F.count("*").alias("n"))
+    eligible = panel.reaching(g, F.col("setting") == 7, {"n": 5, "score": 1000})
+    return panel.near_best(eligible, "score", F.asc("n"), F.desc("setting"), slack=500)
+
+
 @query(f"WITH {CHANGE} SELECT entity, period FROM ch WHERE label = 'click' AND changed AND previous = 'view'")
 def visible_entities(s, d):
     """Users of one state that has just changed from another."""
@@ -107,6 +115,12 @@ def cohort_medians(s, d):
     return rounded(sequence.cohort_medians(states_with_margin(s, d), "entity", "period", "label", "margin"))
 
 
+@query(f"WITH {STATE}, e AS (SELECT entity, min(label) = max(label) AS same, arg_max(margin, period) > arg_min(margin, period) AS more FROM st GROUP BY 1) SELECT count(*) AS n, CAST(count(*) FILTER (WHERE same) AS BIGINT) AS unchanged, CAST(count(*) FILTER (WHERE more) AS BIGINT) AS growing FROM e")
+def unchanged_and_growing(s, d):
+    """Users, those of one state all along, and those whose margin grew from their first day to their last."""
+    return sequence.unchanged_and_growing(states_with_margin(s, d), "entity", "period", "label", "margin")
+
+
 @query("WITH " + _PERSIST.replace("{n}", "2") + " SELECT from_label, to_label, CAST(count(*) AS BIGINT) AS n FROM pt GROUP BY ALL")
 def direction_counts(s, d):
     return sequence.direction_counts(sequence.persistent_transitions(states(s, d), "entity", "period", "label", 2))

@@ -208,15 +208,15 @@ def csv_inferred(s, d):
     path = _folder(s, "csv")
     sinks.write_csv(table(s, d, "nation"), path, ["n_nationkey"])
     files.required(s, [path])
-    return files.read_csv(s, path).select("n_nationkey", "n_name", "n_regionkey")
+    return files.read_csv(s, path, multi_line=False).select("n_nationkey", "n_name", "n_regionkey")
 
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, printf('%.6f', s_acctbal) AS s_acctbal FROM supplier")
 def csv_as_text(s, d):
     """Suppliers written with six places and read with every cell as text."""
     path = _folder(s, "csv")
-    sinks.write_csv(table(s, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), path, ["s_suppkey"], digits=6, one_file=True)
-    return files.read_csv_text(s, path)
+    sinks.write_csv(table(s, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), path, ["s_suppkey"], digits=6)
+    return files.read_csv_text(s, path, multi_line=False)
 
 
 @query("SELECT r_regionkey AS id, r_name AS name, CAST(count(*) AS BIGINT) AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL")
@@ -320,15 +320,27 @@ def sqlite_centres(s, d):
     return sqlite.database_rows(_files(s, d), sqlite.centres_query("districts", at=2002), "territory_id long, year_from int, lon double, lat double").drop("year_from")
 
 
-@query("SELECT 'nation.txt' AS file, CAST(25 AS BIGINT) AS lines, true AS same")
+@query("SELECT CAST(c_custkey // 500 AS BIGINT) AS part, CAST(sum(strlen(c_name) + 1) AS BIGINT) AS length, sha256(string_agg(c_name, chr(10) ORDER BY c_custkey) || chr(10)) AS sha256 FROM customer GROUP BY 1")
 def file_manifest(s, d):
-    """The checksum of a written file, against that of its content."""
-    path = _folder(s, "text")
-    rows = table(s, d, "nation").select(F.col("n_name").alias("value")).orderBy("value")
-    rows.coalesce(1).write.text(path)
-    got = sinks.manifest(s, [path + "/*.txt"])
-    want = rows.agg(F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list("value")), "\n"), F.lit("\n")), 256).alias("want"), F.count("*").alias("lines"))
-    return got.crossJoin(want).select(F.lit("nation.txt").alias("file"), "lines", (F.col("sha256") == F.col("want")).alias("same"))
+    """Lengths and checksums of files of customers' names, 500 keys a file, read in pieces."""
+    path = _folder(s, "names")
+    rows = table(s, d, "customer").select(F.floor(F.col("c_custkey") / 500).alias("part"), "c_custkey", "c_name")
+    # a file a part: the order by key within a task holds within each part
+    rows.repartition("part").sortWithinPartitions("part", "c_custkey").select("part", F.col("c_name").alias("value")).write.partitionBy("part").text(path)
+    got = sinks.manifest(s, [path + "/part=*/*.txt"], 4096)
+    return got.select(F.regexp_extract("path", "part=([0-9]+)", 1).cast("long").alias("part"), "length", "sha256")
+
+
+@query("SELECT r_name AS name, CAST(count(*) AS VARCHAR) AS value FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT c_mktsegment, CAST(max(c_custkey) AS VARCHAR) FROM customer GROUP BY 1")
+def audit_report(s, d):
+    """A report of two tables, written as Markdown and read back: customers by region, the last customer of each segment."""
+    c, n, r = table(s, d, "customer"), table(s, d, "nation"), table(s, d, "region")
+    home = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    regions = home.groupBy(F.col("r_name").alias("region")).agg(F.count("*").alias("customers")).orderBy("region")
+    segments = c.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.max("c_custkey").alias("last")).orderBy("segment")
+    path = _folder(s, "report")
+    sinks.write_report(s, path, "Customers", {"Regions": regions, "Segments": segments})
+    return sinks.report_rows(s, path, 2).select(F.col("c0").alias("name"), F.col("c1").alias("value"))
 
 
 # scalars --------------------------------------------------------------------------------------

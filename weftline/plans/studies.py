@@ -97,9 +97,9 @@ def four_models(s, d):
 
 @query()
 def metric_winners(s, d):
-    """The best method by each index."""
+    """The best method by each index, or that several share the best value."""
     means = cut(four_models(s, d), "means")
-    return study.winners(means, "model", ["silhouette", "calinski_harabasz", "avi", "mq", "modularity", "temporal_ari"], ["davies_bouldin", "s_dbw", "avu"])
+    return study.winners(means, "model", ["silhouette", "calinski_harabasz", "avi", "mq", "modularity", "temporal_ari"], ["davies_bouldin", "s_dbw", "avu"], tie="tie")
 
 
 @query()
@@ -296,8 +296,9 @@ def bootstrap_rows(s, d, draws: int) -> DataFrame:
     """(iteration, period, id, reference, aligned) of fits of yearly medians over months drawn with replacement."""
     whole = cut(annual_points(s, d).select("period", "id", "label"), "annual_reference")
     f = feature_panel(s, d).select(F.col("entity").alias("node"), "period", *COLUMNS)
-    drawn = learning.block_bootstrap(cut(f, "features"), "period", draws).withColumn("period", F.substring("period", 1, 4))
-    nodes = cut(group_medians(drawn, ["iteration", "node", "period"], COLUMNS), "bootstrap")
+    f = cut(f.withColumn("year", F.substring("period", 1, 4)), "features")
+    drawn = learning.drawn_medians(f, ["node", "year"], "period", COLUMNS, learning.block_weights(f, "period", draws))
+    nodes = cut(drawn.withColumnRenamed("year", "period"), "bootstrap")
     labels = study.layered_fit(nodes, *annual_layers(s, d, nodes), COLUMNS, SHARES, K, ("iteration",), MIX, WEIGHT, STARTS).select("iteration", "period", "id", "label")
     return study.aligned_to(labels, whole, "iteration")
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+from urllib.parse import unquote, urlsplit
+
+import pandas as pd
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -55,7 +60,47 @@ def markdown_table(df: DataFrame, most: int = 200) -> str:
     return "\n".join([line(head), "| " + " | ".join("-" * (w - 1) + ":" if n else "-" * w for w, n in zip(width, numeric, strict=True)) + " |", *map(line, body)])
 
 
-def manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, length, sha256) of files, read by Spark's binary source, a file a task; a file must fit in a task's memory."""
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+def write_report(spark: SparkSession, path: str, title: str, sections: dict[str, DataFrame], most: int = 200) -> None:
+    """A Markdown report of a heading and an aligned table a section, as one text file; no table may have more than `most` rows."""
+    parts = [f"# {title}", *[f"## {name}\n\n{markdown_table(df, most)}" for name, df in sections.items()]]
+    spark.createDataFrame([("\n\n".join(parts),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def report_rows(spark: SparkSession, path: str, cells: int) -> DataFrame:
+    """(c0, c1, ...): the cells of the tables' rows of reports, without headings and rules."""
+    lines = spark.read.text(path).where("value like '|%'")
+    # the line above a rule is a heading, and reports are small: a file is one partition
+    place = F.monotonically_increasing_id()
+    lines = lines.withColumn("at", place).withColumn("next", F.lead("value").over(Window.partitionBy(F.input_file_name()).orderBy("at")))
+    rule = lambda c: F.coalesce(F.col(c).rlike(r"^(\| -+:? )+\|$"), F.lit(False))
+    cut_ = F.split(F.regexp_replace("value", r"^\| | \|$", ""), r" \| ")
+    return lines.where(~rule("value") & ~rule("next")).select(*[F.trim(F.get(cut_, F.lit(i))).alias(f"c{i}") for i in range(cells)])
+
+
+def _digest(uri: str, chunk: int) -> tuple[int, str]:
+    """Length and SHA-256 of a file's bytes, never more than `chunk` of them in memory."""
+    parts = urlsplit(uri)
+    files, at = (fs.LocalFileSystem(), unquote(parts.path)) if parts.scheme == "file" else fs.FileSystem.from_uri(uri)
+    digest, length = hashlib.sha256(), 0
+    with files.open_input_stream(at, compression=None) as stream:
+        while block := stream.read(chunk):
+            digest.update(block)
+            length += len(block)
+    return length, digest.hexdigest()
+
+
+def manifest(spark: SparkSession, paths: list[str], chunk: int = 1 << 23) -> DataFrame:
+    """(file, path, length, sha256) of files of any length, empty ones too, each read by one task in pieces of `chunk` bytes; file systems that both Spark and pyarrow know.
+
+    The names come to the driver, as for any table of files.
+    """
+    names = spark.read.format("binaryFile").load(paths).inputFiles()
+
+    def run(batches):
+        for batch in batches:
+            got = [_digest(u, chunk) for u in batch["uri"]]
+            whole = batch["uri"].map(unquote)
+            yield pd.DataFrame({"file": whole.str.rsplit("/", n=1).str[-1], "path": whole, "length": [n for n, _ in got], "sha256": [h for _, h in got]})
+
+    listed = spark.createDataFrame([(n,) for n in names], "uri string").repartition("uri")
+    return listed.mapInPandas(run, "file string, path string, length long, sha256 string")

@@ -15,15 +15,15 @@ def required(spark: SparkSession, paths: list[str]) -> None:
         raise FileNotFoundError("required files are missing: " + ", ".join(gone))
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """A CSV file with a header; types by `schema`, or inferred by a pass over the file. Empty cells are null."""
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
+    """A CSV file with a header; types by `schema`, or inferred by a pass over the file. Empty cells are null. Where no cell has a line break, `multi_line` False lets a file be split among tasks."""
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     return reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
 
 
-def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header, every cell as text; empty cells are empty texts."""
-    rows = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A CSV file with a header, every cell as text; empty cells are empty texts. `multi_line` as in read_csv()."""
+    rows = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
     return rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns])
 
 
