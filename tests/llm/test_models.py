@@ -1,5 +1,6 @@
 """Language ID on held-out documents, and packing against the tokenizers library and the least number of sequences."""
 
+import math
 import zlib
 
 import duckdb
@@ -34,6 +35,53 @@ def test_predictions_see_the_text_only(spark):
     assert one == {r["doc_id"]: (r["lang_pred"], r["score"]) for r in other}
 
 
+def plainly(model, text):
+    """Family and language by loops over bytes, machine by machine."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    data = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode("utf-8", "replace"))
+    data = b" " + b" ".join(data.split()) + b" "
+    codes = [((a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % 2**32) >> 20 for a, b, c in zip(data, data[1:], data[2:])]
+    margin = lambda k: sum(float(model.weights[i, k]) for i in codes) / max(1, len(codes)) + model.bias[k]
+    sure = lambda v: 1 / (1 + math.exp(-max(-30.0, min(30.0, 2 * v))))
+    family, score = model.names[0], 1.0
+    if model.n_family == 1:
+        family, score = (model.names[0], sure(margin(0))) if margin(0) >= 0 else (model.names[1], sure(-margin(0)))
+    elif model.n_family:
+        score, family = max((sure(margin(k)), name) for k, name in enumerate(model.names))
+    wins = {lang: [] for lang in model.families[family]}
+    for k, (of, a, b) in enumerate(model.pairs, model.n_family):
+        if of == family:
+            wins[a].append(margin(k))
+            wins[b].append(-margin(k))
+    lang = min(wins, key=lambda v: (-sum(m >= 0 for m in wins[v]), -min([1.0, *map(sure, wins[v])]), v))
+    return lang, min([score, *map(sure, wins[lang])])
+
+
+def test_op4_equals_plain_loops(spark):
+    """Every prediction of the query, machine by machine, with the model that it learns."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.fit(docs.where(~language_id.held_out()).select("doc_id", "text", "lang"))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.op4_language_id(spark, sf).collect()}
+    texts = duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall()
+    assert len(got) == len(texts) >= 200 and len({lang for lang, _ in got.values()}) > 3
+    for i, text in texts:
+        lang, score = plainly(model, text)
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=1e-4), i
+
+
+def test_machines_are_at_their_optimum():
+    """Weights equal the sum of examples by twice their weighted hinge, which only the least squared-hinge loss has."""
+    r = np.random.default_rng(2)
+    y = np.where(np.arange(90) % 3 == 0, 1.0, -1.0)
+    x = r.normal(0, 1, (90, 6)) + 0.8 * y[:, None]
+    w = language_id._svm(x, y, c=1.0, epochs=2000)
+    side = np.where(y > 0, (y < 0).mean() * 2, (y > 0).mean() * 2)
+    force = 2 * side * np.maximum(0, 1 - y * (x @ w[:6] + w[6])) * y
+    assert np.allclose(force @ x, w[:6], atol=2e-3) and abs(1e-3 * force.sum() - w[6]) < 1e-4
+
+
 @pytest.fixture(scope="module")
 def pieces(spark):
     return packing.op9_best_fit_packing(spark, SF).collect()
