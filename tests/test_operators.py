@@ -233,3 +233,16 @@ def test_winners_with_ties(spark):
     means = spark.createDataFrame([("x", 1.0, 2.0), ("y", 1.0, 1.0)], "model string, up double, down double")
     assert {tuple(r) for r in study.winners(means, "model", ["up"], ["down"], tie="both").collect()} == {("up", "both"), ("down", "y")}
     assert {tuple(r) for r in study.winners(means, "model", ["up"], ["down"]).collect()} == {("up", "x"), ("down", "y")}
+
+
+def test_leading_category(spark):
+    rows = [(1, "b", 2.0), (1, "a", 2.0), (1, "c", 1.0), (2, "a", None), (2, "b", -5.0), (3, "z", None), (3, "y", None), (None, "q", 0.0)]
+    got = panel.leading(spark.createDataFrame(rows, "id long, c string, v double"), ["id"], "c", "v")
+    assert {r["id"]: r["c"] for r in got.collect()} == {1: "a", 2: "b", 3: "y", None: "q"}
+
+
+def test_yearly_agreement_takes_both_sides(spark):
+    from weftline.plans import studies
+
+    got = studies.leading_category_agreement(spark, "/root/testdata/sf0.001").collect()
+    assert got and all(0 < r["agreement"] < 1 and -1 <= r["ari"] < 1 for r in got)

@@ -106,6 +106,12 @@ def profiles(df: DataFrame, label: str, region: str, level: str | None, shares:
     return out.select(label, "size", "regions", *(["level_index"] if level else []), *[f"median_{c}" for c in shares], *[(100 * (F.col(f"median_{c}") - F.col(f"all_{c}"))).alias(f"delta_pp_{c}") for c in shares])
 
 
+def leading(df: DataFrame, keys: list[str], category: str, value: str) -> DataFrame:
+    """(keys, category): the category of the greatest value in each group, ties to the first by name; null values lose to any. One pass, summed on the map side."""
+    least = F.min(F.struct(F.col(value).isNull().alias("none"), (-F.col(value)).alias("v"), F.col(category).alias("c")))
+    return df.groupBy(*keys).agg(least.alias("_best")).select(*keys, F.col("_best.c").alias(category))
+
+
 def latest_slice(df: DataFrame, period: str = "period") -> DataFrame:
     """The rows of the last period."""
     last = df.agg(F.max(period).alias("_last"))

@@ -201,7 +201,10 @@ def layered_pairs(s, d) -> DataFrame:
     return tag(supply_pairs(s, d), "supply").unionByName(tag(nation_pairs(s, d), "nation")).unionByName(tag(noisy, "order"))
 
 
-@query(f"WITH sp AS (SELECT DISTINCT l_suppkey AS x, l_partkey AS p FROM lineitem), {_PAIRS}, r AS (SELECT layer, count(*) AS n_rows, count(*) FILTER (WHERE distance = 0) AS zero, min(distance) AS low, max(distance) AS high, count(*) - count(DISTINCT (x, y, distance)) AS repeated, count(DISTINCT (x, y)) AS directed, count(DISTINCT (least(x, y), greatest(x, y))) AS pairs FROM pr GROUP BY layer), c AS (SELECT layer, count(*) AS conflicts FROM (SELECT layer FROM pr GROUP BY layer, least(x, y), greatest(x, y) HAVING count(DISTINCT distance) > 1) GROUP BY layer), nd AS (SELECT layer, count(DISTINCT v) AS nodes FROM (SELECT layer, x AS v FROM pr UNION ALL SELECT layer, y FROM pr) GROUP BY layer) SELECT r.layer, n_rows, zero, round(low, 6) AS low, round(high, 6) AS high, CAST(repeated AS BIGINT) AS repeated, pairs, CAST(directed AS BIGINT) AS directed, coalesce(conflicts, 0) AS conflicts, nodes FROM r LEFT JOIN c USING (layer) JOIN nd USING (layer)")
+AUDIT_SQL = f"WITH sp AS (SELECT DISTINCT l_suppkey AS x, l_partkey AS p FROM lineitem), {_PAIRS}, r AS (SELECT layer, count(*) AS n_rows, count(*) FILTER (WHERE distance = 0) AS zero, min(distance) AS low, max(distance) AS high, count(*) - count(DISTINCT (x, y, distance)) AS repeated, count(DISTINCT (x, y)) AS directed, count(DISTINCT (least(x, y), greatest(x, y))) AS pairs FROM pr GROUP BY layer), c AS (SELECT layer, count(*) AS conflicts FROM (SELECT layer FROM pr GROUP BY layer, least(x, y), greatest(x, y) HAVING count(DISTINCT distance) > 1) GROUP BY layer), nd AS (SELECT layer, count(DISTINCT v) AS nodes FROM (SELECT layer, x AS v FROM pr UNION ALL SELECT layer, y FROM pr) GROUP BY layer) SELECT r.layer, n_rows, zero, round(low, 6) AS low, round(high, 6) AS high, CAST(repeated AS BIGINT) AS repeated, pairs, CAST(directed AS BIGINT) AS directed, coalesce(conflicts, 0) AS conflicts, nodes FROM r LEFT JOIN c USING (layer) JOIN nd USING (layer)"
+
+
+@query(AUDIT_SQL)
 def pair_audit(s, d):
     return rounded(panel.pair_audit(layered_pairs(s, d), "layer"))
 

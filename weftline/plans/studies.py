@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weftline import sinks
 from weftline.operators import contracts, graph, learning, panel, quality, sequence, study
 from weftline.operators.quantiles import group_medians
-from weftline.plans.catalogue import SHARES, feature_panel, layered_pairs, long_panel, query, region_labels, rounded, nation_pairs, supply_pairs
+from weftline.plans.catalogue import AUDIT_SQL, PANEL, SHARES, feature_panel, layered_pairs, long_panel, query, region_labels, rounded, nation_pairs, supply_pairs
 from weftline.plans.networks import COLUMNS, MIX, WIDTH, panel_edges, scaled_panel
 from weftline.shared import cut, shared_dir
 from weftline.tables import table
@@ -367,6 +367,25 @@ def annual_agreement(s, d):
     return rounded(quality.ari(rows, "reference", "label").crossJoin(quality.agreement(rows, "reference", "label")))
 
 
+_LEADING = f"""{PANEL}, mo AS (SELECT entity, period, category AS label FROM panel QUALIFY row_number() OVER (PARTITION BY entity, period ORDER BY value DESC, category) = 1),
+ct AS (SELECT entity, substr(period, 1, 4) AS year, label, count(*) AS n FROM mo GROUP BY ALL), mj AS (SELECT entity, year, label FROM ct QUALIFY row_number() OVER (PARTITION BY entity, year ORDER BY n DESC, label) = 1),
+yr AS (SELECT entity, substr(period, 1, 4) AS year, category AS reference, sum(value) AS v FROM panel GROUP BY ALL), ye AS (SELECT entity, year, reference FROM yr QUALIFY row_number() OVER (PARTITION BY entity, year ORDER BY v DESC, reference) = 1),
+j AS (SELECT year, reference, label FROM mj JOIN ye USING (entity, year)), jn AS (SELECT year, reference, label, count(*) AS n FROM j GROUP BY ALL),
+ra AS (SELECT year, sum(x * (x - 1) / 2) AS ra FROM (SELECT year, sum(n) AS x FROM jn GROUP BY year, reference) GROUP BY year), rb AS (SELECT year, sum(x * (x - 1) / 2) AS rb FROM (SELECT year, sum(n) AS x FROM jn GROUP BY year, label) GROUP BY year),
+jt AS (SELECT year, sum(n * (n - 1) / 2) AS idx, sum(n) AS m, sum(n) FILTER (WHERE reference = label) AS same FROM jn GROUP BY year), je AS (SELECT *, CASE WHEN m > 1 THEN ra * rb / (m * (m - 1) / 2) END AS e FROM jt JOIN ra USING (year) JOIN rb USING (year))"""
+
+
+@query(f"WITH {_LEADING} SELECT year, round(coalesce(CASE WHEN (ra + rb) / 2 - e <> 0 THEN (idx - e) / ((ra + rb) / 2 - e) END, 1), 6) AS ari, round(coalesce(same, 0) / m, 6) AS agreement FROM je")
+def leading_category_agreement(s, d):
+    """For each year, the majority of the suppliers' monthly leading categories against the year's leading one."""
+    p = cut(long_panel(s, d).withColumn("year", F.substring("period", 1, 4)), "panel")
+    monthly = panel.leading(p, ["entity", "year", "period"], "category", "value")
+    yearly = panel.leading(p.groupBy("entity", "year", "category").agg(F.sum("value").alias("value")), ["entity", "year"], "category", "value")
+    major = sequence.majority(monthly, ["entity", "year"], "category").select("entity", "year", F.col("category").alias("label"))
+    rows = cut(contracts.one_to_one(major, yearly.withColumnRenamed("category", "reference"), ["entity", "year"]), "major")
+    return rounded(quality.ari(rows, "reference", "label", ("year",)).join(quality.agreement(rows, "reference", "label", ("year",)), "year"))
+
+
 @query()
 def extended_model(s, d):
     """Two further features, the log of the balance and the share of what is returned, smoothed over the same graph as the others: by period, likeness of the types with and without them on the same suppliers, and valid counts."""
@@ -459,7 +478,17 @@ def acceptance(s, d):
     return study.accepted(draws.crossJoin(grid).crossJoin(years), median_ari=0.8, median_agreement=0.9, least_grid_ari=0.85, cross_year_ari=0.8)
 
 
-@query()
+_FACTS = "SELECT count(*) AS cells, count(DISTINCT entity) AS entities, count(DISTINCT period) AS periods, count(*) FILTER (WHERE value IS NULL) AS \"empty cells\", (SELECT count(DISTINCT entity) FROM whole_panel) AS \"whole series\", count(*) - count(DISTINCT (entity, period, category)) AS \"repeated keys\" FROM panel"
+_FACT_NAMES = ["cells", "entities", "periods", "empty cells", "whole series", "repeated keys"]
+_PAIR_NAMES = ["n_rows", "zero", "low", "high", "repeated", "pairs", "directed", "conflicts", "nodes"]
+
+
+def _long_sql(table: str, names: list[str], prefix: str = "") -> str:
+    """Rows of (name, value) of the columns `names` of a table, in DuckDB SQL."""
+    return " UNION ALL ".join(f"SELECT {prefix}'{c}' AS name, round(CAST(\"{c}\" AS DOUBLE), 6) AS value FROM {table}" for c in names)
+
+
+@query(f"WITH {PANEL}, fa AS ({_FACTS}), au AS ({AUDIT_SQL}) {_long_sql('fa', _FACT_NAMES)} UNION ALL {_long_sql('au', _PAIR_NAMES, "layer || ' ' || ")}")
 def data_audit(s, d):
     """A report's rows: cells, entities, periods, whole series, repeated keys and pairs by layer, as names and values."""
     p = cut(long_panel(s, d), "panel")
