@@ -145,9 +145,13 @@ def one_to_one_join(s, d):
     return contracts.one_to_one(n, v, ["n_nationkey"]).select("n_nationkey", "n_name", "r_name", "suppliers")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 12 MONTH)")
 def anti_join(s, d):
-    return table(s, d, "customer").select("c_custkey").join(table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Customers without an order in the last twelve months of the table."""
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    since = o.agg(F.max("at").alias("last")).select((F.col("last") - F.expr("INTERVAL 12 MONTH")).alias("since"))
+    late = o.join(F.broadcast(since), F.col("at") >= F.col("since")).select("c_custkey")
+    return table(s, d, "customer").select("c_custkey").join(late, "c_custkey", "left_anti")
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS n FROM nation")
