@@ -246,3 +246,14 @@ def test_yearly_agreement_takes_both_sides(spark):
 
     got = studies.leading_category_agreement(spark, "/root/testdata/sf0.001").collect()
     assert got and all(0 < r["agreement"] < 1 and -1 <= r["ari"] < 1 for r in got)
+
+
+def test_no_sql_is_without_rows():
+    """Queries whose inputs have no row on one side of a condition would show nothing."""
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the driver's tables")
+    con = duckdb.connect()
+    for f in os.listdir(sf):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{sf}/{f}'")
+    assert [n for n, q in catalogue.oracle_sql().items() if con.execute(q).fetchone() is None] == []
