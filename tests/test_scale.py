@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import learning, panel, quality, reconcile
+from weftline.operators import graph, learning, panel, quality, reconcile
 from weftline.operators.quantiles import group_medians, group_quantiles
+from weftline.shared import cut
 
 PS = [0.0, 0.1, 0.5, 0.77, 1.0]
 
@@ -187,3 +188,30 @@ def test_pivots_skip_most_pairs(spark, clustered):
     going = quality._visits(placed.withColumn("reach", F.lit(2.0)), pivots, shape, "euclidean")
     beyond = going.join(sizes.withColumnsRenamed({"_cell": "_to_cell", "_sub": "_to_sub"}), ["_to_cell", "_to_sub"]).agg(F.sum("n")).first()[0] or 0
     assert len(pivots["0"]) > 5 and inside + beyond < 0.1 * 3000 * 3000
+
+
+@pytest.mark.parametrize("step", [1, 7])
+def test_nearest_by_shared_equals_all_pairs(spark, step, monkeypatch):
+    """Many ties, one set that all are in, one node in all sets, and several blocks."""
+    rng = random.Random(step)
+    members = [(step * rng.randrange(40), rng.randrange(60)) for _ in range(500)] + [(step * i, 99) for i in range(40)] + [(step * 3, p) for p in range(60)] + [(5, None), (None, 5)]
+    rows = spark.createDataFrame(members, "x long, p int")
+    sp = rows.distinct()
+    pairs = sp.join(sp.select(F.col("x").alias("y"), "p"), "p").where("x < y").groupBy("x", "y").agg((1.0 / F.count("*")).alias("distance"))
+    monkeypatch.setattr(graph, "PAIRS", 900)
+    got = cut(graph.nearest_by_shared(rows, 5), "near")
+    assert {(r["src"], r["dst"]): r["w"] for r in graph.scaled_layer(got).collect()} == pytest.approx({(r["src"], r["dst"]): r["w"] for r in graph.knn_layer(pairs, 5).collect()})
+    assert {r["others"] for r in got.collect()} == {39} and got.count() == 200
+    assert graph.nearest_by_shared(rows.where("p is null"), 5).count() == 0
+
+
+@pytest.mark.parametrize("spread", [3, 40, 1000])
+def test_nearest_by_value_equals_all_pairs(spark, spread):
+    """From many equal values to none; groups of fewer than k."""
+    rng = random.Random(spread)
+    rows = [(t, i, rng.choice([1, 1, 1, 2, 3]), rng.randrange(spread) / 4) for t in (0, 1) for i in rng.sample(range(90), 60)] + [(0, 200, 9, 1.0), (0, 201, None, 1.0), (0, 202, 1, None)]
+    df = spark.createDataFrame(rows, "t int, x long, g int, v double")
+    good = df.dropna()
+    pairs = good.join(good.select("t", F.col("x").alias("y"), "g", F.col("v").alias("u")), ["t", "g"]).where("x <> y").select("t", "x", "y", F.abs(F.col("v") - F.col("u")).alias("distance"))
+    got = graph.nearest_by_value(df, 4, ("t",))
+    assert {(r["t"], r["src"], r["dst"]): r["w"] for r in graph.scaled_layer(got, ("t",)).collect()} == pytest.approx({(r["t"], r["src"], r["dst"]): r["w"] for r in graph.knn_layer(pairs, 4, ("t",)).collect()})
