@@ -55,6 +55,13 @@ def test_trailing_runs_and_transitions(spark):
     assert [(r["from_label"], r["to_label"], r["n"]) for r in flows] == [(1, 2, 1)]
 
 
+def test_a_mean_margin_at_a_limit_meets_it(spark):
+    """The mean of these is 0.55, of their doubles just below in any order."""
+    rows = [(0, t, 1, m) for t, m in enumerate([1 / 3, 2 / 3, 0.5, 0.7])] + [(1, t, 1, m) for t, m in enumerate([1 / 3, 2 / 3, 0.5, 0.69999])]
+    got = sequence.stability(spark.createDataFrame(rows, "e long, t long, label int, m double"), "e", "t", "label", "m", (0.6, 0.7), (0.4, 0.55))
+    assert {r["e"]: r["class"] for r in got.collect()} == {0: "stable", 1: "borderline"}
+
+
 def test_stability_needs_share_and_margin(spark):
     """22 of 24 periods and a mean margin of 0.15 make a core type; a share below 0.75 or a margin below 0.10 a borderline one."""
     cases = [(22, 0.1501, "core"), (22, 0.14, "stable"), (21, 0.9, "stable"), (24, 0.09, "borderline"), (18, 0.5, "stable"), (17, 0.5, "borderline"), (23, 0.1001, "stable")]

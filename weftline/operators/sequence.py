@@ -51,13 +51,15 @@ def stability(df: DataFrame, entity: str, period: str, label: str, margin: str,
     """Dominant label and share, mean and least margin, transitions, trailing run and class of each entity.
 
     Core types hold a share of at least core[0] with a mean margin of at least core[1]; of the others
-    those below border[0] or with a mean margin below border[1] are borderline, the rest stable.
+    those below border[0] or with a mean margin below border[1] are borderline, the rest stable. Mean
+    margins meet the limits by nine places, as the last bits of a mean at a limit depend on the order of its sum.
     """
     r = runs(df, entity, period, label)
     facts = r.groupBy(entity).agg(F.sum("length").alias("periods"), (F.count("*") - 1).alias("transitions"), F.max_by("length", "run").alias("trailing_run"), F.max_by(label, "run").alias("last_label"))
     top = majority(df, [entity], label).withColumnRenamed(label, "dominant")
     margins = df.groupBy(entity).agg(F.avg(margin).alias("mean_margin"), F.min(margin).alias("least_margin"))
-    kind = F.when((F.col("share") >= core[0]) & (F.col("mean_margin") >= core[1]), "core").when((F.col("share") < border[0]) | (F.col("mean_margin") < border[1]), "borderline").otherwise("stable")
+    mean = F.round("mean_margin", 9)
+    kind = F.when((F.col("share") >= core[0]) & (mean >= core[1]), "core").when((F.col("share") < border[0]) | (mean < border[1]), "borderline").otherwise("stable")
     return facts.join(top.drop("n"), entity).join(margins, entity).withColumn("class", kind)
 
 
