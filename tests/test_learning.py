@@ -192,3 +192,26 @@ def test_drawn_medians_equal_those_of_copied_rows(spark):
     assert all(got[k][i] == pytest.approx(want[k][i]) for k in want for i in (0, 1))
     weights = learning.block_weights(df, "period", 20, 3)
     assert {x[0] for x in weights.groupBy("iteration", F.substring("period", 1, 4)).agg(F.sum("weight").alias("n")).select("n").collect()} == {12}
+
+
+def test_density_tree_holds_no_matrix():
+    """Memory by points, not by pairs: a matrix of these distances has 200 MB. The tree is the least one."""
+    import tracemalloc
+
+    x = np.random.default_rng(2).normal(size=(5000, 3))
+    tracemalloc.start()
+    tree = learning.core_tree(x, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(tree) == 4999 and peak < 100e6
+    some = x[:200]
+    d = np.sqrt(((some[:, None] - some) ** 2).sum(2))
+    core = np.sort(d, 1)[:, 4]
+    reach = np.maximum(np.maximum(d, core[:, None]), core)
+    inside, total = {0}, 0.0
+    while len(inside) < 200:
+        out = [i for i in range(200) if i not in inside]
+        part = reach[np.ix_(sorted(inside), out)]
+        total += part.min()
+        inside.add(out[int(part.min(0).argmin())])
+    assert learning.core_tree(some, 5)[:, 2].sum() == pytest.approx(total)
