@@ -215,3 +215,11 @@ def test_density_tree_holds_no_matrix():
         total += part.min()
         inside.add(out[int(part.min(0).argmin())])
     assert learning.core_tree(some, 5)[:, 2].sum() == pytest.approx(total)
+
+
+def test_rows_of_a_sliced_column():
+    import pyarrow as pa
+
+    column = pa.array([[float(i), -float(i)] for i in range(6)])
+    assert learning._flat(column.slice(2, 3)).tolist() == [[2, -2], [3, -3], [4, -4]]
+    assert learning._flat(column.slice(0, 0)).shape == (0, 1)
