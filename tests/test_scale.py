@@ -215,3 +215,15 @@ def test_nearest_by_value_equals_all_pairs(spark, spread):
     pairs = good.join(good.select("t", F.col("x").alias("y"), "g", F.col("v").alias("u")), ["t", "g"]).where("x <> y").select("t", "x", "y", F.abs(F.col("v") - F.col("u")).alias("distance"))
     got = graph.nearest_by_value(df, 4, ("t",))
     assert {(r["t"], r["src"], r["dst"]): r["w"] for r in graph.scaled_layer(got, ("t",)).collect()} == pytest.approx({(r["t"], r["src"], r["dst"]): r["w"] for r in graph.knn_layer(pairs, 4, ("t",)).collect()})
+
+
+def test_neighbours_in_many_small_parts(spark, monkeypatch):
+    """Points on their way to other cells go a few rows at a time, and none is lost."""
+    x = np.random.default_rng(8).normal(size=(300, 12))
+    df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "id long, label int, x array<double>").repartition(3)
+    monkeypatch.setattr(quality, "CELL", 10)
+    monkeypatch.setattr(quality, "VISITS", 7)
+    got = {(r["id"], r["rank"]): r["peer"] for r in quality.neighbours(df, 4, rows=60).collect()}
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    assert got == {(i, k + 1): int(j) for i in range(300) for k, j in enumerate(np.argsort(d[i])[:4])}
