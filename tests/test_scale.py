@@ -227,3 +227,36 @@ def test_neighbours_in_many_small_parts(spark, monkeypatch):
     d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
     np.fill_diagonal(d, np.inf)
     assert got == {(i, k + 1): int(j) for i in range(300) for k, j in enumerate(np.argsort(d[i])[:4])}
+
+
+def audited(spark, rows, kinds):
+    """What panel.pair_audit() says of the pairs written out, and its row by name."""
+    got = panel.pair_audit(spark.createDataFrame(rows, kinds).withColumn("layer", F.lit(1)), "layer").drop("layer").collect()
+    return [r.asDict() for r in got]
+
+
+def test_layers_are_audited_as_their_written_pairs(spark):
+    rng = random.Random(12)
+    members = [(rng.choice([*range(1, 25), None]), rng.choice([*range(30), None])) for _ in range(200)]
+    sets = {}
+    for x, p in members:
+        if None not in (x, p):
+            sets.setdefault(x, set()).add(p)
+    pairs = [(x, y, 1.0 / len(sets[x] & sets[y])) for x in sets for y in sets if x < y and sets[x] & sets[y]]
+    assert [r.asDict() for r in graph.audit_by_shared(spark.createDataFrame(members, "x long, p long")).collect()] == audited(spark, pairs, "x long, y long, distance double")
+    assert graph.audit_by_shared(spark.createDataFrame([(1, 1), (2, 2)], "x long, p long")).count() == 0
+    usual = [(x, x % 3, round(rng.uniform(-5, 5), 1)) for x in range(40)]
+    odd = [(40, 0, None), (41, 0, float("nan")), (42, 1, float("inf")), (42, 1, 2.0), (3, 1, 2.0), (3, 0, usual[3][2]), (None, 0, 1.0), (43, None, 1.0), (44, 9, 1.0), (45, 8, 1.0), (45, 8, 2.0)]
+    for values in (usual, usual + odd, [(1, 1, None), (2, 1, None), (3, 1, 5.0)]):
+        there = [v for v in values if None not in v[:2]]
+        pairs = [(x, y, None if None in (v, w) else abs(v - w)) for x, g, v in there for y, h, w in there if g == h and x != y]
+        got = [r.asDict() for r in graph.audit_by_value(spark.createDataFrame(values, "x long, g int, v double")).collect()]
+        # NaN equals nothing, itself included
+        assert repr([sorted(r.items()) for r in got]) == repr([sorted(r.items()) for r in audited(spark, pairs, "x long, y long, distance double")])
+
+
+def test_an_audit_of_a_large_group_writes_no_pairs(spark):
+    """The pairs are four hundred million rows."""
+    n = 20_000
+    got = graph.audit_by_value(spark.range(n).select(F.col("id").alias("x"), F.lit(1).alias("g"), F.col("id").cast("double").alias("v"))).first()
+    assert (got["n_rows"], got["pairs"], got["zero"], got["low"], got["high"], got["nodes"]) == (n * (n - 1), n * (n - 1) // 2, 0, 1.0, n - 1.0, n)

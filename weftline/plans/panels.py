@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import graph, panel, quality, sequence
 from weftline.operators.quantiles import group_medians
-from weftline.plans.catalogue import CHANGE, FEATURES, PANEL, SHARES, STATE, SUPPLY_SQL, _PERSIST, feature_panel, layered_pairs, long_panel, query, rounded, states, states_with_margin
+from weftline.plans.catalogue import CHANGE, FEATURES, PANEL, SHARES, STATE, SUPPLY_SQL, _PERSIST, feature_panel, long_panel, query, rounded, states, states_with_margin, supply_pairs
 from weftline.tables import table
 
 
@@ -15,7 +15,7 @@ from weftline.tables import table
 def both_endpoints(s, d):
     """Pairs of suppliers of which both have a positive balance."""
     ids = table(s, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("node"))
-    pairs = layered_pairs(s, d).where("layer = 'supply'").select("x", "y", "distance")
+    pairs = supply_pairs(s, d)
     return rounded(graph.within(pairs, ids, "x", "y"))
 
 
