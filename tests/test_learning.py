@@ -223,3 +223,18 @@ def test_rows_of_a_sliced_column():
     column = pa.array([[float(i), -float(i)] for i in range(6)])
     assert learning._flat(column.slice(2, 3)).tolist() == [[2, -2], [3, -3], [4, -4]]
     assert learning._flat(column.slice(0, 0)).shape == (0, 1)
+
+
+def test_points_are_packed_whole_and_by_group(spark):
+    """Rounds read a few hundred points a row; before, a row each."""
+    rng = np.random.default_rng(3)
+    x = {"a": rng.normal(size=(5000, 3)), "b": rng.normal(size=(7, 3)), "c": rng.normal(size=(700, 3))}
+    rows = spark.createDataFrame([(g, v.tolist()) for g, vs in x.items() for v in vs], "_g string, x array<double>").repartition(3)
+    got = learning.packed(rows).collect()
+    assert len(got) < 30 and max(len(r["x"]) for r in got) <= 8 * learning.PACKED
+    for g, vs in x.items():
+        mine = np.concatenate([np.frombuffer(r["x"]).reshape(-1, 3) for r in got if r["_g"] == g])
+        assert sorted(map(tuple, mine)) == sorted(map(tuple, vs))
+    wide = spark.createDataFrame([("a", [float(i)] * 3000) for i in range(4)], "_g string, x array<double>")
+    assert sum(len(r["x"]) for r in learning.packed(wide).collect()) == 4 * 3000 * 8
+    assert learning.packed(rows.where("_g = 'z'")).count() == 0

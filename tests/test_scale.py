@@ -260,3 +260,16 @@ def test_an_audit_of_a_large_group_writes_no_pairs(spark):
     n = 20_000
     got = graph.audit_by_value(spark.range(n).select(F.col("id").alias("x"), F.lit(1).alias("g"), F.col("id").cast("double").alias("v"))).first()
     assert (got["n_rows"], got["pairs"], got["zero"], got["low"], got["high"], got["nodes"]) == (n * (n - 1), n * (n - 1) // 2, 0, 1.0, n - 1.0, n)
+
+
+def test_silhouettes_of_several_labellings_share_their_distances(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 3))
+    x[7] = x[8]
+    labels = {"two": np.arange(60) % 2, "alone": np.minimum(np.arange(60), 1), "one": np.zeros(60, int), "some": np.arange(60) // 25}
+    rows = [(o, p, i, int(v[i]), x[i].tolist()) for o, v in labels.items() for p in ("a", "b") for i in range(60) if (o, p) != ("some", "b") and (p == "a" or i % 3) and (o != "some" or i > 4)]
+    p = spark.createDataFrame(rows, "setting string, period string, id long, label int, x array<double>")
+    read = lambda df: {(r["setting"], r["period"]): r["silhouette"] for r in df.collect()}
+    want = read(quality.silhouette(p, ("setting", "period")))
+    for size in (4000, 17):
+        assert read(quality.silhouettes(p, "setting", ("period",), size)) == pytest.approx(want)
