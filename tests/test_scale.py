@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftline import linked
 from weftline.operators import graph, learning, panel, quality, reconcile
 from weftline.operators.quantiles import group_medians, group_quantiles
-from weftline.shared import cut
+from weftline.shared import cut, tables
 
 PS = [0.0, 0.1, 0.5, 0.77, 1.0]
 
@@ -273,3 +274,29 @@ def test_silhouettes_of_several_labellings_share_their_distances(spark):
     want = read(quality.silhouette(p, ("setting", "period")))
     for size in (4000, 17):
         assert read(quality.silhouettes(p, "setting", ("period",), size)) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("most", [200_000, 40])
+def test_components_of_contracted_links(spark, most):
+    """The rounds are few also where names go up along a chain; 40 links in one task, the others contracted before."""
+    rng = random.Random(5)
+    links = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(100)] + [(rng.randint(2000, 2200),) * 2 for _ in range(9)] + [(rng.randint(2000, 2200), rng.randint(2000, 2200)) for _ in range(80)]
+    root = {x: x for pair in links for x in pair}
+
+    def top(x):
+        return x if root[x] == x else top(root[x])
+
+    for a, b in links:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    want = {x: top(x) for x in root if any(x in p and p[0] != p[1] for p in links)}
+    got = linked.components(spark.createDataFrame(links + links[:50], "a long, b long"), most).collect()
+    assert len(got) == len(want) and {r["node"]: r["component"] for r in got} == want
+    assert linked.components(spark.createDataFrame([(1, 1)], "a long, b long"), most).count() == 0
+
+
+def test_few_links_make_few_stages(spark):
+    """A chain of 2000 took a table of stars a round; within the bound it is one task."""
+    made = len(tables())
+    chain = spark.createDataFrame([(i, i + 1) for i in range(2000)], "a long, b long")
+    assert {r["component"] for r in linked.components(chain).collect()} == {0} and len(tables()) - made <= 2

@@ -1,39 +1,7 @@
-"""Connected components of a link table, by alternating large and small stars, all on the executors."""
+"""Connected components of a link table, all on the executors."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from weftline.linked import components
 
-from weftline.shared import cut
-
-
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One step: each node's larger (large) or smaller (small) neighbours and itself link to the smallest of them."""
-    up = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    if large:
-        both = up.unionByName(up.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
-        out = both.join(least, F.col("u") == F.col("n")).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    else:
-        least = up.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m")
-        out = up.join(least, F.col("u") == F.col("n")).select(F.col("v").alias("a"), F.col("m").alias("b"))
-        out = out.unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): for every node of `links` (a, b) the smallest node it can reach.
-
-    Each round is written to the shared folder; the rounds grow with the logarithm of the longest
-    chain. Links of a node to itself and repeated links do nothing; no links give an empty table.
-    """
-    now = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    mark = None
-    while True:
-        # a forest of stars on smallest nodes is what both steps leave as it is
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(new) == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component")))
-        mark = tuple(new)
-        now = cut(_stars(_stars(now, True), False), "links")
+__all__ = ["components"]
