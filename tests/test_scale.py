@@ -256,6 +256,22 @@ def test_layers_are_audited_as_their_written_pairs(spark):
         assert repr([sorted(r.items()) for r in got]) == repr([sorted(r.items()) for r in audited(spark, pairs, "x long, y long, distance double")])
 
 
+def test_blocks_are_runs_of_ids_of_bounded_weight(spark, monkeypatch):
+    """Ids were dealt by remainders, so a list went to a block for nearly each of its nodes."""
+    monkeypatch.setattr(graph, "RANGE", 30)
+    rng = np.random.default_rng(3)
+    ids, w = np.sort(rng.choice(10**12, 500, replace=False)) - 5 * 10**11, rng.integers(1, 60, 500)
+    w[77] = 5000
+    rows = spark.createDataFrame([(int(i), int(v)) for i, v in zip(ids, w, strict=True)], "x long, w long").repartition(7)
+    starts = graph._starts(rows, 400)
+    assert starts[0] == ids[0] and (np.diff(starts) > 0).all() and set(starts) <= set(ids)
+    block = np.searchsorted(starts, ids, "right") - 1
+    sums = np.bincount(block, w)
+    assert np.delete(sums, block[77]).max() < 400 + 60 and sums[block[77]] < 5000 + 400
+    assert len(starts) <= w.sum() // 400 + 1
+    assert len(graph._starts(rows.where("w < 0"), 400)) == 0
+
+
 def test_an_audit_of_a_large_group_writes_no_pairs(spark):
     """The pairs are four hundred million rows."""
     n = 20_000
