@@ -272,6 +272,19 @@ def test_blocks_are_runs_of_ids_of_bounded_weight(spark, monkeypatch):
     assert len(graph._starts(rows.where("w < 0"), 400)) == 0
 
 
+def test_smoothing_over_new_weights_moves_the_edges_once(spark):
+    """They were moved for the weights, their sums, the far ends and the means."""
+    rng = np.random.default_rng(6)
+    nodes = spark.createDataFrame([(t, i, *rng.normal(size=2).tolist()) for t in "ab" for i in range(40) if (t, i) != ("b", 3)] + [(t, 40, 1e9, 2.0) for t in "ab"], "period string, node long, u double, v double")
+    edges = spark.createDataFrame([(int(a), int(b), 0.0 if a == 7 else float(rng.random())) for a, b in {tuple(p) for p in rng.integers(0, 38, (150, 2)).tolist()}] + [(40, 1, 1.0), (38, 39, -1.0), (2, 99, 1.0)], "src long, dst long, w double")
+    nodes, edges = cut(nodes, "nodes"), cut(edges, "edges")
+    got = graph.resmoothed(nodes, edges, ["u"], ["u", "v"], 0.3, 0.8, ("period",))
+    want = graph.smoothed(nodes, graph.reweighted(edges, nodes, ["u", "v"], 0.8, ("period",)), ["u"], 0.3, ("period",), edges)
+    read = lambda df: {(r["period"], r["node"]): r["u"] for r in df.collect()}
+    assert read(got) == pytest.approx(read(want)) and len(read(got)) == 81
+    assert read(got)["a", 40] == pytest.approx(0.7e9)  # all its weights are 0 now, so its mean is
+
+
 def test_an_audit_of_a_large_group_writes_no_pairs(spark):
     """The pairs are four hundred million rows."""
     n = 20_000
