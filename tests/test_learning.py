@@ -238,3 +238,15 @@ def test_points_are_packed_whole_and_by_group(spark):
     wide = spark.createDataFrame([("a", [float(i)] * 3000) for i in range(4)], "_g string, x array<double>")
     assert sum(len(r["x"]) for r in learning.packed(wide).collect()) == 4 * 3000 * 8
     assert learning.packed(rows.where("_g = 'z'")).count() == 0
+
+
+def test_groups_of_other_lengths_in_one_batch(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, (rng.normal(0, 1, p) + 20 * (i % 2)).tolist()) for i in range(40) for g, p in (("a", 3), ("b", 2), ("c", 4))]
+    df = spark.createDataFrame(rows, "g string, x array<double>").coalesce(1)
+    got = learning.kmeans_many(df, 2, ("g",), starts=2)
+    for g, _ in {(g, len(x)) for g, x in rows}:
+        x = np.array([v for h, v in rows if h == g])
+        want = np.array([x[0::2].mean(0), x[1::2].mean(0)])
+        centres = got[g,][0]
+        assert np.allclose(centres[centres[:, 0].argsort()], want)
