@@ -250,3 +250,18 @@ def test_groups_of_other_lengths_in_one_batch(spark):
         want = np.array([x[0::2].mean(0), x[1::2].mean(0)])
         centres = got[g,][0]
         assert np.allclose(centres[centres[:, 0].argsort()], want)
+
+
+def test_small_groups_are_fitted_alone_as_in_passes(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [(g, (rng.normal(0, 1, p) + 3 * rng.integers(0, 4)).tolist()) for g, n, p in (("a", 5000, 3), ("b", 700, 2), ("c", 3, 2)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "g string, x array<double>").repartition(5).cache()
+    jobs, k = [], {("a",): 4, ("b",): 3, ("c",): 5}
+    for most in (0, 2000, 10**6):
+        monkeypatch.setattr(learning, "ALONE", most)
+        spark.sparkContext.setJobGroup(f"alone-{most}", "")
+        got = learning.kmeans_many(df, k, ("g",), starts=3, every=True)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"alone-{most}")))
+        want = got if most == 0 else want
+        assert all(np.allclose(got[g][0], want[g][0], atol=1e-9) and np.allclose(got[g][1], want[g][1]) for g in k)
+    assert jobs[2] < 5 < jobs[0]
