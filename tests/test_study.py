@@ -62,3 +62,15 @@ def test_choice_with_needs(spark):
     with pytest.raises(ValueError, match="needs"):
         study.select_setting(m, needs=F.col("stability") > 1)
     assert {r["chosen"] for r in study.marked(m, "setting", needs=F.col("stability") > 1).collect()} == {False}
+
+
+def test_yearly_studies_share_their_tables(spark):
+    """Layers of fewer neighbours come of the same neighbours, found once."""
+    from weftline.plans import catalogue, studies
+
+    d = "/root/testdata/sf0.001"
+    annual, cells = studies.Annual(spark, d), lambda df: {(r["src"], r["dst"]): round(r["w"], 9) for r in df.select("src", "dst", "w").collect()}
+    assert annual.near is annual.near and annual.medians is annual.medians and annual.layers_of((6, 2)) is annual.layers_of((6, 2))
+    ids = annual.medians.select("node").distinct()
+    for got, want in zip(annual.layers_of((6, 2)), (catalogue.supply_layer(spark, d, 6), catalogue.nation_layer(spark, d, 2)), strict=True):
+        assert cells(got) == cells(graph.within(want, ids))
