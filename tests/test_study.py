@@ -64,6 +64,27 @@ def test_choice_with_needs(spark):
     assert {r["chosen"] for r in study.marked(m, "setting", needs=F.col("stability") > 1).collect()} == {False}
 
 
+def test_pooled_silhouette_is_of_all_points(spark):
+    """More points than the sample that it once took; both settings label the same points."""
+    rng = np.random.default_rng(9)
+    n = 10_400
+    x = np.where(np.arange(n) % 2, 3.0, 0.0)[:, None] + rng.normal(0, 1, (n, 2))
+    labels = {"a": np.arange(n) % 2, "b": (x[:, 0] > 1).astype(int)}
+    rows = [(s, "2001" if i < n // 2 else "2002", i % (n // 2), int(y[i]), x[i].tolist()) for s, y in labels.items() for i in range(n)]
+    points = spark.createDataFrame(rows, "setting string, period string, id long, label int, x array<double>").repartition(8).cache()
+    graphs = spark.createDataFrame([(s, p, a, b, 1.0) for s in labels for p in ("2001", "2002") for a, b in ((0, 1), (1, 0), (1, 2), (2, 1))], "setting string, period string, src long, dst long, w double")
+    got = {r["setting"]: r["silhouette"] for r in study.bundle(points, graphs, ("setting",)).collect()}
+    for s, y in labels.items():
+        total = 0.0
+        for i in range(0, n, 800):
+            d = np.sqrt(((x[i : i + 800, None] - x) ** 2).sum(2))
+            sums = np.column_stack([d[:, y == c].sum(1) for c in (0, 1)])
+            own, m = y[i : i + 800], np.bincount(y)
+            a, b = sums[np.arange(len(own)), own] / (m[own] - 1), sums[np.arange(len(own)), 1 - own] / m[1 - own]
+            total += ((b - a) / np.maximum(a, b)).sum()
+        assert got[s] == pytest.approx(total / n, abs=1e-9)
+
+
 def test_yearly_studies_share_their_tables(spark):
     """Layers of fewer neighbours come of the same neighbours, found once."""
     from weftline.plans import catalogue, studies
