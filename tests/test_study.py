@@ -95,3 +95,16 @@ def test_yearly_studies_share_their_tables(spark):
     ids = annual.medians.select("node").distinct()
     for got, want in zip(annual.layers_of((6, 2)), (catalogue.supply_layer(spark, d, 6), catalogue.nation_layer(spark, d, 2)), strict=True):
         assert cells(got) == cells(graph.within(want, ids))
+
+
+def test_graphs_of_all_settings_smooth_as_each_alone(spark, nodes):
+    near = quality.neighbours(study.vectors(nodes, COLUMNS), 6, ("period",)).where("id <> 5 or rank > 2").cache()
+    got = {(r["k"], r["h"], r["period"], r["node"]): r for r in graph.smoothed_by_similarity(nodes, near, COLUMNS, 0.2, (1, 3, 6), (0.02, 1.0), ("period",)).collect()}
+    for k in (1, 6):
+        for h in (0.02, 1.0):
+            g = graph.similarity_graph(near, k, h, ("period",)).cache()
+            edges = {(r["period"], r["src"]): r["count"] for r in g.groupBy("period", "src").count().collect()}
+            for r in graph.smoothed(nodes, g, COLUMNS, 0.2, ("period",)).collect():
+                one = got[k, h, r["period"], r["node"]]
+                assert one["edges"] == edges.get((r["period"], r["node"]), 0) and all(one[c] == pytest.approx(r[c], abs=1e-9) for c in COLUMNS)
+    assert len(got) == 6 * 120
